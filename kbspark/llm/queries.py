@@ -5,8 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, packing, quality
-from kbspark.llm.common import table
+from kbspark.llm import bpe, html, packing, pii, quality, secrets, topk, warc
+from kbspark.llm.common import shared_path, table
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE))
+    count = lambda field, value: F.size(F.filter("secrets", lambda s: s[field] == value)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count("kind", k).alias(f"n_{k}") for k in secrets.BASE),
+        F.sha2(secrets.told(base), 256).alias("base_sha256"),
+        secrets.told(F.col("secrets")).alias("spans"),
+        *(count("verdict", v).alias(f"n_{v}") for v in ("live", "copied")),
+        F.coalesce(F.array_max(F.transform("secrets", lambda s: s["n_owners"])), F.lit(0)).alias("most_owners"),
+    )
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    read = warc.read(spark, path, payloads=False).where("kind = 'record'")
+    number = lambda c: F.regexp_extract(c, "([0-9]+)>", 1).try_cast("long")
+    return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("personal", lambda s: ~s["added"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return docs.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.told(base), 256).alias("base_sha256"),
+        pii.told(F.col("personal")).alias("spans"),
+    )
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +72,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.col("coded.n_tokens").alias("n_tokens"), F.sha2("coded.ids", 256).alias("ids_sha256"), F.sha2("coded.decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op9_quality_rules": op9_quality_rules, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_html": op2_html,
+    "op3_warc": op3_warc,
+    "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
+    "op8_top_k": op8_top_k,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_byte_bpe": op10_byte_bpe,
+}
+from kbspark.llm.oracle import ORACLE_SQL  # noqa: E402, F401
