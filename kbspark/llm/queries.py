@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, html, packing, pii, quality, secrets, topk, warc
+from kbspark.llm import bpe, html, neardup, packing, pii, quality, secrets, topk, warc
 from kbspark.llm.common import shared_path, table
 
 
@@ -48,6 +48,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_top_k": op8_top_k,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
