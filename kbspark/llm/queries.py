@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, html, neardup, packing, pii, quality, secrets, topk, warc
+from kbspark.llm import bpe, html, neardup, packing, pii, quality, secrets, substrings, topk, warc
 from kbspark.llm.common import shared_path, table
 
 
@@ -56,6 +56,11 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", "removed_words", "removed_spans")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_html": op2_html,
     "op3_warc": op3_warc,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_near_duplicates": op7_near_duplicates,
