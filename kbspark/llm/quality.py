@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import let
+from kbspark.llm.common import let, written
 
 #: The characters that separate words.
 SPACES = " \t\n\x0b\f\r"
@@ -200,11 +200,22 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(True)
 
 
+def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[Rule]]:
+    """(doc_id and the statistics of every document, written; rules learned from those that are labelled).
+
+    The texts are read once and never shuffled; labels meet the statistics.
+    """
+    numbers = written(statistics(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", *BASE, *FEATURES), "statistics")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = written(numbers.where(~base_failed()).join(known, "doc_id"), "labelled")
+    return numbers, learn(labelled)
+
+
+def decided(numbers: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows that have statistics, with base_failed and kept."""
+    return numbers.withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
+
+
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with statistics, base_failed and kept, by rules learned from the labelled documents among them."""
-    known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.min("quality").alias("quality"))
-    labelled = statistics(docs.select(F.col(key).alias("doc_id"), text).join(known, "doc_id"), text).select("doc_id", "quality", *FEATURES, *BASE)
-    from kbspark.llm.common import written
-
-    rules = learn(written(labelled, "labelled").where(~base_failed()))
-    return statistics(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
+    return decided(statistics(docs, text), trained(docs, labels, key, text)[1])

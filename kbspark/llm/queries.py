@@ -69,7 +69,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality.decided(*quality.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
