@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
@@ -392,10 +392,10 @@ def a20(spark, d):
     return Q.journal_months(M.documents(spark, d))
 
 
-@register("a23_gold_query_score", "WITH e AS (SELECT conv_id AS query_id, list_distinct(string_split(min(text), ' ')) AS a, list_distinct(string_split(max(text), ' ')) AS b FROM conversations GROUP BY 1) SELECT query_id, round((len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) * (len(list_intersect(a[1:3], b)) / len(list_distinct(list_concat(a[1:3], b)))), 6) AS score FROM e")
+@register("a23_gold_query_score", "WITH e AS (SELECT conv_id AS query_id, list_distinct(string_split(min(text), ' ')) AS a, list_distinct(string_split(max(text), ' ')) AS b, list_distinct(string_split(min(text), ' ')[1:3]) AS c FROM conversations GROUP BY 1) SELECT query_id, round((len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) * (len(list_intersect(c, b)) / len(list_distinct(list_concat(c, b)))), 6) AS score FROM e")
 def a23(spark, d):
-    m = M.messages(spark, d).groupBy("session_id").agg(F.array_distinct(F.split(F.min("content"), " ")).alias("a"), F.array_distinct(F.split(F.max("content"), " ")).alias("b"))
-    pairs = m.select(F.col("session_id").alias("query_id"), F.col("a").alias("expected_topics"), F.col("b").alias("actual_topics"), F.slice("a", 1, 3).alias("expected_citations"), F.col("b").alias("actual_citations"))
+    m = M.messages(spark, d).groupBy("session_id").agg(F.array_distinct(F.split(F.min("content"), " ")).alias("a"), F.array_distinct(F.split(F.max("content"), " ")).alias("b"), F.array_distinct(F.slice(F.split(F.min("content"), " "), 1, 3)).alias("c"))
+    pairs = m.select(F.col("session_id").alias("query_id"), F.col("a").alias("expected_topics"), F.col("b").alias("actual_topics"), F.col("c").alias("expected_citations"), F.col("b").alias("actual_citations"))
     return Q.gold_query_score(pairs).withColumn("score", F.round("score", 6))
 
 
@@ -463,3 +463,497 @@ def w8_trend(spark, d):
 def w9(spark, d):
     out = Q.recent_per_key(M.documents(spark, d), ["workspace"], [F.desc("updated_at"), F.col("path")], 10)
     return out.select("workspace", "path", F.col("rank").cast("long").alias("rank"))
+
+
+# Joins -------------------------------------------------------------------------------------------------------------
+
+#: A later state of the documents: one in five is edited, one in seven is moved, the others are as they were.
+_LATER = "SELECT doc_id, workspace, CASE WHEN doc_id % 7 = 0 THEN 'new/' || path ELSE path END AS path, CASE WHEN doc_id % 5 = 0 THEN content || chr(10) || 'edited ' || doc_id ELSE content END AS content FROM m_documents"
+
+
+def _later(spark, d):
+    docs = M.documents(spark, d)
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit("\nedited "), F.col("doc_id").cast("string"))).otherwise(F.col("content"))
+    path = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("new/"), "path")).otherwise(F.col("path"))
+    return docs.withColumns({"content": text, "path": path}).withColumn("content_hash", F.sha2("content", 256))
+
+
+@register("j1_classify_changes", f"WITH n AS ({_LATER}) SELECT doc_id, CASE WHEN (workspace, sha256(content)) IN (SELECT workspace, content_hash FROM m_documents) THEN 'unchanged' WHEN (workspace, path) IN (SELECT workspace, path FROM m_documents) THEN 'changed' ELSE 'new' END AS change FROM n")
+def j1(spark, d):
+    return I.classify_changes(M.documents(spark, d), _later(spark, d)).select("doc_id", "change")
+
+
+@register("j2_diff_lines")
+def j2(spark, d):
+    old = M.documents(spark, d).select("doc_id", F.col("content").alias("old"))
+    pairs = old.join(_later(spark, d).select("doc_id", F.col("content").alias("new")), "doc_id")
+    return I.diff_lines(pairs).select("doc_id", "added", "removed")
+
+
+@register("j2_changed_line_counts", f"WITH p AS (SELECT o.doc_id, list_distinct(string_split(o.content, chr(10))) AS a, list_distinct(string_split(n.content, chr(10))) AS b FROM m_documents o JOIN ({_LATER}) n USING (doc_id)) SELECT doc_id, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS removed FROM p")
+def j2_counts(spark, d):
+    old = M.documents(spark, d).select("doc_id", F.col("content").alias("old"))
+    pairs = old.join(_later(spark, d).select("doc_id", F.col("content").alias("new")), "doc_id")
+    return I.changed_line_counts(pairs).select("doc_id", "added", "removed")
+
+
+@register("j3_new_items", "WITH b AS (SELECT * FROM m_items UNION ALL SELECT * REPLACE (item_id + 1000000000 AS item_id) FROM m_items), seen AS (SELECT * FROM m_items WHERE item_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY workspace, external_id, content_hash ORDER BY item_id) AS r FROM b WHERE external_id IS NOT NULL) SELECT item_id FROM r WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.workspace = r.workspace AND s.external_id = r.external_id AND s.content_hash = r.content_hash) UNION ALL SELECT item_id FROM b WHERE external_id IS NULL")
+def j3(spark, d):
+    items = M.items(spark, d)
+    batch = items.unionByName(items.withColumn("item_id", F.col("item_id") + 1000000000))
+    return I.new_items(batch, items.where("item_id % 2 = 0"), ["item_id"]).select("item_id")
+
+
+@register("j4_changed_files", f"SELECT path, sha256(content) AS content_hash FROM ({_LATER}) n WHERE (path, sha256(content)) NOT IN (SELECT path, content_hash FROM m_documents)")
+def j4(spark, d):
+    return I.changed_files(_later(spark, d).select("path", "content_hash"), M.documents(spark, d))
+
+
+@register("j8_quote_search", "WITH q AS (SELECT item_id AS quote_id, array_to_string(string_split(text, ' ')[2:14], ' ') AS quote FROM benchmark) SELECT quote_id, doc_id, instr(content, quote) - 1 AS \"offset\" FROM q JOIN m_documents ON contains(content, quote)")
+def j8(spark, d):
+    quotes = M.given(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.array_join(F.slice(F.split("text", " "), 2, 13), " ").alias("quote"))
+    return C.quote_search(quotes, M.documents(spark, d))
+
+
+@register("j9_follow", _STATUS + " SELECT page_path, footnote_id, page_hint, left(p.content, 8000) AS text FROM r LEFT JOIN paths p ON r.workspace = p.workspace AND r.source_path = p.path")
+def j9(spark, d):
+    return C.follow(M.footnotes(spark, d), M.documents(spark, d)).select("page_path", "footnote_id", "page_hint", "text")
+
+
+@register("j10_orphaned_beliefs", "SELECT belief_id FROM m_beliefs b WHERE superseded_at IS NULL AND NOT EXISTS (SELECT 1 FROM m_documents p WHERE doc_id % 3 > 0 AND p.workspace = b.workspace AND p.path = b.path)")
+def j10(spark, d):
+    return C.orphaned_beliefs(M.beliefs(spark, d), M.documents(spark, d).where("doc_id % 3 > 0")).select("belief_id")
+
+
+@register("j11_missing_sources", _STATUS + " SELECT page_path, footnote_id, source_file FROM r WHERE source_path IS NULL")
+def j11(spark, d):
+    return C.missing_sources(M.footnotes(spark, d), M.documents(spark, d)).select("page_path", "footnote_id", "source_file")
+
+
+@register("j12_belief_neighbors", "WITH h AS (SELECT belief_id FROM m_beliefs WHERE topic = 'src1') SELECT belief_id, 'successor' AS relation, superseded_by AS other_id FROM m_beliefs WHERE superseded_by IS NOT NULL AND belief_id IN (SELECT * FROM h) UNION ALL SELECT superseded_by, 'predecessor', belief_id FROM m_beliefs WHERE superseded_by IN (SELECT * FROM h)")
+def j12(spark, d):
+    rows = M.beliefs(spark, d)
+    return B.neighbors(rows.where("topic = 'src1'"), rows)
+
+
+@register("j13_supersession_chains", "WITH b AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY workspace, subject, predicate ORDER BY asserted_at, belief_id) AS r, last_value(belief_id) OVER (PARTITION BY workspace, subject, predicate ORDER BY asserted_at, belief_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM m_beliefs WINDOW w AS (PARTITION BY workspace, subject, predicate)) SELECT belief_id, CASE WHEN subject IS NULL THEN belief_id ELSE last_id END AS last_id, CASE WHEN subject IS NULL THEN 0 ELSE n - r END AS steps FROM b")
+def j13(spark, d):
+    return B.supersession_chains(M.beliefs(spark, d))
+
+
+@register("j14_beliefs_as_of", "SELECT belief_id FROM m_beliefs WHERE asserted_at < TIMESTAMP '2024-01-15' AND (superseded_at IS NULL OR superseded_at >= TIMESTAMP '2024-01-15')")
+def j14(spark, d):
+    return B.as_of(M.beliefs(spark, d), F.lit("2024-01-15").cast("timestamp")).select("belief_id")
+
+
+@register("j14_beliefs_as_of_points", "WITH p AS (SELECT i AS point_id, TIMESTAMP '2024-01-01' + to_days(i::INT) AS at FROM range(0, 31) t(i)), w AS (SELECT DISTINCT workspace FROM m_beliefs) SELECT point_id, w.workspace, count(b.belief_id) AS n FROM p CROSS JOIN w LEFT JOIN m_beliefs b ON b.workspace = w.workspace AND b.asserted_at < p.at AND (b.superseded_at IS NULL OR b.superseded_at >= p.at) AND (b.superseded_at IS NULL OR b.superseded_at > b.asserted_at) GROUP BY ALL")
+def j14_points(spark, d):
+    points = spark.range(31).select(F.col("id").alias("point_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * M.DAY).alias("at"))
+    return B.as_of_points(M.beliefs(spark, d), points).withColumn("n", F.col("n").cast("long"))
+
+
+_INCOMING = "SELECT workspace, path, CASE WHEN length(statement) % 3 = 0 THEN statement || ' again' ELSE statement END AS statement, subject, predicate, object FROM m_beliefs WHERE topic IN ('src1', 'src2', 'src3')"
+
+
+@register("j15_merge_beliefs", f"WITH i AS (SELECT DISTINCT * FROM ({_INCOMING})), o AS (SELECT workspace, path, statement, subject, predicate, object, min(belief_id) AS belief_id FROM m_beliefs WHERE superseded_at IS NULL AND (workspace, path) IN (SELECT workspace, path FROM i) GROUP BY ALL) SELECT coalesce(o.workspace, i.workspace) AS workspace, coalesce(o.path, i.path) AS path, coalesce(o.statement, i.statement) AS statement, belief_id, CASE WHEN i.path IS NULL THEN 'supersede' WHEN belief_id IS NULL THEN 'insert' ELSE 'keep' END AS action FROM o FULL JOIN i ON o.workspace = i.workspace AND o.path = i.path AND o.statement = i.statement AND o.subject IS NOT DISTINCT FROM i.subject AND o.predicate IS NOT DISTINCT FROM i.predicate AND o.object IS NOT DISTINCT FROM i.object")
+def j15(spark, d):
+    rows = M.beliefs(spark, d)
+    incoming = rows.where(F.col("topic").isin("src1", "src2", "src3")).withColumn("statement", F.when(F.length("statement") % 3 == 0, F.concat("statement", F.lit(" again"))).otherwise(F.col("statement")))
+    return B.merge_beliefs(rows.where("superseded_at IS NULL"), incoming)
+
+
+_TITLED = "SELECT * REPLACE (left(regexp_extract(title, '^[^ ]+ [^ ]+'), 40) AS title) FROM m_documents"
+
+
+@register("j16_cross_refs", rf"""WITH p AS ({_TITLED}), pairs AS (SELECT a.workspace, a.path AS from_path, b.path AS to_path, b.title, a.content FROM p a JOIN p b ON a.workspace = b.workspace AND a.path <> b.path AND length(b.title) >= 4 AND contains(lower(a.content), lower(b.title)) WHERE (a.doc_id % 2 = 0 OR b.doc_id % 2 = 0) AND NOT contains(a.content, b.path) AND NOT (contains(a.content, '## See Also') AND contains(a.content, string_split(b.path, '/')[-1])))
+  SELECT workspace, from_path, to_path, title FROM pairs WHERE regexp_matches(content, '(?i)(?:^|[^\p{{L}}\p{{N}}_])' || regexp_escape(title) || '(?:$|[^\p{{L}}\p{{N}}_])')""")
+def j16(spark, d):
+    pages = M.documents(spark, d).withColumn("title", F.substring(F.regexp_extract("title", "^[^ ]+ [^ ]+", 0), 1, 40))
+    return D.cross_refs(pages, pages.where("doc_id % 2 = 0"))
+
+
+_TW = f"list_distinct(list_filter(list_transform(regexp_extract_all(title, '[a-zA-Z]{{3,}}'), lambda x: lower(x)), lambda x: NOT list_contains({list(T.TITLE_STOP_WORDS)}, x)))"
+_CANDIDATES = f"""w AS (SELECT doc_id, workspace, path, layer, {_TW} AS w FROM m_documents), a AS (SELECT doc_id, workspace, path, len(w) AS n, unnest(w) AS word FROM w), b AS (SELECT workspace, path, len(w) AS n, unnest(w) AS word FROM w WHERE layer = 'wiki'),
+  t AS (SELECT a.doc_id, b.path, 0.6 + 0.4 * count(*) / least(a.n, b.n) AS score, 1 AS reason FROM a JOIN b USING (workspace, word) WHERE a.path <> b.path GROUP BY a.doc_id, b.path, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.3),
+  s AS (SELECT DISTINCT workspace, path, subject FROM m_beliefs WHERE superseded_at IS NULL AND subject IS NOT NULL),
+  u AS (SELECT DISTINCT d.doc_id, y.path, 0.5 AS score, 2 AS reason FROM m_documents d JOIN s x ON x.workspace = d.workspace AND x.path = d.path JOIN s y ON y.workspace = x.workspace AND y.subject = x.subject AND y.path <> x.path JOIN m_documents p ON p.workspace = y.workspace AND p.path = y.path AND p.layer = 'wiki'),
+  c AS (SELECT * FROM t UNION ALL SELECT * FROM u WHERE (doc_id, path) NOT IN (SELECT doc_id, path FROM t)),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, path) AS rank FROM c) WHERE rank <= 5)"""
+
+
+def _candidates(spark, d):
+    docs = M.documents(spark, d)
+    return docs, D.candidate_pages(docs, docs, M.beliefs(spark, d))
+
+
+@register("j17_candidate_pages", f"WITH {_CANDIDATES} SELECT doc_id, path, round(score, 6) AS score, reason, rank FROM k")
+def j17(spark, d):
+    return _candidates(spark, d)[1].withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+
+@register("t8_plan_cascade", f"WITH {_CANDIDATES}, g AS (SELECT doc_id, list(path ORDER BY rank) AS p, max(score) AS best FROM k WHERE score >= 0.4 GROUP BY 1) SELECT doc_id, CASE WHEN best >= 0.85 THEN 'merge' ELSE 'new_page' END AS action, CASE WHEN best >= 0.85 THEN p[1] END AS target, coalesce(array_to_string(CASE WHEN best >= 0.85 THEN p[2:6] ELSE p[1:5] END, ','), '') AS cross_refs FROM m_documents LEFT JOIN g USING (doc_id)")
+def t8(spark, d):
+    docs, found = _candidates(spark, d)
+    return D.plan_cascade(docs, found)
+
+
+@register("j18_auto_ingest_queue", "SELECT item_id, epoch(published_at)::BIGINT AS published_at FROM m_items WHERE status = 'pending' AND source_id IN ('s1', 's3', 's5', 's7', 's9')")
+def j18(spark, d):
+    config = M.items(spark, d).select("source_id").distinct().withColumn("config", F.concat(F.lit('{"auto_ingest": '), F.when(F.substring("source_id", 2, 9).cast("int") % 2 == 1, "true").otherwise("false"), F.lit("}")))
+    return seconds(I.auto_ingest_queue(M.items(spark, d), config), "published_at").select("item_id", "published_at")
+
+
+_SINCE = 904608000  # 1998-09-01
+
+
+@register("j19_source_sync_summary", f"SELECT s.source_id, name, count(r.source_id) AS runs, coalesce(sum(items), 0)::BIGINT AS items, coalesce(sum(errors), 0)::BIGINT AS errors FROM m_sources s LEFT JOIN m_source_runs r ON s.source_id = r.source_id AND started_s >= {_SINCE} GROUP BY ALL")
+def j19(spark, d):
+    return E.source_sync_summary(M.sources(spark, d), M.source_runs(spark, d), _SINCE)
+
+
+@register("j20_recent_errors", f"SELECT source_run_id, name, started_s, errors FROM m_source_runs JOIN m_sources USING (source_id) WHERE started_s >= {_SINCE} AND errors > 0 ORDER BY started_s DESC, source_run_id LIMIT 10")
+def j20(spark, d):
+    return E.recent_errors(M.sources(spark, d), M.source_runs(spark, d), _SINCE)
+
+
+@register("j20_slowest_runs", "SELECT source_run_id, name, ended_s - started_s AS seconds FROM m_source_runs JOIN m_sources USING (source_id) ORDER BY seconds DESC, source_run_id LIMIT 10")
+def j20_slowest(spark, d):
+    return E.slowest_runs(M.sources(spark, d), M.source_runs(spark, d), 0)
+
+
+@register("j21_journal", f"SELECT w.workspace, w.path, w.title, strftime(w.updated_at, '%Y-%m') AS month, raw_path, coalesce(beliefs, 0) AS beliefs FROM m_documents w LEFT JOIN (SELECT workspace, title, min(path) AS raw_path FROM m_documents WHERE layer = 'raw' GROUP BY ALL) r ON w.workspace = r.workspace AND w.title = r.title LEFT JOIN ({_SUPPORT}) s ON s.workspace = w.workspace AND s.path = w.path WHERE layer = 'wiki'")
+def j21(spark, d):
+    return G.journal(M.documents(spark, d), M.beliefs(spark, d))
+
+
+@register("j22_rewrite_links", "SELECT workspace, path, content || chr(10) || '[it](' || CASE WHEN doc_id % 3 = 0 THEN 'topic/' || path ELSE path END || ') and [other](raw/none/' || doc_id || '.md) end' AS content FROM m_documents")
+def j22(spark, d):
+    docs = M.documents(spark, d)
+    linked = docs.withColumn("content", F.concat("content", F.lit("\n[it]("), "path", F.lit(") and [other](raw/none/"), F.col("doc_id").cast("string"), F.lit(".md) end")))
+    slugs = docs.where("doc_id % 3 = 0").select("workspace", F.col("path").alias("old"), F.concat(F.lit("topic/"), "path").alias("new"))
+    return G.rewrite_links(linked, slugs)
+
+
+@register("j23_requeue_captures", "WITH c AS (SELECT session_id, sha256(string_agg('**' || role || '**: ' || content, chr(10) || chr(10) ORDER BY seq, role, content)) AS h FROM m_messages GROUP BY 1) SELECT session_id, CASE WHEN session_id % 3 = 0 OR session_id % 4 = 0 OR session_id % 5 = 0 THEN 'queue' ELSE 'skip' END AS action FROM c")
+def j23(spark, d):
+    now = Q.capture_sessions(M.messages(spark, d))
+    queue = now.where("session_id % 3 > 0").select("session_id", F.when(F.col("session_id") % 4 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.col("session_id") % 5 == 0, "failed").otherwise("done").alias("status"))
+    return I.requeue_captures(queue, now)
+
+
+@register("j24_footnote_coverage", "WITH c AS (SELECT DISTINCT workspace, path, unnest(footnote_ids) AS footnote_id FROM m_beliefs), f AS (SELECT DISTINCT workspace, page_path AS path, footnote_id FROM m_footnotes) SELECT *, 'no belief' AS gap FROM (SELECT * FROM f EXCEPT SELECT * FROM c) UNION ALL SELECT *, 'no footnote' AS gap FROM (SELECT * FROM c EXCEPT SELECT * FROM f)")
+def j24(spark, d):
+    return B.footnote_coverage(M.beliefs(spark, d), M.footnotes(spark, d))
+
+
+@register("j25_apply_supersessions", f"WITH p AS (SELECT belief_id, 'revised ' || belief_id AS statement FROM m_beliefs WHERE topic = 'src4' AND superseded_at IS NULL) SELECT b.belief_id, b.statement, CASE WHEN p.belief_id IS NOT NULL THEN epoch({M.NOW_SQL}) ELSE epoch(superseded_at) END::BIGINT AS superseded_at, CASE WHEN p.belief_id IS NOT NULL THEN b.belief_id || '-r' ELSE superseded_by END AS superseded_by FROM m_beliefs b LEFT JOIN p USING (belief_id) UNION ALL SELECT belief_id || '-r', statement, NULL, NULL FROM p")
+def j25(spark, d):
+    rows = M.beliefs(spark, d)
+    pairs = rows.where("topic = 'src4' AND superseded_at IS NULL").select("belief_id", F.concat(F.lit("revised "), "belief_id").alias("statement"), F.lit("better").alias("reason"))
+    return seconds(B.apply_supersessions(rows, pairs, M.now())[0], "superseded_at").select("belief_id", "statement", "superseded_at", "superseded_by")
+
+
+@register("j26_supersede_documents", f"SELECT belief_id, CASE WHEN topic = 'src5' AND superseded_at IS NULL THEN epoch({M.NOW_SQL}) ELSE epoch(superseded_at) END::BIGINT AS superseded_at, CASE WHEN topic = 'src5' AND superseded_at IS NULL THEN 'gone' END AS reason FROM m_beliefs")
+def j26(spark, d):
+    rows = M.beliefs(spark, d)
+    return seconds(B.supersede_documents(rows, M.documents(spark, d).where("topic = 'src5'"), M.now(), "gone"), "superseded_at").select("belief_id", "superseded_at", "reason")
+
+
+@register("j27_new_notes", r"SELECT doc_id FROM m_documents n WHERE (workspace, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g'))) NOT IN (SELECT workspace, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g')) FROM m_documents WHERE doc_id % 2 = 0)")
+def j27(spark, d):
+    docs = M.documents(spark, d)
+    known = docs.where("doc_id % 2 = 0").select("workspace", F.concat(F.lit('{"body_hash": "'), T.quote_hash(F.col("content")), F.lit('"}')).alias("metadata"))
+    return I.new_notes(docs.select("doc_id", "workspace", F.concat(F.lit("\n "), "content").alias("body")), known).select("doc_id")
+
+
+# Sets --------------------------------------------------------------------------------------------------------------
+
+_DIGEST = f"""WITH e AS (SELECT workspace, 'event' AS kind, row_number() OVER (PARTITION BY workspace ORDER BY occurred_at DESC, event_id) AS rank, floor(epoch(occurred_at))::BIGINT AS at_s, title FROM m_events WHERE epoch(occurred_at) >= epoch({M.NOW_SQL}) - 604800 AND occurred_at <= {M.NOW_SQL}),
+  b AS (SELECT workspace, 'belief' AS kind, row_number() OVER (PARTITION BY workspace ORDER BY asserted_at DESC, belief_id) AS rank, epoch(asserted_at)::BIGINT AS at_s, statement AS title FROM m_beliefs WHERE superseded_at IS NULL AND asserted_at >= {M.NOW_SQL} - INTERVAL 7 DAY AND asserted_at <= {M.NOW_SQL}),
+  i AS (SELECT workspace, 'item' AS kind, row_number() OVER (PARTITION BY workspace ORDER BY published_at DESC, item_id) AS rank, epoch(published_at)::BIGINT AS at_s, title FROM m_items WHERE published_at >= {M.NOW_SQL} - INTERVAL 7 DAY AND published_at <= {M.NOW_SQL}),
+  x AS (SELECT * FROM e WHERE rank <= 100 UNION ALL SELECT * FROM b WHERE rank <= 50 UNION ALL SELECT * FROM i WHERE rank <= 50)"""
+
+
+def _digest(spark, d):
+    return E.digest_items(M.events(spark, d), M.beliefs(spark, d), M.items(spark, d), M.now())
+
+
+@register("u1_digest_items", _DIGEST + " SELECT * FROM x")
+def u1(spark, d):
+    return _digest(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("u2_digest_text", _DIGEST + " SELECT workspace, kind, string_agg('- ' || strftime(make_timestamp(at_s * 1000000), '%Y-%m-%d') || ' ' || title, chr(10) ORDER BY rank) AS text FROM x WHERE rank <= CASE kind WHEN 'event' THEN 20 ELSE 15 END GROUP BY ALL")
+def u2(spark, d):
+    return E.digest_text(_digest(spark, d))
+
+
+@register("u3_graph_nodes", "SELECT belief_id AS id, 'belief' AS kind, left(statement, 80) AS label FROM m_beliefs WHERE superseded_at IS NULL UNION ALL SELECT DISTINCT 'topic:' || topic, 'topic', topic FROM m_beliefs WHERE superseded_at IS NULL")
+def u3(spark, d):
+    return B.graph(M.beliefs(spark, d))[0]
+
+
+@register("u3_graph_edges", "SELECT belief_id AS src, 'topic:' || topic AS dst, 'in_topic' AS kind FROM m_beliefs UNION ALL SELECT superseded_by, belief_id, 'supersedes' FROM m_beliefs WHERE superseded_by IS NOT NULL")
+def u3_edges(spark, d):
+    return B.graph(M.beliefs(spark, d), include_superseded=True)[1]
+
+
+@register("u4_lint", _STATUS + rf""" SELECT workspace, path, 'warning' AS severity, 'nearly empty' AS issue FROM m_pages WHERE length(content) < 400 UNION ALL SELECT workspace, path, 'info', 'no citations' FROM m_pages WHERE (workspace, path) NOT IN (SELECT workspace, page_path FROM m_footnotes)
+  UNION ALL SELECT workspace, page_path, 'error', 'missing source' FROM findings WHERE status = 'source_missing' UNION ALL SELECT workspace, page_path, 'error', 'drifted quote' FROM findings WHERE status IN ('quote_not_found', 'hash_mismatch')
+  UNION ALL SELECT b.workspace, b.path, 'warning', 'orphan belief' FROM m_beliefs b WHERE superseded_at IS NULL AND (workspace, path) NOT IN (SELECT workspace, path FROM m_pages)""")
+def u4(spark, d):
+    return C.lint(M.pages(spark, d), _findings(spark, d), M.beliefs(spark, d), least=400)
+
+
+@register("u6_snapshot_diff", f"WITH o AS (SELECT path, content_hash AS h FROM m_documents), n AS (SELECT path, sha256(content) AS h FROM ({_LATER})) SELECT *, 'added' AS side FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT *, 'kept' FROM (SELECT * FROM o INTERSECT SELECT * FROM n)")
+def u6(spark, d):
+    pick = lambda df: df.select("path", F.col("content_hash").alias("h"))
+    return I.snapshot_diff(pick(M.documents(spark, d)), pick(_later(spark, d)))
+
+
+# Sources, sinks, extraction ----------------------------------------------------------------------------------------
+
+
+@register("s2_docs_scope", "SELECT url FROM (SELECT regexp_replace(url, '^https?://[^/]*/', '') AS path, url FROM pages) WHERE string_split(lower(path), '/')[1] IN ('docs', 'doc', 'documentation') AND contains(path, '/') OR NOT contains(path, '/') AND (lower(path) LIKE 'readme%' OR lower(path) LIKE 'changelog%' OR lower(path) LIKE 'contributing%' OR regexp_matches(lower(path), '[^/]\\.(md|rst|txt)$'))")
+def s2(spark, d):
+    files = M.given(spark, d, "pages").select("url", F.regexp_replace("url", "^https?://[^/]*/", "").alias("path"))
+    return I.docs_scope(files).select("url")
+
+
+@register("s3_read_tables", "SELECT event_id, event_type, value FROM events")
+def s3(spark, d):
+    return spark.read.schema("event_id long, event_type string, value double").parquet(f"{d}/events.parquet")
+
+
+@register("s12_upsert_documents", f"WITH n AS (SELECT doc_id, workspace, path, sha256(content) AS content_hash, TIMESTAMP '2024-01-20' AS updated_at, 1 AS o FROM ({_LATER})), x AS (SELECT doc_id, workspace, path, content_hash, updated_at, 0 AS o FROM m_documents UNION ALL SELECT * FROM n) SELECT path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY workspace, path ORDER BY updated_at DESC, o DESC) AS r FROM x) WHERE r = 1")
+def s12(spark, d):
+    later = _later(spark, d).withColumn("updated_at", F.lit("2024-01-20").cast("timestamp"))
+    return I.upsert_documents(M.documents(spark, d), later).select("path", "content_hash")
+
+
+@register("s14_maps_of_content", "SELECT workspace, topic, '# ' || topic || chr(10) || chr(10) || string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY title, path) AS content FROM m_documents WHERE layer = 'wiki' GROUP BY ALL")
+def s14(spark, d):
+    return G.maps_of_content(M.documents(spark, d))
+
+
+@register("s14_export_pages", "SELECT workspace, topic, path, '---' || chr(10) || 'title: ' || title || chr(10) || 'aliases: []' || chr(10) || 'tags: [' || topic || ']' || chr(10) || '---' || chr(10) || chr(10) || content AS content FROM m_documents WHERE layer = 'wiki'")
+def s14_pages(spark, d):
+    return G.export_pages(M.documents(spark, d))
+
+
+@register("s15_url_sources", r"SELECT 'raw/web/' || page_id || '.md' AS path, regexp_extract('Source: ' || url || chr(10) || html, '(https?://[^\s)>""]+)', 1) AS url, epoch(TIMESTAMP '2024-01-01' + to_seconds(page_id)) ::BIGINT AS updated_at FROM pages WHERE page_id % 2 = 0".replace('""', '"'))
+def s15(spark, d):
+    p = M.given(spark, d, "pages")
+    docs = p.select(F.concat(F.when(F.col("page_id") % 2 == 0, "raw/web/").otherwise("raw/x/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("Source: "), "url", F.lit("\n"), "html").alias("content"), F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("updated_at"))
+    return seconds(I.url_sources(docs), "updated_at")
+
+
+@register("t7_rank_artifacts", r"""WITH u AS (SELECT DISTINCT regexp_replace(regexp_extract_all('see ' || url || ').', '(https?://[^\s<>"'')\]]+)')[1], '[.,;:!?)}\]''"]+$', '') AS url FROM pages UNION SELECT DISTINCT 'https://arxiv.org/abs/2401.' || (10000 + page_id) FROM pages UNION SELECT DISTINCT 'https://github.com/o' || page_id || '/repo' FROM pages),
+  h AS (SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS domain FROM u WHERE length(url) >= 20)
+  SELECT url, CASE WHEN domain = 'arxiv.org' THEN 'paper' WHEN domain = 'github.com' THEN 'repo' WHEN url LIKE '%.pdf' THEN 'pdf' ELSE 'page' END AS kind, CASE WHEN domain = 'arxiv.org' THEN 95 WHEN domain = 'github.com' THEN 83 ELSE 30 END AS priority, domain FROM h WHERE NOT contains(url, '/api/') AND NOT contains(url, '/docs/')""")
+def t7(spark, d):
+    n = F.col("page_id").cast("string")
+    text = F.concat(F.lit("see "), "url", F.lit("). and https://arxiv.org/pdf/2401."), (F.col("page_id") + 10000).cast("string"), F.lit("v2, https://github.com/o"), n, F.lit("/repo."))
+    return E.rank_artifacts(M.given(spark, d, "pages").select(text.alias("content")))
+
+
+_PLINES = r"""WITH l AS (SELECT workspace, topic, path, pos, line, regexp_matches(line, '^#{1,6}\s+\S') AS head FROM (SELECT workspace, topic, path, i - 1 AS pos, l[i] AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, string_split(content, chr(10)) AS l FROM m_pages)))),
+  s AS (SELECT *, last_value(CASE WHEN head THEN regexp_replace(regexp_extract(line, '^#{1,6}\s+(.+)$', 1), '^\s+|\s+$', '', 'g') END IGNORE NULLS) OVER (PARTITION BY workspace, path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l),
+  x AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(line, '\[\^(\d+)\]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS whole, list_sort(list_distinct(regexp_extract_all(line, '\[\^(\d+)\]', 1))) AS ids FROM s WHERE NOT head AND regexp_matches(line, '\[\^(\d+)\]') AND NOT starts_with(line, '[^')),
+  e AS (SELECT workspace, topic, path, pos, left(whole, 500) AS statement, whole, regexp_replace(regexp_replace(regexp_replace(lower(section), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '^-+|-+$', '', 'g') AS section, array_to_string(ids, ',') AS footnote_ids FROM x WHERE length(whole) >= 10)"""
+
+
+@register("x1_extract_beliefs", _PLINES + f", b AS (SELECT * REPLACE (whole AS statement) FROM e) SELECT path, pos, left(statement, 500) AS statement, section, footnote_ids, {M._spo_sql(1, 100)} AS subject, {M._spo_sql(2, 100)} AS predicate, {M._spo_sql(3, 200)} AS object FROM b")
+def x1(spark, d):
+    return B.extract_beliefs(M.pages(spark, d)).select("path", "pos", "statement", "section", F.array_join("footnote_ids", ",").alias("footnote_ids"), "subject", "predicate", "object")
+
+
+@register("x2_rebuild_beliefs", _PLINES + " SELECT workspace, path, statement FROM m_beliefs WHERE topic = 'src6' UNION ALL SELECT workspace, path, statement FROM e WHERE (workspace, path) NOT IN (SELECT workspace, path FROM m_beliefs WHERE topic = 'src6')")
+def x2(spark, d):
+    return B.rebuild_beliefs(M.pages(spark, d), M.beliefs(spark, d).where("topic = 'src6'")).select("workspace", "path", "statement")
+
+
+def _sources(spark, d):
+    """Source files made of the documents: a Python, Rust and Go declaration named after each."""
+    i = F.col("doc_id").cast("string")
+    py = F.concat(F.lit("import os\nclass A"), i, F.lit(":\n    def inner(self): pass\ndef f"), i, F.lit("(): pass\n"), F.when(F.col("doc_id") % 10 == 0, "def broken(:\n").otherwise(""))
+    rs = F.concat(F.lit("use std::fmt;\npub struct A"), i, F.lit(" {}\nfn f"), i, F.lit("() {}\n"))
+    return M.documents(spark, d).select(F.concat(F.lit("src/"), i, F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".rs")).alias("path"), F.when(F.col("doc_id") % 2 == 0, py).otherwise(rs).alias("content"))
+
+
+_STRUCT = "SELECT 'src/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'rust' END AS language, CASE WHEN doc_id % 10 > 0 THEN 'A' || doc_id END AS types, CASE WHEN doc_id % 10 > 0 THEN 'f' || doc_id END AS functions, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'os' ELSE 'std::fmt' END AS imports FROM m_documents"
+
+
+@register("x3_code_structure", _STRUCT)
+def x3(spark, d):
+    return E.code_structure(_sources(spark, d)).select("path", "language", *(F.array_join(c, ",").alias(c) for c in ("types", "functions", "imports")))
+
+
+@register("x4_code_beliefs", f"WITH s AS ({_STRUCT}) SELECT path, 'Defines type ' || types AS statement, types AS subject, 'is_a' AS predicate, 'type' AS object FROM s WHERE types IS NOT NULL UNION ALL SELECT path, 'Defines function ' || functions, functions, 'is_a', 'function' FROM s WHERE functions IS NOT NULL UNION ALL SELECT path, 'Module depends on ' || imports, 'Module', 'depends_on', imports FROM s WHERE imports IS NOT NULL")
+def x4(spark, d):
+    return E.code_beliefs(E.code_structure(_sources(spark, d)), "code").select("path", "statement", "subject", "predicate", "object")
+
+
+@register("x5_ingest_pages")
+def x5(spark, d):
+    return I.ingest_pages(M.pages(spark, d))
+
+
+@register("r9_sweep_stale", f"SELECT run_id, CASE WHEN status = 'pending' AND started_at < {M.NOW_SQL} - INTERVAL 1 DAY THEN 'abandoned' ELSE status END AS status FROM m_runs")
+def r9(spark, d):
+    from kbspark.streaming.jobs import sweep_stale
+
+    return sweep_stale(M.runs(spark, d), M.now(), 86400).select("run_id", "status")
+
+
+# Functions ---------------------------------------------------------------------------------------------------------
+
+
+@register("f1_tokenize", f"SELECT doc_id, len({_WORDS}) AS n, array_to_string({_WORDS}, ' ') AS words FROM m_documents")
+def f1(spark, d):
+    return S.bag(M.documents(spark, d)).select("doc_id", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("words"))
+
+
+@register("f2_query_terms", f"SELECT query_id, string_agg(term, ' ' ORDER BY term) AS terms FROM ({_QTERMS}) GROUP BY 1")
+def f2(spark, d):
+    return M.searches(spark, d).select("query_id", F.array_join(F.array_sort(T.query_terms(F.col("query"))), " ").alias("terms"))
+
+
+@register("f3_footnotes", "SELECT page_path, footnote_id, source_file, page_hint, quote FROM m_footnotes")
+def f3(spark, d):
+    return M.footnotes(spark, d).select("page_path", "footnote_id", "source_file", "page_hint", "quote")
+
+
+@register("f4_hashes", r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS quote_hash, sha256(text) AS content_hash FROM documents")
+def f4(spark, d):
+    return M.given(spark, d, "documents").select("doc_id", T.quote_hash(F.col("text")).alias("quote_hash"), T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@register("f6_title", r"""WITH h AS (SELECT path, i, regexp_replace(regexp_replace(x, '^#+', ''), '^\s+|\s+$', '', 'g') AS h FROM (SELECT path, i, regexp_replace(l[i], '^\s+|\s+$', '', 'g') AS x FROM (SELECT path, l, unnest(range(1, least(len(l), 50) + 1)) AS i FROM (SELECT path, string_split(regexp_replace(content, '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM m_pages))) WHERE starts_with(x, '# ') AND length(x) > 3),
+  k AS (SELECT * FROM h WHERE h <> '' AND NOT starts_with(h, '-') AND NOT starts_with(h, '[')), b AS (SELECT path, arg_min(h, i) FILTER (starts_with(lower(h), 'title:')) AS named, arg_max(h, length(h) * 100 - i) AS longest FROM k GROUP BY 1)
+  SELECT path, coalesce(regexp_replace(substr(named, 7), '^\s+|\s+$', '', 'g'), longest) AS title FROM m_pages LEFT JOIN b USING (path)""")
+def f6(spark, d):
+    return M.pages(spark, d).select("path", T.title(F.col("content")).alias("title"))
+
+
+@register("f7_body")
+def f7(spark, d):
+    return M.pages(spark, d).select("path", I.body_of(F.col("content")).alias("body"))
+
+
+@register("f8_quote", r"""WITH l AS (SELECT path, i, regexp_replace(l[i], '^\s+|\s+$', '', 'g') AS x FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split(regexp_replace(content, '^\s+|\s+$', '', 'g'), chr(10)) AS l FROM m_pages))), f AS (SELECT path, arg_min(x, i) AS x FROM l WHERE length(x) > 30 AND x[1] NOT IN ('#', '>', '[') GROUP BY 1)
+  SELECT path, CASE WHEN length(x) <= 100 THEN x WHEN instr(substr(x, 61), '.') > 0 THEN left(x, 60 + instr(substr(x, 61), '.')) ELSE left(x, 100) END AS quote FROM m_pages LEFT JOIN f USING (path)""")
+def f8(spark, d):
+    return M.pages(spark, d).select("path", T.representative_quote(F.col("content")).alias("quote"))
+
+
+@register("f9_preview")
+def f9(spark, d):
+    return M.pages(spark, d).select("path", G.preview(F.col("content")).alias("preview"))
+
+
+@register("f10_slugs", r"SELECT doc_id, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64), '-+$', ''), ''), 'untitled') AS slug, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown') AS word_slug FROM m_documents")
+def f10(spark, d):
+    t = F.col("title")
+    return M.documents(spark, d).select("doc_id", T.slug(t).alias("slug"), T.word_slug(t).alias("word_slug"))
+
+
+@register("f11_html_title", "SELECT item_id, title FROM m_items")
+def f11(spark, d):
+    return M.items(spark, d).select("item_id", "title")
+
+
+@register("f12_html_main_text")
+def f12(spark, d):
+    from kbspark.functions.html import main_markdown
+
+    return M.given(spark, d, "pages").select("page_id", main_markdown(F.col("html")).alias("markdown"))
+
+
+@register("f13_strip_chrome", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<img[^>]+(?:width|height)\s*=\s*[""'']?1[""'']?[^>]*>', '', 'g'), '(?is)<[^>]*(?:unsubscribe|manage.preferences|opt.out)[^>]*>.*?</[^>]+>', '', 'g'), '(?is)<[^>]*(?:view.in.browser|view.online|read.online)[^>]*>.*?</[^>]+>', '', 'g') || 'click' AS html FROM (SELECT page_id, html || CASE WHEN page_id % 2 = 0 THEN '<a href="unsubscribe">x</a>' ELSE '<img width="1">' END AS html FROM pages)""".replace('""', '"'))
+def f13(spark, d):
+    html = F.concat("html", F.when(F.col("page_id") % 2 == 0, '<a href="unsubscribe">x</a>').otherwise('<img width="1">'), F.lit("[click](javascript:go)"))
+    return M.given(spark, d, "pages").select("page_id", T.strip_dangerous_links(T.strip_email_chrome(html)).alias("html"))
+
+
+def _redact_sql(column: str) -> str:
+    for p, keep in (*T.SECRET_PATTERNS, (r'(token = ")[0-9a-f]{40}', True)):
+        quoted = p.replace("'", "''")
+        column = f"regexp_replace({column}, '{quoted}', '{chr(92) + '1' if keep else ''}{T.REDACTED}', 'g')"
+    return column
+
+
+@register("f14_redact", f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents")
+def f14(spark, d):
+    return M.given(spark, d, "documents").select("doc_id", T.redact(F.col("text"), ((r'(token = ")[0-9a-f]{40}', True),)).alias("text"))
+
+
+@register("f15_source_kind", "SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'conversation' WHEN doc_id % 6 = 1 THEN 'paper' WHEN doc_id % 6 = 2 THEN 'code' WHEN doc_id % 6 = 3 THEN 'paper' WHEN doc_id % 6 = 4 THEN 'web' ELSE 'manual' END AS kind, doc_id % 6 = 0 AS ai FROM documents")
+def f15(spark, d):
+    names = ["raw/conversations/x.md", "raw/web/arxiv.org-1.md", "src/Main.PY", "x.pdf", "raw/web/page.html", "notes/a.txt"]
+    path = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return M.given(spark, d, "documents").select("doc_id", T.source_kind(path).alias("kind"), T.ai_authored(path).alias("ai"))
+
+
+@register("f16_topics", "SELECT path, string_split(path, '/')[2] AS topic, 'repo' || CASE WHEN string_split(path, '/')[1] IN ('src') THEN '' ELSE '/' || string_split(path, '/')[1] END AS repo_topic FROM m_documents")
+def f16(spark, d):
+    p = F.col("path")
+    return M.documents(spark, d).select("path", T.topic_of_file(p).alias("topic"), T.topic_in_repository(p, F.lit("repo-1a2b")).alias("repo_topic"))
+
+
+@register("f17_spo", "SELECT belief_id, subject, predicate, object FROM m_beliefs")
+def f17(spark, d):
+    return M.beliefs(spark, d).select("belief_id", "subject", "predicate", "object")
+
+
+@register("f18_scores", f"SELECT doc_id, round(exp(-(epoch({M.NOW_SQL}) - epoch(updated_at)) / 3600 * ln(2) / 168), 6) AS recency, round(least(1, ln(1 + doc_id % 9) / ln(6)), 6) AS support FROM m_documents")
+def f18(spark, d):
+    return M.documents(spark, d).select("doc_id", F.round(T.recency(F.col("updated_at"), M.now()), 6).alias("recency"), F.round(T.belief_score(F.col("doc_id") % 9), 6).alias("support"))
+
+
+@register("f20_title_overlap", f"WITH w AS (SELECT doc_id, {_TW} AS w, {_TW.replace('title', 'left(content, 200)')} AS v FROM m_documents) SELECT doc_id, round(CASE WHEN least(len(w), len(v)) > 0 THEN len(list_intersect(w, v)) / least(len(w), len(v)) ELSE 0 END, 6) AS overlap FROM w")
+def f20(spark, d):
+    return M.documents(spark, d).select("doc_id", F.round(T.title_overlap(F.col("title"), F.substring("content", 1, 200)), 6).alias("overlap"))
+
+
+@register("f22_urls", r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'v' || page_id WHEN page_id % 3 = 1 THEN 'w' || page_id END AS video, coalesce(nullif(left(regexp_replace(lower(replace(host, 'www.', '') || '-' || replace(regexp_replace(path, '^/+|/+$', '', 'g'), '/', '-')), '[^a-z0-9-]', '', 'g'), 80), ''), 'page') AS slug FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)""")
+def f22(spark, d):
+    n = F.col("page_id").cast("string")
+    video = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?a=1&v=v"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://youtu.be/w"), n, F.lit("/x"))).otherwise(F.col("url"))
+    return M.given(spark, d, "pages").select("page_id", T.youtube_id(video).alias("video"), T.url_slug(F.col("url")).alias("slug"))
+
+
+@register("f24_event_markdown", "SELECT event_id, '# ' || title || chr(10) || '- author: ' || author || chr(10) || '- date: ' || strftime(occurred_at, '%Y-%m-%d %H:%M:%S') || chr(10) || chr(10) || event_type AS text FROM m_events")
+def f24(spark, d):
+    e = M.events(spark, d)
+    return e.select("event_id", T.event_markdown(F.col("title"), F.col("author"), F.lit(""), F.col("occurred_at"), F.col("event_type")).alias("text"))
+
+
+@register("f25_render")
+def f25(spark, d):
+    c = F.col("content")
+    merged = G.render_merge(c, F.lit("Details"), F.lit("An addition."))
+    hedged = G.render_hedge(c, F.concat(F.lit("Claim "), F.col("doc_id").cast("string")), F.lit("not so"), F.lit("2024-01-02"), F.col("path"))
+    return M.pages(spark, d).select("path", merged.alias("merged"), hedged.alias("hedged"), G.render_cross_ref(c, F.col("title"), F.col("path")).alias("linked"), G.render_new_page(F.col("title"), c, F.array("path")).alias("made"))
+
+
+@register("f26_pdf_text", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || chr(10) || chr(10) || chr(10) || 'a hy- ' || chr(10) || ' phen', '\n{3,}', chr(10) || chr(10), 'g'), '([a-zA-Z0-9_])-\s*\n\s*([a-zA-Z0-9_])', '\1\2', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents")
+def f26(spark, d):
+    return M.given(spark, d, "documents").select("doc_id", T.clean_pdf_text(F.concat("text", F.lit("\n\n\na hy- \n phen"))).alias("text"))
+
+
+@register("f27_progress", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN round(100.0 * (o_orderkey % 5) / (o_orderkey % 7), 1) ELSE 0.0 END::DOUBLE AS pct FROM orders")
+def f27(spark, d):
+    k = F.col("o_orderkey")
+    return M.given(spark, d, "orders").select("o_orderkey", T.progress_pct(k % 5, k % 7).alias("pct"))
+
+
+@register("f28_references", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(['#' || doc_id, '#7'], list_filter(regexp_extract_all(text, '\b([0-9a-f]{7,40})\b', 1), lambda h: regexp_matches(h, '[a-f]') AND regexp_matches(h, '[0-9]'))))), ' ') AS refs FROM documents WHERE NOT regexp_matches(text, '#[0-9]|PR')")
+def f28(spark, d):
+    docs = M.given(spark, d, "documents").where("NOT text RLIKE '#[0-9]|PR'")
+    return docs.select("doc_id", F.array_join(F.array_distinct(T.references(F.concat("text", F.lit(" see #"), F.col("doc_id").cast("string"), F.lit(" and PR 7")))), " ").alias("refs"))
+
+
+@register("f29_preflight", "SELECT o_orderkey, round(((c * 1000) * 5.0 + (c * 301) * 25.0) / 1e6 + (greatest(1, c // 2) * 1000 * 5.0 + greatest(1, c // 2) * 150 * 25.0) / 1e6, 6) AS usd FROM (SELECT o_orderkey, o_orderkey % 9 AS c FROM orders)")
+def f29(spark, d):
+    return M.given(spark, d, "orders").select("o_orderkey", F.round(T.preflight_usd(F.col("o_orderkey") % 9, F.lit(1000), F.lit(301)), 6).alias("usd"))
