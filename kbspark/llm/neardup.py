@@ -79,17 +79,15 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def sketched(text: Column, k: int, full: bool) -> Column:
-    """struct(n, set_digest, sketch: the k least hashes as signed longs, parity, and with `full` the whole set)."""
-    fields = "n long, digest binary, sketch array<long>, parity array<long>" + (", hashes array<long>" if full else "")
+def sketched(text: Column, k: int) -> Column:
+    """struct(n, digest of the set, sketch: the k least hashes as signed longs)."""
 
-    @F.pandas_udf(fields)
+    @F.pandas_udf("n long, digest binary, sketch array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
         for texts in batches:
             sets = [shingles(t) for t in texts]
-            out = {"n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:k].view(np.int64) for s in sets], "parity": [parity(s) for s in sets]}
-            yield pd.DataFrame(out | ({"hashes": [s.view(np.int64) for s in sets]} if full else {}))
+            yield pd.DataFrame({"n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:k].view(np.int64) for s in sets]})
 
     return sketch(text)
 
@@ -106,7 +104,7 @@ def _frequent(values: DataFrame) -> DataFrame:
 
 def sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n, digest, sketch of K1) of each row, written."""
-    made = docs.withColumn("s", sketched(F.col("text"), K1, full=False)).select("doc_id", "s.n", "s.digest", "s.sketch")
+    made = docs.withColumn("s", sketched(F.col("text"), K1)).select("doc_id", "s.n", "s.digest", "s.sketch")
     return written(made, "sketches")
 
 
@@ -169,10 +167,23 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, n, digest, sketch of K2, parity, hashes) of the surviving classes, from one text of each, written."""
-    stay = classes.join(survivors(classes), "id").select("id", F.col("least").alias("doc_id"), F.col("digest").alias("own"))
-    again = docs.join(stay, "doc_id").withColumn("s", sketched(F.col("text"), K2, full=True))
-    return written(again.where(F.col("s.digest") == F.col("own")).select("id", "s.*").dropDuplicates(["id"]), "sets")
+    """(id, n, sketch of K2, parity, hashes) of the surviving classes, from one text of each, written."""
+    stay = classes.join(survivors(classes), "id").select("id", F.col("least").alias("doc_id"), "digest")
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+
+    # An Arrow function, as Spark would compute a column's function for all documents, before the join.
+    def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        for batch in batches:
+            rows = []
+            for id, text, digest in zip(*(batch[c].to_pylist() for c in ("id", "text", "digest"))):
+                s = shingles(text)
+                if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # else another text of the same id
+                    rows.append((id, len(s), s[:K2].view(np.int64), parity(s), s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["id", "n", "sketch", "parity", "hashes"])
+
+    again = docs.join(stay, "doc_id").select("id", "text", "digest")
+    return written(again.mapInArrow(hash_all, "id long, n long, sketch array<long>, parity array<long>, hashes array<long>").dropDuplicates(["id"]), "sets")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
