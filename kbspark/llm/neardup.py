@@ -9,8 +9,8 @@ class at once. Inverted lists of the classes' retained values then give candidat
    set this loses nothing; where it isn't, the number asked for lies over six standard deviations below the mean.
 
 Two classes that meet pass a filter inside the join: their set sizes, and the parity bits of their whole sets, whose
-difference is at most that of the sets. First each list's classes are compared with the list's least class only; what
-links is united, and then only classes of different components are compared. Candidates are estimated by the sketch of
+difference is at most that of the sets. First each list's classes are compared with the list's hub only, in STARS rounds;
+what links is united, and then only classes of different components are compared. Candidates are estimated by the sketch of
 the union and confirmed on the full sets. Components come from linked classes.
 
 No pairs within a class or a component are made, no list is cut, and nothing but a few counts reaches the driver.
@@ -39,6 +39,8 @@ WORDS = 5
 NUM, DEN = 3, 4
 K1, SHARED1 = 48, 16
 K2, SHARED2 = 192, 105
+#: Rounds in which a list's classes are compared with its hub alone, before the rest are compared with one another.
+STARS = 2
 #: Longs of parity bits of a set.
 PARITY = 16
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -186,23 +188,40 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return written(again.mapInArrow(hash_all, "id long, n long, sketch array<long>, parity array<long>, hashes array<long>").dropDuplicates(["id"]), "sets")
 
 
+def starred(lists: DataFrame, full: DataFrame, turn: int) -> DataFrame:
+    """Confirmed links between each list's hub and its other classes, where their components differ; written.
+
+    The hub is drawn by the digest of value, id and turn, so that a class meets other hubs in other lists: a class that
+    links with a part of a group is almost sure to meet one of that part. Pairs are as many as list entries at most.
+    """
+    drawn = F.xxhash64("value", "id", F.lit(turn))
+    hub = lists.groupBy("value").agg(F.min(F.struct(drawn.alias("h"), "id", "n", "parity", "component")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("value", "hub.*")
+    other = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component"))
+    met = lists.alias("x").join(hub.alias("y"), other & _close("x", "y"))
+    return written(confirmed(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), full), "links")
+
+
+def mixed(lists: DataFrame, united: DataFrame) -> DataFrame:
+    """Lists with their classes' components, without those whose classes are all in one, which have nothing more to say."""
+    known = lists.drop("component").join(united, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_values = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
+    return written(known.join(open_values, "value", "left_semi"), "mixed")
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, component) of the classes that link with another class."""
     full = whole_sets(docs, classes)
-    lists = written(postings(full), "postings")
-    hub = lists.groupBy("value").agg(F.min(F.struct("id", "n", "parity")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("value", "hub.*")
-    stars = lists.alias("x").join(hub.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.id") != F.col("y.id")) & _close("x", "y"))
-    first = written(confirmed(stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), full), "links")
-    united = components(first)
-    known = lists.join(united, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # Lists whose classes are all in one component by now have nothing more to say.
-    mixed = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    left = written(known.join(mixed, "value", "left_semi"), "mixed")
-    a, b = left.where("near").alias("a"), left.alias("b")
+    lists = written(postings(full).withColumn("component", F.col("id")), "postings")
+    links = None
+    for turn in range(STARS):
+        found = starred(lists, full, turn)
+        links = found if links is None else links.unionAll(found)
+        lists = mixed(lists, components(links))
+    a, b = lists.where("near").alias("a"), lists.alias("b")
     smaller = F.struct("a.n", "a.id") < F.struct("b.n", "b.id")
     met = a.join(b, (F.col("a.value") == F.col("b.value")) & smaller & (F.col("a.component") != F.col("b.component")) & _close("a", "b"))
     rest = confirmed(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), full)
-    return components(first.unionAll(rest))
+    return components(links.unionAll(rest))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
