@@ -46,6 +46,11 @@ PAYWALLS = ("this post is for paid subscribers", "subscribe to read", "become a
 FOOTNOTE = r"""^\[\^(\d+)\]:\s*([^\s,—]+)(?:,\s*p\.?\s*(\d+))?(?:\s*(?:—|--)\s*"([^"]+)")?\s*$"""
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, also where the body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (trim() takes spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -109,17 +109,16 @@ def docs_scope(files: DataFrame) -> DataFrame:
 
 def body_of(content: Column) -> Column:
     """The text after a title and its metadata lines, without footnote definitions, clipped at 3000 characters."""
-    rows = F.split(T.strip(content), "\n")
+    stripped = lambda x: F.transform(x, lambda r, i: F.struct(i.alias("i"), T.strip(r).alias("s")))
+    meta = lambda s: s.startswith("- ") | s.isin("", "---") | s.startswith("# ")
 
     def after(x: Column) -> Column:
-        plain = F.transform(x, lambda r, i: F.struct(i.alias("i"), T.strip(r).alias("s")))
-        title = F.coalesce(F.array_max(F.transform(F.filter(plain, lambda r: r["s"].startswith("# ") & (r["i"] == 0)), lambda r: r["i"])), F.lit(-1))
-        meta = lambda s: s.startswith("- ") | s.isin("", "---") | s.startswith("# ")
-        start = F.coalesce(F.array_min(F.transform(F.filter(plain, lambda r: (r["i"] > title) & ~((title >= 0) & meta(r["s"])) & (r["s"] != "")), lambda r: r["i"])), F.size(x))
-        kept = F.filter(F.slice(x, start + 1, F.greatest(F.size(x) - start, F.lit(0))), lambda r: ~r.startswith("[^"))
-        return T.strip(F.array_join(kept, "\n"))
-
-    body = F.element_at(F.transform(F.array(rows), after), 1)
+        titled = T.strip(F.get(x, F.lit(0))).startswith("# ")
+        # The first line that is text; under a title, metadata lines aren't.
+        first = F.filter(stripped(x), lambda r: F.when(titled, ~meta(r["s"])).otherwise(r["s"] != ""))
+        return T.let(F.coalesce(F.array_min(F.transform(first, lambda r: r["i"])), F.size(x)), lambda start: F.filter(F.slice(x, start + 1, F.greatest(F.size(x) - start, F.lit(0))), lambda r: ~r.startswith("[^")))
+
+    body = T.strip(F.array_join(T.let(F.split(T.strip(content), "\n"), after), "\n"))
     return F.when(F.length(body) > 3000, F.concat(F.substring(body, 1, 3000), F.lit("\n\n... (content continues in raw source)"))).otherwise(body)
 
 

@@ -565,8 +565,12 @@ def j15(spark, d):
 _TITLED = "SELECT * REPLACE (left(regexp_extract(title, '^[^ ]+ [^ ]+'), 40) AS title) FROM m_documents"
 
 
-@register("j16_cross_refs", rf"""WITH p AS ({_TITLED}), pairs AS (SELECT a.workspace, a.path AS from_path, b.path AS to_path, b.title, a.content FROM p a JOIN p b ON a.workspace = b.workspace AND a.path <> b.path AND length(b.title) >= 4 AND contains(lower(a.content), lower(b.title)) WHERE (a.doc_id % 2 = 0 OR b.doc_id % 2 = 0) AND NOT contains(a.content, b.path) AND NOT (contains(a.content, '## See Also') AND contains(a.content, string_split(b.path, '/')[-1])))
-  SELECT workspace, from_path, to_path, title FROM pairs WHERE regexp_matches(content, '(?i)(?:^|[^\p{{L}}\p{{N}}_])' || regexp_escape(title) || '(?:$|[^\p{{L}}\p{{N}}_])')""")
+_EDGED = r"chr(1) || regexp_replace(lower({}), '([^\p{{L}}\p{{N}}_])', chr(1) || '\1' || chr(1), 'g') || chr(1)"
+
+
+@register("j16_cross_refs", rf"""WITH p AS (SELECT *, {_EDGED.format("content")} AS edged FROM ({_TITLED})), w AS (SELECT DISTINCT workspace, path, unnest(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}]+')) AS word FROM p), t AS (SELECT workspace, path, doc_id, title, {_EDGED.format("title")} AS edged, list_filter(string_split_regex(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM p WHERE length(title) >= 4),
+  c AS (SELECT t.workspace, w.path AS from_path, t.path AS to_path, title, edged, doc_id AS to_id FROM t JOIN w ON w.workspace = t.workspace AND w.word = t.ws[-1] AND w.path <> t.path)
+  SELECT c.workspace, from_path, to_path, c.title FROM c JOIN p ON p.workspace = c.workspace AND p.path = from_path WHERE (to_id % 2 = 0 OR p.doc_id % 2 = 0) AND contains(p.edged, c.edged) AND NOT contains(p.content, to_path) AND NOT (contains(p.content, '## See Also') AND contains(p.content, string_split(to_path, '/')[-1]))""")
 def j16(spark, d):
     pages = M.documents(spark, d).withColumn("title", F.substring(F.regexp_extract("title", "^[^ ]+ [^ ]+", 0), 1, 40))
     return D.cross_refs(pages, pages.where("doc_id % 2 = 0"))
@@ -714,10 +718,12 @@ def u6(spark, d):
 # Sources, sinks, extraction ----------------------------------------------------------------------------------------
 
 
-@register("s2_docs_scope", "SELECT url FROM (SELECT regexp_replace(url, '^https?://[^/]*/', '') AS path, url FROM pages) WHERE string_split(lower(path), '/')[1] IN ('docs', 'doc', 'documentation') AND contains(path, '/') OR NOT contains(path, '/') AND (lower(path) LIKE 'readme%' OR lower(path) LIKE 'changelog%' OR lower(path) LIKE 'contributing%' OR regexp_matches(lower(path), '[^/]\\.(md|rst|txt)$'))")
+_FILE = "CASE doc_id % 5 WHEN 0 THEN 'Docs/a/' WHEN 1 THEN 'README' WHEN 2 THEN 'src/docs/' WHEN 3 THEN '' ELSE 'lib/x/' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.py' END"
+
+
+@register("s2_docs_scope", f"SELECT path FROM (SELECT {_FILE} AS path FROM documents) WHERE starts_with(path, 'Docs/') OR starts_with(path, 'README') OR NOT contains(path, '/') AND path LIKE '%.md'")
 def s2(spark, d):
-    files = M.given(spark, d, "pages").select("url", F.regexp_replace("url", "^https?://[^/]*/", "").alias("path"))
-    return I.docs_scope(files).select("url")
+    return I.docs_scope(M.given(spark, d, "documents").select(F.expr(_FILE).alias("path")))
 
 
 @register("s3_read_tables", "SELECT event_id, event_type, value FROM events")
@@ -731,7 +737,7 @@ def s12(spark, d):
     return I.upsert_documents(M.documents(spark, d), later).select("path", "content_hash")
 
 
-@register("s14_maps_of_content", "SELECT workspace, topic, '# ' || topic || chr(10) || chr(10) || string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY title, path) AS content FROM m_documents WHERE layer = 'wiki' GROUP BY ALL")
+@register("s14_maps_of_content", "SELECT workspace, topic, '# ' || topic || chr(10) || chr(10) || string_agg('- [' || title || '](' || path || ')', chr(10) ORDER BY title, path) AS content FROM m_documents WHERE layer = 'wiki' GROUP BY workspace, topic")
 def s14(spark, d):
     return G.maps_of_content(M.documents(spark, d))
 
