@@ -1,8 +1,9 @@
 """WARC archives: a writer that records repeated payloads as revisits, and a reader that salvages damaged archives.
 
 Writing is a Spark text write of whole records (their last line end is the writer's line separator), so that it has
-Spark's commit protocol on any file system. The reader takes plain or per-record gzip archives. When a record fails a
-check (version line, headers, length, end mark, payload digest) it searches for the next gzip member or version line
+Spark's commit protocol on any file system; each archive is one gzip member. The reader takes plain archives and gzip
+members of one record or many. When a record fails a check (version line, headers, length, end mark, payload digest,
+compression) it keeps what was read before, searches for the next gzip member or version line
 that begins a valid record, goes on there, and reports the bytes between as a quarantined gap.
 
 Defined cases: a null payload counts as empty; an empty payload is a payload like any other; of rows with equal
@@ -72,10 +73,10 @@ def write(df: DataFrame, path: str, key: str, uri: str, payload: str, least_byte
     mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
     rows = with_responses(rows, key, "payload", least_bytes)
     text = rows.select(record(F.col(key), F.col(uri), F.col("payload"), F.col("digest"), F.col("n_bytes"), F.col("refers_to")).alias("value"))
-    text.write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 500)))).text(path)
+    text.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 500)))).text(path)
 
 
-RECORD = "path string, at long, end long, kind string, reason string, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+RECORD = "path string, at long, end long, inner long, kind string, reason string, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
 def parsed(data: memoryview, at: int) -> tuple[dict, int] | str:
@@ -105,51 +106,62 @@ def parsed(data: memoryview, at: int) -> tuple[dict, int] | str:
     if found["record_type"] != "revisit" and stated.startswith("sha1:") and stated[5:] != own:
         return "payload digest differs"
     if found["record_type"] == "revisit":
-        return found | {"payload_digest": stated.removeprefix("sha1:"), "payload_bytes": full, "payload": None}, end + 4
-    return found | {"payload_digest": own, "payload_bytes": len(payload), "payload": payload}, end + 4
+        return found | {"payload_digest": stated.removeprefix("sha1:"), "payload_bytes": full, "payload": None, "confirmed": False}, end + 4
+    return found | {"payload_digest": own, "payload_bytes": len(payload), "payload": payload, "confirmed": stated.startswith("sha1:")}, end + 4
 
 
-def unpacked(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The content of the gzip member at `at` and where it ends, or why there is none."""
-    inflate = zlib.decompressobj(wbits=31)
-    try:
-        content = inflate.decompress(data[at:])
-    except zlib.error as e:
-        return f"gzip: {e}"
-    return (content, len(data) - len(inflate.unused_data)) if inflate.eof else "gzip: cut off"
+def unpacked(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` holds, as far as it can be read, where it ends, and what is wrong with it ('' if nothing)."""
+    inflate, out, end = zlib.decompressobj(wbits=31), [], at
+    while end < len(data) and not inflate.eof:
+        try:
+            out.append(inflate.decompress(data[end : end + 65536]))
+        except zlib.error as e:
+            return b"".join(out), end, f"gzip: {e}"
+        end = min(end + 65536, len(data))
+    return b"".join(out), end - len(inflate.unused_data), "" if inflate.eof else "gzip: cut off"
 
 
 def records(data: bytes) -> Iterator[dict]:
-    """Records of an archive in their order, with gaps between them: kind 'record' or 'gap', positions and reason."""
+    """Records of an archive in their order, with gaps between them: kind 'record' or 'gap', positions and reason.
+
+    In a gzip member, which may hold a record or many, `at` and `end` are the member's and `inner` is the place inside.
+    """
     at, bad, reason, view = 0, None, "", memoryview(data)
     while at < len(data):
+        got, inner = "", []
         if data.startswith(_MEMBER, at):
-            got = unpacked(data, at)
-            if not isinstance(got, str):
-                content, end = got
-                inner = parsed(memoryview(content), 0)
-                got = (inner[0], end) if not isinstance(inner, str) else inner
+            content, end, got = unpacked(view, at)
+            # Of a damaged member only records count that their own digest confirms.
+            inner = [r for r in records(content) if not got or r["kind"] == "record" and r["confirmed"]]
+            if not got and not any(r["kind"] == "record" for r in inner):
+                got = "gzip member without a record"
         else:
-            got = parsed(view, at)
-        if isinstance(got, str):
-            if bad is None:
-                bad, reason = at, got
-            line, member = _START.search(data, at + 1), data.find(_MEMBER, at + 1)
-            at = min(line.start() if line else len(data), member if member > 0 else len(data))
-            continue
-        if bad is not None:
+            one = parsed(view, at)
+            if isinstance(one, str):
+                got = one
+            else:
+                inner, end = [one[0] | {"at": 0, "kind": "record"}], one[1]
+        if inner and bad is not None and (not got or any(r["kind"] == "record" for r in inner)):
             yield {"at": bad, "end": at, "kind": "gap", "reason": reason}
             bad = None
-        found, end = got
-        yield found | {"at": at, "end": end, "kind": "record"}
-        at = end
+        if inner:
+            yield from (r | {"inner": r["at"], "at": at, "end": end} for r in inner)
+        if not got:
+            at = end
+            continue
+        # Quarantine from here, after what was saved, to the next member or version line that begins something valid.
+        if bad is None:
+            bad, reason = (end if inner else at), got
+        line, member = _START.search(data, at + 1), data.find(_MEMBER, at + 1)
+        at = min(line.start() if line else len(data), member if member > 0 else len(data))
     if bad is not None:
         yield {"at": bad, "end": len(data), "kind": "gap", "reason": reason}
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archives under `path`; one task reads an archive, which the writer keeps small."""
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 7, pa.int64(), pa.binary()]
+    kinds = [pa.string(), *[pa.int64()] * 3, *[pa.string()] * 7, pa.int64(), pa.binary()]
     schema = pa.schema(list(zip((x.split()[0] for x in RECORD.split(", ")), kinds)))
 
     def salvage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
