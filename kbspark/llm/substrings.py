@@ -28,9 +28,12 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import bounded_batches, written
 
-#: Bytes on either side among which a cut has the largest hash; chunks are about twice as long.
-RADIUS = 20
+#: Bytes on either side among which a cut has the largest hash; chunks are about twice as long. A passage of more than
+#: MIN_WORDS short words then still holds two whole chunks in a row.
+RADIUS = 14
 MIN_WORDS = 50
+#: Chunks at either end of a run that it can be extended into: near a passage's end, cuts depend on what follows it.
+REACH = 3
 #: Bytes around a chunk that a run can be extended into; chunks of words are shorter.
 AROUND = 512
 _GEAR = np.random.default_rng(20240102).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -47,11 +50,11 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def _ahead(h: np.ndarray, n: int) -> np.ndarray:
-    """The largest of each n values that begin at a position; n is 16 to 32."""
-    m = h
-    for s in (1, 2, 4, 8):
-        m = np.maximum(m[:-s], m[s:])
-    return np.maximum(m[: len(m) - (n - 16)], m[n - 16 :])
+    """The largest of each n values that begin at a position, by doubling."""
+    m, s = h, 1
+    while 2 * s <= n:
+        m, s = np.maximum(m[:-s], m[s:]), 2 * s
+    return np.maximum(m[: len(m) - (n - s)], m[n - s :])
 
 
 def chunked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,7 @@ RUN = "doc_id long, begin int, end int, before int, after int, words int, first
 
 
 def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Maximal runs of repeats that, with the chunks at their ends, hold more than MIN_WORDS words; written."""
+    """Maximal runs of repeats that, with REACH chunks at their ends, hold more than MIN_WORDS words; written."""
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("digest").alias("known"), F.collect_list("source").alias("sources"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +128,10 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
                     while j + 1 < n and own[j + 1] in source:
                         j += 1
                     last = min(j + 2, len(words))  # the chunk after the run
-                    inside, before, after = sum(words[i:last]), words[i - 1] if i else 0, words[last] if last < len(words) else 0
-                    if inside + before + after > MIN_WORDS:
-                        edges = (starts[i], starts[last], starts[max(0, i - 1)], starts[min(last + 1, len(words))])
+                    low, high = max(0, i - REACH), min(last + REACH, len(words))
+                    inside = sum(words[i:last])
+                    if sum(words[low:high]) > MIN_WORDS:
+                        edges = (starts[i], starts[last], starts[low], starts[high])
                         out.append((doc, *edges, inside, own[i], starts[min(i + 2, len(words))], source[own[i]], own[j], source[own[j]]))
                     i = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)], names)
