@@ -135,11 +135,13 @@ def learn(labelled: DataFrame, label: str = "quality", max_rules: int = 6, max_t
     its purity is `purity` or more and it covers `least` bad rows.
     """
     rows = labelled.where(F.col(label).isin(0, 1)).select((F.col(label) == 0).alias("bad"), (F.pmod(F.xxhash64(*FEATURES, "doc_id"), F.lit(3)) == 0).alias("held"), *FEATURES)
-    cuts = rows.agg(*(F.percentile_approx(f, [k / bins for k in range(1, bins)], 1000).alias(f) for f in FEATURES)).first()
-    edges = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
+    cuts = rows.agg(*(F.percentile_approx(f, [k / bins for k in range(bins + 1)], 1000).alias(f) for f in FEATURES)).first()
+    # Thresholds lie half-way between quantiles, so that rows between those that were seen fall on the nearer side.
+    steps = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
+    edges = {f: sorted({(a + b + 1) // 2 for a, b in zip(v, v[1:])}) for f, v in steps.items()}
     rules: list[Rule] = []
     left = rows
-    while len(rules) < max_rules:
+    while any(edges.values()) and len(rules) < max_rules:
         grown = _grow(left.where(~F.col("held")), edges, max_tests)
         pruned = _prune(grown, left, purity) if grown else None
         if not pruned or pruned.bad < least:
