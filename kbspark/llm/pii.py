@@ -80,7 +80,9 @@ _WORD = re.compile(rf"(?:plus|{_ONE})", re.I | re.A)
 _BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(at|@|dot|\.)[ \t]*[\])}>][ \t]*", re.I | re.A)
 _OPENED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)", re.I | re.A)
 _PART = r"[A-Za-z0-9_%+-]+"
-_BARE = re.compile(rf"\b{_PART}(?:(?:\.|[ \t]+dot[ \t]+){_PART})*[ \t]+at[ \t]+[A-Za-z0-9-]+(?:(?:\.[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z0-9-]+)+", re.I | re.A)
+# Ends of addresses that are spelled without brackets. Others are prose ("look at the dot on the map").
+_ENDS = "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|me|tv|eu|us|uk|de|fr|es|it|nl|be|ch|at|pl|se|no|dk|fi|pt|ru|ua|cn|jp|kr|in|au|nz|ca|mx|br|ar|za"
+_BARE = re.compile(rf"\b{_PART}(?:(?:\.|[ \t]+dot[ \t]+){_PART})*[ \t]+at[ \t]+[A-Za-z0-9-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{_ENDS})\b", re.I | re.A)
 _BARE_WORD = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I | re.A)
 
 
@@ -138,8 +140,8 @@ def personal(text: str) -> list[dict]:
     r = deobfuscated(text)
     if r.spans is not None:
         for place, start, end in detected(r.text):
-            if any(r.changed[start:end]):
-                span = (place, r.spans[start][0], r.spans[end - 1][1])
+            span = (place, r.spans[start][0], r.spans[end - 1][1])
+            if any(r.changed[start:end]) or span[2] - span[1] != end - start:
                 if (*span, False) not in found:
                     found.add((*span, True))
     return [{"place": p, "kind": KINDS[p], "start": s, "end": e, "added": a} for p, s, e, a in sorted(found)]

@@ -134,7 +134,7 @@ def records(data: bytes) -> Iterator[dict]:
             content, end, got = unpacked(view, at)
             # Of a damaged member only records count that their own digest confirms.
             inner = [r for r in records(content) if not got or r["kind"] == "record" and r["confirmed"]]
-            if not got and not any(r["kind"] == "record" for r in inner):
+            if not got and content and not any(r["kind"] == "record" for r in inner):
                 got = "gzip member without a record"
         else:
             one = parsed(view, at)
