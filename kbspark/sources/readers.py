@@ -46,7 +46,7 @@ def read_text_tree(spark: SparkSession, path: str, scope: str = "all", max_bytes
 
     root = path.rstrip("/").split("/")[-1]
     files = _files(spark, path).withColumn("rel", F.element_at(F.split("path", f"/{root}/", 2), -1)).where(wanted(F.col("rel"), F.col("length"), max_bytes=max_bytes))
-    rows = files.select(F.col("rel").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    rows = files.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("content"))
     return docs_scope(rows) if scope == "docs" else rows
 
 

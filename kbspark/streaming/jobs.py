@@ -11,22 +11,19 @@ from kbspark.operators import ingest as I
 from kbspark.operators import quality as Q
 
 
-def _table(df: DataFrame, path: str) -> DataFrame:
-    """The rows of a sink so far, none where it isn't there yet; read by schema."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path) if there else spark.createDataFrame([], df.schema)
-
-
 def _write(df: DataFrame, path: str, batch: int) -> None:
     """A batch goes to a folder of its own, so that a batch that runs again replaces itself."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def _earlier(df: DataFrame, path: str, batch: int) -> DataFrame:
-    rows = _table(df, path).withColumn("_file", F.col("_metadata.file_path"))
-    return rows.where(~F.col("_file").contains(f"/batch={batch}/")).drop("_file")
+    """The rows of a sink from other batches, read by schema; none where the sink isn't there yet."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return df.limit(0)
+    rows = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path)
+    return rows.where(~F.col("_metadata.file_path").contains(f"/batch={batch}/"))
 
 
 def stream_new_items(stream: DataFrame, items_path: str, events_path: str, checkpoint: str, watermark: str = "30 days") -> StreamingQuery:
