@@ -26,7 +26,7 @@ def duck():
 
 
 def plain(x) -> str:
-    if x is None or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+    if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x):
         return "~"
     if hasattr(x, "item") and not hasattr(x, "__len__"):
         x = x.item()
