@@ -73,9 +73,12 @@ DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "fo
 
 _CHARACTERS = LOOKALIKES | {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)] if unicodedata.normalize("NFKC", chr(c)).isascii()} | dict.fromkeys(UNSEEN, "")
 _ODD = re.compile("[" + re.escape("".join(_CHARACTERS)) + "]")
+_ODD_SET = frozenset(_CHARACTERS)
+_ODD_LATIN = [c for c in _CHARACTERS if ord(c) < 256]
 _ONE = "(?:" + "|".join(DIGIT_WORDS) + ")"
 _SPELLED = re.compile(rf"\b(?:plus[ -]+)?(?:{_ONE}|[0-9]+)(?:[ ,.-]{{1,2}}(?:{_ONE}|[0-9]+))*[ ,.-]{{1,2}}{_ONE}\b", re.I | re.A)
-_TWO_WORDS = re.compile(rf"{_ONE}[ ,.-]{{1,2}}{_ONE}", re.I | re.A)
+# Where two digit words may follow one another: the last letter of the first, and the second.
+_TWO_WORDS = re.compile(rf"[{''.join(sorted({w[-1] for w in DIGIT_WORDS}))}][ ,.-]{{1,2}}{_ONE}\b", re.I | re.A)
 _WORD = re.compile(rf"(?:plus|{_ONE})", re.I | re.A)
 _BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(at|@|dot|\.)[ \t]*[\])}>][ \t]*", re.I | re.A)
 _OPENED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)", re.I | re.A)
@@ -120,9 +123,20 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return edits
 
 
+def odd(text: str) -> bool:
+    """Whether any character is to be rewritten; texts of Western letters are told without a look at each character."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD_SET.isdisjoint(text)
+    return any(c in text for c in _ODD_LATIN)
+
+
 def deobfuscated(text: str) -> Rewritten:
     r = Rewritten(text)
-    if not text.isascii():
+    if odd(text):
         r.replace([(m.start(), m.end(), _CHARACTERS[m[0]]) for m in _ODD.finditer(text)])
     if _OPENED.search(r.text):
         r.replace([(*m.span(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(r.text)])
