@@ -580,7 +580,8 @@ _TW = f"list_distinct(list_filter(list_transform(regexp_extract_all(title, '[a-z
 _CANDIDATES = f"""w AS (SELECT doc_id, workspace, path, layer, {_TW} AS w FROM m_documents), a AS (SELECT doc_id, workspace, path, len(w) AS n, unnest(w) AS word FROM w), b AS (SELECT workspace, path, len(w) AS n, unnest(w) AS word FROM w WHERE layer = 'wiki'),
   t AS (SELECT a.doc_id, b.path, 0.6 + 0.4 * count(*) / least(a.n, b.n) AS score, 1 AS reason FROM a JOIN b USING (workspace, word) WHERE a.path <> b.path GROUP BY a.doc_id, b.path, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.3),
   s AS (SELECT DISTINCT workspace, path, subject FROM m_beliefs WHERE superseded_at IS NULL AND subject IS NOT NULL),
-  u AS (SELECT DISTINCT d.doc_id, y.path, 0.5 AS score, 2 AS reason FROM m_documents d JOIN s x ON x.workspace = d.workspace AND x.path = d.path JOIN s y ON y.workspace = x.workspace AND y.subject = x.subject AND y.path <> x.path JOIN m_documents p ON p.workspace = y.workspace AND p.path = y.path AND p.layer = 'wiki'),
+  y AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY workspace, subject ORDER BY path) AS r FROM s SEMI JOIN (SELECT workspace, path FROM m_documents WHERE layer = 'wiki') p USING (workspace, path)) WHERE r <= 5),
+  u AS (SELECT DISTINCT d.doc_id, y.path, 0.5 AS score, 2 AS reason FROM m_documents d JOIN s x ON x.workspace = d.workspace AND x.path = d.path JOIN y ON y.workspace = x.workspace AND y.subject = x.subject AND y.path <> x.path),
   c AS (SELECT * FROM t UNION ALL SELECT * FROM u WHERE (doc_id, path) NOT IN (SELECT doc_id, path FROM t)),
   k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, path) AS rank FROM c) WHERE rank <= 5)"""
 
