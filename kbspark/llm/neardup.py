@@ -44,7 +44,8 @@ STARS = 2
 #: Longs of parity bits of a set.
 PARITY = 16
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
-_REMEMBERED = 1 << 20
+#: Words whose digests a worker remembers.
+_REMEMBERED = 1 << 17
 
 
 class Shingler:

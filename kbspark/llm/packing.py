@@ -99,11 +99,17 @@ def tokenizer(path: str):
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
+    library: list[Tokenizer] = []  # loaded where a text needs it only, as it takes much memory
+
+    def plain(text: str) -> np.ndarray:
+        if not library:
+            library.append(Tokenizer.from_file(path))
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     if file["pre_tokenizer"]["type"] != "ByteLevel" or file["normalizer"] or file["post_processor"]:
-        return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+        return plain
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
     special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -113,7 +119,7 @@ def tokenizer(path: str):
 
     def ids(text: str) -> np.ndarray:
         if len(text) >= 20000 and endless.search(text):
-            return np.array(own.encode(text, add_special_tokens=False).ids, np.uint32)
+            return plain(text)
         return fast.encode_to_numpy(text, allowed_special="all")
 
     return ids
