@@ -1,10 +1,11 @@
 """WARC archives: a writer that records repeated payloads as revisits, and a reader that salvages damaged archives.
 
-Writing is a Spark text write of whole records (their last line end is the writer's line separator), so that it has
-Spark's commit protocol on any file system; each archive is one gzip member. The reader takes plain archives and gzip
-members of one record or many. When a record fails a check (version line, headers, length, end mark, payload digest,
-compression) it keeps what was read before, searches for the next gzip member or version line
-that begins a valid record, goes on there, and reports the bytes between as a quarantined gap.
+Writing is a Spark text write of whole gzip members, one a record, compressed inside the tasks (a member's last byte is
+the writer's line separator), so that it has Spark's commit protocol on any file system and damage costs the records it
+lies in. The reader takes plain archives and gzip members of one record or many. When a record fails a check (version
+line, headers, length, end mark, payload digest, compression) it keeps what was read before, searches for the next gzip
+member or version line that begins a valid record, goes on there, and reports the bytes between as a quarantined gap. So
+is each record of a damaged member that no digest confirms, such as a revisit, with its place inside.
 
 Defined cases: a null payload counts as empty; an empty payload is a payload like any other; of rows with equal
 payloads and the same largest key, all are responses; null keys are written as such and revisit if a key is there;
@@ -14,6 +15,7 @@ repeated rows are each written; an empty table makes no archive and gives no rec
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -23,11 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.llm.common import bounded_batches
+
 VERSION = b"WARC/1.1\r\n"
-#: Bytes that an archive should hold; the mean record size turns them into a number of records per file.
+#: Bytes that an archive's members should hold; the mean record size turns them into a number of records per file.
 ARCHIVE_BYTES = 32 << 20
 _START = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
+#: Where headers end, or where another version line shows that they don't.
+_HEAD_END = re.compile(rb"\r\n\r\n|\nWARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+#: The text writer's line separator. A member ends in the top byte of its content's size, which is 0 under 16 MB.
+_LAST = b"\0"
+_EMPTY = gzip.compress(b"", mtime=0)
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -46,7 +55,7 @@ def with_responses(rows: DataFrame, key: str, payload: str, least_bytes: int) ->
 
 
 def record(key: Column, uri: Column, payload: Column, digest: Column, n_bytes: Column, refers_to: Column) -> Column:
-    """A whole record as text, less its last line feed. A revisit holds the response's HTTP headers only."""
+    """A whole record as text. A revisit holds the response's HTTP headers only."""
     line = "\r\n"
     ident = lambda k: F.concat(F.lit("<urn:kbspark:"), F.coalesce(k.cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n_bytes.cast("string"), F.lit(line * 2))
@@ -64,43 +73,64 @@ def record(key: Column, uri: Column, payload: Column, digest: Column, n_bytes: C
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return F.concat(headers, F.lit(line * 2), block, F.lit("\r\n\r"))
+    return F.concat(headers, F.lit(line * 2), block, F.lit("\r\n\r\n"))
+
+
+def member(content: bytes) -> bytes:
+    """`content` as a gzip member, less its last byte, _LAST. From 16 MB on an empty member follows, as it ends in _LAST."""
+    made = gzip.compress(content, 6, mtime=0)
+    return (made if made.endswith(_LAST) else made + _EMPTY)[: -len(_LAST)]
+
+
+def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made, held = [], 0
+        for value in batch["value"]:
+            made.append(member(value.as_buffer().to_pybytes()))
+            held += len(made[-1])
+            if held > 8 << 20:
+                yield pa.RecordBatch.from_pydict({"value": pa.array(made, pa.binary())})
+                made, held = [], 0
+        if made:
+            yield pa.RecordBatch.from_pydict({"value": pa.array(made, pa.binary())})
 
 
 def write(df: DataFrame, path: str, key: str, uri: str, payload: str, least_bytes: int = 0) -> None:
-    """Archives of all rows under `path`, in the rows' partitions, about ARCHIVE_BYTES each."""
+    """Archives of all rows under `path`, in the rows' partitions, about ARCHIVE_BYTES of content each."""
     rows = df.select(key, uri, F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
     rows = with_responses(rows, key, "payload", least_bytes)
     text = rows.select(record(F.col(key), F.col(uri), F.col("payload"), F.col("digest"), F.col("n_bytes"), F.col("refers_to")).alias("value"))
-    text.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 500)))).text(path)
+    bounded_batches(df.sparkSession)
+    packed = text.mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+    packed.write.option("compression", "none").option("lineSep", _LAST.decode()).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 500)))).text(path)
 
 
 RECORD = "path string, at long, end long, inner long, kind string, reason string, record_type string, record_id string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
-def parsed(data: memoryview, at: int) -> tuple[dict, int] | str:
+def parsed(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record that begins at `at` and where it ends, or why there is none."""
-    head_end = bytes(data[at : at + 65536]).find(b"\r\n\r\n")
-    if bytes(data[at : at + 7]) != b"WARC/1." or head_end < 0:
+    ends = _HEAD_END.search(data, at) if data.startswith(b"WARC/1.", at) else None
+    if ends is None or not ends[0].startswith(b"\r"):
         return "no version line or headers"
-    lines = bytes(data[at : at + head_end]).decode("utf-8", "replace").split("\r\n")[1:]
+    lines = data[at : ends.start()].decode("utf-8", "replace").split("\r\n")[1:]
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     if not re.fullmatch("[0-9]+", headers.get("content-length", "")):
         return "no length"
-    start = at + head_end + 4
+    start = ends.end()
     end = start + int(headers["content-length"])
-    if bytes(data[end : end + 4]) != b"\r\n\r\n":
+    if not data.startswith(b"\r\n\r\n", end):
         return "no end mark where the length points to"
-    block = data[start:end]
+    block = memoryview(data)[start:end]
     found = {"record_type": headers.get("warc-type"), "record_id": headers.get("warc-record-id"), "uri": headers.get("warc-target-uri"), "refers_to": headers.get("warc-refers-to")}
     payload, stated, full = block, headers.get("warc-payload-digest", ""), len(block)
     if "application/http" in headers.get("content-type", ""):
-        body = bytes(block[:65536]).find(b"\r\n\r\n")
+        body = data.find(b"\r\n\r\n", start, end)
         if body < 0:
             return "no end of HTTP headers"
-        payload = block[body + 4 :]
-        told = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)\r\n", bytes(block[: body + 2]))
+        payload = block[body + 4 - start :]
+        told = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)\r\n", data[start : body + 2])
         full = int(told[1]) if told else len(payload)
     own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     if found["record_type"] != "revisit" and stated.startswith("sha1:") and stated[5:] != own:
@@ -117,7 +147,15 @@ def unpacked(data: memoryview, at: int) -> tuple[bytes, int, str]:
         try:
             out.append(inflate.decompress(data[end : end + 65536]))
         except zlib.error as e:
-            return b"".join(out), end, f"gzip: {e}"
+            # Once more, the last piece byte by byte: what lies in it before the damage is read too.
+            inflate, fault = zlib.decompressobj(wbits=31), end
+            inflate.decompress(data[at:end])
+            try:
+                for fault in range(end, len(data)):
+                    out.append(inflate.decompress(data[fault : fault + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), fault, f"gzip: {e}"
         end = min(end + 65536, len(data))
     return b"".join(out), end - len(inflate.unused_data), "" if inflate.eof else "gzip: cut off"
 
@@ -128,22 +166,25 @@ def records(data: bytes) -> Iterator[dict]:
     In a gzip member, which may hold a record or many, `at` and `end` are the member's and `inner` is the place inside.
     """
     at, bad, reason, view = 0, None, "", memoryview(data)
+    line, found = 0, 0  # the next version line and member, looked for once passed
     while at < len(data):
         got, inner = "", []
         if data.startswith(_MEMBER, at):
             content, end, got = unpacked(view, at)
-            # Of a damaged member only records count that their own digest confirms.
-            inner = [r for r in records(content) if not got or r["kind"] == "record" and r["confirmed"]]
+            # Of a damaged member only records count that their own digest confirms; the others are told as gaps.
+            inner = [r if not got or r["kind"] == "gap" or r["confirmed"] else {"at": r["at"], "end": r["end"], "kind": "gap", "reason": f"{got}; not confirmed: {r['record_id']}"} for r in records(content)]
+            if got and not any(r["kind"] == "record" for r in inner):
+                inner = []  # the gap over the whole member tells it
             if not got and content and not any(r["kind"] == "record" for r in inner):
                 got = "gzip member without a record"
         else:
-            one = parsed(view, at)
+            one = parsed(data, at)
             if isinstance(one, str):
                 got = one
             else:
                 inner, end = [one[0] | {"at": 0, "kind": "record"}], one[1]
         if inner and bad is not None and (not got or any(r["kind"] == "record" for r in inner)):
-            yield {"at": bad, "end": at, "kind": "gap", "reason": reason}
+            yield {"at": min(bad, at), "end": at, "kind": "gap", "reason": reason}
             bad = None
         if inner:
             yield from (r | {"inner": r["at"], "at": at, "end": end} for r in inner)
@@ -153,8 +194,11 @@ def records(data: bytes) -> Iterator[dict]:
         # Quarantine from here, after what was saved, to the next member or version line that begins something valid.
         if bad is None:
             bad, reason = (end if inner else at), got
-        line, member = _START.search(data, at + 1), data.find(_MEMBER, at + 1)
-        at = min(line.start() if line else len(data), member if member > 0 else len(data))
+        if line <= at:
+            line = m.start() if (m := _START.search(data, at + 1)) else len(data)
+        if found <= at:
+            found = m if (m := data.find(_MEMBER, at + 1)) > 0 else len(data)
+        at = min(line, found)
     if bad is not None:
         yield {"at": bad, "end": len(data), "kind": "gap", "reason": reason}
 

@@ -65,3 +65,41 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(df, str(tmp_path / "e"), "page_id", "url", "html")
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_damaged_archives_of_the_writer(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, f"u{i}", " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(9999)) for _ in range(200))) for i in range(300)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "d"), "page_id", "url", "html")
+    (file,) = (tmp_path / "d").glob("part-*")
+    data = file.read_bytes()
+    assert len(ids(data)) == 300 and not gaps(data)
+    # Any gzip reader takes the archive as a whole.
+    assert gzip.decompress(data).count(b"\r\nWARC-Type: ") == 300
+    for at in (len(data) * k // 20 for k in range(1, 20)):
+        flipped = data[:at] + bytes([data[at] ^ 16]) + data[at + 1 :]
+        for hurt, most in ((flipped, 1), (data[:at] + b"\0" * 60 + data[at + 60 :], 2), (data[:at] + b"\0" * 4096 + data[at + 4096 :], 8), (data[:at] + data[at + 500 :], 2)):
+            assert 300 - most <= len(set(ids(hurt))) < 301
+            assert len(set(ids(hurt))) == 300 or gaps(hurt)
+
+
+def test_long_records(spark, tmp_path):
+    rows = [(1, "u" * 100_000, "a"), (2, "u2", "b" * (17 << 20)), (3, "u3", "c")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "l"), "page_id", "url", "html")
+    got = {r.record_id: (len(r.uri), r.payload_bytes) for r in warc.read(spark, str(tmp_path / "l"), payloads=False).collect()}
+    assert got == {"<urn:kbspark:1>": (100_000, 1), "<urn:kbspark:2>": (2, 17 << 20), "<urn:kbspark:3>": (2, 1)}
+
+
+def test_damaged_member_of_many_records():
+    rng = random.Random(3)
+    parts = []
+    for i in range(40):
+        payload = bytes(rng.choice(b"0123456789abcdef") for _ in range(3000))
+        digest = warc.base64.b32encode(warc.hashlib.sha1(payload).digest()).decode()
+        parts.append(record(i, payload).replace(b"WARC-Record-ID", f"WARC-Payload-Digest: sha1:{digest}\r\nWARC-Record-ID".encode()))
+    parts.insert(3, record(99, b"", "revisit"))
+    data = bytearray(gzip.compress(b"".join(parts)))
+    data[len(data) // 2 : len(data) // 2 + 60] = b"\xff" * 60
+    found = list(warc.records(bytes(data)))
+    assert len([r for r in found if r["kind"] == "record"]) >= 18
+    assert any(r["kind"] == "gap" and "<urn:x:99>" in r["reason"] for r in found)
