@@ -1,7 +1,8 @@
 """Personal data with offset-preserving deobfuscation.
 
 Base detectors run over the text as it is. Transducers then rewrite disguises, first by character (homoglyphs, full-width
-and mathematical letters, zero-width characters), then by word (spelled digits, "at" and "dot"), and keep for every
+and mathematical letters, decimal digits of any script, zero-width characters), then by word ("at" and "dot", each however
+the other is written, spelled digits, "dot" between numbers), and keep for every
 character they write the source span it stands for. The same detectors run over the result, and their spans are mapped
 back to the source; one that holds rewritten characters and isn't a base span is added.
 
@@ -55,7 +56,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def detected(text: str) -> list[tuple[int, int, int]]:
     """(kind's place, start, end), by kind, then start."""
     found = [(0, s, e) for s, e in _emails(text)] if "@" in text else []
-    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p := q.lstrip("0")) <= 3 and int(p or 0) <= 255 for q in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -71,22 +72,40 @@ LOOKALIKES = dict(zip("АВЕКМНОРСТУХавеикмнорстухѕіј
 UNSEEN = "​‌‍⁠﻿\xad"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
-_CHARACTERS = LOOKALIKES | {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)] if unicodedata.normalize("NFKC", chr(c)).isascii()} | dict.fromkeys(UNSEEN, "")
+_CHARACTERS = LOOKALIKES | {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)] if unicodedata.normalize("NFKC", chr(c)).isascii()} | {chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x20000) if unicodedata.decimal(chr(c), None) is not None} | dict.fromkeys(UNSEEN, "")
 _ODD = re.compile("[" + re.escape("".join(_CHARACTERS)) + "]")
 _ODD_SET = frozenset(_CHARACTERS)
 _ODD_LATIN = [c for c in _CHARACTERS if ord(c) < 256]
 _ONE = "(?:" + "|".join(DIGIT_WORDS) + ")"
-_SPELLED = re.compile(rf"\b(?:plus[ -]+)?(?:{_ONE}|[0-9]+)(?:[ ,.-]{{1,2}}(?:{_ONE}|[0-9]+))*[ ,.-]{{1,2}}{_ONE}\b", re.I | re.A)
-# Where two digit words may follow one another: the last letter of the first, and the second.
-_TWO_WORDS = re.compile(rf"[{''.join(sorted({w[-1] for w in DIGIT_WORDS}))}][ ,.-]{{1,2}}{_ONE}\b", re.I | re.A)
-_WORD = re.compile(rf"(?:plus|{_ONE})", re.I | re.A)
+_NUMBER = rf"(?:{_ONE}|[0-9]+)"
+_SPELLED = re.compile(rf"\b(?:plus[ -]+)?{_NUMBER}(?:(?:[ ,.-]{{1,2}}|[ \t]+dot[ \t]+){_NUMBER})+\b", re.I | re.A)
+# Where a digit word may stand beside a number: the last letter of one and the second, or a figure before a digit word.
+_SIDE = rf"[{''.join(sorted({w[-1] for w in DIGIT_WORDS}))}]"
+_BESIDE = re.compile(rf"{_SIDE}[ ,.-]{{1,2}}{_ONE}\b|{_ONE}[ ,.-]{{1,2}}[0-9]|[0-9][ ,.-]{{1,2}}{_ONE}\b", re.I | re.A)
+_ITEM = re.compile(rf"plus|{_NUMBER}", re.I | re.A)
 _BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(at|@|dot|\.)[ \t]*[\])}>][ \t]*", re.I | re.A)
 _OPENED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)", re.I | re.A)
 _PART = r"[A-Za-z0-9_%+-]+"
-# Ends of addresses that are spelled without brackets. Others are prose ("look at the dot on the map").
-_ENDS = "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|me|tv|eu|us|uk|de|fr|es|it|nl|be|ch|at|pl|se|no|dk|fi|pt|ru|ua|cn|jp|kr|in|au|nz|ca|mx|br|ar|za"
-_BARE = re.compile(rf"\b{_PART}(?:(?:\.|[ \t]+dot[ \t]+){_PART})*[ \t]+at[ \t]+[A-Za-z0-9-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]+)*[ \t]+dot[ \t]+(?:{_ENDS})\b", re.I | re.A)
-_BARE_WORD = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I | re.A)
+_AT = re.compile(r"@|(?<=[ \t])at(?=[ \t])", re.I | re.A)
+_HOST = re.compile(r"[ \t]*([A-Za-z0-9-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]+)+)", re.I | re.A)
+_DOT_BEFORE = re.compile(r"[ \t]dot[ \t]+\Z", re.I | re.A)
+_DOT_WORD = re.compile(r"[ \t]+dot[ \t]+", re.I | re.A)
+_HAS_DOT = re.compile(r"[ \t]dot[ \t]", re.I | re.A)
+# Fixed values that tell prose around a bare "at" ("look at the dot on the map", "more at example.com"): words that end no
+# address, words that begin no host, words that stand before a place or a site, and ends of file names. Any other end may
+# be an address's; a spelled dot before one of _ENDS is an address whatever stands before.
+_NO_END = frozenset("a i an the and or of on if up with from for that this which was were are will when then dot at he she we they out off into over".split())
+_NO_HOST = frozenset("a an the this that these those each every any some his her my our your their its which www".split())
+_PROSE = frozenset(
+    "me us you him her them it that this is are was were be been am here there out up down in on off over back only just even not now still more less most best all both each and or the a an to of"
+    " available online free live lives found see seen visit read information details site website page pages web link links homepage store shop blog news article articles story documentation docs document documents"
+    " source code download downloads version file files error errors exception warning line look looks stare stares work works stay stays arrive arrives aim aims point points meet meets sit sits stand stands start starts stop stops"
+    " begin begins began end ends met sat stood sold buy order sale sales price prices job jobs team office engineer engineers manager director professor researcher scientist founder ceo editor writer reporter student students people"
+    " person place time today tomorrow yesterday week month year day night home school university".split()
+)
+_FILES = frozenset("html htm txt php json csv xml yml yaml pdf png jpg gif java cpp hpp js jsx ts tsx exe dll log conf cfg ini".split())
+_ENDS = frozenset("com org net edu gov mil int info biz name io ai app dev co me tv eu us uk de fr es it nl be ch at pl se no dk fi pt ru ua cn jp kr in au nz ca mx br ar za".split())
+_CUE = re.compile(r"mail|contact|address|write|reach", re.I | re.A)
 
 
 class Rewritten:
@@ -111,15 +130,89 @@ class Rewritten:
         self.spans, self.changed = out_spans + spans[at:], bytes(out_changed + changed[at:])
 
 
+def _prose(r: Rewritten, start: int, local: str, host: re.Match, labels: list[str]) -> bool:
+    """Whether what stands around a bare "at" is prose rather than an address."""
+    first, last, word = labels[0].lower(), labels[-1].lower(), local.lower()
+    if first in _NO_HOST or len(last) < 2 or not last.isalpha():
+        return True
+    spelled = _DOT_WORD.search(host[1]) or r.changed and any(r.changed[host.start() : host.end()])
+    if spelled and last in _ENDS:
+        return False
+    if word in _PROSE or len(word) >= 6 and word.endswith(("ed", "ing")) and not _CUE.search(r.text, max(0, start - 40), start):
+        return True
+    return not spelled and (last in _FILES or not (labels[-1].islower() or host[1].isupper()) or r.text[host.end() : host.end() + 1] in ("(", "/", ":", "_"))
+
+
+def _addresses(r: Rewritten) -> list[tuple[int, int, str]]:
+    """Bare "at" and "dot" inside addresses become signs, each however the other is written."""
+    text, edits, last = r.text, [], 0
+    for at in _AT.finditer(text):
+        if at.start() < last:
+            continue
+        bare, host = at[0] != "@", _HOST.match(text, at.end())
+        if host is None or not bare and host.start(1) > at.end():
+            continue
+        # Words at the end that end no address are not part of it.
+        pieces = list(re.finditer(r"[A-Za-z0-9-]+", _DOT_WORD.sub(lambda m: "." * len(m[0]), host[1])))
+        while len(pieces) > 1 and pieces[-1][0].lower() in _NO_END:
+            pieces.pop()
+        if len(pieces) < 2:
+            continue
+        host = _HOST.match(text, at.end(), host.start(1) + pieces[-1].end())
+        at_start = at.start()
+        while bare and at_start > last and text[at_start - 1] in " \t":
+            at_start -= 1
+        dots, start = [], at_start
+        while True:
+            begun = start
+            while start > last and text[start - 1] in _LOCAL:
+                start -= 1
+            word = start < begun and _DOT_BEFORE.search(text, max(last, start - 32), start)
+            if not word:
+                break
+            back = word.start()
+            while back > last and text[back - 1] in " \t":
+                back -= 1
+            if back == last or text[back - 1] not in _LOCAL:
+                break
+            dots.append((back, start, "."))
+            start = back
+        if dots and dots[-1][0] == start:
+            start = dots.pop()[1]
+        local = text[start:at_start]
+        if not local or bare and _prose(r, start, local, host, [x[0] for x in pieces]):
+            continue
+        edits += dots[::-1]
+        if bare:
+            edits.append((at_start, host.start(1), "@"))
+        edits += [(w.start() + host.start(1), w.end() + host.start(1), ".") for w in _DOT_WORD.finditer(host[1])]
+        last = host.end()
+    return edits
+
+
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    """Digit words of a run become digits; what stands between two of them goes. Runs of under four words stay."""
-    words = [(w.start() + m.start(), w.end() + m.start(), w[0].lower()) for w in _WORD.finditer(m[0])]
-    if sum(w[2] != "plus" for w in words) < 4:
+    """Digit words of a run become digits and "dot" a dot. What stands between two words goes, except the dots of an address."""
+    items = [(w.start() + m.start(), w.end() + m.start(), w[0].lower()) for w in _ITEM.finditer(m[0]) if w[0].lower() != "dot"]
+    between = [m.string[a[1] : b[0]] for a, b in zip(items, items[1:])]
+    said = [bool(_DOT_WORD.fullmatch(x)) for x in between]
+    if not any(said) and all(w[2].isdigit() for w in items):
         return []
+    dotted = any(said) or sum(x == "." for x in between) == 3
     edits = []
-    for k, (start, end, word) in enumerate(words):
-        joins = k + 1 < len(words) and words[k + 1][0] - end <= 2
-        edits.append((start, words[k + 1][0] if joins else end, "+" if word == "plus" else DIGIT_WORDS[word]))
+    for k, (start, end, word) in enumerate(items):
+        if not word.isdigit():
+            edits.append((start, end, "+" if word == "plus" else DIGIT_WORDS[word]))
+        if k < len(between):
+            words = not word.isdigit() and not items[k + 1][2].isdigit()
+            figures = word.isdigit() and items[k + 1][2].isdigit()
+            if said[k]:
+                edits.append((end, items[k + 1][0], "."))
+            elif word == "plus" or words and not (dotted and set(between[k]) & set(".,")):
+                edits.append((end, items[k + 1][0], ""))
+            elif not figures and between[k] not in (" ", "-", "."):
+                edits.append((end, items[k + 1][0], " "))
+            elif not figures and between[k] == "." and not dotted:
+                edits.append((end, items[k + 1][0], " "))
     return edits
 
 
@@ -140,9 +233,10 @@ def deobfuscated(text: str) -> Rewritten:
         r.replace([(m.start(), m.end(), _CHARACTERS[m[0]]) for m in _ODD.finditer(text)])
     if _OPENED.search(r.text):
         r.replace([(*m.span(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(r.text)])
-    if re.search(r"[ \t]dot[ \t]", r.text, re.I | re.A):
-        r.replace([(m.start() + w.start(), m.start() + w.end(), "@" if w[1].lower() == "at" else ".") for m in _BARE.finditer(r.text) for w in _BARE_WORD.finditer(m[0])])
-    if _TWO_WORDS.search(r.text):
+    dot = _HAS_DOT.search(r.text)
+    if dot or _AT.search(r.text):
+        r.replace(_addresses(r))
+    if dot or _BESIDE.search(r.text):
         r.replace([e for m in _SPELLED.finditer(r.text) for e in _spelled(m)])
     return r
 
