@@ -2,9 +2,11 @@
 
 A text is cut where the gear hash of the last 16 bytes is the largest within RADIUS bytes on either side, moved on to
 the next word's start: cuts depend on nearby bytes only, so a passage has the same inner chunks wherever it stands, and
-an insertion shifts nothing but its own chunks. Digests of chunks, two by two, are counted over all documents; a pair
+an insertion shifts nothing but its own chunks. Texts that repeat every few bytes are cut at each of their equal peaks,
+and among short words a cut also stands where the hash is the largest of NEAR words on either side. Digests of chunks, two by two, are counted over all documents; a pair
 that also stands in a document of smaller id is a repeat. Runs of repeats are extended word by word into the chunks at their ends,
-against what stands there in the document of smallest id, and a run of more than MIN_WORDS words is removed.
+against what stands there in the document that is the source of most of the run's chunks (or of the chunk at the end),
+where most of the run's chunks follow one another, and a run of more than MIN_WORDS words is removed.
 
 Digests and ids are shuffled, not texts, until the runs are known; counts are added before the shuffle. Hot passages
 are rows like any others: their digests are joined, not gathered, and their surroundings are fetched once.
@@ -17,6 +19,7 @@ becomes empty; an empty table gives an empty table; other columns are kept.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +31,14 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import bounded_batches, written
 
-#: Bytes on either side among which a cut has the largest hash; chunks are about twice as long. A passage of more than
-#: MIN_WORDS short words then still holds two whole chunks in a row.
+#: Bytes on either side among which a cut has the largest hash; chunks are about twice as long.
 RADIUS = 14
+#: Words on either side among which a cut has the largest hash where all of them begin within NEAR_BYTES, so that a
+#: passage of more than MIN_WORDS short words still holds two whole chunks in a row.
+NEAR = 2
+NEAR_BYTES = 20
+#: Chunk pairs that tell the place in a source where a run is extended.
+CONTEXT = 4
 MIN_WORDS = 50
 #: Chunks at either end of a run that it can be extended into: near a passage's end, cuts depend on what follows it.
 REACH = 3
@@ -68,17 +76,31 @@ def chunked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     padded[RADIUS : len(b) + RADIUS] = gear(b)
     most = _ahead(padded, RADIUS)
     h = padded[RADIUS : len(b) + RADIUS]
-    peaks = np.flatnonzero((h > most[: len(b)]) & (h >= most[RADIUS + 1 : RADIUS + 1 + len(b)])) if len(b) > 1 else np.zeros(0, np.int64)
+    peaks = np.flatnonzero((h >= most[: len(b)]) & (h >= most[RADIUS + 1 : RADIUS + 1 + len(b)])) if len(b) > 1 else np.zeros(0, np.int64)
     at = np.searchsorted(words, peaks, side="right")
     cuts = words[np.unique(at[at < len(words)])]
+    n = 2 * NEAR + 1
+    if len(words) > n:
+        dense = words[n:] - words[:-n] <= NEAR_BYTES
+        around = np.lib.stride_tricks.sliding_window_view(h[words], n)[:-1]
+        cuts = np.concatenate((cuts, words[NEAR : NEAR + len(dense)][dense & (around[:, NEAR] == around.max(axis=1))]))
     return np.unique(np.concatenate((words[:1], cuts, [len(b)]))), words
 
 
 def digests(data: bytes, starts: np.ndarray) -> list[int]:
-    """Of each two chunks that follow one another, so that repeats which only happen to meet don't join; of a lone one."""
+    """Of each two chunks that follow one another, so that repeats which only happen to meet don't join; of a lone one.
+
+    Equal ones in a row are numbered: many times the same is no repeat of a few times.
+    """
     edges = starts.tolist()
     ends = edges[2:] or edges[1:]
-    return [xxhash.xxh3_64_intdigest(data[s:e].rstrip(b" \t\n\r\f\v")) - (1 << 63) for s, e in zip(edges, ends)]
+    out, before, k = [], None, 0
+    for s, e in zip(edges, ends):
+        content = data[s:e].rstrip(b" \t\n\r\f\v")
+        k = k + 1 if content == before else 0
+        before = content
+        out.append(xxhash.xxh3_64_intdigest(content, k) - (1 << 63))
+    return out
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -106,7 +128,22 @@ def repeats(cut: DataFrame) -> DataFrame:
     return each.join(common, "digest").where("source < doc_id")
 
 
-RUN = "doc_id long, begin int, end int, before int, after int, words int, first long, first_end int, first_source long, last long, last_source long"
+#: `asks`: the places to extend against, by a key, on the left of `context` or on its right.
+RUN = "doc_id long, begin int, end int, before int, after int, words int, first long, first_end int, asks array<struct<key:long,source:long,left:boolean,reach:int,context:array<long>>>"
+
+
+def _asks(own: list[int], sources: list[int], before: int, after: int) -> list[dict]:
+    """Where a run of chunk pairs is extended, and how many bytes are there to extend into (rounded up, so that copies
+    ask alike): in the source of most of the pairs, and in that of the pair at the end."""
+    counts = Counter(sources)
+    main, out = min(counts, key=lambda s: (-counts[s], s)), {}
+    for left, context, source, reach in ((True, own[:CONTEXT], sources[0], before), (False, own[-CONTEXT:], sources[-1], after)):
+        reach = -(-reach // 64) * 64
+        for s in (main, source):
+            key = xxhash.xxh3_64_intdigest(np.array([s, left, reach, *context], np.int64).tobytes()) - (1 << 63)
+            if reach:
+                out[key] = {"key": key, "source": s, "left": left, "reach": reach, "context": context}
+    return list(out.values())
 
 
 def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -114,8 +151,9 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("digest").alias("known"), F.collect_list("source").alias("sources"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RUN.split(", ")]
-        kinds = [pa.int64() if x.endswith("long") else pa.int32() for x in RUN.split(", ")]
+        names = [x.split()[0] for x in RUN.split(", ", 8)]
+        ask = pa.list_(pa.struct([("key", pa.int64()), ("source", pa.int64()), ("left", pa.bool_()), ("reach", pa.int32()), ("context", pa.list_(pa.int64()))]))
+        kinds = [pa.int64() if x.endswith(" long") else pa.int32() if x.endswith(" int") else ask for x in RUN.split(", ", 8)]
         for batch in batches:
             out = []
             for doc, own, starts, words, known, sources in zip(*(batch[c].to_pylist() for c in ("doc_id", "digests", "starts", "words", "known", "sources"))):
@@ -132,7 +170,7 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
                     inside = sum(words[i:last])
                     if sum(words[low:high]) > MIN_WORDS:
                         edges = (starts[i], starts[last], starts[low], starts[high])
-                        out.append((doc, *edges, inside, own[i], starts[min(i + 2, len(words))], source[own[i]], own[j], source[own[j]]))
+                        out.append((doc, *edges, inside, own[i], starts[min(i + 2, len(words))], _asks(own[i : j + 1], [source[d] for d in own[i : j + 1]], starts[i] - starts[low], starts[high] - starts[last])))
                     i = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)], names)
 
@@ -141,30 +179,46 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def surroundings(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
-    """(digest, left, right): what stands around the chunks at the runs' ends in their sources, as binary; written."""
-    ends = found.select(F.col("first").alias("digest"), F.col("first_source").alias("doc_id")).unionAll(found.select(F.col("last").alias("digest"), F.col("last_source").alias("doc_id"))).distinct()
-    asked = cut.select("doc_id", "digests", "starts").join(ends.groupBy("doc_id").agg(F.collect_set("digest").alias("asked")), "doc_id")
+    """(key, around): what stands left or right of the places that runs ask for, as binary; written."""
+    asks = found.select(F.explode("asks").alias("ask")).select("ask.*").dropDuplicates(["key"])
+    asked = cut.select("doc_id", "digests", "starts").join(asks.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("key", "left", "reach", "context")).alias("asked")), "doc_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, list] = ([], [])
             for text, own, starts, wanted in zip(*(batch[c].to_pylist() for c in ("text", "digests", "starts", "asked"))):
                 data = text.encode()
                 if not own or starts[-1] != len(data):  # another text of the same id
                     continue
-                where = {d: k for k, d in reversed(list(enumerate(own)))}
-                for d in wanted:
-                    if (k := where.get(d)) is not None:
-                        end = starts[min(k + 2, len(starts) - 1)]
-                        left, right = data[max(0, starts[k] - AROUND) : starts[k]], data[end : end + AROUND]
-                        out[0].append(d)
-                        # A word that the limit has cut is no whole word.
-                        out[1].append(left.partition(b" ")[2] if starts[k] > AROUND else left)
-                        out[2].append(right.rpartition(b" ")[0] if end + AROUND < len(data) else right)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["digest", "left", "right"])
-
-    fetched = docs.join(asked, "doc_id").select("text", "digests", "starts", "asked").mapInArrow(fetch, "digest long, left binary, right binary")
-    return written(fetched.dropDuplicates(["digest"]), "surroundings")
+                where: dict[int, list[int]] = {}
+                for k, d in enumerate(own):
+                    where.setdefault(d, []).append(k)
+                for ask in wanted:
+                    left, context = ask["left"], ask["context"]
+                    places = where.get(context[0] if left else context[-1])
+                    if not places:
+                        continue
+                    # The place where most of the context follows.
+                    k = max(places, key=lambda k: (sum(a == b for a, b in zip(own[k:], context)) if left else sum(a == b for a, b in zip(own[k::-1], context[::-1])), -k))
+                    end = starts[min(k + 2, len(starts) - 1)]
+                    out[0].append(ask["key"])
+                    words, size = (data[max(0, starts[k] - AROUND) : starts[k]] if left else data[end : end + AROUND]).split(), 0
+                    # A word that the limit has cut is no whole word.
+                    if left and starts[k] > AROUND:
+                        words = words[1:]
+                    elif not left and end + AROUND < len(data):
+                        words = words[:-1]
+                    near = []
+                    for w in reversed(words) if left else words:
+                        size += len(w) + 1
+                        if size > ask["reach"] + 1:
+                            break
+                        near.append(w)
+                    out[1].append(b" ".join(near[::-1] if left else near))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary()))], ["key", "around"])
+
+    fetched = docs.join(asked, "doc_id").select("text", "digests", "starts", "asked").mapInArrow(fetch, "key long, around binary")
+    return written(fetched.dropDuplicates(["key"]), "surroundings")
 
 
 _WORD = re.compile(rb"[^ \t\n\r\f\v]+")
@@ -184,11 +238,15 @@ def _same_words(own: bytes, other: bytes, from_end: bool) -> tuple[int, int]:
 def removed(text: str, found: list[dict]) -> tuple[str, int, list[tuple[int, int]]]:
     """The text without its repeated runs, how many words went, and their spans in code points."""
     data, spans, gone = text.encode(), [], 0
-    for r in sorted(found, key=lambda r: r["begin"]):
+    sides: dict[tuple, list] = {}
+    for r in found:
+        sides.setdefault((r["begin"], r["end"], r["first"]), []).append(r)
+    for _, rows in sorted(sides.items()):
+        r = rows[0]
         if r["after"] > len(data) or xxhash.xxh3_64_intdigest(data[r["begin"] : r["first_end"]].rstrip(b" \t\n\r\f\v")) - (1 << 63) != r["first"]:
             continue  # a run of another text of the same id
-        lead, start = _same_words(data[r["before"] : r["begin"]], r["left"] or b"", True)
-        tail, end = _same_words(data[r["end"] : r["after"]], r["right"] or b"", False)
+        lead, start = max(_same_words(data[r["before"] : r["begin"]], (x["around"] or b"") if x["left"] else b"", True) for x in rows)
+        tail, end = max(_same_words(data[r["end"] : r["after"]], b"" if x["left"] else x["around"] or b"", False) for x in rows)
         start, end = (r["before"] + start, r["end"] + end) if tail else (r["before"] + start, r["begin"] + len(data[r["begin"] : r["end"]].rstrip(b" \t\n\r\f\v")))
         if r["words"] + lead + tail > MIN_WORDS:
             start = max(start, spans[-1][1]) if spans else start
@@ -218,8 +276,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     cut = chunks(rows)
     found = runs(cut, repeats(cut))
     around = surroundings(rows, cut, found)
-    full = found.join(around.select(F.col("digest").alias("first"), "left"), "first", "left").join(around.select(F.col("digest").alias("last"), "right"), "last", "left")
-    per_doc = written(full.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "before", "after", "words", "first", "first_end", "left", "right")).alias("_runs")), "found")
+    full = found.withColumn("ask", F.explode_outer("asks")).withColumns({"key": F.col("ask.key"), "left": F.col("ask.left")}).drop("asks", "ask").join(around, "key", "left")
+    per_doc = written(full.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "before", "after", "words", "first", "first_end", "left", "around")).alias("_runs")), "found")
 
     @F.pandas_udf("text string, words long, spans string")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
