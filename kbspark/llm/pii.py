@@ -6,8 +6,10 @@ the other is written, spelled digits, "dot" between numbers), and keep for every
 character they write the source span it stands for. The same detectors run over the result, and their spans are mapped
 back to the source; one that holds rewritten characters and isn't a base span is added.
 
-Defined cases: a null or empty text has none; null keys, repeated rows and other columns pass through; an empty table
-gives an empty table; spans may overlap between kinds and, for disguised ones, with a base span of their kind.
+Defined cases: a null or empty text has none; null keys, repeated rows and other columns pass through, but for one named
+like the result, which is replaced; an empty table gives an empty table; spans may overlap between kinds and, for
+disguised ones, with a base span of their kind; no ties arise. A very long text is one value of a task: detectors and
+transducers take time and memory in proportion to it, whatever it holds.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,12 +86,10 @@ _SPELLED = re.compile(rf"\b(?:plus[ -]+)?{_NUMBER}(?:(?:[ ,.-]{{1,2}}|[ \t]+dot[
 _SIDE = rf"[{''.join(sorted({w[-1] for w in DIGIT_WORDS}))}]"
 _BESIDE = re.compile(rf"{_SIDE}[ ,.-]{{1,2}}{_ONE}\b|{_ONE}[ ,.-]{{1,2}}[0-9]|[0-9][ ,.-]{{1,2}}{_ONE}\b", re.I | re.A)
 _ITEM = re.compile(rf"plus|{_NUMBER}", re.I | re.A)
-_BRACKETED = re.compile(r"[ \t]*[\[({<][ \t]*(at|@|dot|\.)[ \t]*[\])}>][ \t]*", re.I | re.A)
-_OPENED = re.compile(r"[\[({<][ \t]*(?:at|@|dot|\.)", re.I | re.A)
+_BRACKETED = re.compile(r"[\[({<][ \t]*(at|@|dot|\.)[ \t]*[\])}>][ \t]*", re.I | re.A)
 _PART = r"[A-Za-z0-9_%+-]+"
 _AT = re.compile(r"@|(?<=[ \t])at(?=[ \t])", re.I | re.A)
 _HOST = re.compile(r"[ \t]*([A-Za-z0-9-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9-]+)+)", re.I | re.A)
-_DOT_BEFORE = re.compile(r"[ \t]dot[ \t]+\Z", re.I | re.A)
 _DOT_WORD = re.compile(r"[ \t]+dot[ \t]+", re.I | re.A)
 _HAS_DOT = re.compile(r"[ \t]dot[ \t]", re.I | re.A)
 # Fixed values that tell prose around a bare "at" ("look at the dot on the map", "more at example.com"): words that end no
@@ -112,22 +113,28 @@ class Rewritten:
     """A text with, for each character, the source span it stands for and whether it was rewritten."""
 
     def __init__(self, text: str):
-        self.text, self.spans, self.changed = text, None, None
+        self.text, self.starts, self.ends, self.changed = text, None, None, None
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Apply (start, end, new) edits, ascending and apart, given in this text's positions."""
         if not edits:
             return
-        spans = self.spans or [(i, i + 1) for i in range(len(self.text))]
-        changed = self.changed or bytes(len(self.text))
-        out, out_spans, out_changed, at = [], [], bytearray(), 0
-        for start, end, new in edits:
-            out += [self.text[at:start], new]
-            out_spans += spans[at:start] + [(spans[start][0], spans[end - 1][1])] * len(new)
-            out_changed += changed[at:start] + b"\1" * len(new)
-            at = end
-        self.text = "".join([*out, self.text[at:]])
-        self.spans, self.changed = out_spans + spans[at:], bytes(out_changed + changed[at:])
+        if self.starts is None:
+            self.starts = np.arange(len(self.text), dtype=np.int32)
+            self.ends, self.changed = self.starts + 1, np.zeros(len(self.text), bool)
+        begins, stops, news = zip(*edits)
+        # Kept stretches and new ones by turns: where each begins and ends here, and how long it is in the new text.
+        first = np.zeros(2 * len(edits) + 1, np.int64)
+        last = np.full(len(first), len(self.text), np.int64)
+        first[1::2], first[2::2], last[1::2], last[:-1:2] = begins, stops, stops, begins
+        length, kept = last - first, np.arange(len(first)) % 2 == 0
+        length[1::2] = [len(x) for x in news]
+        place = np.repeat(first, length)
+        stays = np.repeat(kept, length)
+        place += np.where(stays, np.arange(len(place)) - np.repeat(np.cumsum(length) - length, length), 0)
+        self.starts, self.ends = self.starts[place], self.ends[np.where(stays, place, np.repeat(last, length) - 1)]
+        self.changed = ~stays | self.changed[place]
+        self.text = "".join(x for pair in zip((self.text[a:b] for a, b in zip((0, *stops), begins)), news) for x in pair) + self.text[stops[-1] :]
 
 
 def _prose(r: Rewritten, start: int, local: str, host: re.Match, labels: list[str]) -> bool:
@@ -135,7 +142,7 @@ def _prose(r: Rewritten, start: int, local: str, host: re.Match, labels: list[st
     first, last, word = labels[0].lower(), labels[-1].lower(), local.lower()
     if first in _NO_HOST or len(last) < 2 or not last.isalpha():
         return True
-    spelled = _DOT_WORD.search(host[1]) or r.changed and any(r.changed[host.start() : host.end()])
+    spelled = _DOT_WORD.search(host[1]) or r.changed is not None and r.changed[host.start() : host.end()].any()
     if spelled and last in _ENDS:
         return False
     if word in _PROSE or len(word) >= 6 and word.endswith(("ed", "ing")) and not _CUE.search(r.text, max(0, start - 40), start):
@@ -143,6 +150,30 @@ def _prose(r: Rewritten, start: int, local: str, host: re.Match, labels: list[st
     return not spelled and (last in _FILES or not (labels[-1].islower() or host[1].isupper()) or r.text[host.end() : host.end() + 1] in ("(", "/", ":", "_"))
 
 
+def _after(matches: Iterator[re.Match]) -> Iterator[tuple[int, re.Match]]:
+    """Matches, each with the end of the one before it."""
+    last = 0
+    for m in matches:
+        yield last, m
+        last = m.end()
+
+
+def _back(text: str, at: int, last: int) -> int:
+    """Where the spaces and tabs before `at` begin."""
+    while at > last and text[at - 1] in " \t":
+        at -= 1
+    return at
+
+
+def _dot_before(text: str, at: int, last: int) -> int | None:
+    """Where a bare "dot" between spaces that ends at `at` begins."""
+    word = _back(text, at, last)
+    if word == at or word - 3 < last or text[word - 3 : word].lower() != "dot":
+        return None
+    start = _back(text, word - 3, last)
+    return start if start < word - 3 else None
+
+
 def _addresses(r: Rewritten) -> list[tuple[int, int, str]]:
     """Bare "at" and "dot" inside addresses become signs, each however the other is written."""
     text, edits, last = r.text, [], 0
@@ -159,21 +190,14 @@ def _addresses(r: Rewritten) -> list[tuple[int, int, str]]:
         if len(pieces) < 2:
             continue
         host = _HOST.match(text, at.end(), host.start(1) + pieces[-1].end())
-        at_start = at.start()
-        while bare and at_start > last and text[at_start - 1] in " \t":
-            at_start -= 1
+        at_start = _back(text, at.start(), last) if bare else at.start()
         dots, start = [], at_start
         while True:
             begun = start
             while start > last and text[start - 1] in _LOCAL:
                 start -= 1
-            word = start < begun and _DOT_BEFORE.search(text, max(last, start - 32), start)
-            if not word:
-                break
-            back = word.start()
-            while back > last and text[back - 1] in " \t":
-                back -= 1
-            if back == last or text[back - 1] not in _LOCAL:
+            back = _dot_before(text, start, last) if start < begun else None
+            if back is None or back == last or text[back - 1] not in _LOCAL:
                 break
             dots.append((back, start, "."))
             start = back
@@ -231,8 +255,7 @@ def deobfuscated(text: str) -> Rewritten:
     r = Rewritten(text)
     if odd(text):
         r.replace([(m.start(), m.end(), _CHARACTERS[m[0]]) for m in _ODD.finditer(text)])
-    if _OPENED.search(r.text):
-        r.replace([(*m.span(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(r.text)])
+    r.replace([(_back(r.text, m.start(), last), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for last, m in _after(_BRACKETED.finditer(r.text))])
     dot = _HAS_DOT.search(r.text)
     if dot or _AT.search(r.text):
         r.replace(_addresses(r))
@@ -246,10 +269,10 @@ def personal(text: str) -> list[dict]:
     base = detected(text)
     found = {(*x, False) for x in base}
     r = deobfuscated(text)
-    if r.spans is not None:
+    if r.starts is not None:
         for place, start, end in detected(r.text):
-            span = (place, r.spans[start][0], r.spans[end - 1][1])
-            if any(r.changed[start:end]) or span[2] - span[1] != end - start:
+            span = (place, int(r.starts[start]), int(r.ends[end - 1]))
+            if r.changed[start:end].any() or span[2] - span[1] != end - start:
                 if (*span, False) not in found:
                     found.add((*span, True))
     return [{"place": p, "kind": KINDS[p], "start": s, "end": e, "added": a} for p, s, e, a in sorted(found)]

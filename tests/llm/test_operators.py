@@ -173,7 +173,7 @@ def test_secrets(spark, docs, empty):
 
 def base_plain(text: str) -> set:
     found = {("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)}
-    found |= {("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))}
+    found |= {("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x.lstrip("0")[:4] or 0) <= 255 for x in m[0].split("."))}
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub("[^0-9]", "", m[0])
         if 16 <= len(d) <= 19 and pii.luhn(d):

@@ -1,6 +1,10 @@
+import random
+import time
+
 import pytest
 
 from kbspark.llm import pii
+from tests.llm.test_operators import base_plain
 
 
 @pytest.mark.parametrize(
@@ -42,3 +46,48 @@ def test_prose(text):
 
 def test_long_zeros():
     assert [s["kind"] for s in pii.personal("0" * 5000 + ".0.0.1")] == ["ip"]
+
+
+LONG = ["1 ", "a-", "a.", "one ", "1-", "+1", "а", "at ", " dot ", "a@", "(at", " ", "one two 1 ", "walked at dot dot dot ", "1.", "0"]
+
+
+@pytest.mark.parametrize("part", LONG)
+def test_very_long_texts(part):
+    """Time grows with the text, not with its square; base spans are those of the plain patterns."""
+    tail = " x(at) mail dot com one two dot 1.2.3.4"
+    took = []
+    for n in (20_000, 80_000):
+        text = "one two " + part * (n // len(part)) + tail
+        start = time.process_time()
+        found = pii.personal(text)
+        took.append(time.process_time() - start)
+        assert any(not s["added"] and text[s["start"] : s["end"]] == "1.2.3.4" for s in found)
+    assert took[1] < 12 * took[0] + 0.3
+
+
+def test_base_spans_with_long_runs():
+    rng = random.Random(8)
+    parts = ["1", "0", "a", ".", "-", " ", "@", "+", "(", "dot ", "at ", "4111 1111 1111 1111", "255.", "x@y.zz"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) * rng.choice((1, 1, 2, 3, 40)) for _ in range(rng.randrange(1, 12)))
+        assert {(s["kind"], s["start"], s["end"]) for s in pii.personal(t) if not s["added"]} == base_plain(t), t
+
+
+def test_spans_map_back():
+    """Each added span, rewritten alone, is found as a whole."""
+    rng = random.Random(9)
+    parts = ["jane", " (at) ", " at ", "mаil", " dot ", "com", "１", "one ", "two ", "+", "plus ", "​", ".", "@", " and ", "192", "five "]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(3, 14)))
+        r = pii.deobfuscated(t)
+        if r.starts is not None:
+            assert len(r.starts) == len(r.ends) == len(r.changed) == len(r.text)
+            assert all(t[s:e] == c for s, e, c, new in zip(r.starts, r.ends, r.text, r.changed) if not new)
+            assert (r.starts[1:] >= r.starts[:-1]).all() and (r.ends <= len(t)).all() and (r.starts < r.ends).all()
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cc", "x", 1)], "doc_id long, text string, personal string, start int")
+    (row,) = pii.detect(df).collect()
+    assert [s.kind for s in row.personal] == ["email"] and row.start == 1 and row.text == "a@b.cc"
+    assert pii.mask(df).collect()[0].personal == "x"
