@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches, text_or_empty
+from kbspark.llm.common import text_or_empty
 
 #: Pre-tokens in each of the two generations that a worker remembers.
 REMEMBERED = 1 << 18
@@ -172,7 +172,6 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """`df` with `coded`: ids (binary, little-endian unsigned 32-bit), n_tokens and the bytes decoded from the ids."""
-    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("ids binary, n_tokens long, decoded binary")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,7 @@
-"""Reading tables, shared intermediate tables and batch sizes for the operators of this subpackage."""
+"""Reading tables and shared intermediate tables for the operators of this subpackage.
+
+Arrow batches keep the session's own limits: Spark ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
+"""
 
 from __future__ import annotations
 
@@ -8,30 +11,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold. Texts can be long, so batches stay small.
-BATCH_ROWS = 128
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in tests, a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, a folder of this machine serves a local session, as in tests; on a cluster that is an error, as
+    executors would write to disks of their own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        at = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        context = spark.sparkContext._jsc.sc()
+        if not context.getCheckpointDir().isDefined():
+            if not context.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        at = context.getCheckpointDir().get()
     return at
 
 
@@ -39,12 +37,32 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The tables that an operator writes on its way, in a folder of its own in the shared folder.
+
+    A table cuts the lineage and survives lost executors. It is dropped when what was made of it is written too.
+    """
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.at = spark, shared_path(spark, what)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            deleted(self.spark, f"{self.at}/{name}")
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written as a Parquet table in the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, what).written(df, "table")
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches, text_or_empty
+from kbspark.llm.common import text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -163,5 +163,4 @@ def extracted(html: Column) -> Column:
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """`pages` with `text`, the main text of the whole `html`."""
-    bounded_batches(pages.sparkSession)
     return pages.withColumn("text", extracted(text_or_empty(html)))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches, text_or_empty, written
+from kbspark.llm.common import text_or_empty, written
 from kbspark.llm.components import components
 
 WORDS = 5
@@ -227,7 +227,6 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id it reaches), kept (doc_id is component_id)."""
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     made = sets(rows)
     members = made.where("n > 0 AND doc_id IS NOT NULL")

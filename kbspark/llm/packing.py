@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches, text_or_empty
+from kbspark.llm.common import text_or_empty
 
 DIMENSIONS, BITS, FEATURES = 3, 10, 256
 
@@ -131,7 +131,6 @@ def pack(df: DataFrame, path: str, end_id: int, length: int = 2048, key: str = "
     One shuffle, by range of curve position (texts move, tokens are made after it); ties go by key and text digest, so
     that a group of copies may be split between partitions. A task holds one batch and one open sequence.
     """
-    bounded_batches(df.sparkSession)
     docs = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     docs = docs.withColumn("curve", curve_key(F.col("text"))).withColumn("tie", F.xxhash64("text"))
     order = ["curve", "doc_id", "tie"]

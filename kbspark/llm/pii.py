@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches, text_or_empty
+from kbspark.llm.common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "struct<place:int,kind:string,start:int,end:int,added:boolean>"
@@ -289,7 +289,6 @@ def found_in(text: Column) -> Column:
 
 def detect(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with `personal`: spans (code points, end exclusive) by kind, then start."""
-    bounded_batches(df.sparkSession)
     return df.withColumn("personal", found_in(text_or_empty(text)))
 
 
@@ -305,7 +304,6 @@ def masked(text: str) -> str:
 
 def mask(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with personal data in `text` masked; nulls stay null."""
-    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def hide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches, text_or_empty, written
+from kbspark.llm.common import text_or_empty, written
 
 
 def either_case(words: str) -> str:
@@ -71,7 +71,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: s
     `owner` is the part of the repository's name before the first '/' unless given. Verdicts: 'copied' (`wide` or more
     owners hold it), 'live' (fewer, and it looks random), 'plain' (the rest).
     """
-    bounded_batches(docs.sparkSession)
     repo = F.coalesce(F.col(repository).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), repo.alias("repository"), F.coalesce(owner if owner is not None else F.split(repo, "/")[0], F.lit("")).alias("owner"), found_in(text_or_empty(text)).alias("secrets"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")

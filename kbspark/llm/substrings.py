@@ -3,23 +3,28 @@
 A text is cut where the gear hash of the last 16 bytes is the largest within RADIUS bytes on either side, moved on to
 the next word's start: cuts depend on nearby bytes only, so a passage has the same inner chunks wherever it stands, and
 an insertion shifts nothing but its own chunks. Texts that repeat every few bytes are cut at each of their equal peaks,
-and among short words a cut also stands where the hash is the largest of NEAR words on either side. Digests of chunks, two by two, are counted over all documents; a pair
-that also stands in a document of smaller id is a repeat. Runs of repeats are extended word by word into the chunks at their ends,
-against what stands there in the document that is the source of most of the run's chunks (or of the chunk at the end),
-where most of the run's chunks follow one another, and a run of more than MIN_WORDS words is removed.
+and among short words a cut also stands where the hash is the largest of NEAR words on either side. Digests of chunks,
+two by two, are counted over all documents; a pair that also stands in a document of smaller id is a repeat, and the
+least such document is its source.
 
-Digests and ids are shuffled, not texts, until the runs are known; counts are added before the shuffle. Hot passages
-are rows like any others: their digests are joined, not gathered, and their surroundings are fetched once.
+A run of repeats is only a candidate. It is sent to each source of its pairs, which answers with the stretches of the
+run that follow one another there too, and with the words around each. A stretch with the words around it that are the
+same on both sides is removed if it has more than MIN_WORDS words: what goes stands as a whole in one earlier document.
+A passage stays where every pair of it also stands, in other company, in documents before the first that holds it whole.
+
+Digests and ids are shuffled, not texts, until the runs are known; counts are added before the shuffle. Equal runs ask a
+source once, and the questions to one source are dealt to groups of ASKS, so that a hot source is no single row.
 
 Defined cases: null and empty texts stay as they are; rows with a null id stay and are no source; rows of one id count
 as one document, so none of them repeats another; repeats within one document stay; a document that is repeated whole
-becomes empty; an empty table gives an empty table; other columns are kept.
+becomes empty; of equal passages that of the least id stays, so no ties arise; an empty table gives an empty table; other
+columns are kept, but for those named removed_words and removed_spans, which are replaced. A very long text is one value
+of a task, as are its digests; time and memory grow in proportion to it.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches, written
+from kbspark.llm.common import Scratch
 
 #: Bytes on either side among which a cut has the largest hash; chunks are about twice as long.
 RADIUS = 14
@@ -37,13 +42,13 @@ RADIUS = 14
 #: passage of more than MIN_WORDS short words still holds two whole chunks in a row.
 NEAR = 2
 NEAR_BYTES = 20
-#: Chunk pairs that tell the place in a source where a run is extended.
-CONTEXT = 4
 MIN_WORDS = 50
-#: Chunks at either end of a run that it can be extended into: near a passage's end, cuts depend on what follows it.
-REACH = 3
-#: Bytes around a chunk that a run can be extended into; chunks of words are shorter.
-AROUND = 512
+#: Cuts nearer than this to a passage's end may depend on what follows it: the hash's bytes, and a radius or NEAR words.
+EDGE = 64
+#: Between the digests of equal pairs in a row.
+STEP = 0x9E3779B97F4A7C15
+#: Questions to a source that are answered in a row.
+ASKS = 256
 _GEAR = np.random.default_rng(20240102).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -90,35 +95,49 @@ def chunked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def digests(data: bytes, starts: np.ndarray) -> list[int]:
     """Of each two chunks that follow one another, so that repeats which only happen to meet don't join; of a lone one.
 
-    Equal ones in a row are numbered: many times the same is no repeat of a few times.
+    Equal ones in a row are numbered, by STEP, so that the source of the n-th has as many in a row.
     """
     edges = starts.tolist()
-    ends = edges[2:] or edges[1:]
-    out, before, k = [], None, 0
-    for s, e in zip(edges, ends):
+    out, before, n = [], None, 0
+    for s, e in zip(edges, edges[2:] or edges[1:]):
         content = data[s:e].rstrip(b" \t\n\r\f\v")
-        k = k + 1 if content == before else 0
+        n = n + STEP if content == before else 0
         before = content
-        out.append(xxhash.xxh3_64_intdigest(content, k) - (1 << 63))
+        out.append((xxhash.xxh3_64_intdigest(content) + n) % (1 << 64) - (1 << 63))
     return out
 
 
+def unnumbered(own: list[int]) -> list[int]:
+    """A whole text's digests without their numbers."""
+    out, before = [], None
+    for d in own:
+        out.append(out[-1] if before is not None and (d - before - STEP) % (1 << 64) == 0 else d)
+        before = d
+    return out
+
+
+def whole(data: bytes) -> int:
+    """A text's digest, by which rows of one id are told apart."""
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests of chunk pairs, starts of the chunks and the end, words in each chunk), per document; written."""
+    """(doc_id, whole: the text's digest, digests of chunk pairs, starts of the chunks and the end, words in each chunk)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
+            rows: tuple[list, ...] = ([], [], [], [])
             for text in batch["text"].to_pylist():
                 data = text.encode()
                 starts, words = chunked(data)
-                rows[0].append(digests(data, starts))
-                rows[1].append(starts.astype(np.int32))
-                rows[2].append(np.diff(np.searchsorted(words, starts)).astype(np.int32))
-            arrays = [pa.array(c, pa.list_(t)) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", "digests", "starts", "words"])
+                rows[0].append(whole(data))
+                rows[1].append(digests(data, starts))
+                rows[2].append(starts.astype(np.int32))
+                rows[3].append(np.diff(np.searchsorted(words, starts)).astype(np.int32))
+            arrays = [pa.array(c, t) for c, t in zip(rows, (pa.int64(), *(pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32()))))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", "whole", "digests", "starts", "words"])
 
-    return written(docs.mapInArrow(cut, "doc_id long, digests array<long>, starts array<int>, words array<int>"), "chunks")
+    return docs.mapInArrow(cut, "doc_id long, whole long, digests array<long>, starts array<int>, words array<int>")
 
 
 def repeats(cut: DataFrame) -> DataFrame:
@@ -128,100 +147,165 @@ def repeats(cut: DataFrame) -> DataFrame:
     return each.join(common, "digest").where("source < doc_id")
 
 
-#: `asks`: the places to extend against, by a key, on the left of `context` or on its right.
-RUN = "doc_id long, begin int, end int, before int, after int, words int, first long, first_end int, asks array<struct<key:long,source:long,left:boolean,reach:int,context:array<long>>>"
+
+#: A run: `before` and `after` are where the texts around it begin and end that can belong to the passage too; `reach` is
+#: how many bytes beside any stretch of it can; `starts` are those of its chunks, with the run's end.
+RUN = "doc_id long, whole long, before int, after int, reach int, starts array<int>, digests array<long>, sources array<long>"
+_RUN = pa.schema([*((x, pa.int64()) for x in ("doc_id", "whole")), *((x, pa.int32()) for x in ("before", "after", "reach")), ("starts", pa.list_(pa.int32())), *((x, pa.list_(pa.int64())) for x in ("digests", "sources"))])
 
 
-def _asks(own: list[int], sources: list[int], before: int, after: int) -> list[dict]:
-    """Where a run of chunk pairs is extended, and how many bytes are there to extend into (rounded up, so that copies
-    ask alike): in the source of most of the pairs, and in that of the pair at the end."""
-    counts = Counter(sources)
-    main, out = min(counts, key=lambda s: (-counts[s], s)), {}
-    for left, context, source, reach in ((True, own[:CONTEXT], sources[0], before), (False, own[-CONTEXT:], sources[-1], after)):
-        reach = -(-reach // 64) * 64
-        for s in (main, source):
-            key = xxhash.xxh3_64_intdigest(np.array([s, left, reach, *context], np.int64).tobytes()) - (1 << 63)
-            if reach:
-                out[key] = {"key": key, "source": s, "left": left, "reach": reach, "context": context}
-    return list(out.values())
+def _around(starts: list[int], first: int, last: int) -> tuple[int, int]:
+    """The chunks from and up to which the words around those from `first` to `last` can belong to the same passage.
+
+    The chunk beside them may have been cut off at its other end by what stands around, within EDGE bytes of it.
+    """
+    low, high = max(0, first - 1), min(last + 1, len(starts) - 1)
+    edges = starts[low] - EDGE, starts[high] + EDGE
+    while low > 0 and starts[low] > edges[0]:
+        low -= 1
+    while high < len(starts) - 1 and starts[high] < edges[1]:
+        high += 1
+    return low, high
 
 
 def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Maximal runs of repeats that, with REACH chunks at their ends, hold more than MIN_WORDS words; written."""
+    """Maximal runs of repeats that, with the chunks around them, hold more than MIN_WORDS words."""
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("digest").alias("known"), F.collect_list("source").alias("sources"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RUN.split(", ", 8)]
-        ask = pa.list_(pa.struct([("key", pa.int64()), ("source", pa.int64()), ("left", pa.bool_()), ("reach", pa.int32()), ("context", pa.list_(pa.int64()))]))
-        kinds = [pa.int64() if x.endswith(" long") else pa.int32() if x.endswith(" int") else ask for x in RUN.split(", ", 8)]
         for batch in batches:
             out = []
-            for doc, own, starts, words, known, sources in zip(*(batch[c].to_pylist() for c in ("doc_id", "digests", "starts", "words", "known", "sources"))):
-                source, n, i = dict(zip(known, sources)), len(own), 0
+            for doc, text, own, starts, words, known, sources in zip(*(batch[c].to_pylist() for c in ("doc_id", "whole", "digests", "starts", "words", "known", "sources"))):
+                source, n, i, plain = dict(zip(known, sources)), len(own), 0, unnumbered(own)
                 while i < n:
                     if own[i] not in source:
                         i += 1
                         continue
                     j = i
-                    while j + 1 < n and own[j + 1] in source:
+                    # Of equal pairs in a row, those beyond the longest row elsewhere repeat as well.
+                    while j + 1 < n and (own[j + 1] in source or plain[j + 1] == plain[j]):
                         j += 1
                     last = min(j + 2, len(words))  # the chunk after the run
-                    low, high = max(0, i - REACH), min(last + REACH, len(words))
-                    inside = sum(words[i:last])
+                    low, high = _around(starts, i, last)
                     if sum(words[low:high]) > MIN_WORDS:
-                        edges = (starts[i], starts[last], starts[low], starts[high])
-                        out.append((doc, *edges, inside, own[i], starts[min(i + 2, len(words))], _asks(own[i : j + 1], [source[d] for d in own[i : j + 1]], starts[i] - starts[low], starts[high] - starts[last])))
+                        edges = starts[i : last + 1]
+                        reach = max(edges[0] - starts[low], starts[high] - edges[-1], 2 * EDGE + max(b - a for a, b in zip(edges, edges[1:])))
+                        # Rounded up, so that copies ask alike.
+                        out.append((doc, text, starts[low], starts[high], -(-reach // EDGE) * EDGE, edges, plain[i : j + 1], sorted({source[d] for d in own[i : j + 1] if d in source})))
                     i = j + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_RUN), _RUN.types)], schema=_RUN)
+
+    return cut.join(per_doc, "doc_id").select("doc_id", "whole", "digests", "starts", "words", "known", "sources").mapInArrow(find, RUN)
+
+
+def stretches(run: list[int], own: list[int], where: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    """(first, last, place): the maximal stretches of `run` that stand in `own`, from `place` on, none inside another."""
+    if sum(len(where.get(d, ())) for d in run) > 16 * len(run) + 4096:
+        return _stretches_by_automaton(run, own)
+    out, now = [], {}  # the place in `own` of the last digest of each stretch that goes on, with its first in `run`
+    for i, d in enumerate([*run, None]):
+        following = {p: now.get(p - 1, i) for p in where.get(d, ())}
+        ended = [(first, p) for p, first in now.items() if p + 1 not in following]
+        if ended:
+            first, _ = min(ended)
+            if first < min(following.values(), default=i + 1):
+                out += [(first, i - 1, p - (i - 1 - first)) for f, p in ended if f == first]
+        now = following
+    return out
 
-    joined = cut.join(per_doc, "doc_id").select("doc_id", "digests", "starts", "words", "known", "sources")
-    return written(joined.mapInArrow(find, RUN), "runs")
+
+def _stretches_by_automaton(run: list[int], own: list[int]) -> list[tuple[int, int, int]]:
+    """The same in time that grows with the lengths only, for texts that repeat themselves (Blumer et al., 1985)."""
+    length, link, end, following = [0], [-1], [-1], [{}]
+    state = 0
+    for i, d in enumerate(own):
+        new, p = len(length), state
+        length.append(length[state] + 1), link.append(0), end.append(i), following.append({})
+        while p >= 0 and d not in following[p]:
+            following[p][d] = new
+            p = link[p]
+        if p >= 0:
+            q = following[p][d]
+            if length[q] > length[p] + 1:
+                copy = len(length)
+                length.append(length[p] + 1), link.append(link[q]), end.append(end[q]), following.append(dict(following[q]))
+                while p >= 0 and following[p].get(d) == q:
+                    following[p][d] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        state = new
+    out, state, n, before = [], 0, 0, None
+    for i, d in enumerate([*run, None]):
+        while state and d not in following[state]:
+            state = link[state]
+            n = length[state]
+        if d in following[state]:
+            state, n = following[state][d], n + 1
+        else:
+            state, n = 0, 0
+        first = i - n + 1
+        if before and (not n or first > before[0]):
+            out.append(before)
+        before = (first, i, end[state] - n + 1) if n else None
+    return out
+
+
+_WORD = re.compile(rb"[^ \t\n\r\f\v]+")
 
 
-def surroundings(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, around): what stands left or right of the places that runs ask for, as binary; written."""
-    asks = found.select(F.explode("asks").alias("ask")).select("ask.*").dropDuplicates(["key"])
-    asked = cut.select("doc_id", "digests", "starts").join(asks.groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("key", "left", "reach", "context")).alias("asked")), "doc_id")
+def _near(data: bytes, at: int, reach: int, left: bool) -> bytes:
+    """The words on one side of `at`, as many as take up to `reach` bytes."""
+    size = 2 * reach + EDGE
+    while True:
+        part = data[max(0, at - size) : at] if left else data[at : at + size]
+        words, whole = part.split(), len(part) < size
+        # A word that the limit has cut is no whole word.
+        words = words if whole else words[1:] if left else words[:-1]
+        out, taken = [], -1
+        for w in reversed(words) if left else words:
+            taken += len(w) + 1
+            if taken > reach:
+                break
+            out.append(w)
+        if whole or taken > reach:
+            return b" ".join(out[::-1] if left else out)
+        size *= 2
+
+
+ANSWER = "source long, key long, first int, last int, left binary, right binary"
+_ANSWER = pa.schema([("source", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+
+
+def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
+    """(source, key, first, last, left, right): stretches of runs that stand in a source, and the words around them there."""
+    asks = found.select(F.explode("sources").alias("source"), "key", "digests", "reach").dropDuplicates(["source", "key"])
+    parts = asks.groupBy("source").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))
+    dealt = asks.join(parts, "source").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    asked = dealt.groupBy("source", "part").agg(F.collect_list(F.struct("key", "reach", "digests")).alias("asked"))
+    texts = docs.join(cut.select("doc_id", "whole", F.col("digests").alias("own"), "starts"), "doc_id").join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for text, own, starts, wanted in zip(*(batch[c].to_pylist() for c in ("text", "digests", "starts", "asked"))):
+            out = []
+            for doc, text, digest, own, starts, asked in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "whole", "own", "starts", "asked"))):
                 data = text.encode()
-                if not own or starts[-1] != len(data):  # another text of the same id
+                if whole(data) != digest:  # another text of the same id
                     continue
                 where: dict[int, list[int]] = {}
+                own = unnumbered(own)
                 for k, d in enumerate(own):
                     where.setdefault(d, []).append(k)
-                for ask in wanted:
-                    left, context = ask["left"], ask["context"]
-                    places = where.get(context[0] if left else context[-1])
-                    if not places:
-                        continue
-                    # The place where most of the context follows.
-                    k = max(places, key=lambda k: (sum(a == b for a, b in zip(own[k:], context)) if left else sum(a == b for a, b in zip(own[k::-1], context[::-1])), -k))
-                    end = starts[min(k + 2, len(starts) - 1)]
-                    out[0].append(ask["key"])
-                    words, size = (data[max(0, starts[k] - AROUND) : starts[k]] if left else data[end : end + AROUND]).split(), 0
-                    # A word that the limit has cut is no whole word.
-                    if left and starts[k] > AROUND:
-                        words = words[1:]
-                    elif not left and end + AROUND < len(data):
-                        words = words[:-1]
-                    near = []
-                    for w in reversed(words) if left else words:
-                        size += len(w) + 1
-                        if size > ask["reach"] + 1:
-                            break
-                        near.append(w)
-                    out[1].append(b" ".join(near[::-1] if left else near))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary()))], ["key", "around"])
-
-    fetched = docs.join(asked, "doc_id").select("text", "digests", "starts", "asked").mapInArrow(fetch, "key long, around binary")
-    return written(fetched.dropDuplicates(["key"]), "surroundings")
+                for ask in asked:
+                    for first, last, place in stretches(ask["digests"], own, where):
+                        end = starts[min(place + last - first + 2, len(starts) - 1)]
+                        left, right = _near(data, starts[place], ask["reach"], True), _near(data, end, ask["reach"], False)
+                        if len((left + b" " + data[starts[place] : end] + b" " + right).split()) > MIN_WORDS:
+                            out.append((doc, ask["key"], first, last, left, right))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_ANSWER), _ANSWER.types)], schema=_ANSWER)
 
-
-_WORD = re.compile(rb"[^ \t\n\r\f\v]+")
+    return texts.select("doc_id", "text", "whole", "own", "starts", "asked").mapInArrow(fetch, ANSWER)
 
 
 def _same_words(own: bytes, other: bytes, from_end: bool) -> tuple[int, int]:
@@ -236,30 +320,38 @@ def _same_words(own: bytes, other: bytes, from_end: bool) -> tuple[int, int]:
 
 
 def removed(text: str, found: list[dict]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without its repeated runs, how many words went, and their spans in code points."""
-    data, spans, gone = text.encode(), [], 0
-    sides: dict[tuple, list] = {}
+    """The text without its repeated stretches, how many words went, and their spans in code points."""
+    data, spans = text.encode(), []
+    own = whole(data)
     for r in found:
-        sides.setdefault((r["begin"], r["end"], r["first"]), []).append(r)
-    for _, rows in sorted(sides.items()):
-        r = rows[0]
-        if r["after"] > len(data) or xxhash.xxh3_64_intdigest(data[r["begin"] : r["first_end"]].rstrip(b" \t\n\r\f\v")) - (1 << 63) != r["first"]:
-            continue  # a run of another text of the same id
-        lead, start = max(_same_words(data[r["before"] : r["begin"]], (x["around"] or b"") if x["left"] else b"", True) for x in rows)
-        tail, end = max(_same_words(data[r["end"] : r["after"]], b"" if x["left"] else x["around"] or b"", False) for x in rows)
-        start, end = (r["before"] + start, r["end"] + end) if tail else (r["before"] + start, r["begin"] + len(data[r["begin"] : r["end"]].rstrip(b" \t\n\r\f\v")))
-        if r["words"] + lead + tail > MIN_WORDS:
-            start = max(start, spans[-1][1]) if spans else start
-            spans.append((start, end))
-            gone += r["words"] + lead + tail
-    if not spans:
+        if r["whole"] != own:  # a run of another text of the same id
+            continue
+        starts, first, last = r["starts"], r["first"], r["last"]
+        begin, end = int(starts[first]), int(starts[min(last + 2, len(starts) - 1)])
+        lead, start = _same_words(data[r["before"] : begin], r["left"], True)
+        tail, stop = _same_words(data[end : r["after"]], r["right"], False)
+        start, stop = r["before"] + start, end + stop if tail else begin + len(data[begin:end].rstrip(b" \t\n\r\f\v"))
+        if lead + tail + len(data[begin:end].split()) > MIN_WORDS:
+            spans.append((start, stop))
+    joined_spans: list[list[int]] = []
+    for s, e in sorted(spans):
+        if joined_spans and s <= joined_spans[-1][1]:
+            joined_spans[-1][1] = max(e, joined_spans[-1][1])
+        else:
+            joined_spans.append([s, e])
+    if not joined_spans:
         return text, 0, []
     out, at = "", 0
-    for s, e in [*spans, (len(data), len(data))]:
+    for s, e in [*joined_spans, (len(data), len(data))]:
         part = data[at:s].decode()
         out = joined(out, part) if at else part
         at = e
-    return out, gone, [(len(data[:s].decode()), len(data[:e].decode())) for s, e in spans]
+    places, counted, at = [], 0, 0  # code points up to a byte
+    for s, e in joined_spans:
+        before = counted + len(data[at:s].decode())
+        counted, at = before + len(data[s:e].decode()), e
+        places.append((before, counted))
+    return out, sum(len(data[s:e].split()) for s, e in joined_spans), places
 
 
 def joined(left: str, right: str) -> str:
@@ -271,13 +363,16 @@ def joined(left: str, right: str) -> str:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with repeats removed from `text`, and removed_words, removed_spans (start:end in the old text's code points)."""
-    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = chunks(rows)
-    found = runs(cut, repeats(cut))
-    around = surroundings(rows, cut, found)
-    full = found.withColumn("ask", F.explode_outer("asks")).withColumns({"key": F.col("ask.key"), "left": F.col("ask.left")}).drop("asks", "ask").join(around, "key", "left")
-    per_doc = written(full.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end", "before", "after", "words", "first", "first_end", "left", "around")).alias("_runs")), "found")
+    scratch = Scratch(docs.sparkSession, "substrings")
+    cut = scratch.written(chunks(rows), "chunks")
+    found = scratch.written(runs(cut, repeats(cut)).withColumn("key", F.xxhash64("digests", "reach")), "runs")
+    said = scratch.written(answers(rows, cut, found), "answers")
+    scratch.drop("chunks")
+    known = found.withColumn("source", F.explode("sources")).drop("sources").join(said, ["source", "key"])
+    parts = F.struct("whole", "before", "after", "starts", "first", "last", "left", "right")
+    per_doc = scratch.written(known.groupBy("doc_id").agg(F.collect_set(parts).alias("found")), "found")
+    scratch.drop("runs", "answers")
 
     @F.pandas_udf("text string, words long, spans string")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -288,5 +383,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 out.append((t, n, ",".join(f"{s}:{e}" for s, e in spans)))
             yield pd.DataFrame(out, columns=["text", "words", "spans"])
 
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "_id"), F.col(key).cast("long") == F.col("_id"), "left").drop("_id")
-    return joined.withColumn("_clean", clean(F.col(text), F.col("_runs"))).withColumns({text: F.col("_clean.text"), "removed_words": F.col("_clean.words"), "removed_spans": F.col("_clean.spans")}).drop("_clean", "_runs")
+    # The rows' own columns travel in a struct, so that none can clash with those of the runs.
+    all_rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"))
+    met = all_rows.join(per_doc.withColumnRenamed("doc_id", "id"), "id", "left")
+    made = met.select("row", clean(F.col("row").getField(text), F.col("found")).alias("clean"))
+    kept = [F.col("clean.text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("removed_words", "removed_spans")]
+    return made.select(*kept, F.col("clean.words").alias("removed_words"), F.col("clean.spans").alias("removed_spans"))

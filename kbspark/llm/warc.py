@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import bounded_batches
+
 
 VERSION = b"WARC/1.1\r\n"
 #: Bytes that an archive's members should hold; the mean record size turns them into a number of records per file.
@@ -101,7 +101,6 @@ def write(df: DataFrame, path: str, key: str, uri: str, payload: str, least_byte
     mean = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
     rows = with_responses(rows, key, "payload", least_bytes)
     text = rows.select(record(F.col(key), F.col(uri), F.col("payload"), F.col("digest"), F.col("n_bytes"), F.col("refers_to")).alias("value"))
-    bounded_batches(df.sparkSession)
     packed = text.mapInArrow(members, "value binary").select(F.col("value").cast("string"))
     packed.write.option("compression", "none").option("lineSep", _LAST.decode()).option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (mean + 500)))).text(path)
 
