@@ -25,6 +25,7 @@ of a task, as are its digests; time and memory grow in proportion to it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,10 +149,10 @@ def repeats(cut: DataFrame) -> DataFrame:
 
 
 
-#: A run: `before` and `after` are where the texts around it begin and end that can belong to the passage too; `reach` is
-#: how many bytes beside any stretch of it can; `starts` are those of its chunks, with the run's end.
-RUN = "doc_id long, whole long, before int, after int, reach int, starts array<int>, digests array<long>, sources array<long>"
-_RUN = pa.schema([*((x, pa.int64()) for x in ("doc_id", "whole")), *((x, pa.int32()) for x in ("before", "after", "reach")), ("starts", pa.list_(pa.int32())), *((x, pa.list_(pa.int64())) for x in ("digests", "sources"))])
+#: A part of a run of repeats that a source is asked for: `reach` is how many bytes beside any stretch of it can belong to
+#: the same passage; `starts` are those of its chunks, with its end.
+RUN = "doc_id long, whole long, source long, reach int, starts array<int>, digests array<long>"
+_RUN = pa.schema([*((x, pa.int64()) for x in ("doc_id", "whole", "source")), ("reach", pa.int32()), ("starts", pa.list_(pa.int32())), ("digests", pa.list_(pa.int64()))])
 
 
 def _around(starts: list[int], first: int, last: int) -> tuple[int, int]:
@@ -168,8 +169,23 @@ def _around(starts: list[int], first: int, last: int) -> tuple[int, int]:
     return low, high
 
 
+def _parts(sources: list[int], upto: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, first, last) for each source of a run's pairs: those within MIN_WORDS words of one that it is the source of.
+
+    A passage with such a pair in it lies there. `upto` counts the words before each chunk of the run.
+    """
+    open_: dict[int, tuple[int, int]] = {}
+    for i, s in enumerate(sources):
+        first, last = open_.get(s, (i, i))
+        if upto[i] - upto[last] > 2 * MIN_WORDS:
+            yield s, first, last
+            first = i
+        open_[s] = first, i
+    yield from ((s, *places) for s, places in open_.items())
+
+
 def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Maximal runs of repeats that, with the chunks around them, hold more than MIN_WORDS words."""
+    """Parts of the maximal runs of repeats that, with the chunks around them, hold more than MIN_WORDS words."""
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("digest").alias("known"), F.collect_list("source").alias("sources"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,21 +193,25 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
             out = []
             for doc, text, own, starts, words, known, sources in zip(*(batch[c].to_pylist() for c in ("doc_id", "whole", "digests", "starts", "words", "known", "sources"))):
                 source, n, i, plain = dict(zip(known, sources)), len(own), 0, unnumbered(own)
+                upto = [0, *np.cumsum(words).tolist()]
                 while i < n:
                     if own[i] not in source:
                         i += 1
                         continue
-                    j = i
+                    j, of = i, [source[own[i]]]
                     # Of equal pairs in a row, those beyond the longest row elsewhere repeat as well.
                     while j + 1 < n and (own[j + 1] in source or plain[j + 1] == plain[j]):
                         j += 1
-                    last = min(j + 2, len(words))  # the chunk after the run
-                    low, high = _around(starts, i, last)
-                    if sum(words[low:high]) > MIN_WORDS:
-                        edges = starts[i : last + 1]
-                        reach = max(edges[0] - starts[low], starts[high] - edges[-1], 2 * EDGE + max(b - a for a, b in zip(edges, edges[1:])))
-                        # Rounded up, so that copies ask alike.
-                        out.append((doc, text, starts[low], starts[high], -(-reach // EDGE) * EDGE, edges, plain[i : j + 1], sorted({source[d] for d in own[i : j + 1] if d in source})))
+                        of.append(source.get(own[j], of[-1]))
+                    low, high = _around(starts, i, min(j + 2, len(words)))
+                    if upto[high] - upto[low] > MIN_WORDS:
+                        for s, first, last in _parts(of, upto[i:]):
+                            a = max(i, bisect_left(upto, upto[i + first] - MIN_WORDS) - 1)
+                            b = min(j, bisect_left(upto, upto[i + last] + MIN_WORDS) + 1)
+                            edges = starts[a : min(b + 2, len(words)) + 1]
+                            reach = 2 * EDGE + max(y - x for x, y in zip(starts[max(0, a - 1) :], starts[max(1, a) : b + 4]))
+                            # Rounded up, so that copies ask alike.
+                            out.append((doc, text, s, -(-reach // EDGE) * EDGE, edges, plain[a : b + 1]))
                     i = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_RUN), _RUN.types)], schema=_RUN)
 
@@ -255,22 +275,24 @@ def _stretches_by_automaton(run: list[int], own: list[int]) -> list[tuple[int, i
 _WORD = re.compile(rb"[^ \t\n\r\f\v]+")
 
 
-def _near(data: bytes, at: int, reach: int, left: bool) -> bytes:
-    """The words on one side of `at`, as many as take up to `reach` bytes."""
+def beside(data: bytes, at: int, reach: int, left: bool) -> list[tuple[int, int]]:
+    """Spans of the words on one side of `at`, the nearest first, as many as take up to `reach` bytes."""
     size = 2 * reach + EDGE
     while True:
-        part = data[max(0, at - size) : at] if left else data[at : at + size]
-        words, whole = part.split(), len(part) < size
-        # A word that the limit has cut is no whole word.
-        words = words if whole else words[1:] if left else words[:-1]
+        low = max(0, at - size) if left else at
+        high = at if left else min(len(data), at + size)
+        spans = [m.span() for m in _WORD.finditer(data, low, high)]
+        whole_side = low == 0 if left else high == len(data)
+        if not whole_side:
+            spans = spans[1:] if left else spans[:-1]  # the limit may have cut the last word
         out, taken = [], -1
-        for w in reversed(words) if left else words:
-            taken += len(w) + 1
+        for s, e in reversed(spans) if left else spans:
+            taken += e - s + 1
             if taken > reach:
-                break
-            out.append(w)
-        if whole or taken > reach:
-            return b" ".join(out[::-1] if left else out)
+                return out
+            out.append((s, e))
+        if whole_side:
+            return out
         size *= 2
 
 
@@ -279,8 +301,9 @@ _ANSWER = pa.schema([("source", pa.int64()), ("key", pa.int64()), ("first", pa.i
 
 
 def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
-    """(source, key, first, last, left, right): stretches of runs that stand in a source, and the words around them there."""
-    asks = found.select(F.explode("sources").alias("source"), "key", "digests", "reach").dropDuplicates(["source", "key"])
+    """(source, key, first, last, left, right): stretches of runs that stand in a source, and the words around them there,
+    the nearest first."""
+    asks = found.select("source", "key", "digests", "reach").dropDuplicates(["source", "key"])
     parts = asks.groupBy("source").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))
     dealt = asks.join(parts, "source").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     asked = dealt.groupBy("source", "part").agg(F.collect_list(F.struct("key", "reach", "digests")).alias("asked"))
@@ -300,23 +323,23 @@ def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
                 for ask in asked:
                     for first, last, place in stretches(ask["digests"], own, where):
                         end = starts[min(place + last - first + 2, len(starts) - 1)]
-                        left, right = _near(data, starts[place], ask["reach"], True), _near(data, end, ask["reach"], False)
-                        if len((left + b" " + data[starts[place] : end] + b" " + right).split()) > MIN_WORDS:
+                        left, right = (beside(data, at, ask["reach"], side) for at, side in ((starts[place], True), (end, False)))
+                        if len(left) + len(data[starts[place] : end].split()) + len(right) > MIN_WORDS:
+                            left, right = (b" ".join(data[x:y] for x, y in side) for side in (left, right))
                             out.append((doc, ask["key"], first, last, left, right))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_ANSWER), _ANSWER.types)], schema=_ANSWER)
 
     return texts.select("doc_id", "text", "whole", "own", "starts", "asked").mapInArrow(fetch, ANSWER)
 
 
-def _same_words(own: bytes, other: bytes, from_end: bool) -> tuple[int, int]:
-    """How many words of `own` equal those of `other`, from the end or the start, and where in `own` they end."""
-    mine, theirs = list(_WORD.finditer(own)), _WORD.findall(other)
-    if from_end:
-        mine, theirs = mine[::-1], theirs[::-1]
-    k = 0
-    while k < min(len(mine), len(theirs)) and mine[k][0] == theirs[k]:
+def _same(data: bytes, at: int, words: bytes, left: bool) -> list[tuple[int, int]]:
+    """Spans of the words beside `at` that are the same as `words`, the nearest first."""
+    mine, k = beside(data, at, len(words) + 1, left), 0
+    for (s, e), w in zip(mine, words.split()):
+        if data[s:e] != w:
+            break
         k += 1
-    return k, ((mine[k - 1].start() if k else len(own)) if from_end else (mine[k - 1].end() if k else 0))
+    return mine[:k]
 
 
 def removed(text: str, found: list[dict]) -> tuple[str, int, list[tuple[int, int]]]:
@@ -326,13 +349,10 @@ def removed(text: str, found: list[dict]) -> tuple[str, int, list[tuple[int, int
     for r in found:
         if r["whole"] != own:  # a run of another text of the same id
             continue
-        starts, first, last = r["starts"], r["first"], r["last"]
-        begin, end = int(starts[first]), int(starts[min(last + 2, len(starts) - 1)])
-        lead, start = _same_words(data[r["before"] : begin], r["left"], True)
-        tail, stop = _same_words(data[end : r["after"]], r["right"], False)
-        start, stop = r["before"] + start, end + stop if tail else begin + len(data[begin:end].rstrip(b" \t\n\r\f\v"))
-        if lead + tail + len(data[begin:end].split()) > MIN_WORDS:
-            spans.append((start, stop))
+        begin, end = int(r["begin"]), int(r["end"])
+        lead, tail = _same(data, begin, r["left"], True), _same(data, end, r["right"], False)
+        if len(lead) + len(data[begin:end].split()) + len(tail) > MIN_WORDS:
+            spans.append((lead[-1][0] if lead else begin, tail[-1][1] if tail else begin + len(data[begin:end].rstrip(b" \t\n\r\f\v"))))
     joined_spans: list[list[int]] = []
     for s, e in sorted(spans):
         if joined_spans and s <= joined_spans[-1][1]:
@@ -369,9 +389,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     found = scratch.written(runs(cut, repeats(cut)).withColumn("key", F.xxhash64("digests", "reach")), "runs")
     said = scratch.written(answers(rows, cut, found), "answers")
     scratch.drop("chunks")
-    known = found.withColumn("source", F.explode("sources")).drop("sources").join(said, ["source", "key"])
-    parts = F.struct("whole", "before", "after", "starts", "first", "last", "left", "right")
-    per_doc = scratch.written(known.groupBy("doc_id").agg(F.collect_set(parts).alias("found")), "found")
+    known = found.join(said, ["source", "key"])
+    end = F.least(F.col("last") + 2, F.size("starts") - 1)
+    parts = F.struct("whole", F.get("starts", F.col("first")).alias("begin"), F.get("starts", end).alias("end"), "left", "right")
+    per_doc = scratch.written(known.select("doc_id", parts.alias("part")).groupBy("doc_id").agg(F.collect_set("part").alias("found")), "found")
     scratch.drop("runs", "answers")
 
     @F.pandas_udf("text string, words long, spans string")

@@ -341,22 +341,43 @@ def test_substring_dedup(spark, docs, empty):
 # Top-k
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 32)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 50 * 8 * 7)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(0, 90)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]  # ties
-    rows += [(300, None), (301, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0]), (305, []), (None, rows[1][1]), rows[3]]
+    rows += [(300, None), (301, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0]), (305, []), (306, [0.5] * 7), (None, rows[1][1]), rows[3]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit(0)).withColumn("score", F.lit("x"))
-    sound = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v and len(v) == 6 and None not in v and np.isfinite(v).all()}
+    check_top_k(df, rows)
+    few = topk.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
+    assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def check_top_k(df, rows):
+    clamp = lambda x: max(-topk.MOST, min(topk.MOST, x))
+    whole = lambda v: [clamp(int(np.floor(64 * float(np.float32(x))))) for x in v] + [0] * (7 - len(v))
+    sound = {i: whole(v) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     got = collections.defaultdict(list)
     for r in topk.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert set(got) == {i for i in sound if i % 20 == 0}
     for q, found in got.items():
-        want = sorted(((i, int(sound[q] @ v)) for i, v in sound.items() if i != q), key=lambda x: (-x[1], x[0]))[:20]
+        want = sorted(((i, clamp(sum(a * b for a, b in zip(sound[q], v)))) for i, v in sound.items() if i != q), key=lambda x: (-x[1], x[0]))[:20]
         assert found == want
-    few = topk.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
-    assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
-    assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e3, 5e8, 3e10, 1e30])
+def test_top_k_of_large_values(spark, size):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(6) * (size if i % 3 else 1)]) for i in range(60)]
+    check_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), rows)
+
+
+def test_products():
+    rng = np.random.default_rng(3)
+    for bits in (10, 30, 32, 45, 61, 62):
+        a, b = (rng.integers(-(1 << bits), 1 << bits, (5, 9)) for _ in range(2))
+        exact = [[max(-topk.MOST, min(topk.MOST, sum(int(x) * int(y) for x, y in zip(p, q)))) for q in b] for p in a]
+        assert topk.products(a, b).tolist() == exact
