@@ -1,12 +1,19 @@
 """Main text of web pages by text-to-tag ratio over the standard library's parser events.
 
 The parser's events are folded into lines, one per block. Each line has its text length per tag; the ratios are smoothed
-with a Gaussian over neighbouring lines and split into two clusters by a threshold between the clusters' means. The
-high lines vote for a region: the article or main element with most of their text, or, without one, the stretch of lines
-from the first high line to the last. All of the region's lines but those in boilerplate elements are the main text.
+with a Gaussian over neighbouring lines and split into two clusters by a threshold between the clusters' means. The high
+lines select the content regions:
+
+* Lines in elements that can't be main text (menus, forms, scripts, what is marked as an advert or as comments ...) go
+  beforehand. A mark that may as well name a part of the article ("related-work", "discussion", a header) is only
+  evidence: such an element goes unless most of its text is high, but for a header's headings.
+* Articles with high lines are main text as a whole, each of them. Of a main element around articles, and of pages where
+  no article or main element has a high line, those blocks are, of whose text most is high, and the headings before them;
+  on such pages also lines elsewhere that are high by themselves.
 
 Defined cases: null, empty and text-free pages give an empty text; markup that is cut off or not closed is read as far
-as it goes; repeated rows, null keys and other columns pass through; an empty table gives an empty table.
+as it goes; repeated rows, null keys and other columns pass through, but for one named text, which is replaced; no ties
+arise; an empty table gives an empty table. A very long page is one value of a task; time and memory are in proportion.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,64 +35,97 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are never main text, and those that hold it.
 DROPPED = frozenset("script style noscript template nav header footer aside form button select textarea iframe svg canvas object menu dialog head title".split())
 REGIONS = frozenset(("article", "main"))
-#: Words in a class, id or role that mark menus, sidebars, notices, adverts, forms and reader comments.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe subscription comment comments disqus discussion replies related share sharing social widget toolbar pagination contentinfo complementary search signup login".split())
+#: Words in a class, id or role that mark menus, sidebars, notices, adverts, forms and reader comments, those that may
+#: also name parts of an article, and those that may stand beside a mark without changing its meaning.
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices alert popup modal newsletter subscribe subscription comment comments disqus replies share sharing social widget toolbar pagination contentinfo complementary signup login".split())
+PERHAPS = frozenset("discussion related search header reply".split())
+BESIDE = frozenset("list box section area bar left right top bottom container wrapper wrap inner outer slot block unit item items links link form post page site article entry main thread count panel group holder primary secondary mobile desktop js".split())
+_FREE = re.compile(r"^(?:no|not|non|without|has|have|with|hide)[-_]|[-_](?:free|less|none|off)$")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTAINERS = frozenset("article main section div aside nav header footer form ul ol table body html figure blockquote details fieldset".split()) | DROPPED
 _WORDS = re.compile(r"[a-z]+")
+CLEAR, UNSURE, MARKED = 0, 1, 2
 
 
-def marked(attributes: list[tuple[str, str | None]]) -> bool:
+def mark(attributes: list[tuple[str, str | None]]) -> int:
+    """Whether an element is marked as no main text: CLEAR, UNSURE or MARKED."""
+    most = CLEAR
     for name, value in attributes:
-        if value and name in ("class", "id", "role") and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return MARKED
+        for token in (value or "").lower().split() if name in ("class", "id", "role") else ():
+            words = _WORDS.findall(token)
+            if MARKS.isdisjoint(words) and PERHAPS.isdisjoint(words) or _FREE.search(token):
+                continue
+            # With other words beside it a mark may mean something else.
+            sure = not MARKS.isdisjoint(words) and all(w in MARKS or w in PERHAPS or w in BESIDE for w in words)
+            most = max(most, MARKED if sure else UNSURE)
+    return most
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    heading: bool
+    place: tuple["Container", ...]
+
+
+class Container(NamedTuple):
+    """An open element. `number` tells containers apart; `name` is main for elements of that role too."""
+
+    number: int
+    tag: str
+    name: str
+    mark: int
 
 
 class Lines(HTMLParser):
-    """Folds parser events into lines: (text, tags, dropped, region). Inline elements don't end a line."""
+    """Folds parser events into lines outside dropped elements. Inline elements don't end a line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # open containers: name, dropped, region
+        self.lines: list[Line] = []
+        self.place: tuple[Container, ...] = ()
         self.parts: list[str] = []
-        self.muted = ""  # an inline element that is marked as boilerplate
-        self.tags, self.regions, self.articles = 0, 0, set()
-
-    def inside(self) -> tuple[str, bool, int]:
-        return self.stack[-1] if self.stack else ("", False, 0)
+        self.muted, self.depth = "", 0  # an inline element that is marked as boilerplate
+        self.tags, self.count, self.heading = 0, 0, False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
+        if text and not (self.place and self.place[-1].mark == MARKED):
+            self.lines.append(Line(text, self.tags, self.heading, self.place))
         if text:
-            _, dropped, region = self.inside()
-            self.lines.append((text, self.tags, dropped, region))
             self.tags = 0
         self.parts, self.muted = [], ""
 
+    def opened(self, tag: str, name: str, how: int) -> None:
+        # What is inside a dropped element is dropped with it.
+        if self.place and self.place[-1].mark == MARKED:
+            how = MARKED
+        self.count += 1
+        self.place += (Container(self.count, tag, name, how),)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in INLINE:
-            if not self.muted and tag not in VOID and marked(attrs):
-                self.muted = tag
+            if tag == self.muted:
+                self.depth += 1
+            elif not self.muted and tag not in VOID and mark(attrs) == MARKED:
+                self.muted, self.depth = tag, 1
             return
         self.end_line()
-        if self.stack and self.stack[-1][0] in ("p", tag) and tag not in _CONTAINERS:
-            self.stack.pop()  # a marked paragraph or item that wasn't closed
+        self.heading = tag in _HEADINGS
+        if self.place and self.place[-1].tag in ("p", tag) and tag not in _CONTAINERS:
+            self.place = self.place[:-1]  # a marked paragraph or item that wasn't closed
         if tag in VOID:
             return
-        _, dropped, region = self.inside()
-        if tag in _CONTAINERS:
-            if tag == "article" and region not in self.articles or not region and (tag == "main" or ("role", "main") in attrs):
-                self.regions += 1
-                region = self.regions
-                if tag == "article":
-                    self.articles.add(region)
-            self.stack.append((tag, dropped or tag in DROPPED or tag not in ("body", "html", *REGIONS) and marked(attrs) or tag in REGIONS and region in self.articles and self.inside()[2] == region and marked(attrs), region))
-        elif marked(attrs):
-            self.stack.append((tag, True, region))
+        how = CLEAR if tag in ("body", "html", "main") or ("role", "main") in attrs else mark(attrs)
+        if tag == "header" and any(c.name in REGIONS for c in self.place):
+            self.opened(tag, tag, max(how, UNSURE))
+        elif tag in _CONTAINERS:
+            self.opened(tag, "main" if ("role", "main") in attrs else tag, MARKED if tag in DROPPED else how)
+        elif how:
+            self.opened(tag, tag, how)
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -95,12 +136,15 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in INLINE:
             if tag == self.muted:
-                self.muted = ""
+                self.depth -= 1
+                self.muted = self.muted if self.depth else ""
             return
         self.end_line()
-        if any(name == tag for name, _, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
+        self.heading = False
+        for i in range(len(self.place) - 1, -1, -1):
+            if self.place[i].tag == tag:
+                self.place = self.place[:i]
+                break
 
     def handle_data(self, data):
         if not self.muted:
@@ -129,27 +173,49 @@ def high(values: np.ndarray) -> np.ndarray:
     return values >= threshold
 
 
+def mostly(lines: list[Line], is_high: np.ndarray, key) -> dict:
+    """For each of the keys that `key` gives for a line, whether most of its lines' text is high."""
+    balance: dict = {}
+    for line, yes in zip(lines, is_high):
+        for k in key(line):
+            balance[k] = balance.get(k, 0) + (len(line.text) if yes else -len(line.text))
+    return {k: n >= 0 for k, n in balance.items()}
+
+
+def selected(lines: list[Line], is_high: np.ndarray, alone: np.ndarray) -> list[bool]:
+    """Which lines are main text, by the cluster that each is in; `alone`: those high without their neighbours too."""
+    sure = mostly(lines, is_high, lambda x: [c.number for c in x.place if c.mark == UNSURE])
+    blocks = mostly(lines, is_high, lambda x: [x.place[-1].number if x.place else 0])
+    voted = {c.number for line, yes in zip(lines, is_high) if yes for c in line.place if c.name in REGIONS}
+    around = {c.number for line in lines if any(d.number in voted and d.name == "article" for d in line.place) for c in line.place if c.name == "main"}
+    out, after = [False] * len(lines), False  # whether the line after this one in its block is kept
+    for i in range(len(lines) - 1, -1, -1):
+        line = lines[i]
+        unsure = [c for c in line.place if c.mark == UNSURE and not sure[c.number]]
+        regions = [c for c in line.place if c.name in REGIONS and c.number in voted]
+        whole = any(c.name == "article" or c.number not in around for c in regions)
+        if unsure and not (line.heading and regions and all(c.name == "header" for c in unsure)):
+            kept = False
+        elif voted:
+            kept = whole or bool(regions) and (blocks[line.place[-1].number] or line.heading and after)
+        else:
+            kept = bool(is_high[i] and alone[i]) or blocks[line.place[-1].number if line.place else 0] or line.heading and after
+        out[i] = after = kept
+    return out
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = parser.lines
     if not lines:
         return ""
-    chosen = high(smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines])))
-    votes: dict[int, int] = {}
-    for (text, _, _, region), yes in zip(lines, chosen):
-        if yes and region:
-            votes[region] = votes.get(region, 0) + len(text)
-    regions = {x[3] for x in lines} - {0}
-    if regions:
-        best = max(regions, key=lambda r: (votes.get(r, 0), -r))
-        kept = [t for t, _, _, region in lines if region == best]
-    else:
-        first, last = np.flatnonzero(chosen)[[0, -1]]
-        kept = [t for t, _, _, _ in lines[first : last + 1]]
-    return " ".join(kept)
+    ratios = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    smooth = smoothed(ratios)
+    is_high = high(smooth)
+    return " ".join(x.text for x, yes in zip(lines, selected(lines, is_high, ratios >= smooth[is_high].min())) if yes)
 
 
 def extracted(html: Column) -> Column:
