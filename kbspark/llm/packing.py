@@ -1,13 +1,14 @@
 """Sequence packing along a space-filling curve.
 
 A document's vector counts its hashed byte 4-grams. A fixed random projection brings it to three dimensions, whose
-cells are numbered along a Hilbert curve. Documents are range-sorted by that number, and each partition, a stretch of
-the curve, is cut into sequences: neighbours in a sequence resemble each other. Documents may be cut anywhere, so every
-sequence but those at a partition's end is full; what is left at the end is cut into powers of two, which need no
-padding.
+cells are numbered along a Hilbert curve. The curve is cut into stretches of equal text, one a partition; documents are
+sorted along it and each partition is cut into sequences: neighbours in a sequence resemble each other. Documents may be
+cut anywhere, so every sequence but those at a partition's end is full; what is left at the end is cut into powers of
+two, which need no padding.
 
 Defined cases: a null text counts as empty; an empty text is packed as its end token alone; repeated rows are packed
-each for itself; a null key sorts first; other columns don't matter; an empty table gives no pieces.
+each for itself; a null key sorts first; documents at one point of the curve go by key, then text; other columns don't
+matter; an empty table gives no pieces. A very long text is one value of a task, which holds its ids as well.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from kbspark.llm.common import text_or_empty
 
 DIMENSIONS, BITS, FEATURES = 3, 10, 256
+#: Bits of a curve position that are counted; their counts, 24 bytes for each of 2 ** CELL_BITS cells at most, are broadcast.
+CELL_BITS = 16
+#: Bytes of text that a partition should hold, and the least where there would be fewer partitions than tasks at a time.
+PARTITION_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 
 
 def projection() -> np.ndarray:
@@ -125,15 +130,36 @@ def tokenizer(path: str):
     return ids
 
 
+def stretches(docs: DataFrame) -> tuple[DataFrame, int]:
+    """`docs` with `part`, the stretch of the curve that a row belongs to, and how many there are.
+
+    Stretches hold equal numbers of bytes. A cell that holds more than its share, as with many copies of a text, is split
+    between stretches by digest.
+    """
+    spark = docs.sparkSession
+    size = F.octet_length("text").cast("long") + 4
+    cell = F.shiftright("curve", DIMENSIONS * BITS - CELL_BITS)
+    counts = docs.groupBy(cell.alias("cell")).agg(F.sum(size).alias("bytes")).collect()  # CELL_BITS bound them
+    total, before, rows = sum(r.bytes for r in counts), 0, []
+    for r in sorted(counts):
+        rows.append((r.cell, before, r.bytes))
+        before += r.bytes
+    n = max(1, -(-total // PARTITION_BYTES), min(2 * spark.sparkContext.defaultParallelism, total // LEAST_BYTES))
+    cells = F.broadcast(spark.createDataFrame(rows, "cell long, before long, bytes long"))
+    share = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 20)) / (1 << 20)
+    part = F.floor((F.col("before") + share * F.col("bytes")) * n / max(1, total)).cast("int")
+    return docs.withColumn("cell", cell.cast("long")).join(cells, "cell").withColumn("part", F.least(part, F.lit(n - 1))), n
+
+
 def pack(df: DataFrame, path: str, end_id: int, length: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of documents: key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    One shuffle, by range of curve position (texts move, tokens are made after it); ties go by key and text digest, so
-    that a group of copies may be split between partitions. A task holds one batch and one open sequence.
+    One shuffle, by stretch of the curve (texts move, tokens are made after it). Positions are computed once to count the
+    bytes along the curve and once more on the way to the shuffle, which is less work than to write the texts with them.
+    A task holds one batch and one open sequence.
     """
     docs = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     docs = docs.withColumn("curve", curve_key(F.col("text"))).withColumn("tie", F.xxhash64("text"))
-    order = ["curve", "doc_id", "tie"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
@@ -157,7 +183,8 @@ def pack(df: DataFrame, path: str, end_id: int, length: int = 2048, key: str = "
             yield piece_batch(powers_of_two(pieces, fill, sequence), kind)
 
     kind = dict(df.dtypes)[key]
-    placed = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    dealt, n = stretches(docs)
+    placed = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("curve", "doc_id", "tie").select("doc_id", "text")
     return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

@@ -5,20 +5,23 @@ covering on histograms that Spark aggregates, `verdict` is the list as one condi
 function, pandas, Arrow or RDD code on this path.
 
 Defined cases: a null or empty text has no words and fails the base rules; a text without lines that hold a word has no
-repeated lines; repeated rows are judged alike; labels that are null or have no document don't count; without labelled
-rows the list is empty and the base rules decide alone; an empty table gives an empty table; columns of the input are
-kept, and a column named like a statistic is replaced.
+repeated lines; repeated rows are judged alike; of several labels of a document the least counts; labels that are null
+or have no document don't count; without labelled rows the list is empty and the base rules decide alone; of equal gains
+the first feature, the least threshold and "at least" win; an empty table gives an empty table; columns of the input are
+kept, but for those named like a result, which are replaced. A very long text is one row: its words and the digests of
+its windows are held in memory, in proportion to it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import let, written
+from kbspark.llm.common import Scratch, let
 
 #: The characters that separate words.
 SPACES = " \t\n\x0b\f\r"
@@ -62,13 +65,13 @@ def _repeated(words: Column) -> Column:
     return let(digests, covered)
 
 
-def statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` with the columns of BASE and FEATURES, all long, from each row's whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(t, "[ \t\n\x0b\f\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+def measured(df: DataFrame, text: str = "text", *kept: Column) -> DataFrame:
+    """The columns of BASE and FEATURES, all long, from each row's whole text, beside the columns `kept`."""
+    words = F.filter(F.split("_t", "[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.translate(x, SPACES, "") != "")
     # Plain columns, each used more than once below, so that Spark computes them once and doesn't inline them.
-    parts = df.withColumns({"_q_words": words, "_q_lines": lines})
+    parts = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumns({"_q_words": words, "_q_lines": lines})
+    t = F.col("_t")
     q_words, q_lines = F.col("_q_words"), F.col("_q_lines")
     counted = {
         "n_words": F.size(q_words),
@@ -82,7 +85,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "exclamations": _count(t, "!"),
         "stops": _count(t, "."),
     }
-    measured = parts.withColumns({f"_m_{k}": c.cast("long") for k, c in counted.items()})
+    numbers = parts.withColumns({f"_m_{k}": c.cast("long") for k, c in counted.items()})
     m = {k: F.col(f"_m_{k}") for k in counted}
     chars = m["word_chars"]
     made = {k: m[k] for k in BASE} | {
@@ -96,11 +99,21 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         "dup_lines_per_1000": _per(m["n_dup_lines"], m["n_lines"]),
         "words_per_line": _per(m["n_words"], m["n_lines"], 1),
     }
-    return measured.withColumns(made).drop("_q_words", "_q_lines", *(f"_m_{k}" for k in counted))
+    return numbers.withColumns(made).drop("_t", "_q_words", "_q_lines", *(f"_m_{k}" for k in counted))
+
+
+def beside(rows: DataFrame, columns: list[str], *results: str) -> DataFrame:
+    """The columns of the struct `_row`, but for those named like a result, and the results."""
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in columns if c not in results), *results)
+
+
+def statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """`df` with the columns of BASE and FEATURES."""
+    return beside(measured(df, text, F.struct("*").alias("_row")), df.columns, *BASE, *FEATURES)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(least_words: int = 50) -> Column:
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 @dataclass(frozen=True)
@@ -126,13 +139,14 @@ class Rule:
         return reduce(lambda a, b: a & b, (t.column() for t in self.tests))
 
 
-def learn(labelled: DataFrame, label: str = "quality", max_rules: int = 6, max_tests: int = 3, bins: int = 32, purity: float = 0.97, least: int = 5) -> list[Rule]:
+def learn(labelled: DataFrame, label: str = "quality", max_tests: int = 3, bins: int = 32, purity: float = 0.97, least: int = 5) -> list[Rule]:
     """Sequential covering over rows that have FEATURES and a label (1 good, 0 bad), all of them, none sampled.
 
     Each step counts the rows that a rule still covers by (feature, bin, label) in Spark: at most
     len(FEATURES) * (bins + 1) * 2 counts reach the driver. A rule grows by the test with the highest
     weighted gain (FOIL), is pruned by dropping tests that don't lower its purity on the held-out third, and is kept if
-    its purity is `purity` or more and it covers `least` bad rows.
+    its purity is `purity` or more and it covers `least` bad rows. After one that isn't, the next begins with another
+    feature or direction; covering ends when all have failed or fewer than `least` bad rows are left.
     """
     rows = labelled.where(F.col(label).isin(0, 1)).select((F.col(label) == 0).alias("bad"), (F.pmod(F.xxhash64(*FEATURES, "doc_id"), F.lit(3)) == 0).alias("held"), *FEATURES)
     cuts = rows.agg(*(F.percentile_approx(f, [k / bins for k in range(bins + 1)], 1000).alias(f) for f in FEATURES)).first()
@@ -140,20 +154,22 @@ def learn(labelled: DataFrame, label: str = "quality", max_rules: int = 6, max_t
     steps = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
     edges = {f: sorted({(a + b + 1) // 2 for a, b in zip(v, v[1:])}) for f, v in steps.items()}
     rules: list[Rule] = []
-    left = rows
-    while any(edges.values()) and len(rules) < max_rules:
-        grown = _grow(left.where(~F.col("held")), edges, max_tests)
-        pruned = _prune(grown, left, purity) if grown else None
-        if not pruned or pruned.bad < least:
+    left, failed = rows, set()
+    while any(edges.values()) and left.agg(F.count_if("bad")).first()[0] >= least:
+        grown = _grow(left.where(~F.col("held")), edges, max_tests, failed)
+        if not grown:
             break
+        pruned = _prune(grown, left, purity)
+        if not pruned or pruned.bad < least:
+            failed.add((grown[0].feature, grown[0].at_least))
+            continue
         rules.append(pruned)
-        left = left.where(~pruned.column())
+        left, failed = left.where(~pruned.column()), set()
     return rules
 
 
-def _grow(rows: DataFrame, edges: dict[str, list[int]], max_tests: int) -> list[Test]:
-    from math import log2
-
+def _grow(rows: DataFrame, edges: dict[str, list[int]], max_tests: int, failed: set[tuple[str, bool]]) -> list[Test]:
+    """Tests in the order in which they were added; the first is none of those that have failed before."""
     tests: list[Test] = []
     while len(tests) < max_tests:
         covered = reduce(lambda d, t: d.where(t.column()), tests, rows)
@@ -170,6 +186,8 @@ def _grow(rows: DataFrame, edges: dict[str, list[int]], max_tests: int) -> list[
             for k, edge in enumerate(edges[f]):
                 above = [sum(x[j] for b, x in by_bin.items() if b > k) for j in (0, 1)]
                 for at_least, (p, n) in ((True, above), (False, (bad - above[0], good - above[1]))):
+                    if not tests and (f, at_least) in failed:
+                        continue
                     if p and (g := p * (log2(p / (p + n)) - log2(bad / (bad + good)))) > gain + 1e-9:
                         best, gain = Test(f, at_least, edge), g
         if not best:
@@ -194,30 +212,44 @@ def _prune(tests: list[Test], rows: DataFrame, purity: float) -> Rule | None:
     return None
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], least_words: int = 50) -> Column:
     """True where a document is kept: the base rules, then the learned ones in their order; the default is to keep."""
-    out = F.when(base_failed(), False)
+    out = F.when(base_failed(least_words), False)
     for r in rules:
         out = out.when(r.column(), False)
     return out.otherwise(True)
 
 
-def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[Rule]]:
+def learned(scratch: Scratch, numbers: DataFrame, labels: DataFrame, least_words: int) -> list[Rule]:
+    """Rules from the rows with statistics that have a label and pass the base rules. Texts don't meet the labels."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labelled = scratch.written(numbers.where(~base_failed(least_words)).select("doc_id", *FEATURES).join(known, "doc_id"), "labelled")
+    rules = learn(labelled)
+    scratch.drop("labelled")
+    return rules
+
+
+def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> tuple[DataFrame, list[Rule]]:
     """(doc_id and the statistics of every document, written; rules learned from those that are labelled).
 
     The texts are read once and never shuffled; labels meet the statistics.
     """
-    numbers = written(statistics(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", *BASE, *FEATURES), "statistics")
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = written(numbers.where(~base_failed()).join(known, "doc_id"), "labelled")
-    return numbers, learn(labelled)
+    scratch = Scratch(docs.sparkSession, "quality")
+    numbers = scratch.written(measured(docs, text, F.col(key).alias("doc_id")), "statistics")
+    return numbers, learned(scratch, numbers, labels, least_words)
 
 
-def decided(numbers: DataFrame, rules: list[Rule]) -> DataFrame:
+def decided(numbers: DataFrame, rules: list[Rule], least_words: int = 50) -> DataFrame:
     """Rows that have statistics, with base_failed and kept."""
-    return numbers.withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
+    return numbers.withColumn("base_failed", base_failed(least_words)).withColumn("kept", verdict(rules, least_words))
 
 
-def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with statistics, base_failed and kept, by rules learned from the labelled documents among them."""
-    return decided(statistics(docs, text), trained(docs, labels, key, text)[1])
+def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
+    """`docs` with statistics, base_failed and kept, by rules learned from the labelled documents among them.
+
+    Statistics cost far more than to write the rows, so the rows are written with them once, learned from and judged.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.written(measured(docs, text, F.struct("*").alias("_row"), F.col(key).alias("doc_id")), "rows")
+    rules = learned(scratch, rows, labels, least_words)
+    return beside(decided(rows, rules, least_words), docs.columns, *BASE, *FEATURES, "base_failed", "kept")

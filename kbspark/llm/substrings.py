@@ -296,6 +296,36 @@ def beside(data: bytes, at: int, reach: int, left: bool) -> list[tuple[int, int]
         size *= 2
 
 
+def held(data: bytes, starts: list[int], found: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(first, last, left, right) of the stretches that may belong to a passage, with the words around them in the source.
+
+    Of equal pairs, a run longer than the source's row gives the same stretch again at each place. Where that alone is a
+    passage they are told as one.
+    """
+    row = None  # first, last, place, left, right of a stretch of more than MIN_WORDS words
+    for first, last, place in found:
+        if row and (first, place) == (row[5] + 1, row[2]) and last == row[1] + 1:
+            row = (row[0], last, *row[2:5], first)
+            continue
+        if row:
+            yield row[0], row[1], row[3], row[4]
+            row = None
+        start, end = starts[place], starts[min(place + last - first + 2, len(starts) - 1)]
+        inside = len(data[start:end].split())
+        # At most so many words stand within reach.
+        if inside + len(data[max(0, start - reach - 1) : start].split()) + len(data[end : end + reach + 1].split()) <= MIN_WORDS:
+            continue
+        left, right = (beside(data, at, reach, side) for at, side in ((start, True), (end, False)))
+        if inside + len(left) + len(right) > MIN_WORDS:
+            left, right = (b" ".join(data[x:y] for x, y in side) for side in (left, right))
+            if inside > MIN_WORDS:
+                row = (first, last, place, left, right, first)
+            else:
+                yield first, last, left, right
+    if row:
+        yield row[0], row[1], row[3], row[4]
+
+
 ANSWER = "source long, key long, first int, last int, left binary, right binary"
 _ANSWER = pa.schema([("source", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
@@ -321,12 +351,7 @@ def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
                 for k, d in enumerate(own):
                     where.setdefault(d, []).append(k)
                 for ask in asked:
-                    for first, last, place in stretches(ask["digests"], own, where):
-                        end = starts[min(place + last - first + 2, len(starts) - 1)]
-                        left, right = (beside(data, at, ask["reach"], side) for at, side in ((starts[place], True), (end, False)))
-                        if len(left) + len(data[starts[place] : end].split()) + len(right) > MIN_WORDS:
-                            left, right = (b" ".join(data[x:y] for x, y in side) for side in (left, right))
-                            out.append((doc, ask["key"], first, last, left, right))
+                    out += [(doc, ask["key"], *x) for x in held(data, starts, stretches(ask["digests"], own, where), ask["reach"])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_ANSWER), _ANSWER.types)], schema=_ANSWER)
 
     return texts.select("doc_id", "text", "whole", "own", "starts", "asked").mapInArrow(fetch, ANSWER)

@@ -96,12 +96,30 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path, end_id=1).count() == 0
 
 
+def test_stretches_hold_equal_bytes(spark, monkeypatch):
+    """Also where a third of the rows are copies of one text."""
+    monkeypatch.setattr(packing, "LEAST_BYTES", 20_000)
+    rng = random.Random(6)
+    rows = [(i, "the same text in many documents " * 9 if i % 3 == 0 else prose(rng, rng.randrange(5, 90))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, n = packing.stretches(df.withColumn("curve", packing.curve_key(F.col("text"))).withColumn("tie", F.xxhash64("text")))
+    sizes = [r.b for r in dealt.groupBy("part").agg(F.sum(F.octet_length("text")).alias("b")).collect()]
+    assert n == 8 and len(sizes) == n and max(sizes) < 1.5 * sum(sizes) / n
+    spans = dealt.groupBy("part").agg(F.min("cell").alias("low"), F.max("cell").alias("high")).orderBy("part").collect()
+    assert all(a.high <= b.low for a, b in zip(spans, spans[1:]))
+    path = P.path("byte_bpe_50k.json")
+    pieces = packing.pack(df, path, end_id=1).collect()
+    assert len({r.doc_id for r in pieces}) == 1500 and sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+
+
 def test_tokenizer_equals_library():
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
     own, fast = Tokenizer.from_file(path), packing.tokenizer(path)
-    for t in ("", " ", "<|endoftext|> hi", "a\x1cb\x85c", "\n" * 30000 + "x", "don't I'LL été"):
+    # Both sides of the length from which the library takes over, and runs of spaces below it in longer texts.
+    spaces = [" " * n + "x" for n in (19_999, 20_000, 20_001)] + [("ab" + "\n \t" * 6_000) * 3, "a" * 30_000]
+    for t in ("", " ", "<|endoftext|> hi", "a\x1cb\x85c", "\n" * 30000 + "x", "don't I'LL été", *spaces):
         assert fast(t).tolist() == own.encode(t, add_special_tokens=False).ids
 
 
