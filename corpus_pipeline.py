@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: quality rules, near-duplicates, repeated passages, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet and read again
-before the next. All but the last return the columns of documents; rows with nulls go through the rules of each operator.
+before the next. All but the last return the columns of `docs`, whatever they are named, with n_chars set anew where the
+text has changed. A stage gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -10,41 +11,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm import neardup, packing, pii, quality, substrings
-from kbspark.llm.common import table, written
+from kbspark.llm.common import Scratch, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words that a document needs to stay. The learned rules judge short ones too; packing has a place for any length.
+LEAST_WORDS = 1
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    kind = dict(docs.dtypes)["n_chars"]
-    return docs.withColumn("n_chars", F.char_length("text").cast(kind)).select(*COLUMNS)
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns as one, so that no result of an operator clashes with them."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
+
+
+def _documents(rows: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """`rows` with the columns of `docs` again."""
+    kinds = dict(docs.dtypes)
+    counted = F.char_length("text").cast(kinds.get("n_chars", "long"))
+    own = lambda c: F.col(c) if c in ("doc_id", "text") else counted if changed and c == "n_chars" else F.col("row").getField(c)
+    return rows.select(*(own(c).alias(c) for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned list keep."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    """Documents that the base rules, from LEAST_WORDS words on, and the learned list keep.
+
+    Those without words go (null and empty texts). Repeated rows are judged alike, so are rows of any or no id; ties don't
+    arise. Without labels the base rules decide alone.
+    """
+    return _documents(quality.judged(_carried(docs), table(spark, sf_dir, "labels"), least_words=LEAST_WORDS).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the least id. Of repeated rows of it, one too."""
-    groups = neardup.groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each group: that of the least id. Of repeated rows of it, one too; of equal ones any.
+
+    Rows without an id or without words are in no group and stay.
+    """
+    groups = neardup.groups(docs).where("kept").select("doc_id").distinct()
+    kept = docs.alias("d").join(groups.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_semi")
     known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(kept.where("doc_id IS NULL")).select(*COLUMNS)
+    return known.unionByName(kept.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that documents of smaller id have; those of which nothing is left go."""
-    return _documents(substrings.dedup(docs).where("removed_words = 0 OR text <> ''"))
+    """Documents without the passages that documents of smaller id have; those of which nothing is left go.
+
+    Null and empty texts stay as they are, as do rows without an id; of equal passages that of the least id stays.
+    """
+    return _documents(substrings.dedup(_carried(docs)).where("removed_words = 0 OR text <> ''"), docs, changed=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked."""
-    return _documents(pii.mask(docs))
+    """Documents with personal data masked. Null texts stay null; spans that overlap are masked as one."""
+    return _documents(pii.mask(_carried(docs)), docs, changed=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as rows with their ids."""
+    """Pieces of token sequences, as rows with their ids. A null text counts as empty; repeated rows are packed each."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
@@ -63,7 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    """The stages' last result. A stage's table is dropped when the next one's is written."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
     return docs
