@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Latin letters with marks, in lower case, and the letters they fold to; marks that stand alone go.
+_FOLDED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower() and unicodedata.decomposition(c)}
+_FOLDED = {c: base for c, base in _FOLDED.items() if base.isascii() and base.isalpha()}
+MARKED = "".join(_FOLDED) + "".join(map(chr, range(0x300, 0x370)))
+PLAIN = "".join(_FOLDED.values())
 
 # Words that queries drop.
 QUERY_STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "do", "does", "for", "from", "has", "have", "how", "if", "in", "is", "it", "its", "of", "on", "or", "so", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with")
@@ -66,10 +69,27 @@ def tokenize(c: Column) -> Column:
 
 
 def query_terms(text: Column) -> Column:
-    """Distinct terms of a query: ASCII words of two letters or more that aren't stop words; any of them matches."""
+    """Distinct terms of a query: ASCII words of two letters or more that aren't stop words; any of them matches.
+
+    A word with dashes is a phrase: its tokens, with a space between them, match where they follow one another.
+    """
     words = F.split(F.regexp_replace(text, r"[^a-zA-Z0-9\s-]", " "), r"\s+")
     kept = F.filter(words, lambda w: (F.length(w) > 1) & ~F.lower(w).isin(*QUERY_STOP_WORDS))
-    return F.array_distinct(F.flatten(F.transform(kept, tokenize)))
+    return F.array_distinct(F.filter(F.transform(kept, lambda w: F.array_join(tokenize(w), " ")), lambda t: t != ""))
+
+
+def spaced(c: Column) -> Column:
+    """The tokens as one text with a space before and after each, so that a term can be looked for without lambdas."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.lower(c), MARKED, PLAIN), r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+
+
+def spaced_term(term: str) -> str:
+    return f" {term.replace(' ', '  ')} "
+
+
+def occurrences(text: Column, part: str) -> Column:
+    """How many times `part` stands in `text`, without overlaps."""
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
 def lines(c: Column) -> Column:

@@ -47,21 +47,34 @@ def verify_citations(footnotes: DataFrame, docs: DataFrame) -> DataFrame:
 def quote_search(quotes: DataFrame, docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(quote_id, doc_id, offset) of the documents that hold a quote verbatim.
 
-    A quote of two inner words or more meets documents by its rarest run of inner words (the first and last may be cut);
-    the equal join on that run's digest leaves few pairs for the text comparison. Shorter quotes go by one word.
+    A quote meets documents by its rarest key: a run of up to `shingle` of its inner words (the first and last may be
+    cut), or, with two words or fewer, three of its characters. The equal join on the key's digest leaves few pairs for
+    the text comparison. Documents give keys of the lengths that the quotes have only, which are looked up first. An
+    empty quote is in no document.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    key = lambda kind, n, part: F.xxhash64(F.lit(kind), F.lit(n), part)
+    none = F.array().cast("array<bigint>")
 
     def runs(ws, n):
-        return F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, n), " ")))
-
-    long = F.size("_w") >= shingle
-    q = quotes.withColumn("_w", F.slice(words("quote"), 2, F.greatest(F.size(words("quote")) - 2, F.lit(0))))
-    asked = q.where(long).select("quote_id", "quote", F.explode(runs(F.col("_w"), shingle)).alias("run"))
-    d = docs.withColumn("_w", words("content")).where(long)
-    there = d.select("doc_id", F.explode(F.array_distinct(runs(F.col("_w"), shingle))).alias("run")).join(asked.select("run").distinct(), "run", "left_semi")
-    rarest = asked.join(there.groupBy("run").agg(F.count("*").alias("df")), "run", "left").withColumn("_r", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.coalesce("df", F.lit(0)), "run"))).where("_r = 1")
-    pairs = rarest.select("quote_id", "quote", "run").join(there, "run").select("quote_id", "quote", "doc_id")
+        made = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: key("words", n, F.array_join(F.slice(ws, i, n), " ")))
+        return F.when(F.size(ws) >= n, made).otherwise(none)
+
+    def grams(c, n):
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: key("characters", n, F.substring(c, i, F.lit(n))))).otherwise(none)
+
+    inner = F.slice(words("quote"), 2, F.greatest(F.size(words("quote")) - 2, F.lit(0)))
+    q = quotes.where("quote <> ''").withColumn("_w", inner)
+    q = q.withColumns({"_n": F.least(F.size("_w"), F.lit(shingle)), "_c": F.least(F.length("quote"), F.lit(3))})
+    by_words = [F.when(F.col("_n") == n, runs(F.col("_w"), n)) for n in range(1, shingle + 1)]
+    by_characters = [F.when((F.col("_n") == 0) & (F.col("_c") == n), grams(F.col("quote"), n)) for n in (1, 2, 3)]
+    asked = q.select("quote_id", "quote", F.explode(F.coalesce(*by_words, *by_characters)).alias("key"))
+    lengths = {(r._n, r._c if r._n == 0 else 0) for r in q.select("_n", "_c").distinct().collect()}  # few
+    d = docs.select("doc_id", "content", words("content").alias("_w"))
+    made = [runs(F.col("_w"), n) if n else grams(F.col("content"), c) for n, c in sorted(lengths)]
+    there = d.select("doc_id", F.explode(F.array_distinct(F.concat(none, *made))).alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
+    rarest = asked.join(there.groupBy("key").agg(F.count("*").alias("df")), "key", "left").withColumn("_r", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.coalesce("df", F.lit(0)), "key"))).where("_r = 1")
+    pairs = rarest.select("quote_id", "quote", "key").join(there, "key").select("quote_id", "quote", "doc_id")
     found = pairs.join(docs.select("doc_id", "content"), "doc_id").withColumn("offset", F.instr("content", F.col("quote")) - 1)
     return found.where("offset >= 0").select("quote_id", "doc_id", "offset")
 

@@ -17,7 +17,8 @@ def _all(df: DataFrame, **equal) -> DataFrame:
 
 def any_term(words: Column, query: str) -> Column:
     """Whether any term of the query is among the words; a query without terms matches nothing."""
-    return F.arrays_overlap(words, T.query_terms(F.lit(query)))
+    row = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return F.exists(T.query_terms(F.lit(query)), lambda t: F.contains(row, F.concat(F.lit(" "), t, F.lit(" "))))
 
 
 def query_events(df: DataFrame, workspace=None, source_type=None, event_type=None, since=None, until=None, query=None, limit=50) -> DataFrame:

@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from kbspark.functions import text as T
 
 
 def assign_slugs(pages: DataFrame) -> DataFrame:
-    """`pages` with a slug of its own per (workspace, topic): the title's, or with -2, -3 ... in path order.
+    """`pages` with a slug of its own per (workspace, topic): in path order the title's, or the first free of -2, -3 ...
 
-    A title whose own slug looks like another's numbered one is numbered after that, in a second pass over clashes.
+    Slugs can only clash where they are the same without numbers at their ends. Such pages stream through a task in path
+    order; it keeps the next number of each title's slug, not the pages.
     """
-    base = pages.withColumn("_base", T.slug(F.col("title")))
-    n = F.row_number().over(Window.partitionBy("workspace", "topic", "_base").orderBy("path"))
-    first = base.withColumn("_n", n).withColumn("_slug", F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_n")))
-    again = Window.partitionBy("workspace", "topic", "_slug").orderBy("_n", "path")
-    rows = first.withColumn("_k", F.row_number().over(again))
-    return rows.withColumn("slug", F.when(F.col("_k") == 1, F.col("_slug")).otherwise(F.concat(F.col("_slug"), F.lit("-x"), F.col("_k").cast("string")))).drop("_base", "_n", "_slug", "_k")
+    rows = pages.withColumn("_base", T.slug(F.col("title"))).withColumn("_root", F.regexp_replace("_base", "(-[0-9]+)+$", ""))
+    order = ["workspace", "topic", "_root", "path"]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, following = None, {}  # the number that each slug's next page tries first; all below it are taken
+
+        def taken(slug: str) -> bool:
+            stem, _, n = slug.rpartition("-")
+            return slug in following or n.isdigit() and n == str(int(n)) and int(n) > 1 and following.get(stem, 1) > int(n)
+
+        for batch in batches:
+            out = []
+            for workspace, topic, root, base in zip(*(batch[c].to_pylist() for c in ("workspace", "topic", "_root", "_base"))):
+                if (workspace, topic, root) != group:
+                    group, following = (workspace, topic, root), {}
+                n = following.get(base, 1)
+                while taken(base if n == 1 else f"{base}-{n}"):
+                    n += 1
+                following[base] = n + 1
+                out.append(base if n == 1 else f"{base}-{n}")
+            yield batch.append_column("slug", pa.array(out, pa.string()))
+
+    sorted_rows = rows.repartition("workspace", "topic", "_root").sortWithinPartitions(*order)
+    schema = StructType([*sorted_rows.schema, StructField("slug", StringType())])
+    return sorted_rows.mapInArrow(assign, schema).drop("_base", "_root")
 
 
 def read_batch(docs: DataFrame, pattern: str, budget: int = 120_000) -> DataFrame:
-    """Files of a workspace that match, in path order while the character budget lasts; the last one is clipped."""
-    rows = docs.where(F.col("path").rlike(pattern)).select("workspace", "path", "content", F.length("content").cast("long").alias("size"))
+    """Files of a workspace that match, in path order while the character budget lasts; the last one is clipped.
+
+    Only sizes go through the window; the texts of the chosen files are joined to them.
+    """
+    sizes = docs.where(F.col("path").rlike(pattern)).select("workspace", "path", F.length("content").cast("long").alias("size"))
     w = Window.partitionBy("workspace").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("before") < budget)
+    chosen = sizes.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("before") < budget).drop("size")
     room = (F.lit(budget) - F.col("before")).cast("int")
-    return rows.select("workspace", "path", "before", F.substring("content", F.lit(1), room).alias("content"))
+    return docs.select("workspace", "path", "content").join(chosen, ["workspace", "path"]).select("workspace", "path", "before", F.substring("content", F.lit(1), room).alias("content"))
 
 
 def first_raw_by_title(docs: DataFrame) -> DataFrame:
@@ -89,23 +116,37 @@ def render_new_page(title: Column, body: Column, sources: Column) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\n> Sources: "), F.array_join(sources, ", "), F.lit("\n\n## Overview\n"), body, F.lit("\n"))
 
 
-def render_merge(content: Column, section: Column, addition: Column) -> Column:
-    """The addition at the end of the section, or, without that section, before the footnotes, or at the end."""
-    head = F.concat(F.lit("\n## "), section, F.lit("\n"))
-    at = F.instr(content, head)
-    after = F.substring(content, at + F.length(head), F.length(content))
-    stop = F.instr(after, F.lit("\n## "))
+def _once(content: Column, footnote: Column) -> Column:
+    """The footnote's line at the end, unless it is there."""
+    line = T.strip(F.coalesce(footnote, F.lit("")))
+    return F.when((line == "") | (F.instr(content, line) > 0), content).otherwise(F.concat(F.regexp_replace(content, r"\s+$", ""), F.lit("\n"), footnote, F.lit("\n")))
+
+
+def render_merge(content: Column, section: Column, addition: Column, footnote: Column | None = None) -> Column:
+    """The addition at the end of the section (## or ###), or, where it isn't there, in a new one; the footnote once.
+
+    A section ends at the next heading or, in the last one, at the footnotes; a new one stands before the footnotes.
+    """
+    second, third = F.concat(F.lit("## "), section), F.concat(F.lit("### "), section)
+    at = F.when(F.instr(content, second) > 0, F.instr(content, second)).otherwise(F.instr(content, third))
+    after = at + F.length(second)
+    rest = F.substring(content, after, F.length(content))
+    following = F.regexp_instr(rest, F.lit(r"(?m)^#{1,6} "))
     notes = F.regexp_instr(content, F.lit(r"(?m)^\[\^\d+\]:"))
-    cut = F.when((at > 0) & (stop > 0), at + F.length(head) + stop - 1).when((at > 0) & (notes > at), notes - 1).when(at > 0, F.length(content)).when(notes > 0, notes - 1).otherwise(F.length(content))
-    left, right = F.substring(content, F.lit(1), cut.cast("int")), F.substring(content, (cut + 1).cast("int"), F.length(content))
-    return F.concat(F.regexp_replace(left, r"\s+$", ""), F.lit("\n\n"), addition, F.lit("\n"), F.when(F.length(right) > 0, F.concat(F.lit("\n"), F.regexp_replace(right, r"^\n+", ""))).otherwise(""))
+    cut = F.when((at > 0) & (following > 0), after + following - 2).when(notes > 0, notes - 1).otherwise(F.length(content)).cast("int")
+    left, right = F.substring(content, F.lit(1), cut), F.substring(content, cut + 1, F.length(content))
+    piece = F.when(at > 0, addition).otherwise(F.concat(second, F.lit("\n\n"), addition))
+    inside = F.concat(left, F.lit("\n"), piece, F.lit("\n\n"), right)
+    made = F.when(right != "", inside).otherwise(F.concat(content, F.lit("\n\n"), piece, F.lit("\n")))
+    return made if footnote is None else _once(made, footnote)
 
 
-def render_hedge(content: Column, claim: Column, note: Column, date: Column, source: Column) -> Column:
-    """The claim's first occurrence inside a dated disputed block; null where the claim isn't there."""
+def render_hedge(content: Column, claim: Column, note: Column, date: Column, source: Column, footnote: Column | None = None) -> Column:
+    """The claim's first occurrence inside a dated disputed block, the footnote once; null where the claim isn't there."""
     at = F.instr(content, claim)
-    block = F.concat(F.lit("::: disputed\n"), claim, F.lit("\n\nUpdated "), date, F.lit(" per "), source, F.lit(": "), note, F.lit("\n:::"))
-    return F.when(at > 0, F.concat(F.substring(content, F.lit(1), at - 1), block, F.substring(content, at + F.length(claim), F.length(content))))
+    block = F.concat(F.lit("::: disputed\n"), claim, F.lit("\n\n**Updated "), date, F.lit(" per "), source, F.lit(":** "), note, F.lit("\n:::\n"))
+    made = F.concat(F.substring(content, F.lit(1), at - 1), block, F.substring(content, at + F.length(claim), F.length(content)))
+    return F.when(at > 0, made if footnote is None else _once(made, footnote))
 
 
 def render_cross_ref(content: Column, label: Column, path: Column) -> Column:

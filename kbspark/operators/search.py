@@ -34,15 +34,19 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 
 def bm25(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """Rows that hold any term of the query, with `bm25`. Terms are counted within each row: no postings are made."""
+    """Rows that hold any term of the query, with `bm25`. Terms are counted within each row: no postings are made.
+
+    The counts come out of a generator, below which no filter moves, so that each row's text is folded once.
+    """
     spark = df.sparkSession
     terms = [r[0] for r in spark.range(1).select(F.explode(T.query_terms(F.lit(query)))).collect()]
-    counted = bag(df, columns)
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
-    counted = counted.withColumns({"dl": F.size("words"), **{f"tf{i}": tf(t) for i, t in enumerate(terms)}}).drop("words")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    hits = counted.where(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0).join(F.broadcast(stats))  # one row
-    score = sum((idf(F.col("n"), F.col(f"df{i}")) * weight(F.col(f"tf{i}"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))), F.lit(0.0))
+    text, n = F.col("_text"), range(len(terms))
+    length = F.when(text == "  ", 0).otherwise(T.occurrences(text, "  ") + 1)
+    counts = F.struct(length.alias("_dl"), *(T.occurrences(text, T.spaced_term(t)).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    counted = df.withColumn("_text", T.spaced(F.concat_ws(" ", *columns))).select(*df.columns, F.inline(F.array(counts)))
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in n))
+    hits = counted.where(sum((F.col(f"_tf{i}") for i in n), F.lit(0)) > 0).join(F.broadcast(stats))  # one row
+    score = sum((idf(F.col("_n"), F.col(f"_df{i}")) * weight(F.col(f"_tf{i}"), F.col("_dl"), F.col("_avgdl")) for i in n), F.lit(0.0))
     return hits.withColumn("bm25", score).select(*df.columns, "bm25")
 
 
@@ -72,23 +76,31 @@ def hybrid_search(docs: DataFrame, beliefs: DataFrame, query: str, now: Column,
     return hybrid(top, beliefs, now, ["query_id"], weights, half_life_hours).orderBy(F.desc(F.round("score", 9)), "path").limit(limit)
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, bm25, rank): the k best of each query. The queries' terms pick the postings before they group."""
-    terms = queries.select("query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
-    words = bag(docs).select("doc_id", "words", F.size("words").alias("dl"))
+def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """(query_id, doc_id, bm25, rank): the k best of each query. The queries' terms pick the postings before they group.
+
+    With `within`, a column of both, a query's hits have its value there; the statistics are those of all documents.
+    Phrases are looked up among the runs of words of their lengths; the few lengths there are come to the driver.
+    """
+    by = [within] if within else []
+    terms = queries.select(*by, "query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
+    lengths = sorted(r[0] for r in terms.select(F.size(F.split("term", " "))).distinct().collect())
+    words = bag(docs).select(*by, "doc_id", "words", F.size("words").alias("dl"))
     total = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posts = words.select("doc_id", "dl", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    runs = lambda k: F.when(F.col("dl") >= k, F.transform(F.sequence(F.lit(1), F.col("dl") - k + 1), lambda i: F.array_join(F.slice("words", i, k), " "))).otherwise(F.array().cast("array<string>"))
+    held = F.concat(*(F.col("words") if k == 1 else runs(k) for k in lengths)) if lengths else F.col("words")
+    posts = words.select(*by, "doc_id", "dl", F.explode(held).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = posts.groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     scored = posts.join(df.join(F.broadcast(total)), "term")  # the total is one row
     scored = scored.withColumn("w", idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl")))
-    hits = scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"))
+    hits = scored.select(*by, "doc_id", "term", "w").join(terms, [*by, "term"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hybrid_search_batch(docs: DataFrame, beliefs: DataFrame, queries: DataFrame, now: Column, limit: int = 10, weights=(0.55, 0.30, 0.15), half_life_hours: float = 168.0, candidate_factor: int = 3) -> DataFrame:
-    top = bm25_batch(docs, queries, candidate_factor * limit).drop("rank").join(docs.select("doc_id", "workspace", "path", "title", "updated_at"), "doc_id")
+def hybrid_search_batch(docs: DataFrame, beliefs: DataFrame, queries: DataFrame, now: Column, limit: int = 10, weights=(0.55, 0.30, 0.15), half_life_hours: float = 168.0, candidate_factor: int = 3, within: str | None = None) -> DataFrame:
+    top = bm25_batch(docs, queries, candidate_factor * limit, within).drop("rank").join(docs.select("doc_id", "workspace", "path", "title", "updated_at"), "doc_id")
     scored = hybrid(top, beliefs, now, ["query_id"], weights, half_life_hours)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "path")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from kbspark.operators import pages as G
 from kbspark.operators import quality as Q
 from kbspark.operators import search as S
 from kbspark.plans import model as M
+from kbspark.sources.tables import read_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -392,6 +394,21 @@ def a20(spark, d):
     return Q.journal_months(M.documents(spark, d))
 
 
+@register("a22_cascade_coverage", f"""WITH posts AS ({_POSTS}), df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM posts),
+  s AS (SELECT doc_id, workspace, term, tf * ln(n / df) AS tfidf FROM posts JOIN df USING (term), n),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 9) DESC, term) AS rank FROM s) WHERE rank <= 20),
+  w AS (SELECT DISTINCT posts.workspace, path, title, term FROM posts JOIN m_documents USING (doc_id) WHERE layer = 'wiki'),
+  m AS (SELECT DISTINCT k.workspace, k.doc_id, w.path, w.title FROM k JOIN w USING (workspace, term)),
+  per AS (SELECT m.workspace, m.doc_id, count(*) AS matches, count(*) FILTER (m.title = d.title) AS covered FROM m JOIN m_documents d USING (doc_id) GROUP BY ALL)
+  SELECT workspace, doc_id, coalesce(matches, 0) AS matches, coalesce(covered, 0) AS covered, round(CASE WHEN matches > 0 THEN covered / matches ELSE 1 END, 6) AS score FROM (SELECT DISTINCT workspace, doc_id FROM k) LEFT JOIN per USING (workspace, doc_id)""")
+def a22_coverage(spark, d):
+    docs = M.documents(spark, d)
+    terms = S.top_terms(S.postings(docs)).join(docs.select("doc_id", "workspace"), "doc_id")
+    # An ingest touched the wiki pages of its own title.
+    touched = docs.select("workspace", "doc_id", "title").join(docs.where("layer = 'wiki'").select("workspace", "title", "path"), ["workspace", "title"])
+    return D.cascade_coverage(terms, docs, touched).withColumn("score", F.round("score", 6))
+
+
 @register("a23_gold_query_score", "WITH e AS (SELECT conv_id AS query_id, list_distinct(string_split(min(text), ' ')) AS a, list_distinct(string_split(max(text), ' ')) AS b, list_distinct(string_split(min(text), ' ')[1:3]) AS c FROM conversations GROUP BY 1) SELECT query_id, round((len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) * (len(list_intersect(c, b)) / len(list_distinct(list_concat(c, b)))), 6) AS score FROM e")
 def a23(spark, d):
     m = M.messages(spark, d).groupBy("session_id").agg(F.array_distinct(F.split(F.min("content"), " ")).alias("a"), F.array_distinct(F.split(F.max("content"), " ")).alias("b"), F.array_distinct(F.slice(F.split(F.min("content"), " "), 1, 3)).alias("c"))
@@ -418,8 +435,8 @@ def w1(spark, d):
 
 
 @register("w2_assign_slugs", r"""WITH b AS (SELECT workspace, topic, path, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64), '-+$', ''), ''), 'untitled') AS base FROM m_documents),
-  f AS (SELECT *, row_number() OVER (PARTITION BY workspace, topic, base ORDER BY path) AS n FROM b), s AS (SELECT *, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS s1 FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY workspace, topic, s1 ORDER BY n, path) AS k FROM s)
-  SELECT path, CASE WHEN k = 1 THEN s1 ELSE s1 || '-x' || k END AS slug FROM k""")
+  f AS (SELECT *, row_number() OVER (PARTITION BY workspace, topic, base ORDER BY path) AS n FROM b)
+  SELECT path, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM f""")
 def w2(spark, d):
     return G.assign_slugs(M.documents(spark, d)).select("path", "slug")
 
@@ -497,11 +514,11 @@ def j2_counts(spark, d):
     return I.changed_line_counts(pairs).select("doc_id", "added", "removed")
 
 
-@register("j3_new_items", "WITH b AS (SELECT * FROM m_items UNION ALL SELECT * REPLACE (item_id + 1000000000 AS item_id) FROM m_items), seen AS (SELECT * FROM m_items WHERE item_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY workspace, external_id, content_hash ORDER BY item_id) AS r FROM b WHERE external_id IS NOT NULL) SELECT item_id FROM r WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.workspace = r.workspace AND s.external_id = r.external_id AND s.content_hash = r.content_hash) UNION ALL SELECT item_id FROM b WHERE external_id IS NULL")
+@register("j3_new_items", "WITH b AS (SELECT * FROM m_items UNION ALL SELECT * REPLACE (item_id + 1000000000 AS item_id) FROM m_items), seen AS (SELECT * FROM m_items WHERE status <> 'pending'), r AS (SELECT *, row_number() OVER (PARTITION BY workspace, external_id, content_hash ORDER BY item_id) AS r FROM b WHERE external_id IS NOT NULL) SELECT item_id FROM r WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.workspace = r.workspace AND s.external_id = r.external_id AND s.content_hash = r.content_hash) UNION ALL SELECT item_id FROM b WHERE external_id IS NULL")
 def j3(spark, d):
     items = M.items(spark, d)
     batch = items.unionByName(items.withColumn("item_id", F.col("item_id") + 1000000000))
-    return I.new_items(batch, items.where("item_id % 2 = 0"), ["item_id"]).select("item_id")
+    return I.new_items(batch, items.where("status <> 'pending'"), ["item_id"]).select("item_id")
 
 
 @register("j4_changed_files", f"SELECT path, sha256(content) AS content_hash FROM ({_LATER}) n WHERE (path, sha256(content)) NOT IN (SELECT path, content_hash FROM m_documents)")
@@ -509,9 +526,9 @@ def j4(spark, d):
     return I.changed_files(_later(spark, d).select("path", "content_hash"), M.documents(spark, d))
 
 
-@register("j8_quote_search", "WITH q AS (SELECT item_id AS quote_id, array_to_string(string_split(text, ' ')[2:14], ' ') AS quote FROM benchmark) SELECT quote_id, doc_id, instr(content, quote) - 1 AS \"offset\" FROM q JOIN m_documents ON contains(content, quote)")
+@register("j8_quote_search", "WITH q AS (SELECT item_id AS quote_id, array_to_string(string_split(text, ' ')[2:2 + item_id % 13], ' ') AS quote FROM benchmark) SELECT quote_id, doc_id, instr(content, quote) - 1 AS \"offset\" FROM q JOIN m_documents ON contains(content, quote)")
 def j8(spark, d):
-    quotes = M.given(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.array_join(F.slice(F.split("text", " "), 2, 13), " ").alias("quote"))
+    quotes = M.given(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.array_join(F.slice(F.split("text", " "), F.lit(2), (F.col("item_id") % 13 + 1).cast("int")), " ").alias("quote"))
     return C.quote_search(quotes, M.documents(spark, d))
 
 
@@ -520,9 +537,9 @@ def j9(spark, d):
     return C.follow(M.footnotes(spark, d), M.documents(spark, d)).select("page_path", "footnote_id", "page_hint", "text")
 
 
-@register("j10_orphaned_beliefs", "SELECT belief_id FROM m_beliefs b WHERE superseded_at IS NULL AND NOT EXISTS (SELECT 1 FROM m_documents p WHERE doc_id % 3 > 0 AND p.workspace = b.workspace AND p.path = b.path)")
+@register("j10_orphaned_beliefs", "SELECT belief_id FROM m_beliefs b WHERE superseded_at IS NULL AND NOT EXISTS (SELECT 1 FROM m_documents p WHERE layer = 'wiki' AND p.workspace = b.workspace AND p.path = b.path)")
 def j10(spark, d):
-    return C.orphaned_beliefs(M.beliefs(spark, d), M.documents(spark, d).where("doc_id % 3 > 0")).select("belief_id")
+    return C.orphaned_beliefs(M.beliefs(spark, d), M.documents(spark, d).where("layer = 'wiki'")).select("belief_id")
 
 
 @register("j11_missing_sources", _STATUS + " SELECT page_path, footnote_id, source_file FROM r WHERE source_path IS NULL")
@@ -530,10 +547,10 @@ def j11(spark, d):
     return C.missing_sources(M.footnotes(spark, d), M.documents(spark, d)).select("page_path", "footnote_id", "source_file")
 
 
-@register("j12_belief_neighbors", "WITH h AS (SELECT belief_id FROM m_beliefs WHERE topic = 'src1') SELECT belief_id, 'successor' AS relation, superseded_by AS other_id FROM m_beliefs WHERE superseded_by IS NOT NULL AND belief_id IN (SELECT * FROM h) UNION ALL SELECT superseded_by, 'predecessor', belief_id FROM m_beliefs WHERE superseded_by IN (SELECT * FROM h)")
+@register("j12_belief_neighbors", "WITH h AS (SELECT belief_id FROM m_beliefs) SELECT belief_id, 'successor' AS relation, superseded_by AS other_id FROM m_beliefs WHERE superseded_by IS NOT NULL AND belief_id IN (SELECT * FROM h) UNION ALL SELECT superseded_by, 'predecessor', belief_id FROM m_beliefs WHERE superseded_by IN (SELECT * FROM h)")
 def j12(spark, d):
     rows = M.beliefs(spark, d)
-    return B.neighbors(rows.where("topic = 'src1'"), rows)
+    return B.neighbors(rows, rows)
 
 
 @register("j13_supersession_chains", "WITH b AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY workspace, subject, predicate ORDER BY asserted_at, belief_id) AS r, last_value(belief_id) OVER (PARTITION BY workspace, subject, predicate ORDER BY asserted_at, belief_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM m_beliefs WINDOW w AS (PARTITION BY workspace, subject, predicate)) SELECT belief_id, CASE WHEN subject IS NULL THEN belief_id ELSE last_id END AS last_id, CASE WHEN subject IS NULL THEN 0 ELSE n - r END AS steps FROM b")
@@ -552,13 +569,13 @@ def j14_points(spark, d):
     return B.as_of_points(M.beliefs(spark, d), points).withColumn("n", F.col("n").cast("long"))
 
 
-_INCOMING = "SELECT workspace, path, CASE WHEN length(statement) % 3 = 0 THEN statement || ' again' ELSE statement END AS statement, subject, predicate, object FROM m_beliefs WHERE topic IN ('src1', 'src2', 'src3')"
+_INCOMING = "SELECT workspace, path, CASE WHEN length(statement) % 3 = 0 THEN statement || ' again' ELSE statement END AS statement, subject, predicate, object FROM m_beliefs"
 
 
 @register("j15_merge_beliefs", f"WITH i AS (SELECT DISTINCT * FROM ({_INCOMING})), o AS (SELECT workspace, path, statement, subject, predicate, object, min(belief_id) AS belief_id FROM m_beliefs WHERE superseded_at IS NULL AND (workspace, path) IN (SELECT workspace, path FROM i) GROUP BY ALL) SELECT coalesce(o.workspace, i.workspace) AS workspace, coalesce(o.path, i.path) AS path, coalesce(o.statement, i.statement) AS statement, belief_id, CASE WHEN i.path IS NULL THEN 'supersede' WHEN belief_id IS NULL THEN 'insert' ELSE 'keep' END AS action FROM o FULL JOIN i ON o.workspace = i.workspace AND o.path = i.path AND o.statement = i.statement AND o.subject IS NOT DISTINCT FROM i.subject AND o.predicate IS NOT DISTINCT FROM i.predicate AND o.object IS NOT DISTINCT FROM i.object")
 def j15(spark, d):
     rows = M.beliefs(spark, d)
-    incoming = rows.where(F.col("topic").isin("src1", "src2", "src3")).withColumn("statement", F.when(F.length("statement") % 3 == 0, F.concat("statement", F.lit(" again"))).otherwise(F.col("statement")))
+    incoming = rows.withColumn("statement", F.when(F.length("statement") % 3 == 0, F.concat("statement", F.lit(" again"))).otherwise(F.col("statement")))
     return B.merge_beliefs(rows.where("superseded_at IS NULL"), incoming)
 
 
@@ -570,25 +587,37 @@ _EDGED = r"chr(1) || regexp_replace(lower({}), '([^\p{{L}}\p{{N}}_])', chr(1) ||
 
 @register("j16_cross_refs", rf"""WITH p AS (SELECT *, {_EDGED.format("content")} AS edged FROM ({_TITLED})), w AS (SELECT DISTINCT workspace, path, unnest(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}]+')) AS word FROM p), t AS (SELECT workspace, path, doc_id, title, {_EDGED.format("title")} AS edged, list_filter(string_split_regex(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM p WHERE length(title) >= 4),
   c AS (SELECT t.workspace, w.path AS from_path, t.path AS to_path, title, edged, doc_id AS to_id FROM t JOIN w ON w.workspace = t.workspace AND w.word = t.ws[-1] AND w.path <> t.path)
-  SELECT c.workspace, from_path, to_path, c.title FROM c JOIN p ON p.workspace = c.workspace AND p.path = from_path WHERE (to_id % 2 = 0 OR p.doc_id % 2 = 0) AND contains(p.edged, c.edged) AND NOT contains(p.content, to_path) AND NOT (contains(p.content, '## See Also') AND contains(p.content, string_split(to_path, '/')[-1]))""")
+  SELECT c.workspace, from_path, to_path, c.title FROM c JOIN p ON p.workspace = c.workspace AND p.path = from_path WHERE contains(p.edged, c.edged) AND NOT contains(p.content, to_path) AND NOT (contains(p.content, '## See Also') AND contains(p.content, string_split(to_path, '/')[-1]))""")
 def j16(spark, d):
     pages = M.documents(spark, d).withColumn("title", F.substring(F.regexp_extract("title", "^[^ ]+ [^ ]+", 0), 1, 40))
-    return D.cross_refs(pages, pages.where("doc_id % 2 = 0"))
+    return D.cross_refs(pages, pages)
 
 
 _TW = f"list_distinct(list_filter(list_transform(regexp_extract_all(title, '[a-zA-Z]{{3,}}'), lambda x: lower(x)), lambda x: NOT list_contains({list(T.TITLE_STOP_WORDS)}, x)))"
-_CANDIDATES = f"""w AS (SELECT doc_id, workspace, path, layer, {_TW} AS w FROM m_documents), a AS (SELECT doc_id, workspace, path, len(w) AS n, unnest(w) AS word FROM w), b AS (SELECT workspace, path, len(w) AS n, unnest(w) AS word FROM w WHERE layer = 'wiki'),
+# Titles' words with dashes are phrases; their runs of words are added to the postings.
+_TITLE_TERMS = r"list_distinct(list_filter(list_transform(list_filter(string_split_regex(regexp_replace(title, '[^a-zA-Z0-9\s-]', ' ', 'g'), '\s+'), lambda x: length(x) > 1 AND NOT list_contains(" + str(list(T.QUERY_STOP_WORDS)) + r", lower(x))), lambda x: trim(regexp_replace(lower(x), '-+', ' ', 'g'))), lambda x: x <> ''))"
+_CANDIDATES = f"""qt AS (SELECT workspace, doc_id AS query_id, unnest({_TITLE_TERMS}) AS term FROM m_documents),
+  ph AS (SELECT DISTINCT term, string_split(term, ' ') AS parts FROM qt WHERE contains(term, ' ')),
+  dw AS (SELECT doc_id, workspace, {_WORDS} AS ws FROM m_documents),
+  posts AS ({_POSTS} UNION ALL SELECT doc_id, workspace, dl, term, count(*) AS tf FROM (SELECT doc_id, workspace, len(ws) AS dl, term, ws, parts, unnest(range(1, len(ws) - len(parts) + 2)) AS i FROM dw, ph WHERE list_contains(ws, parts[1]) AND contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || term || ' ')) WHERE ws[i : i + len(parts) - 1] = parts GROUP BY ALL),
+  n AS (SELECT count(*) AS n, avg(len({_WORDS})) AS avgdl FROM m_documents), df AS (SELECT term, count(*) AS df FROM posts GROUP BY 1),
+  weights AS (SELECT doc_id, workspace, term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM posts JOIN df USING (term), n WHERE term IN (SELECT term FROM qt)),
+  ranked AS (SELECT query_id, doc_id, sum(w) AS bm25 FROM weights JOIN qt USING (workspace, term) GROUP BY ALL),
+  top AS (SELECT query_id, bm25, d.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS r FROM ranked) JOIN m_documents d USING (doc_id) WHERE r <= 15), {_SCORED},
+  h AS (SELECT query_id AS doc_id, path, layer, 0.8 * score AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path) AS r FROM scored) WHERE r <= 5),
+  v AS (SELECT h.doc_id, h.path, h.score, 2 AS reason FROM h JOIN m_documents d ON d.doc_id = h.doc_id WHERE h.layer = 'wiki' AND d.path <> h.path),
+  w AS (SELECT doc_id, workspace, path, layer, {_TW} AS w FROM m_documents), a AS (SELECT doc_id, workspace, path, len(w) AS n, unnest(w) AS word FROM w), b AS (SELECT workspace, path, len(w) AS n, unnest(w) AS word FROM w WHERE layer = 'wiki'),
   t AS (SELECT a.doc_id, b.path, 0.6 + 0.4 * count(*) / least(a.n, b.n) AS score, 1 AS reason FROM a JOIN b USING (workspace, word) WHERE a.path <> b.path GROUP BY a.doc_id, b.path, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.3),
-  s AS (SELECT DISTINCT workspace, path, subject FROM m_beliefs WHERE superseded_at IS NULL AND subject IS NOT NULL),
-  y AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY workspace, subject ORDER BY path) AS r FROM s SEMI JOIN (SELECT workspace, path FROM m_documents WHERE layer = 'wiki') p USING (workspace, path)) WHERE r <= 5),
-  u AS (SELECT DISTINCT d.doc_id, y.path, 0.5 AS score, 2 AS reason FROM m_documents d JOIN s x ON x.workspace = d.workspace AND x.path = d.path JOIN y ON y.workspace = x.workspace AND y.subject = x.subject AND y.path <> x.path),
-  c AS (SELECT * FROM t UNION ALL SELECT * FROM u WHERE (doc_id, path) NOT IN (SELECT doc_id, path FROM t)),
+  s AS (SELECT workspace, path, subject, row_number() OVER (PARTITION BY workspace, subject ORDER BY asserted_at DESC, belief_id) AS r FROM m_beliefs WHERE superseded_at IS NULL AND subject IS NOT NULL),
+  y AS (SELECT DISTINCT workspace, path, subject FROM s WHERE r <= 5 AND path LIKE 'wiki/%'),
+  u AS (SELECT DISTINCT d.doc_id, y.path, 0.5 AS score, 3 AS reason FROM m_documents d JOIN s x ON x.workspace = d.workspace AND x.path = d.path JOIN y ON y.workspace = x.workspace AND y.subject = x.subject AND y.path <> x.path),
+  c AS (SELECT doc_id, path, arg_min(score, reason) AS score, min(reason) AS reason FROM (SELECT * FROM t UNION ALL SELECT * FROM v UNION ALL SELECT * FROM u) GROUP BY ALL),
   k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, path) AS rank FROM c) WHERE rank <= 5)"""
 
 
 def _candidates(spark, d):
     docs = M.documents(spark, d)
-    return docs, D.candidate_pages(docs, docs, M.beliefs(spark, d))
+    return docs, D.candidate_pages(docs, docs, M.beliefs(spark, d), M.now())
 
 
 @register("j17_candidate_pages", f"WITH {_CANDIDATES} SELECT doc_id, path, round(score, 6) AS score, reason, rank FROM k")
@@ -651,23 +680,23 @@ def j24(spark, d):
     return B.footnote_coverage(M.beliefs(spark, d), M.footnotes(spark, d))
 
 
-@register("j25_apply_supersessions", f"WITH p AS (SELECT belief_id, 'revised ' || belief_id AS statement FROM m_beliefs WHERE topic = 'src4' AND superseded_at IS NULL) SELECT b.belief_id, b.statement, CASE WHEN p.belief_id IS NOT NULL THEN epoch({M.NOW_SQL}) ELSE epoch(superseded_at) END::BIGINT AS superseded_at, CASE WHEN p.belief_id IS NOT NULL THEN b.belief_id || '-r' ELSE superseded_by END AS superseded_by FROM m_beliefs b LEFT JOIN p USING (belief_id) UNION ALL SELECT belief_id || '-r', statement, NULL, NULL FROM p")
+@register("j25_apply_supersessions", f"WITH p AS (SELECT belief_id, 'revised ' || belief_id AS statement FROM m_beliefs WHERE superseded_at IS NULL) SELECT b.belief_id, b.statement, CASE WHEN p.belief_id IS NOT NULL THEN epoch({M.NOW_SQL}) ELSE epoch(superseded_at) END::BIGINT AS superseded_at, CASE WHEN p.belief_id IS NOT NULL THEN b.belief_id || '-r' ELSE superseded_by END AS superseded_by FROM m_beliefs b LEFT JOIN p USING (belief_id) UNION ALL SELECT belief_id || '-r', statement, NULL, NULL FROM p")
 def j25(spark, d):
     rows = M.beliefs(spark, d)
-    pairs = rows.where("topic = 'src4' AND superseded_at IS NULL").select("belief_id", F.concat(F.lit("revised "), "belief_id").alias("statement"), F.lit("better").alias("reason"))
+    pairs = rows.where("superseded_at IS NULL").select("belief_id", F.concat(F.lit("revised "), "belief_id").alias("statement"), F.lit("better").alias("reason"))
     return seconds(B.apply_supersessions(rows, pairs, M.now())[0], "superseded_at").select("belief_id", "statement", "superseded_at", "superseded_by")
 
 
-@register("j26_supersede_documents", f"SELECT belief_id, CASE WHEN topic = 'src5' AND superseded_at IS NULL THEN epoch({M.NOW_SQL}) ELSE epoch(superseded_at) END::BIGINT AS superseded_at, CASE WHEN topic = 'src5' AND superseded_at IS NULL THEN 'gone' END AS reason FROM m_beliefs")
+@register("j26_supersede_documents", f"SELECT belief_id, CASE WHEN superseded_at IS NULL THEN epoch({M.NOW_SQL}) ELSE epoch(superseded_at) END::BIGINT AS superseded_at, CASE WHEN superseded_at IS NULL THEN 'gone' END AS reason FROM m_beliefs")
 def j26(spark, d):
     rows = M.beliefs(spark, d)
-    return seconds(B.supersede_documents(rows, M.documents(spark, d).where("topic = 'src5'"), M.now(), "gone"), "superseded_at").select("belief_id", "superseded_at", "reason")
+    return seconds(B.supersede_documents(rows, M.documents(spark, d), M.now(), "gone"), "superseded_at").select("belief_id", "superseded_at", "reason")
 
 
-@register("j27_new_notes", r"SELECT doc_id FROM m_documents n WHERE (workspace, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g'))) NOT IN (SELECT workspace, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g')) FROM m_documents WHERE doc_id % 2 = 0)")
+@register("j27_new_notes", r"SELECT doc_id FROM m_documents n WHERE (workspace, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g'))) NOT IN (SELECT workspace, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g')) FROM m_documents WHERE layer = 'wiki')")
 def j27(spark, d):
     docs = M.documents(spark, d)
-    known = docs.where("doc_id % 2 = 0").select("workspace", F.concat(F.lit('{"body_hash": "'), T.quote_hash(F.col("content")), F.lit('"}')).alias("metadata"))
+    known = docs.where("layer = 'wiki'").select("workspace", F.concat(F.lit('{"body_hash": "'), T.quote_hash(F.col("content")), F.lit('"}')).alias("metadata"))
     return I.new_notes(docs.select("doc_id", "workspace", F.concat(F.lit("\n "), "content").alias("body")), known).select("doc_id")
 
 
@@ -727,9 +756,22 @@ def s2(spark, d):
     return I.docs_scope(M.given(spark, d, "documents").select(F.expr(_FILE).alias("path")))
 
 
-@register("s3_read_tables", "SELECT event_id, event_type, value FROM events")
+_TYPED = {
+    "documents": "doc_id long, text string, lang string, source string",
+    "pages": "page_id long, url string, html string",
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "benchmark": "item_id long, text string",
+}
+_FIRSTS = {name: [c.split()[0] for c in ddl.split(", ")] for name, ddl in _TYPED.items()}
+
+
+@register("s3_read_tables", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, " + " + ".join(f"count({c})" for c in columns) + f" AS filled, sum({columns[0]})::BIGINT AS ids FROM {n}" for n, columns in _FIRSTS.items()))
 def s3(spark, d):
-    return spark.read.schema("event_id long, event_type string, value double").parquet(f"{d}/events.parquet")
+    tables = read_tables(spark, d, _TYPED, ".parquet")
+    told = [t.agg(F.lit(n).alias("name"), F.count("*").alias("n"), sum((F.count(c) for c in t.columns), F.lit(0)).alias("filled"), F.sum(t.columns[0]).alias("ids")) for n, t in tables.items()]
+    return reduce(DataFrame.unionByName, told)
 
 
 @register("s12_upsert_documents", f"WITH n AS (SELECT doc_id, workspace, path, sha256(content) AS content_hash, TIMESTAMP '2024-01-20' AS updated_at, 1 AS o FROM ({_LATER})), x AS (SELECT doc_id, workspace, path, content_hash, updated_at, 0 AS o FROM m_documents UNION ALL SELECT * FROM n) SELECT path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY workspace, path ORDER BY updated_at DESC, o DESC) AS r FROM x) WHERE r = 1")
@@ -775,9 +817,9 @@ def x1(spark, d):
     return B.extract_beliefs(M.pages(spark, d)).select("path", "pos", "statement", "section", F.array_join("footnote_ids", ",").alias("footnote_ids"), "subject", "predicate", "object")
 
 
-@register("x2_rebuild_beliefs", _PLINES + " SELECT workspace, path, statement FROM m_beliefs WHERE topic = 'src6' UNION ALL SELECT workspace, path, statement FROM e WHERE (workspace, path) NOT IN (SELECT workspace, path FROM m_beliefs WHERE topic = 'src6')")
+@register("x2_rebuild_beliefs", _PLINES + " SELECT workspace, path, statement FROM m_beliefs WHERE path LIKE 'wiki/%' UNION ALL SELECT workspace, path, statement FROM e WHERE (workspace, path) NOT IN (SELECT workspace, path FROM m_beliefs WHERE path LIKE 'wiki/%')")
 def x2(spark, d):
-    return B.rebuild_beliefs(M.pages(spark, d), M.beliefs(spark, d).where("topic = 'src6'")).select("workspace", "path", "statement")
+    return B.rebuild_beliefs(M.pages(spark, d), M.beliefs(spark, d).where("path LIKE 'wiki/%'")).select("workspace", "path", "statement")
 
 
 def _sources(spark, d):
@@ -955,7 +997,8 @@ def f27(spark, d):
     return M.given(spark, d, "orders").select("o_orderkey", T.progress_pct(k % 5, k % 7).alias("pct"))
 
 
-@register("f28_references", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(['#' || doc_id, '#7'], list_filter(regexp_extract_all(text, '\b([0-9a-f]{7,40})\b', 1), lambda h: regexp_matches(h, '[a-f]') AND regexp_matches(h, '[0-9]'))))), ' ') AS refs FROM documents WHERE NOT regexp_matches(text, '#[0-9]|PR')")
+@register("f28_references", r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(t, '(?:#|PR\s+#?)(\d+)', 1), lambda n: '#' || n),
+  list_filter(regexp_extract_all(t, '\b([0-9a-f]{7,40})\b', 1), lambda h: regexp_matches(h, '[a-f]') AND regexp_matches(h, '[0-9]'))))), ' ') AS refs FROM (SELECT doc_id, text || ' see #' || doc_id || ' and PR 7' AS t FROM documents)""")
 def f28(spark, d):
     docs = M.given(spark, d, "documents")
     return docs.select("doc_id", F.array_join(F.array_distinct(T.references(F.concat("text", F.lit(" see #"), F.col("doc_id").cast("string"), F.lit(" and PR 7")))), " ").alias("refs"))

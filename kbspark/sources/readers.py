@@ -62,9 +62,11 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(session, seq, role, content, ts) of chat transcripts in two JSON-lines dialects.
 
     In one a line has a type and a message whose content is a text or blocks; in the other a role and content. Lines
-    that aren't JSON, empty messages and those that only name a tool are dropped.
+    that aren't JSON, empty messages and those that only name a tool are dropped; `seq` is the line's number in its file.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    # A file's blocks are read each in its order.
+    lines = lines.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy("block", "place")).cast("long") - 1)
     get = lambda p: F.get_json_object("value", p)
     blocks = F.from_json(F.coalesce(get("$.message.content"), get("$.content")), "array<struct<type:string,text:string,name:string>>")
     joined = F.array_join(F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("[tool: "), b["name"], F.lit("]")))), "\n")

@@ -18,16 +18,19 @@ SCHEMAS = {
 }
 
 
-def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(T.StructType.fromDDL(ddl)).parquet(f"{path}/{name}") for name, ddl in SCHEMAS.items()}
+def read_tables(spark: SparkSession, path: str, schemas: dict[str, str] = SCHEMAS, suffix: str = "") -> dict[str, DataFrame]:
+    """Each table under `path`, read with its own schema; `suffix` ends the tables' names there."""
+    return {name: spark.read.schema(T.StructType.fromDDL(ddl)).parquet(f"{path}/{name}{suffix}") for name, ddl in schemas.items()}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a new folder."""
+    """spark.checkpoint.dir, or the one set on the context; for a local session, as in tests, a new folder. An error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
+            if not spark.sparkContext._jsc.sc().isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             known = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = known.get()

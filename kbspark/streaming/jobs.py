@@ -26,13 +26,11 @@ def _earlier(df: DataFrame, path: str, batch: int) -> DataFrame:
     return rows.where(~F.col("_metadata.file_path").contains(f"/batch={batch}/"))
 
 
-def stream_new_items(stream: DataFrame, items_path: str, events_path: str, checkpoint: str, watermark: str = "30 days") -> StreamingQuery:
+def stream_new_items(stream: DataFrame, items_path: str, events_path: str, checkpoint: str) -> StreamingQuery:
     """New items and an event for each, both idempotent by batch.
 
-    The watermark bounds the state that drops repeats within it; the anti-join with the table drops all others.
+    What is new is told by the batch and the table of earlier items alone, so that late items arrive as well and no state is kept.
     """
-    keyed = stream.withColumn("_key", F.xxhash64("workspace", F.coalesce("external_id", F.expr("uuid()")), "content_hash"))
-    once = keyed.withWatermark("published_at", watermark).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
     def land(df: DataFrame, batch: int) -> None:
         fresh = I.new_items(df, _earlier(df, items_path, batch), ["item_id"]).persist()
@@ -40,7 +38,7 @@ def stream_new_items(stream: DataFrame, items_path: str, events_path: str, check
         _write(fresh.select("workspace", F.lit("subscription").alias("source_type"), F.lit("item").alias("event_type"), "title", "url", F.col("published_at").alias("occurred_at")), events_path, batch)
         fresh.unpersist()
 
-    return once.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_changed_files(stream: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:

@@ -30,7 +30,7 @@ def at(day: int, hour: int = 0) -> datetime:
 def test_text_functions(spark):
     c = lambda s: F.lit(s)
     assert one(spark, T.tokenize(c("Éa b-c 12_x ß"))) == ["ea", "b", "c", "12", "x", "ß"]
-    assert one(spark, T.query_terms(c("How do I use the state-machine, a X?"))) == ["use", "state", "machine"]
+    assert one(spark, T.query_terms(c("How do I use the state-machine, a X?"))) == ["use", "state machine"]
     assert one(spark, T.title(c("# Nav\n\n# - skip\n# Longer heading here\n# Title: The One"))) == "The One"
     assert one(spark, T.title(c("# Nav\n# Longer heading here"))) == "Longer heading here"
     assert one(spark, T.title(c("none"))) is None
@@ -174,13 +174,68 @@ def test_page_edits(spark):
     end = one(spark, G.render_merge(F.lit(page), F.lit("Absent"), F.lit("added")))
     assert end.index("## More") < end.index("added") < end.index("[^1]:")
     hedged = one(spark, G.render_hedge(F.lit(page), F.lit("old"), F.lit("no"), F.lit("2024-01-02"), F.lit("s")))
-    assert "::: disputed\nold\n\nUpdated 2024-01-02 per s: no\n:::" in hedged
+    assert "::: disputed\nold\n\n**Updated 2024-01-02 per s:** no\n:::" in hedged
     assert one(spark, G.render_hedge(F.lit(page), F.lit("absent"), F.lit("no"), F.lit("d"), F.lit("s"))) is None
     once = G.render_cross_ref(F.lit(page), F.lit("B"), F.lit("b.md"))
     assert one(spark, once).count("[B](b.md)") == one(spark, G.render_cross_ref(once, F.lit("B"), F.lit("b.md"))).count("[B](b.md)") == 1
     assert one(spark, G.preview(F.lit("intro\n# T\n> s\n\nfirst\nline\n\nsecond"))) == "first line"
 
 
+def test_page_edits_of_sections_and_footnotes(spark):
+    page, note = "# T\n\n## Overview\nold[^1]\n\n### Part\nx\n\n[^1]: a.md", '[^2]: b.md — "q"'
+    merge = lambda section, p=page: one(spark, G.render_merge(F.lit(p), F.lit(section), F.lit("added"), F.lit(note)))
+    assert merge("Overview") == f"# T\n\n## Overview\nold[^1]\n\n\nadded\n\n### Part\nx\n\n[^1]: a.md\n{note}\n"
+    assert merge("Part") == f"# T\n\n## Overview\nold[^1]\n\n### Part\nx\n\n\nadded\n\n[^1]: a.md\n{note}\n"
+    assert merge("New") == f"# T\n\n## Overview\nold[^1]\n\n### Part\nx\n\n\n## New\n\nadded\n\n[^1]: a.md\n{note}\n"
+    assert merge("New", "# T") == f"# T\n\n## New\n\nadded\n{note}\n" and merge("New", merge("New")).count(note) == 1
+    hedged = one(spark, G.render_hedge(F.lit(page), F.lit("old[^1]"), F.lit("no"), F.lit("2024-01-02"), F.lit("s"), F.lit(note)))
+    assert hedged.endswith(f"[^1]: a.md\n{note}\n") and "::: disputed\nold[^1]\n\n**Updated" in hedged
+
+
+def test_slugs_are_unique_and_in_order(spark):
+    """The first free number in path order, also where titles look like numbered ones."""
+    import random
+
+    rng = random.Random(4)
+    titles = ["Foo", "Foo", "Foo 2", "Foo 2 x2", "Foo 3", "Foo-2-2", "Foo", "Foo 2", "", "Bar 02", "Bar"] + [rng.choice(["A", "A 2", "A 3", "A 2 2", "A 10"]) for _ in range(60)]
+    rows = [("w", f"t{i % 2}", f"p{i:03}", t, i) for i, t in enumerate(titles)]
+    pages = spark.createDataFrame(rows, "workspace string, topic string, path string, title string, n int").repartition(3)
+    want, used = {}, set()
+    for _, topic, path, title, _ in rows:
+        base = "-".join(title.lower().split()) or "untitled"
+        n = 1
+        while (topic, base if n == 1 else f"{base}-{n}") in used:
+            n += 1
+        want[path] = base if n == 1 else f"{base}-{n}"
+        used.add((topic, want[path]))
+    assert {r.path: r.slug for r in G.assign_slugs(pages).collect()} == want
+
+
+def test_short_quotes(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over it"), (2, "a quicksand, brown foxes"), (3, "x\ny z")], "doc_id long, content string")
+    quotes = ["quick", "quick brown", "quick brown fox", "e quick brown fo", "quick brown fox jumps over", "own", "x\ny", "z", "", "it", "brown  fox", "fox jump"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    got = {(r.quote_id, r.doc_id, r.offset) for r in C.quote_search(q, docs).collect()}
+    texts = {r.doc_id: r.content for r in docs.collect()}
+    assert got == {(i, d, t.index(x)) for i, x in enumerate(quotes) for d, t in texts.items() if x and x in t}
+
+
+def test_folding_and_phrases(spark):
+    assert one(spark, T.tokenize(F.lit("Erdős Dvořák Việt Łódź e\u0301a Ĳ"))) == ["erdos", "dvorak", "viet", "łodz", "ea", "ĳ"]
+    docs = spark.createDataFrame([(1, "t", "state of the art"), (2, "t", "the art of a state"), (3, "t", "State-Of-The-Art, state of the art")], "doc_id long, title string, content string")
+    hits = {r.doc_id: r.bm25 for r in S.bm25(docs, "a state-of-the-art").collect()}
+    assert set(hits) == {1, 3}
+    batch = S.bm25_batch(docs, spark.createDataFrame([(7, "a state-of-the-art")], "query_id long, query string"), 5).collect()
+    assert {r.doc_id: round(r.bm25, 12) for r in batch} == {i: round(x, 12) for i, x in hits.items()}
+
+
+def test_cascade_coverage(spark):
+    pages = spark.createDataFrame([("w", "wiki", "p1", "Alpha", "beta"), ("w", "wiki", "p2", "x", "beta gamma"), ("w", "raw", "p3", "x", "beta"), ("v", "wiki", "p4", "x", "beta")], "workspace string, layer string, path string, title string, content string")
+    terms = spark.createDataFrame([("w", 1, "beta"), ("w", 1, "alpha"), ("w", 2, "delta")], "workspace string, doc_id long, term string")
+    touched = spark.createDataFrame([("w", 1, "p1"), ("w", 1, "p3"), ("w", 1, "p1")], "workspace string, doc_id long, path string")
+    assert {(r.doc_id, r.matches, r.covered, r.score) for r in D.cascade_coverage(terms, pages, touched).collect()} == {(1, 2, 1, 0.5), (2, 0, 0, 1.0)}
+
+
 def test_slugs_and_links(spark):
     pages = spark.createDataFrame([("w", "t", f"p{i}", t) for i, t in enumerate(["A b", "a B!", "a b 2", "a-b"])], "workspace string, topic string, path string, title string")
     slugs = {r.path: r.slug for r in G.assign_slugs(pages).collect()}

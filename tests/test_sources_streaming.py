@@ -104,6 +104,9 @@ def test_new_items_and_second_poll(spark, tmp_path):
     land(spark, b, ITEM, tmp_path / "in")
     assert poll() == sorted([*first, 5, 6]) and poll() == sorted([*first, 5, 6])
     assert spark.read.parquet(events).count() == 4
+    # Items that were published long before those seen arrive too.
+    land(spark, [(7, "w", "e9", "h9", "t", "u", datetime(2023, 8, 1)), (8, "w", "e9", "h9", "t", "u", datetime(2023, 8, 1))], ITEM, tmp_path / "in")
+    assert set(poll()) & {7, 8} and len(poll()) == len(first) + 3
 
 
 def test_changed_files(spark, tmp_path):
