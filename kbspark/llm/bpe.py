@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import text_or_empty
+from kbspark.llm.common import slices, text_or_empty
 
 #: Pre-tokens in each of the two generations that a worker remembers.
 REMEMBERED = 1 << 18
@@ -153,7 +153,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in slices(batches):
             yield texts.map(codec(path, pattern).encode)
 
     return encode(text)
@@ -164,7 +164,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for packed in batches:
+        for packed in slices(batches):
             yield packed.map(codec(path, pattern).decode)
 
     return decode(ids)
@@ -176,7 +176,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     @F.pandas_udf("ids binary, n_tokens long, decoded binary")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
-        for texts in batches:
+        for texts in slices(batches):
             ids = texts.map(c.encode)
             yield pd.DataFrame({"ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": ids.map(c.decode)})
 

@@ -1,17 +1,37 @@
 """Reading tables and shared intermediate tables for the operators of this subpackage.
 
 Arrow batches keep the session's own limits: Spark ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
+What is made of a batch is made and handed on slice by slice.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch whose results a task holds at a time.
+SLICE_ROWS = 128
+
+
+def slices(batches: Iterator) -> Iterator:
+    """Record batches, series or tuples of series in slices of SLICE_ROWS rows."""
+    for b in batches:
+        n = len(b[0]) if isinstance(b, tuple) else len(b)
+        for k in range(0, max(n, 1), SLICE_ROWS):
+            if isinstance(b, pa.RecordBatch):
+                yield b.slice(k, SLICE_ROWS)
+            elif isinstance(b, tuple):
+                yield tuple(x.iloc[k : k + SLICE_ROWS] for x in b)
+            else:
+                yield b.iloc[k : k + SLICE_ROWS]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import text_or_empty
+from kbspark.llm.common import slices, text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -221,7 +221,7 @@ def main_text(html: str) -> str:
 def extracted(html: Column) -> Column:
     @F.pandas_udf("string")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages in batches:
+        for pages in slices(batches):
             yield pages.map(main_text)
 
     return extract(html)

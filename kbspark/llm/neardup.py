@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import text_or_empty, written
+from kbspark.llm.common import slices, text_or_empty, written
 from kbspark.llm.components import components
 
 WORDS = 5
@@ -88,7 +88,7 @@ def sketched(text: Column, k: int) -> Column:
     @F.pandas_udf("n long, digest binary, sketch array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingles = Shingler()
-        for texts in batches:
+        for texts in slices(batches):
             sets = [shingles(t) for t in texts]
             yield pd.DataFrame({"n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:k].view(np.int64) for s in sets]})
 
@@ -150,7 +150,7 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     joined = pairs.join(mine.withColumnsRenamed({"id": "a", "hashes": "x"}), "a").join(mine.withColumnsRenamed({"id": "b", "hashes": "y"}), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x, y = batch["x"], batch["y"]
             keep = [similar(x[i].values.to_numpy().view(np.uint64), y[i].values.to_numpy().view(np.uint64)) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -177,7 +177,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # An Arrow function, as Spark would compute a column's function for all documents, before the join.
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for id, text, digest in zip(*(batch[c].to_pylist() for c in ("id", "text", "digest"))):
                 s = shingles(text)

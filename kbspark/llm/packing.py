@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import text_or_empty
+from kbspark.llm.common import slices, text_or_empty
 
 DIMENSIONS, BITS, FEATURES = 3, 10, 256
 #: Bits of a curve position that are counted; their counts, 24 bytes for each of 2 ** CELL_BITS cells at most, are broadcast.
@@ -84,7 +84,7 @@ def curve_key(text: Column) -> Column:
     @F.pandas_udf("long")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matrix = projection()
-        for texts in batches:
+        for texts in slices(batches):
             points = np.array([projected(t, matrix) for t in texts]).reshape(-1, DIMENSIONS)
             yield pd.Series(hilbert(cells(points)))
 
@@ -165,7 +165,7 @@ def pack(df: DataFrame, path: str, end_id: int, length: int = 2048, key: str = "
         encode = tokenizer(path)
         sequence = TaskContext.get().partitionId() << 32
         pieces, fill, kind = [], 0, pa.null()
-        for batch in batches:
+        for batch in slices(batches):
             done: list[tuple] = []
             kind = batch.schema.field("doc_id").type
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import text_or_empty
+from kbspark.llm.common import slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "struct<place:int,kind:string,start:int,end:int,added:boolean>"
@@ -281,7 +281,7 @@ def personal(text: str) -> list[dict]:
 def found_in(text: Column) -> Column:
     @F.pandas_udf(f"array<{SPAN}>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in slices(batches):
             yield texts.map(personal)
 
     return find(text)
@@ -307,7 +307,7 @@ def mask(df: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def hide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in slices(batches):
             yield texts.map(lambda t: None if t is None else masked(t))
 
     return df.withColumn(text, hide(F.col(text)))

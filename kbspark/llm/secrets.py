@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import text_or_empty, written
+from kbspark.llm.common import slices, text_or_empty, written
 
 
 def either_case(words: str) -> str:
@@ -59,7 +59,7 @@ def candidates(text: str) -> list[dict]:
 def found_in(text: Column) -> Column:
     @F.pandas_udf(f"array<{SPAN}>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in slices(batches):
             yield texts.map(candidates)
 
     return find(text)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import Scratch
+from kbspark.llm.common import Scratch, slices
 
 #: Bytes on either side among which a cut has the largest hash; chunks are about twice as long.
 RADIUS = 14
@@ -126,7 +126,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, whole: the text's digest, digests of chunk pairs, starts of the chunks and the end, words in each chunk)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [])
             for text in batch["text"].to_pylist():
                 data = text.encode()
@@ -189,7 +189,7 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("digest").alias("known"), F.collect_list("source").alias("sources"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, text, own, starts, words, known, sources in zip(*(batch[c].to_pylist() for c in ("doc_id", "whole", "digests", "starts", "words", "known", "sources"))):
                 source, n, i, plain = dict(zip(known, sources)), len(own), 0, unnumbered(own)
@@ -296,34 +296,52 @@ def beside(data: bytes, at: int, reach: int, left: bool) -> list[tuple[int, int]
         size *= 2
 
 
+def shifts(found: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """The stretches, those together that are one stretch of a source at places one pair apart."""
+    group: list[tuple[int, int, int]] = []
+    for x in found:
+        if group and x != (group[-1][0] + 1, group[-1][1] + 1, group[-1][2]):
+            yield group
+            group = []
+        group.append(x)
+    if group:
+        yield group
+
+
 def held(data: bytes, starts: list[int], found: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, int, bytes, bytes]]:
     """(first, last, left, right) of the stretches that may belong to a passage, with the words around them in the source.
 
-    Of equal pairs, a run longer than the source's row gives the same stretch again at each place. Where that alone is a
-    passage they are told as one.
+    A run of equal pairs that is longer than the source's row holds the same stretch at each place. If the row alone is a
+    passage that is one answer; if not, only the first and the last place can have more in common with the source.
     """
-    row = None  # first, last, place, left, right of a stretch of more than MIN_WORDS words
-    for first, last, place in found:
-        if row and (first, place) == (row[5] + 1, row[2]) and last == row[1] + 1:
-            row = (row[0], last, *row[2:5], first)
-            continue
-        if row:
-            yield row[0], row[1], row[3], row[4]
-            row = None
+    for group in shifts(found):
+        first, last, place = group[0]
         start, end = starts[place], starts[min(place + last - first + 2, len(starts) - 1)]
         inside = len(data[start:end].split())
         # At most so many words stand within reach.
         if inside + len(data[max(0, start - reach - 1) : start].split()) + len(data[end : end + reach + 1].split()) <= MIN_WORDS:
             continue
-        left, right = (beside(data, at, reach, side) for at, side in ((start, True), (end, False)))
-        if inside + len(left) + len(right) > MIN_WORDS:
-            left, right = (b" ".join(data[x:y] for x, y in side) for side in (left, right))
-            if inside > MIN_WORDS:
-                row = (first, last, place, left, right, first)
-            else:
-                yield first, last, left, right
-    if row:
-        yield row[0], row[1], row[3], row[4]
+        left, right = ([data[x:y] for x, y in beside(data, at, reach, side)] for at, side in ((start, True), (end, False)))
+        if inside + len(left) + len(right) <= MIN_WORDS:
+            continue
+        told = b" ".join(left), b" ".join(right)
+        if len(group) == 1:
+            yield first, last, *told
+            continue
+        period = data[start : starts[place + 1]].split()
+        row = inside + _follows(left, period[::-1]) + _follows(right, period)
+        if row > MIN_WORDS:
+            yield first, group[-1][1], *told
+        else:
+            yield from ((f, e, *told) for f, e, _ in (group[0], group[-1]))
+
+
+def _follows(words: list[bytes], period: list[bytes]) -> int:
+    """How many of `words` go on with the period."""
+    k = 0
+    while k < len(words) and words[k] == period[k % len(period)]:
+        k += 1
+    return k
 
 
 ANSWER = "source long, key long, first int, last int, left binary, right binary"
@@ -340,7 +358,7 @@ def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
     texts = docs.join(cut.select("doc_id", "whole", F.col("digests").alias("own"), "starts"), "doc_id").join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, text, digest, own, starts, asked in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "whole", "own", "starts", "asked"))):
                 data = text.encode()
@@ -422,7 +440,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     @F.pandas_udf("text string, words long, spans string")
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, all_runs in batches:
+        for texts, all_runs in slices(batches):
             out = []
             for t, found in zip(texts, all_runs):
                 t, n, spans = (t, 0, []) if found is None or t is None or not len(found) else removed(t, list(found))
