@@ -5,7 +5,8 @@ displacement, one comparison). Any other pre-token is merged with a heap over li
 worker keeps the results of the last ones in two generations of bounded dictionaries.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; repeated rows, null keys
-and other columns pass through unchanged; an empty table gives an empty table.
+and other columns pass through unchanged, but for one named coded, which is replaced; no ties arise; an empty table gives
+an empty table. A very long text is one value of a task, as are its ids and its decoded bytes.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import slices, text_or_empty
 
-#: Pre-tokens in each of the two generations that a worker remembers.
-REMEMBERED = 1 << 18
+#: Pre-tokens in each of the two generations that a worker remembers, and the longest that it does, in characters.
+REMEMBERED, LONGEST = 1 << 18, 64
 _MASK, _SPREAD, _MIX = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -78,6 +79,8 @@ class Remembered(dict):
         found = self.older.get(token)
         if found is None:
             found = self.find(token)
+        if len(token) > LONGEST:
+            return found
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()

@@ -17,7 +17,9 @@ No pairs within a class or a component are made, no list is cut, and nothing but
 
 Defined cases: texts that are null or without words have an empty set, link with nothing and are kept; equal sets link
 whatever the ids; rows with a null id link with nothing, have no component (null) and are kept; rows of one id are each
-judged by their own text; an empty table gives an empty table; columns other than key and text don't matter.
+judged by their own text; of equal ids and sets no tie matters, as a component is named by its least id; an empty table
+gives an empty table; columns other than key and text don't matter. A very long text is one value of a task, and the
+hashes of its whole set one value of a row, in proportion to it.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ K1, SHARED1 = 48, 16
 K2, SHARED2 = 192, 105
 #: Rounds in which a list's classes are compared with its hub alone, before the rest are compared with one another.
 STARS = 2
+#: Classes of a list in a cell: a list of more is cut, and each cell's classes meet the whole list in a task of their own.
+CELL = 1024
 #: Longs of parity bits of a set.
 PARITY = 16
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -203,10 +207,11 @@ def starred(lists: DataFrame, full: DataFrame, turn: int) -> DataFrame:
 
 
 def mixed(lists: DataFrame, united: DataFrame) -> DataFrame:
-    """Lists with their classes' components, without those whose classes are all in one, which have nothing more to say."""
-    known = lists.drop("component").join(united, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_values = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    return written(known.join(open_values, "value", "left_semi"), "mixed")
+    """Lists with their classes' components and in how many cells they are cut, without those whose classes are all in one
+    component, which have nothing more to say."""
+    known = lists.drop("component", "cells").join(united, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_values = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CELL).alias("cells"))
+    return written(known.join(open_values.where("low < high").select("value", "cells"), "value"), "mixed")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -218,9 +223,10 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         found = starred(lists, full, turn)
         links = found if links is None else links.unionAll(found)
         lists = mixed(lists, components(links))
-    a, b = lists.where("near").alias("a"), lists.alias("b")
+    a = lists.where("near").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))).alias("a")
+    b = lists.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).alias("b")
     smaller = F.struct("a.n", "a.id") < F.struct("b.n", "b.id")
-    met = a.join(b, (F.col("a.value") == F.col("b.value")) & smaller & (F.col("a.component") != F.col("b.component")) & _close("a", "b"))
+    met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.cell") == F.col("b.cell")) & smaller & (F.col("a.component") != F.col("b.component")) & _close("a", "b"))
     rest = confirmed(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), full)
     return components(links.unionAll(rest))
 

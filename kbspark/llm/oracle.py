@@ -20,8 +20,8 @@ def _spans(kind: str, place: int, pattern: str, group: int, least: int) -> str:
 
 _OP1 = f"""
 WITH spans AS ({" UNION ALL ".join(_spans(k, i, p, g, n) for i, (k, p, g, n) in enumerate(secrets.KINDS))}),
-owners AS (SELECT secret, count(DISTINCT split_part(source, '/', 1)) AS n_owners FROM spans GROUP BY secret),
-judged AS (SELECT spans.*, n_owners,
+owners AS (SELECT secret, count(DISTINCT split_part(source, '/', 1)) AS n_owners, count(DISTINCT source) AS n_repositories FROM spans GROUP BY secret),
+judged AS (SELECT spans.*, n_owners, n_repositories,
     CASE WHEN n_owners >= 3 THEN 'copied'
          WHEN len(list_distinct(string_split(secret, ''))) >= 8 AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[A-Za-z]') THEN 'live'
          ELSE 'plain' END AS verdict
@@ -30,11 +30,11 @@ told AS (SELECT doc_id,
     count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3), '') AS base,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans,
-    count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied, max(n_owners) AS most_owners
+    count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'copied') AS n_copied, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories
     FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-    coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners
+    coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM documents d LEFT JOIN told USING (doc_id)
 """
 

@@ -30,7 +30,8 @@ DIMENSIONS, BITS, FEATURES = 3, 10, 256
 #: Bits of a curve position that are counted; their counts, 24 bytes for each of 2 ** CELL_BITS cells at most, are broadcast.
 CELL_BITS = 16
 #: Bytes of text that a partition should hold, and the least where there would be fewer partitions than tasks at a time.
-PARTITION_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
+#: Beyond MOST_PARTITIONS partitions grow instead; a task streams its partition, so only its sort grows with it.
+PARTITION_BYTES, LEAST_BYTES, MOST_PARTITIONS = 32 << 20, 1 << 20, 200_000
 
 
 def projection() -> np.ndarray:
@@ -144,11 +145,12 @@ def stretches(docs: DataFrame) -> tuple[DataFrame, int]:
     for r in sorted(counts):
         rows.append((r.cell, before, r.bytes))
         before += r.bytes
-    n = max(1, -(-total // PARTITION_BYTES), min(2 * spark.sparkContext.defaultParallelism, total // LEAST_BYTES))
+    n = max(1, min(-(-total // PARTITION_BYTES), MOST_PARTITIONS), min(2 * spark.sparkContext.defaultParallelism, total // LEAST_BYTES))
     cells = F.broadcast(spark.createDataFrame(rows, "cell long, before long, bytes long"))
     share = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 20)) / (1 << 20)
     part = F.floor((F.col("before") + share * F.col("bytes")) * n / max(1, total)).cast("int")
-    return docs.withColumn("cell", cell.cast("long")).join(cells, "cell").withColumn("part", F.least(part, F.lit(n - 1))), n
+    # Every cell is there. An outer join, as for an inner one Spark would compute the position once more to test it for null.
+    return docs.withColumn("cell", cell.cast("long")).join(cells, "cell", "left").withColumn("part", F.least(part, F.lit(n - 1))), n
 
 
 def pack(df: DataFrame, path: str, end_id: int, length: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:

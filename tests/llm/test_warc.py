@@ -103,3 +103,12 @@ def test_damaged_member_of_many_records():
     found = list(warc.records(bytes(data)))
     assert len([r for r in found if r["kind"] == "record"]) >= 18
     assert any(r["kind"] == "gap" and "<urn:x:99>" in r["reason"] for r in found)
+
+
+def test_query_with_negative_ids(spark, tmp_path):
+    from kbspark.llm import queries
+
+    rows = [(-5, "u", "same"), (-9, "u", "same"), (0, None, "x"), (None, "u", "y")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.page_id, r.record_type, r.refers_to) for r in queries.op3_warc(spark, str(tmp_path)).collect()}
+    assert got == {(-5, "response", None), (-9, "revisit", -5), (0, "response", None), (None, "response", None)}
