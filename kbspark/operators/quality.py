@@ -93,8 +93,24 @@ METRICS: dict[str, Metric] = {
 }
 
 
+def belief_metrics(beliefs: DataFrame) -> DataFrame:
+    """M1 and M5 from one pass over the beliefs."""
+    now = F.col("superseded_at").isNull()
+    counts = {"n": now, "cited": now & (F.size("footnote_ids") > 0), "k": now & F.col("subject").isNotNull()}
+    per = beliefs.groupBy("workspace", "topic").agg(*(F.count_if(c).alias(name) for name, c in counts.items()))
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    both = per.groupBy("workspace").agg(F.sum("n").alias("n"), _share(F.sum("cited"), F.sum("n")).alias("M1"), _share(pairs("k"), pairs("n")).alias("M5"))
+    row = lambda m, least: F.struct(F.lit(m).alias("metric"), F.col(m).alias("score"), (F.col(m) >= least).alias("passed"))
+    told = both.select("workspace", "n", F.inline(F.array(row("M1", 0.8), row("M5", 0.6))))
+    # A workspace without current beliefs has no topics to compare.
+    return told.where((F.col("metric") == "M1") | (F.col("n") > 0)).drop("n")
+
+
 def metrics_report(tables: dict[str, DataFrame], metrics: dict[str, Metric] = METRICS) -> DataFrame:
-    return reduce(DataFrame.unionByName, (m(tables) for m in metrics.values()))
+    """All metrics; those that are as registered and read the beliefs share a pass."""
+    shared = [name for name in ("M1", "M5") if metrics.get(name) is METRICS[name]]
+    together = [belief_metrics(tables["beliefs"])] if len(shared) == 2 else []
+    return reduce(DataFrame.unionByName, [*together, *(m(tables) for name, m in metrics.items() if not together or name not in shared)])
 
 
 def synthesis_gate(eval_runs: DataFrame) -> DataFrame:
