@@ -75,6 +75,9 @@ class Scratch:
         df.write.parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
+    def clear(self) -> None:
+        deleted(self.spark, self.at)
+
     def drop(self, *names: str) -> None:
         for name in names:
             deleted(self.spark, f"{self.at}/{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import written
+from kbspark.llm.common import Scratch
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -23,16 +23,18 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return made.where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None, name: str = "components") -> DataFrame:
     """(id, component): every node of (a, b) links, with the least node that it reaches.
 
-    Only links are shuffled, and each round's are written to the shared folder. Rounds grow with the logarithm of the
-    longest chain. An empty table gives an empty table.
+    Only links are shuffled, and each round's are written to the shared folder, after which those of the round before are
+    dropped. Rounds grow with the logarithm of the longest chain. An empty table gives an empty table.
     """
-    now = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    now = scratch.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}0")
+    before, turn = None, 0
     while True:
-        now = written(_stars(_stars(now, large=True), large=False), "links")
+        now, turn = scratch.written(_stars(_stars(now, large=True), large=False), f"{name}{turn + 1}"), turn + 1
+        scratch.drop(f"{name}{turn - 1}")
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             break

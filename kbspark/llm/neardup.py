@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import slices, text_or_empty, written
+from kbspark.llm.common import Scratch, slices, text_or_empty
 from kbspark.llm.components import components
 
 WORDS = 5
@@ -110,9 +110,8 @@ def _frequent(values: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, sketch of K1) of each row, written."""
-    made = docs.withColumn("s", sketched(F.col("text"), K1)).select("doc_id", "s.n", "s.digest", "s.sketch")
-    return written(made, "sketches")
+    """(doc_id, n, digest, sketch of K1) of each row."""
+    return docs.withColumn("s", sketched(F.col("text"), K1)).select("doc_id", "s.n", "s.digest", "s.sketch")
 
 
 def survivors(classes: DataFrame) -> DataFrame:
@@ -174,7 +173,7 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, n, sketch of K2, parity, hashes) of the surviving classes, from one text of each, written."""
+    """(id, n, sketch of K2, parity, hashes) of the surviving classes, from one text of each."""
     stay = classes.join(survivors(classes), "id").select("id", F.col("least").alias("doc_id"), "digest")
     kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
 
@@ -190,11 +189,11 @@ def whole_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["id", "n", "sketch", "parity", "hashes"])
 
     again = docs.join(stay, "doc_id").select("id", "text", "digest")
-    return written(again.mapInArrow(hash_all, "id long, n long, sketch array<long>, parity array<long>, hashes array<long>").dropDuplicates(["id"]), "sets")
+    return again.mapInArrow(hash_all, "id long, n long, sketch array<long>, parity array<long>, hashes array<long>").dropDuplicates(["id"])
 
 
 def starred(lists: DataFrame, full: DataFrame, turn: int) -> DataFrame:
-    """Confirmed links between each list's hub and its other classes, where their components differ; written.
+    """Confirmed links between each list's hub and its other classes, where their components differ.
 
     The hub is drawn by the digest of value, id and turn, so that a class meets other hubs in other lists: a class that
     links with a part of a group is almost sure to meet one of that part. Pairs are as many as list entries at most.
@@ -203,7 +202,7 @@ def starred(lists: DataFrame, full: DataFrame, turn: int) -> DataFrame:
     hub = lists.groupBy("value").agg(F.min(F.struct(drawn.alias("h"), "id", "n", "parity", "component")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("value", "hub.*")
     other = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component"))
     met = lists.alias("x").join(hub.alias("y"), other & _close("x", "y"))
-    return written(confirmed(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), full), "links")
+    return confirmed(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), full)
 
 
 def mixed(lists: DataFrame, united: DataFrame) -> DataFrame:
@@ -211,36 +210,40 @@ def mixed(lists: DataFrame, united: DataFrame) -> DataFrame:
     component, which have nothing more to say."""
     known = lists.drop("component", "cells").join(united, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_values = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / CELL).alias("cells"))
-    return written(known.join(open_values.where("low < high").select("value", "cells"), "value"), "mixed")
+    return known.join(open_values.where("low < high").select("value", "cells"), "value")
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of the classes that link with another class."""
-    full = whole_sets(docs, classes)
-    lists = written(postings(full).withColumn("component", F.col("id")), "postings")
+    full = scratch.written(whole_sets(docs, classes), "sets")
+    lists = scratch.written(postings(full).withColumn("component", F.col("id")), "postings")
     links = None
     for turn in range(STARS):
-        found = starred(lists, full, turn)
+        found = scratch.written(starred(lists, full, turn), f"links{turn}")
         links = found if links is None else links.unionAll(found)
-        lists = mixed(lists, components(links))
+        lists = scratch.written(mixed(lists, components(links, scratch, f"united{turn}-")), f"mixed{turn}")
+        scratch.drop(f"mixed{turn - 1}" if turn else "postings")
     a = lists.where("near").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))).alias("a")
     b = lists.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).alias("b")
     smaller = F.struct("a.n", "a.id") < F.struct("b.n", "b.id")
     met = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.cell") == F.col("b.cell")) & smaller & (F.col("a.component") != F.col("b.component")) & _close("a", "b"))
     rest = confirmed(met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), full)
-    return components(links.unionAll(rest))
+    return components(links.unionAll(rest), scratch)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id it reaches), kept (doc_id is component_id)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    made = sets(rows)
+    # The result reads the sketches and the classes' components; all other tables go.
+    kept, scratch = Scratch(docs.sparkSession, "near_duplicates"), Scratch(docs.sparkSession, "near_duplicates_work")
+    made = kept.written(sets(rows), "sketches")
     members = made.where("n > 0 AND doc_id IS NOT NULL")
     classes = members.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    united = classes.select("id", "digest", "least").join(linked_classes(rows, classes), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = scratch.written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    united = classes.select("id", "digest", "least").join(linked_classes(rows, classes, scratch), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = united.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_class = united.join(least, "component").select("digest", "component_id")
+    per_class = kept.written(united.join(least, "component").select("digest", "component_id"), "components")
+    scratch.clear()
     out = made.select("doc_id", "n", "digest").join(per_class, "digest", "left")
     # Empty sets link with nothing.
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

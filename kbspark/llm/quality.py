@@ -253,3 +253,19 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rows = scratch.written(measured(docs, text, F.struct("*").alias("_row"), F.col(key).alias("doc_id")), "rows")
     rules = learned(scratch, rows, labels, least_words)
     return beside(decided(rows, rules, least_words), docs.columns, *BASE, *FEATURES, "base_failed", "kept")
+
+
+def filtered(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 50) -> DataFrame:
+    """The rows of `docs` that are kept, without their statistics.
+
+    The statistics are written, not the texts; rows are left out by the keys and text digests of those that aren't kept,
+    a table that Spark sends to the tasks where it is small and shuffles where it isn't.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    digest = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    numbers = scratch.written(measured(docs, text, F.col(key).alias("doc_id"), digest(F.col(text)).alias("digest")), "statistics")
+    rules = learned(scratch, numbers, labels, least_words)
+    out = scratch.written(decided(numbers, rules, least_words).where("NOT kept").select("doc_id", "digest").distinct(), "rejected")
+    scratch.drop("statistics")
+    same = F.col(f"d.{key}").eqNullSafe(F.col("r.doc_id")) & (digest(F.col(f"d.{text}")) == F.col("r.digest"))
+    return docs.alias("d").join(out.alias("r"), same, "left_anti")
