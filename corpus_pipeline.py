@@ -36,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Those without words go (null and empty texts). Repeated rows are judged alike, so are rows of any or no id; ties don't
     arise. Without labels the base rules decide alone.
     """
-    return _documents(quality.judged(_carried(docs), table(spark, sf_dir, "labels"), least_words=LEAST_WORDS).where("kept"), docs)
+    return quality.filtered(docs, table(spark, sf_dir, "labels"), least_words=LEAST_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
