@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -144,10 +145,22 @@ def word_slug(c: Column, cap: int = 1 << 30, empty: str = "unknown") -> Column:
     return F.coalesce(nonempty(F.substring(F.regexp_replace(F.regexp_replace(kept, r"\s+", "-"), "^-+|-+$", ""), 1, cap)), F.lit(empty))
 
 
+_REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+
+
 def html_unescape(c: Column) -> Column:
-    """The five references that titles hold; the ampersand last, so that nothing is decoded twice."""
-    pairs = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    """Character references by number and by the names of HTML 4 replaced, each once; others stay as they are."""
+    named = F.create_map(*(F.lit(x) for name, code in (*name2codepoint.items(), ("apos", 39)) for x in (name, chr(code))))
+
+    def decoded(ref: Column) -> Column:
+        digits = F.when(ref.rlike("^#[xX]"), F.substring(ref, 3, 6)).when(ref.startswith("#"), F.hex(F.substring(ref, 2, 7).try_cast("long")))
+        code = F.conv(digits, 16, 10).try_cast("long")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(F.try_element_at(named, ref), F.when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")))
+
+    parts = F.arrays_zip(F.split(c, _REFERENCE).alias("gap"), F.regexp_extract_all(c, F.lit(_REFERENCE), 1).alias("ref"))
+    shown = lambda p: F.concat(p["gap"], F.coalesce(decoded(p["ref"]), F.concat(F.lit("&"), p["ref"], F.lit(";")), F.lit("")))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, shown), "")).otherwise(c)
 
 
 def html_title(html: Column) -> Column:

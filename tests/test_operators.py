@@ -229,6 +229,15 @@ def test_folding_and_phrases(spark):
     assert {r.doc_id: round(r.bm25, 12) for r in batch} == {i: round(x, 12) for i, x in hits.items()}
 
 
+def test_html_unescape(spark):
+    import html
+
+    for t in ("a &amp;lt; b", "&lt;&gt;&quot;&#39;&apos;", "caf&eacute; &#8364;&#x20AC;&hellip;&nbsp;x", "no & reference; &", "&bogus; &#0; &#1114112; &#55296; x", "", "&#128512;"):
+        got = one(spark, T.html_unescape(F.lit(t)))
+        assert got == (t if "bogus" in t else html.unescape(t)), t
+    assert one(spark, T.html_title(F.lit("<title>A &ndash; B</title>"))) == "A \u2013 B"
+
+
 def test_cascade_coverage(spark):
     pages = spark.createDataFrame([("w", "wiki", "p1", "Alpha", "beta"), ("w", "wiki", "p2", "x", "beta gamma"), ("w", "raw", "p3", "x", "beta"), ("v", "wiki", "p4", "x", "beta")], "workspace string, layer string, path string, title string, content string")
     terms = spark.createDataFrame([("w", 1, "beta"), ("w", 1, "alpha"), ("w", 2, "delta")], "workspace string, doc_id long, term string")
