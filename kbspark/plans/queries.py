@@ -896,7 +896,10 @@ def f8(spark, d):
     return M.pages(spark, d).select("path", T.representative_quote(F.col("content")).alias("quote"))
 
 
-@register("f9_preview")
+@register("f9_preview", r"""WITH l AS (SELECT path, list_transform(string_split(content, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS r FROM m_pages),
+  h AS (SELECT path, r, coalesce(list_position(list_transform(r, lambda x: starts_with(x, '# ')), true), 0) AS h1 FROM l),
+  p AS (SELECT path, CASE WHEN h1 > 0 THEN replace(string_split(regexp_replace(array_to_string(list_filter(r[h1 + 1:], lambda x: NOT (starts_with(x, '>') OR starts_with(x, '#'))), chr(10)), '^\s+|\s+$', '', 'g'), chr(10) || chr(10))[1], chr(10), ' ') ELSE '' END AS t FROM h)
+  SELECT path, left(t, 240) || CASE WHEN length(t) > 240 THEN '…' ELSE '' END AS preview FROM p""")
 def f9(spark, d):
     return M.pages(spark, d).select("path", G.preview(F.col("content")).alias("preview"))
 
