@@ -56,6 +56,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN
     CASE WHEN page_id <> response THEN response END AS refers_to FROM b
 """
 
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, n, hash(g) AS g FROM (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s)),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS p, y.n AS q, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) WHERE 100 * k >= 75 * (p + q - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
+
 _OP8 = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -63,4 +74,4 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op1_secrets": _OP1, "op2_html": _OP2, "op3_warc": _OP3, "op8_top_k": _OP8}
+ORACLE_SQL = {"op1_secrets": _OP1, "op2_html": _OP2, "op3_warc": _OP3, "op7_near_duplicates": _OP7, "op8_top_k": _OP8}
