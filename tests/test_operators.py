@@ -284,3 +284,16 @@ def test_quotes_anywhere(spark):
 def test_html_markdown():
     page = "<body><nav>n</nav><article><h1>T</h1><p>" + "word " * 60 + "</p><script>x</script></article><footer>f</footer></body>"
     assert markdown(page).startswith("# T\n\nword") and "x" not in markdown(page)[-10:] and markdown("<p>a</p>") == "a"
+
+
+def test_a_megabyte_of_open_markup_and_starts(spark):
+    import time
+
+    start = time.time()
+    for unit in ("<div>some text here ", "<a ", "<!--", "</", "<![CDATA[", "<article>", "<article></main>"):
+        markdown(unit * (1_000_000 // len(unit)))
+    assert markdown("<p>a</p><!-- open <p>b</p>") == "a" and markdown("<p>a</p><a href='x>b") == "a\n\nb"
+    for unit in ("eyJ", "eyJ.", "eyJabcdefghij."):
+        spark.range(1).select(F.length(T.redact(F.repeat(F.lit(unit), 1_000_000 // len(unit))))).collect()
+    assert time.time() - start < 60
+    assert one(spark, T.redact(F.lit("x-eyJabcdefghij.eyJabcdefghij.abcdefghij z"))) == "x-[REDACTED] z"
