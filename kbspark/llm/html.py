@@ -12,7 +12,7 @@ lines select the content regions:
   on such pages also lines elsewhere that are high by themselves.
 
 Defined cases: null, empty and text-free pages give an empty text; markup that is cut off or not closed is read as far
-as it goes; repeated rows, null keys and other columns pass through, but for one named text, which is replaced; no ties
+as it goes (a tag, a comment or a script without an end takes the rest of the page with it, as in browsers); repeated rows, null keys and other columns pass through, but for one named text, which is replaced; no ties
 arise; an empty table gives an empty table. A very long page is one value of a task; time and memory are in proportion.
 """
 
@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.functions.html import feed
 from kbspark.llm.common import slices, text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,32 +68,38 @@ class Line(NamedTuple):
     text: str
     tags: int
     heading: bool
-    place: tuple["Container", ...]
+    place: int  # the innermost container
 
 
 class Container(NamedTuple):
-    """An open element. `number` tells containers apart; `name` is main for elements of that role too."""
+    """An element around lines. `parent` is a smaller number; `name` is main for elements of that role too."""
 
-    number: int
+    parent: int
     tag: str
     name: str
     mark: int
+    region: bool  # whether it is in or is an article or a main element
 
 
 class Lines(HTMLParser):
-    """Folds parser events into lines outside dropped elements. Inline elements don't end a line."""
+    """Folds parser events into lines outside dropped elements. Inline elements don't end a line.
+
+    Lines and containers refer to each other by number, so that depth costs neither time nor memory. Container 0 is the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.place: tuple[Container, ...] = ()
+        self.containers = [Container(0, "", "", CLEAR, False)]
+        self.place = 0
+        self.open: dict[str, int] = {}  # open containers by tag
         self.parts: list[str] = []
         self.muted, self.depth = "", 0  # an inline element that is marked as boilerplate
-        self.tags, self.count, self.heading = 0, 0, False
+        self.tags, self.heading = 0, False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
-        if text and not (self.place and self.place[-1].mark == MARKED):
+        if text and self.containers[self.place].mark != MARKED:
             self.lines.append(Line(text, self.tags, self.heading, self.place))
         if text:
             self.tags = 0
@@ -100,10 +107,16 @@ class Lines(HTMLParser):
 
     def opened(self, tag: str, name: str, how: int) -> None:
         # What is inside a dropped element is dropped with it.
-        if self.place and self.place[-1].mark == MARKED:
-            how = MARKED
-        self.count += 1
-        self.place += (Container(self.count, tag, name, how),)
+        around = self.containers[self.place]
+        self.containers.append(Container(self.place, tag, name, MARKED if around.mark == MARKED else how, around.region or name in REGIONS))
+        self.place = len(self.containers) - 1
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def closed(self) -> str:
+        around = self.containers[self.place]
+        self.place = around.parent
+        self.open[around.tag] -= 1
+        return around.tag
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -115,12 +128,12 @@ class Lines(HTMLParser):
             return
         self.end_line()
         self.heading = tag in _HEADINGS
-        if self.place and self.place[-1].tag in ("p", tag) and tag not in _CONTAINERS:
-            self.place = self.place[:-1]  # a marked paragraph or item that wasn't closed
+        if self.place and self.containers[self.place].tag in ("p", tag) and tag not in _CONTAINERS:
+            self.closed()  # a marked paragraph or item that wasn't closed
         if tag in VOID:
             return
         how = CLEAR if tag in ("body", "html", "main") or ("role", "main") in attrs else mark(attrs)
-        if tag == "header" and any(c.name in REGIONS for c in self.place):
+        if tag == "header" and self.containers[self.place].region:
             self.opened(tag, tag, max(how, UNSURE))
         elif tag in _CONTAINERS:
             self.opened(tag, "main" if ("role", "main") in attrs else tag, MARKED if tag in DROPPED else how)
@@ -141,10 +154,9 @@ class Lines(HTMLParser):
             return
         self.end_line()
         self.heading = False
-        for i in range(len(self.place) - 1, -1, -1):
-            if self.place[i].tag == tag:
-                self.place = self.place[:i]
-                break
+        if self.open.get(tag):
+            while self.closed() != tag:
+                pass
 
     def handle_data(self, data):
         if not self.muted:
@@ -173,41 +185,55 @@ def high(values: np.ndarray) -> np.ndarray:
     return values >= threshold
 
 
-def mostly(lines: list[Line], is_high: np.ndarray, key) -> dict:
-    """For each of the keys that `key` gives for a line, whether most of its lines' text is high."""
-    balance: dict = {}
-    for line, yes in zip(lines, is_high):
-        for k in key(line):
-            balance[k] = balance.get(k, 0) + (len(line.text) if yes else -len(line.text))
-    return {k: n >= 0 for k, n in balance.items()}
+def selected(lines: list[Line], containers: list[Container], is_high: np.ndarray, alone: np.ndarray) -> list[bool]:
+    """Which lines are main text, by the cluster that each is in; `alone`: those high without their neighbours too.
 
-
-def selected(lines: list[Line], is_high: np.ndarray, alone: np.ndarray) -> list[bool]:
-    """Which lines are main text, by the cluster that each is in; `alone`: those high without their neighbours too."""
-    sure = mostly(lines, is_high, lambda x: [c.number for c in x.place if c.mark == UNSURE])
-    blocks = mostly(lines, is_high, lambda x: [x.place[-1].number if x.place else 0])
-    voted = {c.number for line, yes in zip(lines, is_high) if yes for c in line.place if c.name in REGIONS}
-    around = {c.number for line in lines if any(d.number in voted and d.name == "article" for d in line.place) for c in line.place if c.name == "main"}
+    What lies below a container is summed up from the last one to the first, what lies above it is handed down from the
+    first to the last.
+    """
+    n = len(containers)
+    own, balance, votes = [0] * n, [0] * n, [False] * n
+    for line, yes in zip(lines, is_high):
+        own[line.place] += len(line.text) if yes else -len(line.text)
+        votes[line.place] |= bool(yes)
+    balance[:] = own
+    article_below = [False] * n
+    for i in range(n - 1, 0, -1):
+        c = containers[i]
+        article_below[i] |= votes[i] and c.name == "article"
+        balance[c.parent] += balance[i]
+        votes[c.parent] |= votes[i]
+        article_below[c.parent] |= article_below[i]
+    voted = [votes[i] and c.name in REGIONS for i, c in enumerate(containers)]
+    any_voted = any(voted)
+    # Of a main element around or inside an article that counts, not all is main text.
+    article_above, region, whole, doubtful, only_headers = ([False] * n for _ in range(5))
+    only_headers[0] = True
+    for i in range(1, n):
+        c = containers[i]
+        article_above[i] = article_above[c.parent] or voted[i] and c.name == "article"
+        region[i] = region[c.parent] or voted[i]
+        whole[i] = whole[c.parent] or voted[i] and (c.name == "article" or not (article_above[i] or article_below[i]))
+        bad = c.mark == UNSURE and balance[i] < 0
+        doubtful[i] = doubtful[c.parent] or bad
+        only_headers[i] = only_headers[c.parent] and (not bad or c.name == "header")
     out, after = [False] * len(lines), False  # whether the line after this one in its block is kept
     for i in range(len(lines) - 1, -1, -1):
-        line = lines[i]
-        unsure = [c for c in line.place if c.mark == UNSURE and not sure[c.number]]
-        regions = [c for c in line.place if c.name in REGIONS and c.number in voted]
-        whole = any(c.name == "article" or c.number not in around for c in regions)
-        if unsure and not (line.heading and regions and all(c.name == "header" for c in unsure)):
+        line, at = lines[i], lines[i].place
+        block = own[at] >= 0
+        if doubtful[at] and not (line.heading and region[at] and only_headers[at]):
             kept = False
-        elif voted:
-            kept = whole or bool(regions) and (blocks[line.place[-1].number] or line.heading and after)
+        elif any_voted:
+            kept = whole[at] or region[at] and (block or line.heading and after)
         else:
-            kept = bool(is_high[i] and alone[i]) or blocks[line.place[-1].number if line.place else 0] or line.heading and after
+            kept = bool(is_high[i] and alone[i]) or block or line.heading and after
         out[i] = after = kept
     return out
 
 
 def main_text(html: str) -> str:
     parser = Lines()
-    parser.feed(html)
-    parser.close()
+    feed(parser, html)
     parser.end_line()
     lines = parser.lines
     if not lines:
@@ -215,7 +241,7 @@ def main_text(html: str) -> str:
     ratios = np.array([len(x.text) / max(1, x.tags) for x in lines])
     smooth = smoothed(ratios)
     is_high = high(smooth)
-    return " ".join(x.text for x, yes in zip(lines, selected(lines, is_high, ratios >= smooth[is_high].min())) if yes)
+    return " ".join(x.text for x, yes in zip(lines, selected(lines, parser.containers, is_high, ratios >= smooth[is_high].min())) if yes)
 
 
 def extracted(html: Column) -> Column:

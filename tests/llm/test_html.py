@@ -1,5 +1,7 @@
 """Main text on pages of several shapes, and that the clusters decide it."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -61,3 +63,21 @@ def test_odd_pages(spark):
     got = sorted((r.page_id or 0, len(r.text), r.lines) for r in out.collect())
     assert got == sorted([(1, 0, 5), (2, 0, 5), (0, len(html.main_text(rows[2][1])), 5), (2, 5 * 200_000 - 1, 5), (3, 4, 5), (3, 4, 5)])
     assert html.extract(out.drop("text").limit(0)).count() == 0
+
+
+HOSTILE = ["<div>some text here ", "<a ", "<!--", "</", "<![CDATA[", "<![CDATA[>", "<![if ", "<?", "<a b='", "<a b='>", "<script>", "<div></p>", "<div class=discussion>t ", "<article><main>x ", "<", "&#", "<![ "]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_a_megabyte_of_open_markup(unit):
+    start = time.time()
+    html.main_text(unit * (1_000_000 // len(unit)))
+    assert time.time() - start < 20
+
+
+def test_open_markup_ends_with_the_page():
+    kept = f"<article>{P[0]}{P[1]}"
+    for tail in ("<a href=x", "<!-- not closed <p>x</p>", "<script>x<p>y</p>", "</p", "<!doctype", "<?x"):
+        assert html.main_text(kept + tail) == joined(0, 1), tail
+    assert html.main_text(f"{kept}<a href='x>{TEXT[2]}") == joined(0, 1, 2)
+    assert html.main_text("<article><p>&#" + "0" * 9000 + "65; &#" + "9" * 9000 + "; <![odd[x]>y") == "A � y"
