@@ -74,4 +74,24 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op1_secrets": _OP1, "op2_html": _OP2, "op3_warc": _OP3, "op7_near_duplicates": _OP7, "op8_top_k": _OP8}
+_OP12 = """WITH RECURSIVE e AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+  reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+  least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+  n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e LEFT JOIN n USING (vec_id) JOIN least USING (vec_id)"""
+
+_TERMS = r"""list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"""
+_OP13 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+  size AS (SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+  total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+  tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS w FROM d) GROUP BY ALL),
+  weight AS (SELECT w, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, total GROUP BY w, docs),
+  m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM size, total),
+  q AS (SELECT item_id, w, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS w FROM benchmark) GROUP BY ALL),
+  s AS (SELECT item_id, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN tf USING (w) JOIN weight USING (w) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s QUALIFY rank <= 20"""
+
+ORACLE_SQL = {"op1_secrets": _OP1, "op2_html": _OP2, "op3_warc": _OP3, "op7_near_duplicates": _OP7, "op8_top_k": _OP8, "op12_vector_near_duplicates": _OP12, "op13_ranked_search": _OP13}

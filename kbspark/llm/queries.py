@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, html, neardup, packing, pii, quality, secrets, substrings, topk, vectordup, warc
+from kbspark.llm import bpe, html, neardup, packing, pii, quality, ranked, secrets, substrings, topk, vectordup, warc
 from kbspark.llm.common import shared_path, table
 
 
@@ -85,6 +85,10 @@ def op12_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.groups(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_html": op2_html,
@@ -97,5 +101,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_vector_near_duplicates": op12_vector_near_duplicates,
+    "op13_ranked_search": op13_ranked_search,
 }
 from kbspark.llm.oracle import ORACLE_SQL  # noqa: E402, F401
