@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import bpe, html, neardup, packing, pii, quality, ranked, secrets, substrings, topk, vectordup, warc
+from kbspark.llm import bpe, html, neardup, packing, pii, quality, ranked, secrets, spelling, substrings, topk, vectordup, warc
 from kbspark.llm.common import shared_path, table
 
 
@@ -81,6 +81,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.col("coded.n_tokens").alias("n_tokens"), F.sha2("coded.ids", 256).alias("ids_sha256"), F.sha2("coded.decoded", 256).alias("decoded_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.groups(table(spark, sf_dir, "embeddings"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_vector_near_duplicates": op12_vector_near_duplicates,
     "op13_ranked_search": op13_ranked_search,
 }
