@@ -6,7 +6,7 @@ most one by -1 (a deficit). The vectors make a trie, a level for each group; two
 first, as long as the counts on the way differ by a surplus of one and a deficit of one at most. Words whose leaves are
 reached are compared where they agree in their first or their last half, as two words with one edit must, and verified.
 
-The trie's upper levels are Spark's partitioning: words with equal counts in the first groups form a block, and a word is
+The trie's upper levels are Spark's partitioning: words of one length with equal counts in the first groups form a block, and a word is
 sent to its own block and, with what it has spent, to each larger block that surplus and deficit allow, so that every
 two blocks meet once. The number of those levels is the least for which no block holds over BLOCK words (all of them, if a
 whole vector is that common). Tasks give each word's number of near words and its most frequent one, not the pairs.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ RATIO = 2
 #: Letter groups, the most frequent letters apart from each other; all other letters go by their number.
 GROUPS = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "dl", "uc", "mf", "pgwyb", "vkxjqz")
 #: Words of a block at most, where the vectors allow, and pairs of nodes that a task searches at a time.
-BLOCK, PAIRS = 20_000, 1 << 17
+BLOCK, PAIRS = 1 << 15, 1 << 17
 #: Different words that a task counts before it hands them on.
 COUNTED = 1 << 19
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 192 else 32 for b in range(256))
@@ -109,72 +109,77 @@ def with_vectors(words: DataFrame) -> DataFrame:
 
 def levels(words: DataFrame) -> int:
     """The least number of upper levels for which no block holds over BLOCK words."""
-    sizes = words.select(*(F.array_join(F.slice("v", 1, k), ",").alias(str(k)) for k in range(1, len(GROUPS) + 1)))
+    length = F.length("word").cast("string")
+    sizes = words.select(*(F.concat_ws(",", length, F.array_join(F.slice("v", 1, k), ",")).alias(str(k)) for k in range(1, len(GROUPS) + 1)))
     for k in range(1, len(GROUPS)):
         if (sizes.groupBy(str(k)).count().agg(F.max("count")).first()[0] or 0) <= BLOCK:
             return k
     return len(GROUPS)
 
 
-def moves(depth: int) -> list[tuple[int, ...]]:
-    """Changes of the first counts by a surplus and a deficit of one at most that lead to the same block or a larger one."""
-    found = [m for m in product((-1, 0, 1), repeat=depth)] if depth < 7 else []
-    if not found:
-        base = [0] * depth
-        found = [tuple(base)]
-        for i in range(depth):
-            for j in range(depth):
-                m = list(base)
-                m[i] += 1
-                m[j] -= i != j
-                found.append(tuple(m))
-    return [m for m in found if m.count(1) <= 1 and m.count(-1) <= 1 and m >= (0,) * depth]
+class Move(NamedTuple):
+    """A change of length and first counts, and what is left of surplus and deficit for the other counts."""
+
+    by: tuple[int, ...]
+    surplus: int
+    deficit: int
+
+
+def moves(depth: int) -> list[Move]:
+    """The moves from a block to itself (the first) and to the larger ones that near words can be in, by length and counts."""
+    found = []
+    for i in range(-1, depth):
+        for j in range(-1, depth):
+            if i >= 0 and i == j:
+                continue
+            counts = [int(k == i) - int(k == j) for k in range(depth)]
+            surplus, deficit = int(i < 0), int(j < 0)
+            for rest in range(-deficit, surplus + 1):
+                by = (sum(counts) + rest, *counts)
+                if by >= (0,) * len(by):
+                    found.append(Move(by, surplus, deficit))
+    return sorted(found)
 
 
 def blocks(words: DataFrame, depth: int) -> DataFrame:
-    """(block, move, word, n, v): each word in its own block (move 0) and in those that it may have near words in."""
-    ways = F.array(*(F.struct(F.lit(i).alias("move"), F.array(*(F.lit(x) for x in m)).alias("by")) for i, m in enumerate(sorted(moves(depth)))))
-    sent = words.withColumn("way", F.explode(ways)).withColumn("to", F.zip_with(F.slice("v", 1, depth), "way.by", lambda a, b: a + b))
-    # A word needs a place, not the path: the block is a number, so that rows can be sorted by it.
-    return sent.where(F.forall("to", lambda x: x >= 0)).select(F.xxhash64("to").alias("block"), F.col("way.move").alias("move"), "word", "n", "v")
+    """(block, move, word, n): each word in its own block (move 0) and in those that it may have near words in."""
+    ways = F.array(*(F.struct(F.lit(i).alias("move"), F.array(*(F.lit(x) for x in m.by)).alias("by")) for i, m in enumerate(moves(depth))))
+    place = F.concat(F.array(F.length("word")), F.slice("v", 1, depth))
+    sent = words.withColumn("way", F.explode(ways)).withColumn("to", F.zip_with(place, "way.by", lambda a, b: a + b))
+    # A block's name is the hash of its counts, so that rows can be sorted by it.
+    return sent.where(F.forall("to", lambda x: x >= 0)).select(F.xxhash64("to").alias("block"), F.col("way.move").alias("move"), "word", "n")
 
 
 class Trie:
-    """The distinct vectors of words, as a trie: at each level the nodes' parents and counts, ascending."""
+    """The distinct rows of counts as a trie: at each level the nodes' keys (parent and count), ascending, and each row's leaf."""
 
     def __init__(self, v: np.ndarray):
-        self.leaves, self.leaf = np.unique(v, axis=0, return_inverse=True)
-        self.leaf = self.leaf.reshape(-1)
-        node = np.zeros(len(self.leaves), np.int64)
-        self.levels = []
-        for column in self.leaves.T:
-            keys = (node << 32) + column
-            distinct, node = np.unique(keys, return_inverse=True)
+        node, self.levels = np.zeros(len(v), np.int64), []
+        for column in v.T:
+            distinct, node = np.unique((node << 32) + column, return_inverse=True)
             node = node.reshape(-1)
             self.levels.append(distinct)
+        self.leaf = node
 
 
-def leaf_pairs(a: Trie, b: Trie, surplus: int, deficit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Leaves of a and b that differ by the given budgets at most: b's counts may exceed a's by `surplus`, a's b's by `deficit`.
+def leaf_pairs(a: Trie, b: Trie, ways: list[Move]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaves of a and b within what each move has left; a's first level is the move, its others are b's.
 
-    Depth first: pairs of nodes lie on a stack, at most PAIRS of them are taken further at a time.
+    Depth first: pairs of nodes lie on a stack, and at most PAIRS of them are taken a level further at a time.
     """
-    none = np.zeros(1, np.int64)
-    stack = [(0, none, none, none + surplus, none + deficit)]
+    first = a.levels[0]
+    stack = [(0, np.arange(len(first)), np.zeros(len(first), np.int64), *(np.array([getattr(ways[m], c) for m in first]) for c in ("surplus", "deficit")))]
     while stack:
         level, x, y, up, down = stack.pop()
-        if level == len(a.levels):
+        if level == len(b.levels):
             yield x, y
             continue
-        keys_a, keys_b = a.levels[level], b.levels[level]
+        keys_a, keys_b = a.levels[level + 1], b.levels[level]
         first, last = np.searchsorted(keys_a, x << 32), np.searchsorted(keys_a, (x + 1) << 32)
-        n = last - first
-        who = np.repeat(np.arange(len(x)), n)
-        child = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + first[who]
+        who, child = expanded(first, last)
         count, found = keys_a[child] & 0xFFFFFFFF, []
         for by in (-1, 0, 1):
-            allowed = (down[who] > 0) & (count > 0) if by < 0 else up[who] > 0 if by > 0 else np.ones(len(who), bool)
-            i = np.flatnonzero(allowed)
+            i = np.flatnonzero((down[who] > 0) & (count > 0) if by < 0 else up[who] > 0) if by else np.arange(len(who))
             want = (y[who[i]] << 32) + count[i] + by
             at = np.searchsorted(keys_b, want)
             hit = keys_b[np.minimum(at, len(keys_b) - 1)] == want
@@ -186,6 +191,13 @@ def leaf_pairs(a: Trie, b: Trie, surplus: int, deficit: int) -> Iterator[tuple[n
             stack.append((level + 1, x[part], y[part], up[part], down[part]))
 
 
+def expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) for each value of each range."""
+    n = last - first
+    who = np.repeat(np.arange(len(n)), n)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + first[who]
+
+
 def one_edit(x: bytes, y: bytes) -> bool:
     """Whether exactly one inserted, deleted or replaced letter makes y of x."""
     if len(x) > len(y):
@@ -199,68 +211,88 @@ def one_edit(x: bytes, y: bytes) -> bool:
     return x[low + 1 :] == y[low + 1 :] if len(x) == len(y) else x[low:] == y[low + 1 :]
 
 
-def near_words(a: list[bytes], va: np.ndarray, b: list[bytes], vb: np.ndarray, surplus: int, deficit: int) -> Iterator[tuple[int, int]]:
-    """Places (i, j) of words of a and b that are near, each once; of one list, pass the same."""
-    same = a is b
-    one, two = Trie(va), Trie(vb)
-    size_a, size_b = {}, {}  # words of a leaf have one length
-    for trie, words, size in ((one, a, size_a), (two, b, size_b)):
-        size.update(zip(trie.leaf.tolist(), map(len, words)))
-    members_a = np.argsort(one.leaf, kind="stable")
-    start_a = np.searchsorted(one.leaf[members_a], np.arange(len(one.leaves) + 1))
-    # A word of b by its leaf and a half of it: the halves for a partner of its own length, or longer, and one shorter.
-    halves: dict[tuple[int, int, bytes], list[int]] = defaultdict(list)
-    for j, w in enumerate(b):
-        for h in {len(w) // 2, (len(w) - 1) // 2}:
-            halves[two.leaf[j], h, w[:h]].append(j)
-            halves[two.leaf[j], -h, w[len(w) - h :]].append(j)
-    for x, y in leaf_pairs(one, two, surplus, deficit):
-        for p, q in zip(x.tolist(), y.tolist()):
-            if same and p > q:
-                continue
-            h = min(size_a[p], size_b[q]) // 2
-            for i in members_a[start_a[p] : start_a[p + 1]].tolist():
-                w = a[i]
-                first, last = halves.get((q, h, w[:h]), ()), halves.get((q, -h, w[len(w) - h :]), ())
-                for j in first:
-                    if not (same and p == q and j <= i) and one_edit(w, b[j]):
-                        yield i, j
-                for j in last:
-                    if w[:h] != b[j][:h] and not (same and p == q and j <= i) and one_edit(w, b[j]):
-                        yield i, j
-
-
-def met(rows: pa.Table, ways: list[tuple[int, ...]]) -> pa.RecordBatch | None:
+class Words:
+    """Words with the digests of their halves: of half the length and of half of one less, from the start and from the end."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.start = np.array([[hash(w[: len(w) // 2]) for w in words], [hash(w[: (len(w) - 1) // 2]) for w in words]], np.int64)
+        self.end = np.array([[hash(w[len(w) - len(w) // 2 :]) for w in words], [hash(w[len(w) - (len(w) - 1) // 2 :]) for w in words]], np.int64)
+
+
+def _mixed(leaf: np.ndarray, half: np.ndarray, length: np.ndarray, side: int) -> np.ndarray:
+    return half ^ (leaf * 4 + side + (length << 40)) * np.int64(0x1E3779B97F4A7C15)
+
+
+def near_words(words: list[bytes], v: np.ndarray, move: np.ndarray, ways: list[Move]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of near words of a block, each two once; j is of move 0.
+
+    A word of the block is looked up by its leaf and a half of it, so that words of one leaf don't all meet.
+    """
+    home = np.flatnonzero(move == 0)
+    known = Words(words)
+    a, b = Trie(np.column_stack((move, v))), Trie(v[home])
+    members = np.argsort(a.leaf, kind="stable")
+    bounds = np.searchsorted(a.leaf[members], np.arange(a.leaf.max() + 2))
+    leaf_of = np.zeros(len(words), np.int64)
+    leaf_of[home] = b.leaf
+    length_b = np.zeros(b.leaf.max() + 1, np.int64)  # words of a leaf have one length
+    length_b[b.leaf] = known.size[home]
+    index = []
+    for side, halves in enumerate((known.start, known.end)):
+        # For a partner of the same length or a longer one, and for one that is shorter by one letter.
+        keys = np.concatenate([_mixed(b.leaf, halves[c][home], (known.size[home] - c) // 2, side) for c in (0, 1)])
+        twice = np.concatenate([np.ones(len(home), bool), known.size[home] % 2 == 0])  # else both halves are the same
+        keys, at = keys[twice], np.concatenate((home, home))[twice]
+        order = np.argsort(keys, kind="stable")
+        index.append((keys[order], at[order]))
+    for x, y in leaf_pairs(a, b, ways):
+        for k in range(0, len(x), PAIRS):
+            p, q = x[k : k + PAIRS], y[k : k + PAIRS]
+            who, at = expanded(bounds[p], bounds[p + 1])
+            i, leaf = members[at], q[who]
+            shorter = (length_b[leaf] < known.size[i]).astype(np.int64)
+            length = np.minimum(length_b[leaf], known.size[i]) // 2
+            for side, halves in enumerate((known.start, known.end)):
+                keys, places = index[side]
+                want = _mixed(leaf, halves[shorter, i], length, side)
+                met, at = expanded(np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right"))
+                s, t = i[met], places[at]
+                keep = (move[s] > 0) | (s < t)
+                if side:  # found by their first halves already
+                    keep &= known.start[shorter[met], s] != known.start[(known.size[t] > known.size[s]).astype(np.int64), t]
+                s, t = s[keep], t[keep]
+                good = np.fromiter((one_edit(words[m], words[n]) for m, n in zip(s.tolist(), t.tolist())), bool, len(s))
+                yield s[good], t[good]
+
+
+def met(rows: pa.Table, ways: list[Move]) -> pa.RecordBatch | None:
     """(word, near, best_n, best) of a block's words: how many near ones they have here, and the most frequent of them."""
     move = rows["move"].to_numpy()
-    depth = len(ways[0])
-    words = [w.encode("latin-1") for w in rows["word"].to_pylist()]
-    n = rows["n"].to_pylist()
-    v = rows["v"].combine_chunks().flatten().to_numpy().reshape(len(words), len(GROUPS))[:, depth:]
-    near, best = Counter(), {}
-    home = np.flatnonzero(move == 0)
-    if not len(home):
+    if (move > 0).all():
         return None
-    own = [words[i] for i in home]
-    for k in np.unique(move):
-        guests = np.flatnonzero(move == k)
-        a = own if k == 0 else [words[i] for i in guests]
-        spent = ways[k]
-        for i, j in near_words(a, v[guests], own, v[home], 1 - spent.count(1), 1 - spent.count(-1)):
-            for s, t in ((guests[i], home[j]), (home[j], guests[i])):
-                near[words[s]] += 1
-                offer = (-n[t], words[t])
-                if words[s] not in best or offer < best[words[s]]:
-                    best[words[s]] = offer
-    if not near:
+    words = [w.encode("latin-1") for w in rows["word"].to_pylist()]
+    rest = vectors(words)[:, len(ways[0].by) - 1 :]
+    s, t = (np.concatenate(c) for c in zip(*[(np.zeros(0, np.int64),) * 2, *near_words(words, rest, move, ways)]))
+    if not len(s):
         return None
-    return pa.RecordBatch.from_pydict({"word": [w.decode("latin-1") for w in near], "near": pa.array(near.values(), pa.int64()), "best_n": pa.array([-best[w][0] for w in near], pa.int64()), "best": [best[w][1].decode("latin-1") for w in near]})
+    s, t = np.concatenate((s, t)), np.concatenate((t, s))
+    n = rows["n"].to_numpy()
+    involved = sorted(set(t.tolist()), key=lambda i: (-n[i], words[i]))
+    rank = np.zeros(len(words), np.int64)
+    rank[involved] = np.arange(len(involved))
+    near, best = np.bincount(s, minlength=len(words)), np.full(len(words), len(involved))
+    np.minimum.at(best, s, rank[t])
+    some = np.flatnonzero(near)
+    of = np.array(involved)[best[some]]
+    return pa.RecordBatch.from_arrays([rows["word"].combine_chunks().take(pa.array(some)), pa.array(near[some]), pa.array(n[of]), rows["word"].combine_chunks().take(pa.array(of))], ["word", "near", "best_n", "best"])
 
 
 def near(words: DataFrame) -> DataFrame:
     """(word, n_near, best): best has n and word of the most frequent near word."""
     depth = levels(words)
-    ways = sorted(moves(depth))  # the first is no move
+    ways = moves(depth)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ("block",)):
