@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.sources.tables import spread
 
 NOW = "2024-02-01 00:00:00"
 DAY = 86400
@@ -23,7 +24,7 @@ def now():
 
 
 def given(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:

@@ -23,6 +23,16 @@ def read_tables(spark: SparkSession, path: str, schemas: dict[str, str] = SCHEMA
     return {name: spark.read.schema(T.StructType.fromDDL(ddl)).parquet(f"{path}/{name}{suffix}") for name, ddl in schemas.items()}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows dealt out to all cores, where its files give fewer tasks than the cluster runs at a time.
+
+    A table of one small file is read by one task, and all work on its rows would be that task's. Tables with a split for
+    each core or more stay as they are, so that nothing of any size is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the one set on the context; for a local session, as in tests, a new folder. An error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
