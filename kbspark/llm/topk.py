@@ -10,9 +10,8 @@ A block holds BLOCK_BYTES of vectors on either side, so that a vector travels on
 hold: for n vectors of b bytes that is n * n * b / BLOCK_BYTES over 20 for each pass, the least that blocks allow.
 
 Defined cases: rows whose vector is null, or holds a null, a NaN or an infinity, or whose id is null, take no part; a
-vector that is shorter than another counts as ended with zeros; fully repeated rows count once; rows with one id and
-different vectors are each candidates and queries of that id, and none is a candidate for its own id; fewer than k
-candidates give all of them; ties go to the smaller id; components and scores beyond a long's range count as its ends,
+vector that is shorter than another counts as ended with zeros; rows that repeat an id or a whole row are each candidates
+and queries, and only a query's own row is no candidate for it; fewer than k candidates give all of them; ties go to the smaller id; components and scores beyond a long's range count as its ends,
 all others are exact; an empty table gives an empty result; other columns don't matter.
 """
 
@@ -29,7 +28,7 @@ from kbspark.llm.common import Scratch
 BLOCK_BYTES = 8 << 20
 QUERIES, CANDIDATES = 1024, 4096
 BINS = 4096
-#: Scores lie between -MOST and MOST; a candidate with the query's own id scores _OWN.
+#: Scores lie between -MOST and MOST; the query's own row scores _OWN.
 MOST = (1 << 63) - 2
 _OWN = np.iinfo(np.int64).min
 _LIMB = 21
@@ -42,7 +41,7 @@ def sound(vectors: DataFrame, key: str, embedding: str, scale: int) -> DataFrame
     rows = vectors.where(F.col(key).isNotNull() & e.isNotNull() & finite)
     # From 2^62 on the floor of a double may not fit a long; it counts as the long's end.
     whole = lambda x: F.when(F.abs(x) < 2.0**62, F.floor(x)).when(x > 0, F.lit(MOST)).otherwise(F.lit(-MOST))
-    return rows.select(F.col(key).cast("long").alias("vec_id"), F.transform(e, lambda x: whole(x.cast("double") * scale)).alias("v")).distinct()
+    return rows.select(F.col(key).cast("long").alias("vec_id"), F.transform(e, lambda x: whole(x.cast("double") * scale)).alias("v"))
 
 
 def in_blocks(rows: DataFrame, block: str, n: int) -> DataFrame:
@@ -85,13 +84,13 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def tiles(queries: pa.Table, candidates: pa.Table):
     """(query places, candidate ids ascending, scores) of a block, as many at a time as QUERIES and CANDIDATES say."""
     candidates = candidates.sort_by("vec_id")
-    own, ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+    own, others, ids = queries["row"].to_numpy(), candidates["row"].to_numpy(), candidates["vec_id"].to_numpy()
     parts = [(c, matrix(candidates.slice(c, CANDIDATES))) for c in range(0, len(ids), CANDIDATES)]
     for q in range(0, len(own), QUERIES):
         a, places = matrix(queries.slice(q, QUERIES)), np.arange(q, min(q + QUERIES, len(own)))
         for c, b in parts:
             s = products(a, b)
-            s[own[places][:, None] == ids[c : c + CANDIDATES][None, :]] = _OWN
+            s[own[places][:, None] == others[c : c + CANDIDATES][None, :]] = _OWN
             yield places, ids[c : c + CANDIDATES], s
 
 
@@ -138,7 +137,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, k
     n_queries = max(1, -(-queries.count() // size))
     n_candidates = max(1, -(-top["n"] // size), min(2 * spark.sparkContext.defaultParallelism // n_queries, -(-top["n"] // CANDIDATES)))
     queries = in_blocks(queries, "q_block", n_queries)
-    sent = in_blocks(rows, "c_block", n_candidates).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).select("q_block", "c_block", "vec_id", "v")
+    sent = in_blocks(rows, "c_block", n_candidates).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).select("q_block", "c_block", "row", "vec_id", "v")
 
     def met(queries: DataFrame, by, schema: str) -> DataFrame:
         left = queries.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))))

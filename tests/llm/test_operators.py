@@ -371,7 +371,7 @@ def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(0, 90)]
     rows += [(200 + i, rows[0][1]) for i in range(40)]  # ties
-    rows += [(300, None), (301, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0]), (305, []), (306, [0.5] * 7), (None, rows[1][1]), rows[3]]
+    rows += [(300, None), (301, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0]), (305, []), (306, [0.5] * 7), (None, rows[1][1]), rows[3], rows[20], rows[20], (40, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit(0)).withColumn("score", F.lit("x"))
     check_top_k(df, rows)
     few = topk.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
@@ -382,14 +382,14 @@ def test_top_k(spark, monkeypatch):
 def check_top_k(df, rows):
     clamp = lambda x: max(-topk.MOST, min(topk.MOST, x))
     whole = lambda v: [clamp(int(np.floor(64 * float(np.float32(x))))) for x in v] + [0] * (7 - len(v))
-    sound = {i: whole(v) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    got = collections.defaultdict(list)
-    for r in topk.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    assert set(got) == {i for i in sound if i % 20 == 0}
-    for q, found in got.items():
-        want = sorted(((i, clamp(sum(a * b for a, b in zip(sound[q], v)))) for i, v in sound.items() if i != q), key=lambda x: (-x[1], x[0]))[:20]
-        assert found == want
+    sound = [(i, whole(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect())
+    want = []
+    for n, (q, x) in enumerate(sound):
+        if q % 20 == 0:
+            best = sorted(((i, clamp(sum(a * b for a, b in zip(x, v)))) for m, (i, v) in enumerate(sound) if m != n), key=lambda x: (-x[1], x[0]))[:20]
+            want += [(q, k + 1, *b) for k, b in enumerate(best)]
+    assert got == sorted(want)
 
 
 @pytest.mark.parametrize("size", [1e3, 5e8, 3e10, 1e30])
