@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.sources.tables import shared_table
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -33,21 +34,25 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """Rows that hold any term of the query, with `bm25`. Terms are counted within each row: no postings are made.
+def bm25(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "content"), keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows that hold any term of the query, with their `keep` columns (all, if not given) and `bm25`.
 
-    The counts come out of a generator, below which no filter moves, so that each row's text is folded once.
+    One scan: each row's text is folded once, its terms are counted in the row, and while the rows that hold any are
+    written, the scan's statistics are observed. No postings are made for a single query. The counts come out of a
+    generator, below which no filter moves.
     """
-    spark = df.sparkSession
-    terms = [r[0] for r in spark.range(1).select(F.explode(T.query_terms(F.lit(query)))).collect()]
-    text, n = F.col("_text"), range(len(terms))
+    terms = df.sparkSession.sql("SELECT 1").select(T.query_terms(F.lit(query)).alias("t")).first()["t"]
+    keep, text, n = keep or tuple(df.columns), F.col("_text"), range(len(terms))
     length = F.when(text == "  ", 0).otherwise(T.occurrences(text, "  ") + 1)
     counts = F.struct(length.alias("_dl"), *(T.occurrences(text, T.spaced_term(t)).alias(f"_tf{i}") for i, t in enumerate(terms)))
-    counted = df.withColumn("_text", T.spaced(F.concat_ws(" ", *columns))).select(*df.columns, F.inline(F.array(counts)))
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in n))
-    hits = counted.where(sum((F.col(f"_tf{i}") for i in n), F.lit(0)) > 0).join(F.broadcast(stats))  # one row
-    score = sum((idf(F.col("_n"), F.col(f"_df{i}")) * weight(F.col(f"_tf{i}"), F.col("_dl"), F.col("_avgdl")) for i in n), F.lit(0.0))
-    return hits.withColumn("bm25", score).select(*df.columns, "bm25")
+    counted = df.withColumn("_text", T.spaced(F.concat_ws(" ", *columns))).select(*keep, F.inline(F.array(counts)))
+    seen = Observation()
+    counted = counted.observe(seen, F.count("*").alias("n"), F.sum("_dl").alias("dl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in n))
+    hits = shared_table(counted.where(sum((F.col(f"_tf{i}") for i in n), F.lit(0)) > 0), "hits")
+    stats = seen.get
+    avgdl = F.lit((stats["dl"] or 0) / max(1, stats["n"]))
+    score = sum((idf(F.lit(stats["n"]), F.lit(stats[f"df{i}"])) * weight(F.col(f"_tf{i}"), F.col("_dl"), avgdl) for i in n), F.lit(0.0))
+    return hits.withColumn("bm25", score).select(*keep, "bm25")
 
 
 def support(hits: DataFrame, beliefs: DataFrame) -> DataFrame:
@@ -57,10 +62,10 @@ def support(hits: DataFrame, beliefs: DataFrame) -> DataFrame:
 
 
 def normalized(hits: DataFrame, by: list[str]) -> DataFrame:
-    """`relevance`: bm25 from 0 to 1 within one query's hits, 1 where all are equal."""
-    w = Window.partitionBy(*by)
-    low, high = F.min("bm25").over(w), F.max("bm25").over(w)
-    return hits.withColumn("relevance", F.when(high > low, (F.col("bm25") - low) / (high - low)).otherwise(1.0))
+    """`relevance`: bm25 from 0 to 1 within one query's hits, 1 where all are equal. Ends are aggregated before they are joined."""
+    ends = hits.groupBy(*by).agg(F.min("bm25").alias("_low"), F.max("bm25").alias("_high"))
+    match = F.when(F.col("_high") > F.col("_low"), (F.col("bm25") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(1.0)
+    return hits.join(ends, by).withColumn("relevance", match).drop("_low", "_high")
 
 
 def hybrid(hits: DataFrame, beliefs: DataFrame, now: Column, by: list[str], weights: tuple[float, float, float], half_life_hours: float) -> DataFrame:
@@ -69,33 +74,87 @@ def hybrid(hits: DataFrame, beliefs: DataFrame, now: Column, by: list[str], weig
     return rows.withColumn("score", sum((w * p for w, p in zip(weights, parts)), F.lit(0.0)))
 
 
-def hybrid_search(docs: DataFrame, beliefs: DataFrame, query: str, now: Column, limit: int = 10, weights=(0.55, 0.30, 0.15), half_life_hours: float = 168.0, path_prefix: str | None = None, candidate_factor: int = 3) -> DataFrame:
-    """The best documents by text match, recency and belief support; the match picks `candidate_factor` times as many."""
+def hybrid_search(docs: DataFrame, beliefs: DataFrame, query: str, now: Column, limit: int = 10, weights=(0.55, 0.30, 0.15), half_life_hours: float = 168.0, path_prefix: str | None = None, candidate_factor: int = 3, workspace: str | None = None) -> DataFrame:
+    """The best documents by text match, recency and belief support; the match picks `candidate_factor` times as many.
+
+    A path prefix picks the documents that are searched; a workspace picks hits, whose statistics are those of all of them.
+    """
     rows = docs.where(F.col("path").startswith(path_prefix)) if path_prefix else docs
-    top = bm25(rows, query).withColumn("query_id", F.lit(0)).orderBy(F.desc(F.round("bm25", 9)), "path").limit(candidate_factor * limit)
+    hits = bm25(rows, query, keep=tuple(c for c in docs.columns if c != "content"))
+    hits = hits.where(F.col("workspace") == workspace) if workspace is not None else hits
+    top = hits.withColumn("query_id", F.lit(0)).orderBy(F.desc(F.round("bm25", 9)), "path").limit(candidate_factor * limit)
     return hybrid(top, beliefs, now, ["query_id"], weights, half_life_hours).orderBy(F.desc(F.round("score", 9)), "path").limit(limit)
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, within: str | None = None) -> DataFrame:
-    """(query_id, doc_id, bm25, rank): the k best of each query. The queries' terms pick the postings before they group.
+#: Impact levels: a list's rows by their weight as a share of the most that its term can weigh, in steps of 1 / LEVELS.
+LEVELS = 64
+#: Scores that differ by less count as equal in the ranking.
+EQUAL = 2e-9
+
+
+def impact_lists(docs: DataFrame, queries: DataFrame, within: str | None = None, key: str = "doc_id", columns: tuple[str, ...] = ("title", "content")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(terms, postings, levels): the queries' terms, the documents' postings of these with weight and impact level, written
+    once, and how many postings each level of a list has, its largest and its smallest weight.
 
-    With `within`, a column of both, a query's hits have its value there; the statistics are those of all documents.
-    Phrases are looked up among the runs of words of their lengths; the few lengths there are come to the driver.
+    The queries' terms pick the postings before they are grouped. With `within`, a column of both, lists are by its values;
+    the statistics are those of all documents. Phrases are looked up among the runs of words of their lengths; the few
+    lengths there are come to the driver.
     """
     by = [within] if within else []
     terms = queries.select(*by, "query_id", F.explode(T.query_terms(F.col("query"))).alias("term"))
     lengths = sorted(r[0] for r in terms.select(F.size(F.split("term", " "))).distinct().collect())
-    words = bag(docs).select(*by, "doc_id", "words", F.size("words").alias("dl"))
+    words = bag(docs, columns).select(*by, key, "words", F.size("words").alias("dl"))
     total = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     runs = lambda k: F.when(F.col("dl") >= k, F.transform(F.sequence(F.lit(1), F.col("dl") - k + 1), lambda i: F.array_join(F.slice("words", i, k), " "))).otherwise(F.array().cast("array<string>"))
     held = F.concat(*(F.col("words") if k == 1 else runs(k) for k in lengths)) if lengths else F.col("words")
-    posts = words.select(*by, "doc_id", "dl", F.explode(held).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = posts.groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    posts = words.select(*by, key, "dl", F.explode(held).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = posts.groupBy(*by, key, "dl", "term").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     scored = posts.join(df.join(F.broadcast(total)), "term")  # the total is one row
-    scored = scored.withColumn("w", idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl")))
-    hits = scored.select(*by, "doc_id", "term", "w").join(terms, [*by, "term"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("bm25"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "doc_id")
+    share = weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
+    scored = scored.select(*by, key, "term", (idf(F.col("n"), F.col("df")) * share).alias("w"), F.floor(share / (K1 + 1) * LEVELS).cast("int").alias("level"))
+    posts = shared_table(scored, "postings")
+    return terms, posts, posts.groupBy(*by, "term", "level").agg(F.count("*").alias("size"), F.max("w").alias("top"), F.min("w").alias("low"))
+
+
+def bounded(terms: DataFrame, levels: DataFrame, k: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(each query's terms with bounds, the levels of lists that its k best can come from).
+
+    A query's `least` is the k-th weight of one of its lists, which its k-th score reaches. Terms whose largest weights add
+    up to less, the weightiest left out last, can't make a hit alone: only the others' lists are read, and of these only the
+    levels whose weight with all that the other terms can add reaches `least`.
+    """
+    falling = Window.partitionBy(*by, "term").orderBy(F.desc("level"))
+    known = levels.withColumn("upto", F.sum("size").over(falling))
+    lists = known.groupBy(*by, "term").agg(F.max("top").alias("most"), F.coalesce(F.max(F.when(F.col("upto") >= k, F.col("low"))), F.lit(0.0)).alias("kth"))
+    asked = terms.join(lists, [*by, "term"])
+    each, rising = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.withColumns({"least": F.max("kth").over(each) - EQUAL, "sum": F.sum("most").over(rising), "all": F.sum("most").over(each)})
+    asked = asked.withColumn("leads", F.col("sum") * (1 + 1e-12) >= F.col("least"))
+    wanted = asked.where("leads").join(levels, [*by, "term"]).where((F.col("top") + F.col("all") - F.col("most")) * (1 + 1e-12) >= F.col("least"))
+    return asked, wanted.select(*by, "query_id", "term", "level", "least")
+
+
+def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, within: str | None = None, key: str = "doc_id", columns: tuple[str, ...] = ("title", "content")) -> DataFrame:
+    """(query_id, key, bm25, rank): the k best of each query, exact.
+
+    Lists are ordered by impact and read from the top as far as the k-th score may lie (`bounded`); what is found is cut
+    once more by the k-th sum found so far, and only for what is left the common terms' postings are looked up.
+    """
+    by = [within] if within else []
+    terms, posts, levels = impact_lists(docs, queries, within, key, columns)
+    asked, wanted = bounded(terms, levels, k, by)
+    asked = shared_table(asked, "bounds")
+    found = posts.join(wanted, [*by, "term", "level"]).groupBy("query_id", key).agg(F.sum("w").alias("part"), F.first("least").alias("least"))
+    rest = asked.where("NOT leads").groupBy("query_id").agg(F.sum("most").alias("rest"))
+    falling, each = Window.partitionBy("query_id").orderBy(F.desc("part")), Window.partitionBy("query_id")
+    ranked = found.withColumn("r", F.row_number().over(falling)).withColumn("kth", F.max(F.when(F.col("r") == k, F.col("part"))).over(each))
+    least = F.greatest(F.col("least"), F.coalesce(F.col("kth") - EQUAL, F.lit(0.0)))
+    left = ranked.join(rest, "query_id", "left").where((F.col("part") + F.coalesce("rest", F.lit(0.0))) * (1 + 1e-12) >= least).select("query_id", key, "part")
+    left = shared_table(left, "candidates")
+    more = left.select("query_id", key).join(asked.where("NOT leads").select("query_id", "term"), "query_id").join(posts.select(key, "term", "w"), [key, "term"])
+    hits = left.unionByName(more.select("query_id", key, F.col("w").alias("part"))).groupBy("query_id", key).agg(F.sum("part").alias("bm25"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), key)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -114,6 +173,20 @@ def multi_keyword_search(docs: DataFrame, keywords: DataFrame, per_keyword: int,
     return seen.join(docs.select("doc_id", "path", F.substring("content", 1, 3000).alias("context")), "doc_id").select("query_id", "rank", "doc_id", "path", "context")
 
 
+BELIEF_COLUMNS = ("statement", "topic", "subject", "predicate", "object")
+
+
+def multi_keyword_context(docs: DataFrame, beliefs: DataFrame, keywords: DataFrame, per_keyword: int, limit: int) -> DataFrame:
+    """(kind, query_id, rank, id, path, context): the keywords' documents, each once, and then the current beliefs that they
+    find, a belief as often as keywords find it; `limit` of either."""
+    found = multi_keyword_search(docs, keywords, per_keyword, limit)
+    current = beliefs.where("superseded_at IS NULL")
+    held = bm25_batch(current, keywords, per_keyword, key="belief_id", columns=BELIEF_COLUMNS).orderBy("query_id", "rank").limit(limit)
+    told = held.join(current.select("belief_id", "path", F.col("statement").alias("context")), "belief_id")
+    row = lambda kind, id: (F.lit(kind).alias("kind"), "query_id", "rank", F.col(id).cast("string").alias("id"), "path", "context")
+    return found.select(*row("document", "doc_id")).unionByName(told.select(*row("belief", "belief_id")))
+
+
 def snippets(hits: DataFrame, query: str) -> DataFrame:
     """Text around the first word of the query that is there: 100 characters before, 200 after."""
     words = T.query_terms(F.lit(query))

@@ -68,7 +68,7 @@ def t2(spark, d):
 
 @register("t1_bm25", f"WITH {_BM25} SELECT doc_id, round(sum(w), 6) AS bm25 FROM weights WHERE term IN {tuple(TERMS)} GROUP BY 1")
 def t1(spark, d):
-    return S.bm25(M.documents(spark, d), QUERY).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return S.bm25(M.documents(spark, d), QUERY, keep=("doc_id",)).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 _QTERMS = r"SELECT query_id, unnest(list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(query, '[^a-zA-Z0-9\s-]', ' ', 'g'), '\s+'), lambda x: lower(x)), lambda x: length(x) > 1 AND NOT list_contains(" + str(list(T.QUERY_STOP_WORDS)) + ", x)))) AS term FROM m_searches"
@@ -90,7 +90,7 @@ _BWORDS = f"list_filter(string_split_regex(translate(lower(concat_ws(' ', statem
   SELECT belief_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM tf JOIN df USING (term), n WHERE tf > 0 GROUP BY 1""")
 def t4(spark, d):
     current = M.beliefs(spark, d).where("superseded_at IS NULL")
-    return S.bm25(current, QUERY, ("statement", "topic", "subject", "predicate", "object")).select("belief_id", F.round("bm25", 6).alias("bm25"))
+    return S.bm25(current, QUERY, S.BELIEF_COLUMNS, keep=("belief_id",)).select("belief_id", F.round("bm25", 6).alias("bm25"))
 
 
 @register("t5_snippets", f"""WITH m AS (SELECT doc_id, content, list_min(list_filter(list_transform({_TERMS}, lambda t: instr(lower(content), t)), lambda p: p > 0)) AS pos FROM m_documents WHERE list_has_any({_WORDS}, {_TERMS})),
@@ -109,6 +109,27 @@ def t6(spark, d):
     return S.multi_keyword_search(M.documents(spark, d), M.searches(spark, d), 10, 50).withColumn("rank", F.col("rank").cast("long"))
 
 
+@register("t2_hybrid_search_workspace", f"""WITH {_BM25}, hits AS (SELECT doc_id, sum(w) AS bm25 FROM weights WHERE term IN {tuple(TERMS)} GROUP BY 1),
+  top AS (SELECT 0 AS query_id, h.bm25, d.* FROM hits h JOIN m_documents d USING (doc_id) WHERE workspace = 'en' ORDER BY round(bm25, 9) DESC, path LIMIT 30), {_SCORED}
+  SELECT doc_id, path, beliefs, round(bm25, 6) AS bm25, round(score, 6) AS score FROM scored ORDER BY round(score, 9) DESC, path LIMIT 10""")
+def t2_workspace(spark, d):
+    hits = S.hybrid_search(M.documents(spark, d), M.beliefs(spark, d), QUERY, M.now(), workspace="en")
+    return hits.select("doc_id", "path", "beliefs", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+
+
+@register("t6_multi_keyword_beliefs", f"""WITH {_BM25}, terms AS ({_QTERMS}), ranked AS (SELECT query_id, doc_id, sum(w) AS bm25 FROM weights JOIN terms USING (term) GROUP BY ALL),
+  hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM ranked) WHERE rank <= 10),
+  seen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY query_id, rank) AS r FROM hits) WHERE r = 1 ORDER BY query_id, rank LIMIT 50),
+  b AS (SELECT belief_id, {_BWORDS} AS ws FROM m_beliefs WHERE superseded_at IS NULL), bn AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM b),
+  btf AS (SELECT belief_id, dl, term, count(*) AS tf FROM (SELECT belief_id, len(ws) AS dl, unnest(ws) AS term FROM b) WHERE term IN (SELECT term FROM terms) GROUP BY ALL), bdf AS (SELECT term, count(*) AS df FROM btf GROUP BY 1),
+  bw AS (SELECT belief_id, term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM btf JOIN bdf USING (term), bn),
+  bhits AS (SELECT * FROM (SELECT query_id, belief_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(w), 9) DESC, belief_id) AS rank FROM bw JOIN terms USING (term) GROUP BY query_id, belief_id) WHERE rank <= 10 ORDER BY query_id, rank LIMIT 50)
+  SELECT 'document' AS kind, query_id, rank, doc_id::VARCHAR AS id, path, left(content, 3000) AS context FROM seen JOIN m_documents USING (doc_id)
+  UNION ALL SELECT 'belief', query_id, rank, belief_id, path, statement FROM bhits JOIN m_beliefs USING (belief_id)""")
+def t6_beliefs(spark, d):
+    return S.multi_keyword_context(M.documents(spark, d), M.beliefs(spark, d), M.searches(spark, d), 10, 50).withColumn("rank", F.col("rank").cast("long"))
+
+
 @register("j5_match_documents", f"SELECT doc_id FROM m_documents WHERE list_has_any({_WORDS}, {_TERMS})")
 def j5(spark, d):
     return S.bag(M.documents(spark, d)).where(P.any_term(F.col("words"), QUERY)).select("doc_id")
