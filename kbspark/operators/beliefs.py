@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators.ordered import running_sum
 from kbspark.sources.tables import shared_table
 
 CONTENT = ("statement", "subject", "predicate", "object")
@@ -69,20 +70,68 @@ def as_of(beliefs: DataFrame, at: Column) -> DataFrame:
     return beliefs.where((F.col("asserted_at") < at) & (F.col("superseded_at").isNull() | (F.col("superseded_at") >= at)))
 
 
+def held(beliefs: DataFrame) -> DataFrame:
+    """(workspace, belief_id, asserted_at, superseded_at) of the beliefs that were held at some time.
+
+    One that was superseded no later than it was asserted never was.
+    """
+    return beliefs.where("asserted_at IS NOT NULL AND (superseded_at IS NULL OR superseded_at > asserted_at)").select("workspace", "belief_id", "asserted_at", "superseded_at")
+
+
 def as_of_points(beliefs: DataFrame, points: DataFrame) -> DataFrame:
-    """(point_id, workspace, n): how many beliefs were held at each of many points.
+    """(point_id, workspace, n): how many beliefs were held at each of many points, in each workspace that has any.
 
-    Starts and ends are events of +1 and -1 in time order, and the points read the running sum: no interval meets every
-    point. The window runs by workspace over counts per instant.
+    Starts and ends are events of +1 and -1, counted per instant; the points read the running sum, which is taken over
+    range partitions (`running_sum`), so that neither a workspace nor the whole is one task. A point counts what was before
+    its instant; points and instants meet by bins of time, not each with each.
     """
-    plus = beliefs.select("workspace", F.col("asserted_at").alias("at"), F.lit(1).alias("d"))
-    minus = beliefs.where("superseded_at IS NOT NULL").select("workspace", F.col("superseded_at").alias("at"), F.lit(-1).alias("d"))
-    # A belief superseded no later than it was asserted is never held.
+    rows = held(beliefs)
+    plus = rows.select("workspace", F.col("asserted_at").alias("at"), F.lit(1).alias("d"))
+    minus = rows.where("superseded_at IS NOT NULL").select("workspace", F.col("superseded_at").alias("at"), F.lit(-1).alias("d"))
     changes = plus.unionByName(minus).groupBy("workspace", "at").agg(F.sum("d").alias("d"))
-    asked = changes.select("workspace").distinct().join(F.broadcast(points))  # the points are a stated few
-    rows = changes.select("workspace", "at", "d", F.lit(None).cast("long").alias("point_id"), F.lit(1).alias("o")).unionByName(asked.select("workspace", "at", F.lit(0).cast("long").alias("d"), F.col("point_id").cast("long").alias("point_id"), F.lit(0).alias("o")))
-    w = Window.partitionBy("workspace").orderBy("at", "o", "point_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("n", F.sum("d").over(w)).where("o = 0").select("point_id", "workspace", "n")
+    # A belief is held from the instant after it was asserted up to that at which it was superseded: a point goes first.
+    # The result has a row for each workspace and point, so these are all made.
+    marks = changes.select("workspace", "at", F.lit(1).alias("o"), "d", F.lit(None).cast("long").alias("point_id"))
+    each = changes.select("workspace").distinct()
+    asks = each.crossJoin(points).select("workspace", "at", F.lit(0).alias("o"), F.lit(0).cast("long").alias("d"), F.col("point_id").cast("long").alias("point_id"))
+    return running_sum(marks.unionByName(asks), ["workspace"], ["at", "o", "point_id"], "d", "n").where("o = 0").select("point_id", "workspace", "n")
+
+
+DAYS = 30
+
+
+def as_of_each(beliefs: DataFrame, points: DataFrame, days: int = DAYS) -> DataFrame:
+    """(point_id, workspace, belief_id): the beliefs held at each of many points, by an interval join over bins of time.
+
+    A belief lies in the bins of `days` days from its start to its end, a point in one; those of one bin meet. A belief that
+    is still held, or was for long, would lie in many bins: bins are of several widths, each twice the one before, and an
+    interval is cut into the fewest that cover it, two of a width at most; a point asks once for each width. The range is
+    tested on what meets.
+    """
+    seconds = days * 86400
+    rows = held(beliefs)
+    at = lambda c: F.floor(F.unix_timestamp(c) / seconds)
+    ends = points.agg(F.max("at").alias("_last"))
+    last = F.coalesce(F.least(F.col("superseded_at"), F.col("_last")), F.col("_last"))
+    rows = rows.join(F.broadcast(ends)).where(F.col("asserted_at") < F.col("_last")).withColumns({"_low": at("asserted_at"), "_high": at(last)})  # one row
+    covers = F.flatten(F.array(*(_cover(k) for k in range(WIDTHS))))
+    bins = rows.withColumn("_bin", F.explode(covers)).select("workspace", "belief_id", "asserted_at", "superseded_at", "_bin")
+    asks = points.select("point_id", "at", F.explode(F.array(*(F.struct(F.lit(k).alias("width"), F.shiftright(at("at"), k).alias("number")) for k in range(WIDTHS)))).alias("_bin"))
+    met = bins.join(asks, "_bin").where((F.col("asserted_at") < F.col("at")) & (F.col("superseded_at").isNull() | (F.col("superseded_at") >= F.col("at"))))
+    return met.select("point_id", "workspace", "belief_id")
+
+
+#: Widths of bins: the widest is 2 to the power of WIDTHS - 1 as wide as the narrowest, and what is longer takes several of it.
+WIDTHS = 12
+
+
+def _cover(k: int) -> Column:
+    """The bins of width 2^k (in narrowest ones) in the cover of _low to _high: what an end leaves over at this width, and
+    of the widest all between."""
+    a, b = F.shiftright(F.col("_low") + (1 << k) - 1, k), F.shiftright(F.col("_high") + 1, k)  # from a up to b
+    bins = lambda numbers: F.transform(numbers, lambda x: F.struct(F.lit(k).alias("width"), x.alias("number")))
+    ends = F.filter(F.array(F.when(a % 2 != 0, a), F.when(b % 2 != 0, b - 1)), lambda x: x.isNotNull())
+    return F.when(a >= b, bins(F.array().cast("array<bigint>"))).otherwise(bins(F.sequence(a, F.greatest(a, b - 1)) if k == WIDTHS - 1 else ends))
 
 
 def _key(df: DataFrame) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.sources.buckets import Buckets
 
 
 def classify_changes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -71,6 +72,15 @@ def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_n")
 
 
+DOCUMENT_KEYS = ["workspace", "path"]
+
+
+def write_upserts(incoming: DataFrame, path: str, buckets: int = 64) -> list[int]:
+    """Documents merged into the table at `path`, of which the buckets that they fall in are written anew; gives these."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in incoming.dtypes)
+    return Buckets(incoming.sparkSession, path, schema, DOCUMENT_KEYS, buckets).upsert(incoming, upsert_documents)
+
+
 def auto_ingest_queue(items: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """Pending items of sources whose config says auto_ingest true, oldest first."""
     on = sources.where(F.get_json_object("config", "$.auto_ingest") == "true").select("source_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from kbspark.functions import text as T
+from kbspark.operators.ordered import joined_in_order, running_sum
 
 
 def assign_slugs(pages: DataFrame) -> DataFrame:
@@ -48,11 +49,10 @@ def assign_slugs(pages: DataFrame) -> DataFrame:
 def read_batch(docs: DataFrame, pattern: str, budget: int = 120_000) -> DataFrame:
     """Files of a workspace that match, in path order while the character budget lasts; the last one is clipped.
 
-    Only sizes go through the window; the texts of the chosen files are joined to them.
+    Only sizes are summed up, over ranges of paths (`running_sum`); the texts of the chosen files are joined to them.
     """
     sizes = docs.where(F.col("path").rlike(pattern)).select("workspace", "path", F.length("content").cast("long").alias("size"))
-    w = Window.partitionBy("workspace").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = sizes.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("before") < budget).drop("size")
+    chosen = running_sum(sizes, ["workspace"], ["path"], "size", "before", before=True).where(F.col("before") < budget).drop("size")
     room = (F.lit(budget) - F.col("before")).cast("int")
     return docs.select("workspace", "path", "content").join(chosen, ["workspace", "path"]).select("workspace", "path", "before", F.substring("content", F.lit(1), room).alias("content"))
 
@@ -157,10 +157,10 @@ def render_cross_ref(content: Column, label: Column, path: Column) -> Column:
 
 
 def maps_of_content(docs: DataFrame) -> DataFrame:
-    """(workspace, topic, content): a page per topic that lists its wiki pages by title."""
-    rows = docs.where("layer = 'wiki'").groupBy("workspace", "topic").agg(F.sort_array(F.collect_list(F.struct("title", "path"))).alias("x"))
-    lines = F.array_join(F.transform("x", lambda r: F.concat(F.lit("- ["), r["title"], F.lit("]("), r["path"], F.lit(")"))), "\n")
-    return rows.select("workspace", "topic", F.concat(F.lit("# "), "topic", F.lit("\n\n"), lines).alias("content"))
+    """(workspace, topic, content): a page per topic that lists its wiki pages by title, joined as they come in order."""
+    line = F.concat(F.lit("- ["), "title", F.lit("]("), "path", F.lit(")"))
+    lists = joined_in_order(docs.where("layer = 'wiki'").withColumn("_line", line), ["workspace", "topic"], ["title", "path"], "_line", "\n")
+    return lists.select("workspace", "topic", F.concat(F.lit("# "), "topic", F.lit("\n\n"), "content").alias("content"))
 
 
 def export_pages(docs: DataFrame) -> DataFrame:

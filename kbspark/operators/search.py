@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
@@ -37,21 +37,18 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 def bm25(df: DataFrame, query: str, columns: tuple[str, ...] = ("title", "content"), keep: tuple[str, ...] | None = None) -> DataFrame:
     """Rows that hold any term of the query, with their `keep` columns (all, if not given) and `bm25`.
 
-    One scan: each row's text is folded once, its terms are counted in the row, and while the rows that hold any are
-    written, the scan's statistics are observed. No postings are made for a single query. The counts come out of a
-    generator, below which no filter moves.
+    One scan of the texts: each is folded once, its terms are counted in the row, and the counts are written with the
+    columns to keep, from which come both the statistics and the hits. No postings are made for a single query. The counts
+    come out of a generator, below which no filter moves.
     """
     terms = df.sparkSession.sql("SELECT 1").select(T.query_terms(F.lit(query)).alias("t")).first()["t"]
     keep, text, n = keep or tuple(df.columns), F.col("_text"), range(len(terms))
     length = F.when(text == "  ", 0).otherwise(T.occurrences(text, "  ") + 1)
     counts = F.struct(length.alias("_dl"), *(T.occurrences(text, T.spaced_term(t)).alias(f"_tf{i}") for i, t in enumerate(terms)))
-    counted = df.withColumn("_text", T.spaced(F.concat_ws(" ", *columns))).select(*keep, F.inline(F.array(counts)))
-    seen = Observation()
-    counted = counted.observe(seen, F.count("*").alias("n"), F.sum("_dl").alias("dl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in n))
-    hits = shared_table(counted.where(sum((F.col(f"_tf{i}") for i in n), F.lit(0)) > 0), "hits")
-    stats = seen.get
-    avgdl = F.lit((stats["dl"] or 0) / max(1, stats["n"]))
-    score = sum((idf(F.lit(stats["n"]), F.lit(stats[f"df{i}"])) * weight(F.col(f"_tf{i}"), F.col("_dl"), avgdl) for i in n), F.lit(0.0))
+    counted = shared_table(df.withColumn("_text", T.spaced(F.concat_ws(" ", *columns))).select(*keep, F.inline(F.array(counts))), "counts")
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in n))
+    hits = counted.where(sum((F.col(f"_tf{i}") for i in n), F.lit(0)) > 0).join(F.broadcast(stats))  # one row
+    score = sum((idf(F.col("_n"), F.col(f"_df{i}")) * weight(F.col(f"_tf{i}"), F.col("_dl"), F.col("_avgdl")) for i in n), F.lit(0.0))
     return hits.withColumn("bm25", score).select(*keep, "bm25")
 
 

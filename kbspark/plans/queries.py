@@ -334,6 +334,11 @@ for _i, (_m, _sql) in enumerate(_METRICS.items()):
     register(f"a{6 + _i}_metric_{_m.lower()}", f"SELECT workspace, metric, round(score, 6) AS score, score >= least AS passed FROM ({_sql})")(_metric(_m))
 
 
+@register("a6_metric_m1_sample", "WITH b AS (SELECT *, row_number() OVER (PARTITION BY workspace ORDER BY sha256('s1' || belief_id), belief_id) AS r FROM m_beliefs WHERE superseded_at IS NULL) SELECT w.workspace, 'M1' AS metric, round(CASE WHEN count(belief_id) > 0 THEN count(*) FILTER (len(footnote_ids) > 0) / count(belief_id) ELSE 1.0 END, 6) AS score, CASE WHEN count(belief_id) > 0 THEN count(*) FILTER (len(footnote_ids) > 0) / count(belief_id) ELSE 1.0 END >= 0.8 AS passed FROM (SELECT DISTINCT workspace FROM m_beliefs) w LEFT JOIN b ON b.workspace = w.workspace AND r <= 50 GROUP BY 1")
+def a6_sample(spark, d):
+    return Q.citation_fidelity(M.beliefs(spark, d), 50, "s1").withColumn("score", F.round("score", 6))
+
+
 @register("a11_metrics_report", "SELECT workspace, metric, round(score, 6) AS score, score >= least AS passed FROM (" + " UNION ALL ".join(_METRICS.values()) + ")")
 def a11(spark, d):
     return Q.metrics_report(_tables(spark, d)).withColumn("score", F.round("score", 6))
@@ -590,6 +595,14 @@ def j14_points(spark, d):
     return B.as_of_points(M.beliefs(spark, d), points).withColumn("n", F.col("n").cast("long"))
 
 
+# Points every three days up to a month after the clock, and beliefs some of which were superseded before they were asserted.
+@register("j14_beliefs_as_of_each", "WITH p AS (SELECT i AS point_id, TIMESTAMP '2024-01-01' + to_days((3 * i)::INT) AS at FROM range(0, 20) t(i)), b AS (SELECT workspace, belief_id, asserted_at, CASE WHEN ascii(right(belief_id, 1)) % 5 = 0 THEN asserted_at - to_hours(1) ELSE superseded_at END AS superseded_at FROM m_beliefs) SELECT point_id, workspace, belief_id FROM p JOIN b ON asserted_at < p.at AND (superseded_at IS NULL OR superseded_at >= p.at) AND (superseded_at IS NULL OR superseded_at > asserted_at)")
+def j14_each(spark, d):
+    points = spark.range(20).select(F.col("id").alias("point_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3 * M.DAY).alias("at"))
+    turned = F.when(F.ascii(F.right("belief_id", F.lit(1))) % 5 == 0, F.col("asserted_at") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("superseded_at"))
+    return B.as_of_each(M.beliefs(spark, d).withColumn("superseded_at", turned), points, days=1)
+
+
 _INCOMING = "SELECT workspace, path, CASE WHEN length(statement) % 3 = 0 THEN statement || ' again' ELSE statement END AS statement, subject, predicate, object FROM m_beliefs"
 
 

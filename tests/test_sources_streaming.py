@@ -6,9 +6,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from kbspark.operators import events as E
+from kbspark.operators import ingest as I
 from kbspark.operators import quality as Q
 from kbspark.sources import readers as R
 from kbspark.streaming import jobs as J
+from kbspark.streaming import state
 
 
 def put(path, text):
@@ -119,11 +121,64 @@ def test_changed_files(spark, tmp_path):
 
 def test_commits(spark, tmp_path):
     schema, out = "repository string, sha string, occurred_at timestamp", str(tmp_path / "sink")
-    land(spark, [("r", f"s{i}", datetime(2024, 1, 1 + i)) for i in range(5)], schema, tmp_path / "in")
-    J.stream_commits(stream(spark, tmp_path / "in", schema), out, str(tmp_path / "cp"), first=3).awaitTermination()
-    land(spark, [("r", "s4", datetime(2024, 1, 5)), ("r", "s9", datetime(2024, 1, 9))], schema, tmp_path / "in")
-    J.stream_commits(stream(spark, tmp_path / "in", schema), out, str(tmp_path / "cp"), first=3).awaitTermination()
-    assert sorted(r.sha for r in spark.read.schema(schema).parquet(out).collect()) == ["s2", "s3", "s4", "s9"]
+
+    def poll(rows):
+        land(spark, rows, schema, tmp_path / "in")
+        J.stream_commits(stream(spark, tmp_path / "in", schema), out, str(tmp_path / "cp"), first=3, buckets=4).awaitTermination()
+        return sorted(f"{r.repository}-{r.sha}" for r in spark.read.schema(schema).parquet(out).collect())
+
+    assert poll([("r", f"s{i}", datetime(2024, 1, 1 + i)) for i in range(5)]) == ["r-s2", "r-s3", "r-s4"]
+    # Of the newest one's second, older (rebased, merged), repeated, and those that the first batch left out.
+    more = [("r", "s4", datetime(2024, 1, 5)), ("r", "s9", datetime(2024, 1, 9)), ("r", "same", datetime(2024, 1, 5)), ("r", "old", datetime(2020, 1, 1)), ("r", "none", None), ("r", "s0", datetime(2024, 1, 1)), ("r", "s9", datetime(2024, 1, 9))]
+    want = ["r-none", "r-old", "r-s2", "r-s3", "r-s4", "r-s9", "r-same"]
+    assert poll(more) == want
+    assert poll([*more, ("q", "s4", datetime(2019, 1, 1))]) == ["q-s4", *want]
+
+
+def test_lookups_read_a_constant_number_of_files(spark, tmp_path):
+    out, files, read = str(tmp_path / "items"), [], J.Seen.__init__
+
+    def counted(self, *args):
+        read(self, *args)
+        files.append(len(self.known.inputFiles()))
+
+    J.Seen.__init__ = counted
+    try:
+        for k in range(12):
+            land(spark, [(10 * k + i, "w", f"e{k}-{i}", "h", "t", "u", T0) for i in range(8)] + [(1000 + k, "w", "e0-0", "h", "t", "u", T0)], ITEM, tmp_path / "in")
+        J.stream_new_items(stream(spark, tmp_path / "in", ITEM), out, str(tmp_path / "events"), str(tmp_path / "cp"), window="1 second", buckets=4).awaitTermination()
+    finally:
+        J.Seen.__init__ = read
+    assert len(files) >= 12 and max(files) <= 4  # a file for each bucket, however many batches there were
+    assert spark.read.schema(ITEM).parquet(out).count() == 96
+
+
+def test_a_batch_that_runs_again_finds_the_same(spark, tmp_path):
+    schema = "repository string, sha string, occurred_at timestamp"
+    df = spark.createDataFrame([("r", "a", T0), ("r", "b", T0)], schema)
+    for _ in range(2):
+        seen = J.Seen(df, str(tmp_path / "keys"), ["repository", "sha"], 5, 4)
+        assert seen.known.count() == 0
+        seen.record(df)
+    assert J.Seen(df, str(tmp_path / "keys"), ["repository", "sha"], 6, 4).known.count() == 2
+
+
+def test_upserts_leave_other_buckets_alone(spark, tmp_path):
+    path, schema = str(tmp_path / "docs"), "workspace string, path string, content string, updated_at timestamp"
+    documents = lambda rows: spark.createDataFrame([("w", p, c, datetime(2024, 1, d)) for p, c, d in rows], schema)
+    assert len(I.write_upserts(documents([(f"p{i}", "a", 1) for i in range(100)]), path, 8)) == 8
+    times = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "docs").rglob("*.parquet")}
+    before = times()
+    touched = I.write_upserts(documents([("p7", "b", 2), ("p8", "older", 1)]), path, 8)
+    after = times()
+    assert len(touched) <= 2 and {f for f in before if f in after} == {f for f in before if int(f.parent.name.split("=")[1]) not in touched}
+    assert len(after) == 8 and all(before[f] == after[f] for f in before if f in after)
+    rows = lambda: sorted((r.path, r.content) for r in spark.read.parquet(path).collect())
+    held = rows()
+    assert len(held) == 100 and ("p7", "b") in held and ("p8", "older") in held
+    I.write_upserts(documents([("p7", "b", 2)]), path, 8)
+    assert rows() == held
+    assert I.write_upserts(documents([]), path, 8) == []
 
 
 def collected(df, tmp_path, mode="append"):
@@ -154,18 +209,46 @@ def test_sessions_as_they_grow(spark, tmp_path):
     schema, sink = "session_id long, seq long, role string, content string", str(tmp_path / "sink")
     for rows in ([(1, 1, "user", "a"), (2, 1, "user", "x")], [(1, 2, "assistant", "b")], [(1, 2, "assistant", "b")]):
         land(spark, rows, schema, tmp_path / "in")
-        J.stream_sessions(stream(spark, tmp_path / "in", schema), str(tmp_path / "landed"), sink, str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.schema("session_id long, n long, content string, content_hash string, batch_no long").parquet(sink)
-    last = Q.latest_per_key(got, ["session_id"], [F.desc("batch_no")])
+        J.stream_sessions(stream(spark, tmp_path / "in", schema), sink, str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.schema("session_id long, version long, n long, content string, content_hash string").parquet(sink)
+    last = Q.latest_per_key(got, ["session_id"], [F.desc("version")])
     batch = Q.capture_sessions(spark.read.parquet(str(tmp_path / "in")).distinct())
     assert {(r.session_id, r.content_hash) for r in last.collect()} == {(r.session_id, r.content_hash) for r in batch.collect()}
     assert got.where("session_id = 1").count() == 2  # the third batch changed nothing
 
 
 def test_late_events_are_kept(spark, tmp_path):
-    land(spark, [("w", "k", "e", T0, T0), ("w", "k", "late", T0, datetime(2024, 1, 9))], EVENT, tmp_path / "in")
-    J.split_late(stream(spark, tmp_path / "in", EVENT), str(tmp_path / "ok"), str(tmp_path / "late"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "late")).first().event_type == "late" and spark.read.parquet(str(tmp_path / "ok")).count() == 1
+    """The timeline of the same batches and the late events add up to all of them."""
+    batches = [[1, 1, 2, 5], [6, 3, 1, 20], [1, 17, 2, 18, 21], [30, 19, 4]]
+    rows = [[("w", "k", f"e{b}-{i}", datetime(2024, 1, d, 12), T0) for i, d in enumerate(days)] for b, days in enumerate(batches)]
+    counts, late = {}, None
+    for k in range(len(rows)):
+        land(spark, rows[k], EVENT, tmp_path / "in")
+        J.split_late(stream(spark, tmp_path / "in", EVENT), str(tmp_path / "ok"), str(tmp_path / "late"), str(tmp_path / "cp")).awaitTermination()
+        timeline = J.stream_timeline(stream(spark, tmp_path / "in", EVENT))
+        timeline.writeStream.format("parquet").option("path", str(tmp_path / "days")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
+    on_time, late = (spark.read.schema(EVENT).parquet(str(tmp_path / x)) for x in ("ok", "late"))
+    assert sorted(r.event_type for r in on_time.unionByName(late).collect()) == sorted(r[2] for b in rows for r in b)
+    days = {r.day: r.n for r in spark.read.parquet(str(tmp_path / "days")).collect()}  # those that the watermark has passed
+    day = F.date_format("occurred_at", "yyyy-MM-dd").alias("day")
+    counts = {r.day: r["count"] for r in on_time.groupBy(day).count().collect()}
+    assert days == {d: n for d, n in counts.items() if d < "2024-01-28"} and late.count() >= 4
+
+
+def test_stale_runs_by_timers(spark, tmp_path):
+    schema = "run_id long, status string, started_at timestamp, seen_at timestamp"
+    at = lambda minute: datetime(2024, 1, 1, 10, minute)
+    batches = [[(1, "pending", at(0), at(0)), (2, "pending", at(0), at(0)), (3, "pending", at(9), at(9))], [(2, "committed", at(0), at(10)), (9, "committed", at(1), at(16))], [(9, "committed", at(1), at(17))], [(4, "pending", at(1), at(18)), (9, "committed", at(1), at(18))]]
+    out = str(tmp_path / "out")
+    for rows in batches:
+        land(spark, rows, schema, tmp_path / "in")
+        swept = state.stale_runs(stream(spark, tmp_path / "in", schema), ttl_seconds=600)
+        swept.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema("run_id long, version long, status string").parquet(out)
+    got = {r.run_id: r.status for r in Q.latest_per_key(told, ["run_id"], [F.desc("version")]).collect()}
+    runs = Q.latest_per_key(spark.read.parquet(str(tmp_path / "in")), ["run_id"], [F.desc("seen_at")])
+    want = {r.run_id: r.status for r in J.sweep_stale(runs, F.lit(at(18)).cast("timestamp"), 600).collect()}
+    assert got == want == {1: "abandoned", 2: "committed", 3: "pending", 4: "abandoned", 9: "committed"}
 
 
 def test_redacted_stream(spark, tmp_path):
