@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators.events import code_structure
 from kbspark.sources.buckets import Buckets
 
 
@@ -132,9 +133,31 @@ def body_of(content: Column) -> Column:
     return F.when(F.length(body) > 3000, F.concat(F.substring(body, 1, 3000), F.lit("\n\n... (content continues in raw source)"))).otherwise(body)
 
 
+def _cited(path: Column, quote: Column) -> Column:
+    return F.concat(F.lit(" [^1]\n\n[^1]: "), path, F.coalesce(F.concat(F.lit(' — "'), F.translate(quote, '"', ""), F.lit('"')), F.lit("")))
+
+
+def structure_body(imports: Column, types: Column, functions: Column) -> Column:
+    """The first 30 imports, the types and the functions of a source file, a section for each that has any."""
+    ticked = lambda c: F.transform(c, lambda x: F.concat(F.lit("`"), x, F.lit("`")))
+    section = lambda head, c, text: F.when(F.size(c) > 0, F.concat(F.lit(f"### {head}\n\n"), text))
+    listed = lambda c: F.array_join(F.transform(ticked(c), lambda x: F.concat(F.lit("- "), x)), "\n")
+    parts = section("Imports", imports, F.array_join(ticked(F.slice(imports, 1, 30)), ", ")), section("Types", types, listed(types)), section("Functions", functions, listed(functions))
+    return F.concat_ws("\n\n", *parts)
+
+
 def ingest_pages(files: DataFrame) -> DataFrame:
-    """(workspace, path, title, page): a page for each text file, with its body and one citation."""
+    """(workspace, path, title, page): a page for each file with one citation. Source files give their structure, quoted by
+    their name; other texts, and source that can't be parsed, give their body, quoted by a sentence."""
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.withColumns({"title": F.coalesce(T.title(F.col("content")), name), "quote": T.representative_quote(F.col("content")), "body": body_of(F.col("content"))})
-    page = F.concat(F.lit("# "), "title", F.lit("\n\n> Source: "), "path", F.lit("\n\n"), "body", F.lit(" [^1]\n\n[^1]: "), "path", F.coalesce(F.concat(F.lit(' — "'), F.translate("quote", '"', ""), F.lit('"')), F.lit("")))
+    # A file is named by workspace and path; the structure is told by the end of the name.
+    marked = files.withColumn("path", F.concat(F.coalesce("workspace", F.lit("")), F.lit("\x00"), "path"))
+    code = code_structure(marked.select("path", "content")).where("types IS NOT NULL").withColumnRenamed("path", "_key")
+    rows = files.withColumn("_key", F.concat(F.coalesce("workspace", F.lit("")), F.lit("\x00"), "path")).join(code, "_key", "left")
+    is_code = F.col("language").isNotNull()
+    title = F.when(is_code, F.concat(name, F.lit(" ("), "language", F.lit(")"))).otherwise(F.coalesce(T.title(F.col("content")), name))
+    quote = F.when(is_code, name).otherwise(T.representative_quote(F.col("content")))
+    body = F.when(is_code, structure_body(F.col("imports"), F.col("types"), F.col("functions"))).otherwise(body_of(F.col("content")))
+    rows = rows.withColumns({"title": title, "quote": quote, "body": body})
+    page = F.concat(F.lit("# "), "title", F.lit("\n\n> Source: "), "path", F.lit("\n\n"), "body", _cited(F.col("path"), F.col("quote")))
     return rows.select("workspace", "path", "title", page.alias("page"))

@@ -857,11 +857,14 @@ def x2(spark, d):
 
 
 def _sources(spark, d):
-    """Source files made of the documents: a Python, Rust and Go declaration named after each."""
+    """Source files made of the documents: each text as a comment, and a Python or Rust declaration named after it."""
     i = F.col("doc_id").cast("string")
-    py = F.concat(F.lit("import os\nclass A"), i, F.lit(":\n    def inner(self): pass\ndef f"), i, F.lit("(): pass\n"), F.when(F.col("doc_id") % 10 == 0, "def broken(:\n").otherwise(""))
-    rs = F.concat(F.lit("use std::fmt;\npub struct A"), i, F.lit(" {}\nfn f"), i, F.lit("() {}\n"))
-    return M.documents(spark, d).select(F.concat(F.lit("src/"), i, F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".rs")).alias("path"), F.when(F.col("doc_id") % 2 == 0, py).otherwise(rs).alias("content"))
+    lines = F.split(F.regexp_replace("content", r"[\r\f\x0b\x00\x85\u2028\u2029]", " "), "\n")
+    comment = lambda mark: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(mark), x)), "\n")
+    py = F.concat(comment("# "), F.lit("\nimport os\nclass A"), i, F.lit(":\n    def inner(self): pass\ndef f"), i, F.lit("(): pass\n"), F.when(F.col("doc_id") % 10 == 0, "def broken(:\n").otherwise(""))
+    rs = F.concat(comment("// "), F.lit("\nuse std::fmt;\npub struct A"), i, F.lit(" {}\nfn f"), i, F.lit("() {}\n"))
+    even = F.col("doc_id") % 2 == 0
+    return M.documents(spark, d).select("workspace", F.concat(F.lit("src/"), i, F.when(even, ".py").otherwise(".rs")).alias("path"), F.when(even, py).otherwise(rs).alias("content"))
 
 
 _STRUCT = "SELECT 'src/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'rust' END AS language, CASE WHEN doc_id % 10 > 0 THEN 'A' || doc_id END AS types, CASE WHEN doc_id % 10 > 0 THEN 'f' || doc_id END AS functions, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'os' ELSE 'std::fmt' END AS imports FROM m_documents"
@@ -882,6 +885,14 @@ def x5(spark, d):
     return I.ingest_pages(M.pages(spark, d))
 
 
+@register("x5_ingest_code", f"""WITH s AS ({_STRUCT}), t AS (SELECT 'src/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END AS path, workspace FROM m_documents WHERE doc_id % 10 > 0),
+  n AS (SELECT workspace, path, regexp_extract(path, '[^/]+$') AS name, language, types, functions, imports FROM t JOIN s USING (path))
+  SELECT workspace, path, name || ' (' || language || ')' AS title, '# ' || name || ' (' || language || ')' || chr(10) || chr(10) || '> Source: ' || path || chr(10) || chr(10) || '### Imports' || chr(10) || chr(10) || '`' || imports || '`' || chr(10) || chr(10) || '### Types' || chr(10) || chr(10) || '- `' || types || '`' || chr(10) || chr(10) || '### Functions' || chr(10) || chr(10) || '- `' || functions || '` [^1]' || chr(10) || chr(10) || '[^1]: ' || path || ' — "' || name || '"' AS page FROM n""")
+def x5_code(spark, d):
+    pages = I.ingest_pages(_sources(spark, d))
+    return pages.where("title LIKE '% (python)' OR title LIKE '% (rust)'")
+
+
 @register("r9_sweep_stale", f"SELECT run_id, CASE WHEN status = 'pending' AND started_at < {M.NOW_SQL} - INTERVAL 1 DAY THEN 'abandoned' ELSE status END AS status FROM m_runs")
 def r9(spark, d):
     from kbspark.streaming.jobs import sweep_stale
@@ -981,6 +992,17 @@ def f15(spark, d):
     return M.given(spark, d, "documents").select("doc_id", T.source_kind(path).alias("kind"), T.ai_authored(path).alias("ai"))
 
 
+_KIND = r"""CASE WHEN contains(p, 'conversations/') THEN 'conversation' WHEN contains(p, 'arxiv.org') OR contains(p, 'openreview.net') OR contains(p, 'proceedings.') OR contains(p, 'semanticscholar.org') THEN 'paper'
+  WHEN regexp_matches(p, '[^/]\.(py|ts|js|rs|go|tf|yml|yaml)$') THEN 'code' WHEN regexp_matches(p, '[^/]\.pdf$') THEN 'paper' WHEN contains(p, 'raw/web/') THEN 'web' WHEN regexp_matches(p, '[^/]\.(md|txt|rst)$') THEN 'manual' ELSE 'unknown' END"""
+
+
+# Paths of the documents, and of the pages under the addresses that they came from.
+@register("f15_source_kind_paths", f"SELECT path, {_KIND} AS kind FROM (SELECT path, lower(path) AS p FROM (SELECT path FROM m_documents UNION ALL SELECT CASE WHEN page_id % 2 = 0 THEN 'raw/web/' ELSE '' END || url FROM pages))")
+def f15_paths(spark, d):
+    pages = M.given(spark, d, "pages").select(F.concat(F.when(F.col("page_id") % 2 == 0, "raw/web/").otherwise(""), "url").alias("path"))
+    return M.documents(spark, d).select("path").unionByName(pages).select("path", T.source_kind(F.col("path")).alias("kind"))
+
+
 @register("f16_topics", "SELECT path, string_split(path, '/')[2] AS topic, 'repo' || CASE WHEN string_split(path, '/')[1] IN ('src') THEN '' ELSE '/' || string_split(path, '/')[1] END AS repo_topic FROM m_documents")
 def f16(spark, d):
     p = F.col("path")
@@ -997,9 +1019,9 @@ def f18(spark, d):
     return M.documents(spark, d).select("doc_id", F.round(T.recency(F.col("updated_at"), M.now()), 6).alias("recency"), F.round(T.belief_score(F.col("doc_id") % 9), 6).alias("support"))
 
 
-@register("f20_title_overlap", f"WITH w AS (SELECT doc_id, {_TW} AS w, {_TW.replace('title', 'left(content, 200)')} AS v FROM m_documents) SELECT doc_id, round(CASE WHEN least(len(w), len(v)) > 0 THEN len(list_intersect(w, v)) / least(len(w), len(v)) ELSE 0 END, 6) AS overlap FROM w")
+@register("f20_title_overlap", f"WITH w AS (SELECT doc_id, {_TW} AS w, {_TW.replace('title', 'content')} AS v FROM m_documents) SELECT doc_id, round(CASE WHEN least(len(w), len(v)) > 0 THEN len(list_intersect(w, v)) / least(len(w), len(v)) ELSE 0 END, 6) AS overlap FROM w")
 def f20(spark, d):
-    return M.documents(spark, d).select("doc_id", F.round(T.title_overlap(F.col("title"), F.substring("content", 1, 200)), 6).alias("overlap"))
+    return M.documents(spark, d).select("doc_id", F.round(T.title_overlap(F.col("title"), F.col("content")), 6).alias("overlap"))
 
 
 @register("f22_urls", r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'v' || page_id WHEN page_id % 3 = 1 THEN 'w' || page_id END AS video, coalesce(nullif(left(regexp_replace(lower(replace(host, 'www.', '') || '-' || replace(regexp_replace(path, '^/+|/+$', '', 'g'), '/', '-')), '[^a-z0-9-]', '', 'g'), 80), ''), 'page') AS slug FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)""")
