@@ -13,7 +13,9 @@ difference is at most that of the sets. First each list's classes are compared w
 what links is united, and then only classes of different components are compared. Candidates are estimated by the sketch of
 the union and confirmed on the full sets. Components come from linked classes.
 
-No pairs within a class or a component are made, no list is cut, and nothing but a few counts reaches the driver.
+No pairs within a class or a component are made, no list is cut, and nothing but a few counts reaches the driver. What a list
+of different components costs is another matter: its classes are compared by size and parity with one another, in cells, so
+that work grows with the square of the documents that share a rare template and yet don't link.
 
 Defined cases: texts that are null or without words have an empty set, link with nothing and are kept; equal sets link
 whatever the ids; rows with a null id link with nothing, have no component (null) and are kept; rows of one id are each
