@@ -132,27 +132,29 @@ class Plan:
 
 
 def planned(items: DataFrame, id: str, text: str) -> DataFrame:
-    """(plan): a row for each block, of items that are near in the order of their greatest words."""
+    """(plan): a row for each block. Items whose greatest words are the same share a block, as long as it has room."""
     rows = items.select(F.col(id).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    # As many blocks as the items fill; a block doesn't depend on how many partitions there are.
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.array_max(F.split("text", " "))), F.lit(blocks)))
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         pack = lambda: pa.RecordBatch.from_pydict({"plan": pa.array([pickle.dumps(Plan(held))], pa.binary())})
         for b in batches:
-            for row, id, text in zip(*(b[c].to_pylist() for c in ("row", "id", "text"))):
+            for block, row, id, text in zip(*(b[c].to_pylist() for c in ("block", "row", "id", "text"))):
                 found = terms(text)
-                if held and size + len(text) > BLOCK:
+                if held and (block != last or size + len(text) > BLOCK):
                     yield pack()
                     held, size = [], 0
+                last = block
                 if found:
                     held.append((row, id, found))
                     size += len(text)
         if held:
             yield pack()
 
-    # As many partitions as blocks of this size could fill, so that blocks are filled.
-    parts = max(1, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK)
-    return rows.repartitionByRange(int(parts), F.array_max(F.split("text", " ")), "row").mapInArrow(plan, "plan binary")
+    return dealt.repartition("block").sortWithinPartitions("block", "row").mapInArrow(plan, "plan binary")
 
 
 def posted(docs: DataFrame, words: dict[bytes, int], id: str, text: str) -> DataFrame:

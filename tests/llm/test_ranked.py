@@ -76,6 +76,19 @@ def test_sets_add_up_to_their_items():
         assert len(pairs) + sum(map(len, rests)) <= sum(map(len, items))
 
 
+def test_blocks_do_not_depend_on_partitions(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"some words of item number {i} " * 5) for i in range(60)], "item_id long, text string")
+    for partitions in ("4", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert ranked.planned(items, "item_id", "text").count() == 1
+        monkeypatch.setattr(ranked, "BLOCK", 2000)
+        assert 5 <= ranked.planned(items, "item_id", "text").count() <= 15
+        monkeypatch.undo()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_shared_sets_are_added_up_once():
     shared = [b"%d" % i for i in range(50)]
     plan = ranked.Plan([(i, i, [*shared, b"own%d" % i, b"the", b"the"]) for i in range(100)])
