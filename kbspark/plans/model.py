@@ -146,8 +146,8 @@ def eval_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, d: str) -> DataFrame:
-    """One query per benchmark passage: its first four words."""
-    return given(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
+    """One query per benchmark passage: the whole of it."""
+    return given(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _spo_sql(group: int, cap: int) -> str:
@@ -211,7 +211,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "m_eval_runs": (("m_runs",), """
       SELECT *, CASE WHEN substr(month, 6, 2)::INT % 2 = 0 THEN 'M1' ELSE 'M2' END AS metric, score >= 0.5 AS passed FROM (
         SELECT workspace, strftime(started_at, '%Y-%m') AS month, count(*) FILTER (status = 'committed') / count(*) AS score FROM m_runs GROUP BY 1, 2)"""),
-    "m_searches": ((), "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query FROM benchmark"),
+    "m_searches": ((), "SELECT item_id AS query_id, text AS query FROM benchmark"),
 }
 
 
