@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators.ordered import running_sum
-from kbspark.sources.tables import shared_table
+from kbspark.sources.tables import Rounds
 
 CONTENT = ("statement", "subject", "predicate", "object")
 
@@ -45,19 +45,19 @@ def supersession_chains(beliefs: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(belief_id, last_id, steps): where each belief's chain ends; by pointer doubling, in log2(longest chain) rounds.
 
     A chain ends at a belief without a successor or whose successor isn't there. Beliefs that run into a cycle have a
-    null end. Each round's pointers are written to the shared folder.
+    null end. Each round's pointers are written to the shared folder, and those of the round before dropped.
     """
-    known = beliefs.select("belief_id", "superseded_by")
+    known, rounds = beliefs.select("belief_id", "superseded_by"), Rounds(beliefs.sparkSession, "chains")
     there = known.select(F.col("belief_id").alias("superseded_by"))
-    now = shared_table(known.join(there, "superseded_by", "left_semi").select("belief_id", F.col("superseded_by").alias("next"), F.lit(1).cast("long").alias("steps")), "chains")
+    now = rounds.written(known.join(there, "superseded_by", "left_semi").select("belief_id", F.col("superseded_by").alias("next"), F.lit(1).cast("long").alias("steps")))
     total = now.count()
     for _ in range(max_rounds):
         far = now.select(F.col("belief_id").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
         moved = now.join(far, "next", "left").select("belief_id", F.coalesce("_next", "next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_next").isNotNull().alias("open"))
-        now = shared_table(moved, "chains")
-        open_now = now.where("open").count()
+        now = rounds.written(moved)
         # A pointer that still moves after more steps than there are beliefs goes round in a cycle.
-        if not open_now or now.where(f"open AND steps <= {total}").isEmpty():
+        left = now.agg(F.count_if("open").alias("open"), F.count_if(F.col("open") & (F.col("steps") <= total)).alias("straight")).first()
+        if not left["open"] or not left["straight"]:
             break
         now = now.drop("open")
     ends = now.select("belief_id", F.when(~F.col("open"), F.col("next")).alias("last_id"), F.when(~F.col("open"), F.col("steps")).alias("steps"))

@@ -52,3 +52,19 @@ def shared_table(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The tables of an iteration's rounds in a folder of their own in the shared folder; each round drops the one before."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.at, self.turn = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{self.at}/{self.turn}"
+        df.write.parquet(path)
+        if self.turn:
+            before = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{self.turn - 1}")
+            before.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(before, True)
+        self.turn += 1
+        return self.spark.read.schema(df.schema).parquet(path)
