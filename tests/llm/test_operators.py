@@ -405,3 +405,19 @@ def test_products():
         a, b = (rng.integers(-(1 << bits), 1 << bits, (5, 9)) for _ in range(2))
         exact = [[max(-topk.MOST, min(topk.MOST, sum(int(x) * int(y) for x, y in zip(p, q)))) for q in b] for p in a]
         assert topk.products(a, b).tolist() == exact
+
+
+@pytest.mark.parametrize("unit", ["word ", "a", "the same line of text\n", "日本 é ", "x1 y2. "])
+def test_texts_of_megabytes_take_time_in_proportion(spark, unit):
+    import time
+
+    import public_tokenizers
+
+    text = unit * (2_000_000 // len(unit))
+    df = spark.createDataFrame([(1, text), (2, text), (3, "short")], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(df).collect()}
+    assert got[1] == got[2] and got[1][1] == 1
+    coded = bpe.round_trip(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {r.doc_id: bytes(r.coded.decoded) == (r.text if hasattr(r, "text") else text if r.doc_id < 3 else "short").encode() for r in coded.collect()} == {1: True, 2: True, 3: True}
+    assert time.time() - start < 120
