@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -88,19 +87,6 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def sketched(text: Column, k: int) -> Column:
-    """struct(n, digest of the set, sketch: the k least hashes as signed longs)."""
-
-    @F.pandas_udf("n long, digest binary, sketch array<long>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shingles = Shingler()
-        for texts in slices(batches):
-            sets = [shingles(t) for t in texts]
-            yield pd.DataFrame({"n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:k].view(np.int64) for s in sets]})
-
-    return sketch(text)
-
-
 def _asked(n: Column, k: int, shared: int, share: Column) -> Column:
     """Values that two linked classes share at least: `share` of n where both sketches are whole sets, else `shared`."""
     return F.when(n * DEN <= k * NUM, F.ceil(n * share).cast("int")).otherwise(F.lit(shared))
@@ -112,8 +98,21 @@ def _frequent(values: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, sketch of K1) of each row."""
-    return docs.withColumn("s", sketched(F.col("text"), K1)).select("doc_id", "s.n", "s.digest", "s.sketch")
+    """(doc_id, n, digest of the set, sketch: its K1 least hashes as signed longs) of each row."""
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+
+    # Over record batches, so that a task holds the texts of a slice as objects, and no others.
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        for batch in slices(batches):
+            rows = []
+            for text in batch["text"].to_pylist():
+                s = shingles(text)
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:K1].view(np.int64)))
+            made = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, kinds)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *made], ["doc_id", "n", "digest", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, digest binary, sketch array<long>")
 
 
 def survivors(classes: DataFrame) -> DataFrame:
