@@ -1,7 +1,8 @@
 """Reading tables and shared intermediate tables for the operators of this subpackage.
 
 Arrow batches keep the session's own limits: Spark ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
-What is made of a batch is made and handed on slice by slice.
+What is made of a batch is made and handed on slice by slice. The queries and the pipeline ask for batches of BATCH_ROWS
+rows where the session's limit is larger (`small_batches`), as every worker and its task hold a batch each.
 """
 
 from __future__ import annotations
@@ -20,6 +21,17 @@ from kbspark.sources.tables import spread
 SLICE_ROWS = 128
 
 
+#: Rows of an Arrow batch in the queries and the pipeline.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_ROWS rows; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def slices(batches: Iterator) -> Iterator:
     """Record batches, series or tuples of series in slices of SLICE_ROWS rows."""
     for b in batches:
@@ -34,6 +46,7 @@ def slices(batches: Iterator) -> Iterator:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
