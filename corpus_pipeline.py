@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm import neardup, packing, pii, quality, substrings
-from kbspark.llm.common import Scratch, table
+from kbspark.llm.common import Scratch, small_batches, table
 
 #: Words that a document needs to stay. The learned rules judge short ones too; packing has a place for any length.
 LEAST_WORDS = 1
@@ -19,6 +19,7 @@ LEAST_WORDS = 1
 
 def _carried(docs: DataFrame) -> DataFrame:
     """doc_id, text and the other columns as one, so that no result of an operator clashes with them."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
 
 
@@ -44,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id or without words are in no group and stay.
     """
+    small_batches(spark)
     groups = neardup.groups(docs).where("kept").select("doc_id").distinct()
     kept = docs.alias("d").join(groups.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_semi")
     known = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
@@ -67,6 +69,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, as rows with their ids. A null text counts as empty; repeated rows are packed each."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
