@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.sources.tables import shared_table
 
 
 def name_of(path):
@@ -44,37 +45,78 @@ def verify_citations(footnotes: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).withColumn("offset", F.when(F.col("status").isin("verified", "hash_mismatch"), F.col("_at") - 1)).drop("_at")
 
 
+def _rarest(asked: DataFrame, there: DataFrame, by: str) -> DataFrame:
+    """Each quote with the one of its keys that the fewest rows of `there` (one a key and row) have."""
+    df = there.groupBy("key").agg(F.count("*").alias("df"))
+    least = Window.partitionBy(by).orderBy(F.coalesce("df", F.lit(0)), "key")
+    return asked.join(df, "key", "left").withColumn("_r", F.row_number().over(least)).where("_r = 1").drop("_r", "df")
+
+
 def quote_search(quotes: DataFrame, docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(quote_id, doc_id, offset) of the documents that hold a quote verbatim.
 
     A quote meets documents by its rarest key: a run of up to `shingle` of its inner words (the first and last may be
-    cut), or, with two words or fewer, three of its characters. The equal join on the key's digest leaves few pairs for
-    the text comparison. Documents give keys of the lengths that the quotes have only, which are looked up first. An
-    empty quote is in no document.
+    cut); with two words, up to two characters on either side of the boundary. Keys of a run are made of those of the run
+    that is a word shorter, so that their cost is in proportion to the text. A single word is looked up among the distinct
+    words of all texts, by its rarest three characters, and the words that hold it lead to the documents; only a quote of
+    spaces alone meets every text. The equal join on the key's digest leaves few pairs for the text comparison. Documents
+    give keys of the lengths that the quotes have only, which are looked up first. An empty quote is in no document.
     """
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    key = lambda kind, n, part: F.xxhash64(F.lit(kind), F.lit(n), part)
+    key = lambda kind, part: F.xxhash64(F.lit(kind), part)
     none = F.array().cast("array<bigint>")
+    from_nth = lambda c, n: F.slice(c, n, F.greatest(F.size(c) - n + 1, F.lit(0)))
 
-    def runs(ws, n):
-        made = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: key("words", n, F.array_join(F.slice(ws, i, n), " ")))
-        return F.when(F.size(ws) >= n, made).otherwise(none)
+    def runs(hashes, n):
+        """Keys of the runs of n words, each of that of n - 1 words and the next word's; ends without a next word are left out."""
+        made = hashes
+        for k in range(2, n + 1):
+            made = F.zip_with(F.slice(made, 1, F.greatest(F.size(hashes) - k + 1, F.lit(0))), from_nth(hashes, k), lambda a, b: F.xxhash64(a, b))
+        return F.transform(made, lambda h: key(f"words{n}", h))
+
+    def bounds(ws, left, right):
+        made = F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), from_nth(ws, 2), lambda a, b: F.concat(F.right(a, F.lit(left)), F.lit(" "), F.left(b, F.lit(right))))
+        return F.transform(made, lambda x: key(f"bound{left}{right}", x))
 
     def grams(c, n):
-        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: key("characters", n, F.substring(c, i, F.lit(n))))).otherwise(none)
-
-    inner = F.slice(words("quote"), 2, F.greatest(F.size(words("quote")) - 2, F.lit(0)))
-    q = quotes.where("quote <> ''").withColumn("_w", inner)
-    q = q.withColumns({"_n": F.least(F.size("_w"), F.lit(shingle)), "_c": F.least(F.length("quote"), F.lit(3))})
-    by_words = [F.when(F.col("_n") == n, runs(F.col("_w"), n)) for n in range(1, shingle + 1)]
-    by_characters = [F.when((F.col("_n") == 0) & (F.col("_c") == n), grams(F.col("quote"), n)) for n in (1, 2, 3)]
-    asked = q.select("quote_id", "quote", F.explode(F.coalesce(*by_words, *by_characters)).alias("key"))
-    lengths = {(r._n, r._c if r._n == 0 else 0) for r in q.select("_n", "_c").distinct().collect()}  # few
-    d = docs.select("doc_id", "content", words("content").alias("_w"))
-    made = [runs(F.col("_w"), n) if n else grams(F.col("content"), c) for n, c in sorted(lengths)]
-    there = d.select("doc_id", F.explode(F.array_distinct(F.concat(none, *made))).alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
-    rarest = asked.join(there.groupBy("key").agg(F.count("*").alias("df")), "key", "left").withColumn("_r", F.row_number().over(Window.partitionBy("quote_id").orderBy(F.coalesce("df", F.lit(0)), "key"))).where("_r = 1")
-    pairs = rarest.select("quote_id", "quote", "key").join(there, "key").select("quote_id", "quote", "doc_id")
+        """The n-character strings of a text, by pieces put together, as counting characters from the start takes the square."""
+        one = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+        made = one
+        for k in range(2, n + 1):
+            made = F.zip_with(F.slice(made, 1, F.greatest(F.size(one) - k + 1, F.lit(0))), from_nth(one, k), lambda a, b: F.concat(a, b))
+        return F.array_distinct(made)
+
+    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
+    q = quotes.where("quote <> ''").withColumn("_all", words("quote"))
+    q = q.withColumns({"_m": F.size("_all"), "_w": F.slice("_all", 2, F.greatest(F.size("_all") - 2, F.lit(0)))})
+    q = q.withColumns({"_n": F.least(F.size("_w"), F.lit(shingle)), "_a": F.when(F.col("_m") == 2, F.least(F.length(F.col("_all")[0]), F.lit(2))).otherwise(0), "_b": F.when(F.col("_m") == 2, F.least(F.length(F.col("_all")[1]), F.lit(2))).otherwise(0), "_c": F.when(F.col("_m") == 1, F.least(F.length(F.get("_all", F.lit(0))), F.lit(3))).otherwise(0)})
+    kinds = {tuple(r) for r in q.select("_m", "_n", "_a", "_b", "_c").withColumn("_m", F.least("_m", F.lit(3))).distinct().collect()}  # few
+    lengths, cuts, sizes = sorted({k[1] for k in kinds if k[0] > 2}), sorted({k[2:4] for k in kinds if k[0] == 2}), sorted({k[4] for k in kinds if k[0] == 1})
+    d = docs.select("doc_id", words("content").alias("_w"))
+
+    # Two words or more.
+    of = lambda here, each: F.array_distinct(F.concat(none, *each(F.col(here))))
+    made = of("_w", lambda ws: [*(runs(hashed(ws), n) for n in lengths), *(bounds(ws, *c) for c in cuts)])
+    by_words = [F.when((F.col("_m") > 2) & (F.col("_n") == n), runs(hashed(F.col("_w")), n)) for n in lengths]
+    by_bounds = [F.when((F.col("_m") == 2) & (F.col("_a") == a) & (F.col("_b") == b), bounds(F.col("_all"), a, b)) for a, b in cuts]
+    asked = q.where("_m >= 2").select("quote_id", "quote", F.explode(F.coalesce(none if not by_words and not by_bounds else F.lit(None).cast("array<bigint>"), *by_words, *by_bounds)).alias("key"))
+    there = shared_table(d.select("doc_id", F.explode(made).alias("key")).join(asked.select("key").distinct(), "key", "left_semi"), "quote-keys")
+    pairs = _rarest(asked, there, "quote_id").join(there, "key").select("quote_id", "quote", "doc_id")
+
+    # One word.
+    if sizes:
+        holds = d.select("doc_id", F.explode(F.array_distinct("_w")).alias("word"))
+        alone = q.where("_m = 1").withColumn("_word", F.col("_all")[0])
+        wanted = alone.select("quote_id", "quote", "_word", F.explode(F.coalesce(*(F.when(F.col("_c") == n, grams(F.col("_word"), n)) for n in sizes))).alias("key"))
+        known = holds.select("word").distinct()
+        pieces = shared_table(known.select("word", F.explode(F.array_distinct(F.concat(*(grams(F.col("word"), n) for n in sizes)))).alias("key")).join(wanted.select("key").distinct(), "key", "left_semi"), "quote-words")
+        within = _rarest(wanted, pieces, "quote_id").join(pieces, "key").where(F.contains("word", F.col("_word"))).select("quote_id", "quote", "word")
+        pairs = pairs.unionByName(within.join(holds, "word").select("quote_id", "quote", "doc_id").distinct())
+
+    # Spaces alone.
+    if any(k[0] == 0 for k in kinds):
+        pairs = pairs.unionByName(q.where("_m = 0").select("quote_id", "quote").crossJoin(docs.select("doc_id")))
+
     found = pairs.join(docs.select("doc_id", "content"), "doc_id").withColumn("offset", F.instr("content", F.col("quote")) - 1)
     return found.where("offset >= 0").select("quote_id", "doc_id", "offset")
 

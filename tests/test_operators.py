@@ -297,3 +297,18 @@ def test_a_megabyte_of_open_markup_and_starts(spark):
         spark.range(1).select(F.length(T.redact(F.repeat(F.lit(unit), 1_000_000 // len(unit))))).collect()
     assert time.time() - start < 60
     assert one(spark, T.redact(F.lit("x-eyJabcdefghij.eyJabcdefghij.abcdefghij z"))) == "x-[REDACTED] z"
+
+
+def test_quotes_in_long_texts(spark):
+    # Time grows with the text: 120,000 words without a space between most characters of theirs.
+    import time
+
+    text = " ".join(f"w{i % 977}" for i in range(60000)) + " " + "ab" * 100000 + "xyz last"
+    docs = spark.createDataFrame([(1, text), (2, "   "), (3, "no  no")], "doc_id long, content string")
+    quotes = ["babxy", "w5 w6", "6 w7 w8 w9 w10 w1", "z last", "  ", "o  n", "o n", " ", "no "]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string")
+    began = time.time()
+    got = {tuple(r) for r in C.quote_search(q, docs).collect()}
+    texts = {1: text, 2: "   ", 3: "no  no"}
+    assert got == {(i, d, t.index(x)) for i, x in enumerate(quotes) for d, t in texts.items() if x in t}
+    assert time.time() - began < 60
