@@ -312,3 +312,21 @@ def test_quotes_in_long_texts(spark):
     texts = {1: text, 2: "   ", 3: "no  no"}
     assert got == {(i, d, t.index(x)) for i, x in enumerate(quotes) for d, t in texts.items() if x in t}
     assert time.time() - began < 60
+
+
+def test_coverage_counts_pages(spark, monkeypatch):
+    # Common and rare terms over several blocks and slices, against each with each; no pair of a document and a page is listed.
+    monkeypatch.setattr(D, "PAGES", 40)
+    monkeypatch.setattr(D, "DOCUMENTS", 30)
+    monkeypatch.setattr(D, "COMMON", 6)
+    texts = {(w, i): {f"t{k}" for k in range(1, 40) if (i * 7 + k * k) % (k + 1) < 2} for w in ("a", "b") for i in range(90)}
+    pages = spark.createDataFrame([(w, f"wiki/{i}.md", "wiki", "x", " ".join(t)) for (w, i), t in texts.items()], "workspace string, path string, layer string, title string, content string")
+    keys = {(w, i): {f"t{(i * k) % 45}" for k in range(1, 7)} for w in ("a", "b") for i in range(100)} | {(None, 500): {"t1"}, ("c", 501): {"t1"}}
+    terms = spark.createDataFrame([(w, i, t) for (w, i), ts in keys.items() for t in ts], "workspace string, doc_id long, term string")
+    near = [(w, i, f"wiki/{p}.md") for w, i in keys if w in ("a", "b") for p in (i % 90, (i + 1) % 90)]
+    touched = spark.createDataFrame(near, "workspace string, doc_id long, path string")
+    out = D.cascade_coverage(terms, pages, touched)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    got = {(r.workspace, r.doc_id): (r.matches, r.covered) for r in out.collect()}
+    hit = {(w, i): {f"wiki/{p}.md" for (v, p), t in texts.items() if v == w and t & ts} for (w, i), ts in keys.items()}
+    assert got == {k: (len(h), len({p for w, i, p in near if (w, i) == k} & h)) for k, h in hit.items()}
