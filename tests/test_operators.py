@@ -330,3 +330,30 @@ def test_coverage_counts_pages(spark, monkeypatch):
     got = {(r.workspace, r.doc_id): (r.matches, r.covered) for r in out.collect()}
     hit = {(w, i): {f"wiki/{p}.md" for (v, p), t in texts.items() if v == w and t & ts} for (w, i), ts in keys.items()}
     assert got == {k: (len(h), len({p for w, i, p in near if (w, i) == k} & h)) for k, h in hit.items()}
+
+
+def test_cross_refs_of_copies(spark, monkeypatch):
+    # A title of many pages is tested once per page, and words that don't follow one another bring no page; links count as before.
+    import re
+
+    made = {}
+    shared = D.shared_table
+    monkeypatch.setattr(D, "shared_table", lambda df, what: made.setdefault(what, shared(df, what)))
+    rows = [("w", f"wiki/{i}.md", "Red Fox", "a red fox." if i % 3 == 0 else "a fox, red, too") for i in range(30)]
+    rows += [("w", "wiki/l.md", "Log", "the red fox of (wiki/3.md) and b c.md"), ("w", "b c.md", "Red Fox", "none"), ("w", "wiki/s.md", "Seen", "RED fox\n## See Also\n4.md"), ("w", "flat.md", "Blue-Fox x", "red  fox flat.md"), ("w", "wiki/z.md", "Zed", "blue-fox x, wiki/flat.md")]
+    pages = spark.createDataFrame(rows, "workspace string, path string, title string, content string")
+
+    def mentioned(title, text):
+        return re.search(r"(?<![^\W])" + re.escape(title.lower()) + r"(?![^\W])", text.lower()) is not None
+
+    def held(changed):
+        return {(a, b) for _, a, _, text in rows for _, b, title, _ in rows if a != b and len(title) >= 4 and (a in changed or b in changed) and mentioned(title, text) and b not in text and not ("## See Also" in text and b.split("/")[-1] in text)}
+
+    got = D.cross_refs(pages, pages)
+    pairs = [(r.from_path, r.to_path) for r in got.collect()]
+    assert set(pairs) == held({r[1] for r in rows}) and len(set(pairs)) == len(pairs)
+    assert made["mentions"].count() == 10 + 1 + 1 + 1  # pages of "red fox" and that of "blue-fox x"
+    assert made["title-keys"].groupBy("key").count().agg(F.max("count")).first()[0] == 13  # pages where the words follow one another
+    monkeypatch.undo()
+    few = {"wiki/3.md", "b c.md", "wiki/z.md"}
+    assert {(r.from_path, r.to_path) for r in D.cross_refs(pages, pages.where(F.col("path").isin(*few))).collect()} == held(few)
