@@ -45,15 +45,17 @@ def supersession_chains(beliefs: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(belief_id, last_id, steps): where each belief's chain ends; by pointer doubling, in log2(longest chain) rounds.
 
     A chain ends at a belief without a successor or whose successor isn't there. Beliefs that run into a cycle have a
-    null end. Each round's pointers are written to the shared folder, and those of the round before dropped.
+    null end. Each round's pointers are written to the shared folder, and those of the round before dropped. Joins are by
+    merge: pointers written are a few bytes each, so that tables of any use look small enough to go through the driver,
+    each round anew.
     """
     known, rounds = beliefs.select("belief_id", "superseded_by"), Rounds(beliefs.sparkSession, "chains")
     there = known.select(F.col("belief_id").alias("superseded_by"))
-    now = rounds.written(known.join(there, "superseded_by", "left_semi").select("belief_id", F.col("superseded_by").alias("next"), F.lit(1).cast("long").alias("steps")))
+    now = rounds.written(known.join(there.hint("merge"), "superseded_by", "left_semi").select("belief_id", F.col("superseded_by").alias("next"), F.lit(1).cast("long").alias("steps")))
     total = now.count()
     for _ in range(max_rounds):
         far = now.select(F.col("belief_id").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
-        moved = now.join(far, "next", "left").select("belief_id", F.coalesce("_next", "next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_next").isNotNull().alias("open"))
+        moved = now.join(far.hint("merge"), "next", "left").select("belief_id", F.coalesce("_next", "next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_next").isNotNull().alias("open"))
         now = rounds.written(moved)
         # A pointer that still moves after more steps than there are beliefs goes round in a cycle.
         left = now.agg(F.count_if("open").alias("open"), F.count_if(F.col("open") & (F.col("steps") <= total)).alias("straight")).first()
@@ -61,7 +63,7 @@ def supersession_chains(beliefs: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         now = now.drop("open")
     ends = now.select("belief_id", F.when(~F.col("open"), F.col("next")).alias("last_id"), F.when(~F.col("open"), F.col("steps")).alias("steps"))
-    rest = known.join(now.select("belief_id"), "belief_id", "left_anti").select("belief_id", F.col("belief_id").alias("last_id"), F.lit(0).cast("long").alias("steps"))
+    rest = known.join(now.select("belief_id").hint("merge"), "belief_id", "left_anti").select("belief_id", F.col("belief_id").alias("last_id"), F.lit(0).cast("long").alias("steps"))
     return ends.unionByName(rest)
 
 

@@ -357,3 +357,14 @@ def test_cross_refs_of_copies(spark, monkeypatch):
     monkeypatch.undo()
     few = {"wiki/3.md", "b c.md", "wiki/z.md"}
     assert {(r.from_path, r.to_path) for r in D.cross_refs(pages, pages.where(F.col("path").isin(*few))).collect()} == held(few)
+
+
+def test_chains_stay_off_the_driver(spark, monkeypatch):
+    plans = []
+    written = B.Rounds.written
+    monkeypatch.setattr(B.Rounds, "written", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(self, df))[1])
+    rows = [(str(i), str(i + 1) if i < 20 else None) for i in range(21)]
+    out = B.supersession_chains(spark.createDataFrame(rows, "belief_id string, superseded_by string"))
+    assert {tuple(r) for r in out.collect()} == {(str(i), "20", 20 - i) for i in range(21)}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
