@@ -368,3 +368,38 @@ def test_chains_stay_off_the_driver(spark, monkeypatch):
     assert {tuple(r) for r in out.collect()} == {(str(i), "20", 20 - i) for i in range(21)}
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_batch_search_by_blocks(spark, monkeypatch):
+    # Blocks and slices of a few rows give what one of all rows does: phrases, copies that tie, and a search within a value.
+    rows = [("ab"[i % 2], i, " ".join(f"w{(i * k) % 7}" for k in range(1, 3 + i % 5)) + (" state of mind" if i % 4 == 0 else " mind state") + (" w1 w2" * (i % 3))) for i in range(60)]
+    rows += [("a", 100 + i, "w3 w5 copy") for i in range(12)]
+    docs = spark.createDataFrame(rows, "workspace string, doc_id long, content string").withColumn("title", F.lit("x"))
+    queries = spark.createDataFrame([("a", 1, "w1 state-of-mind"), ("b", 2, "w3 w5 copy"), ("a", 3, "w3 copy"), ("b", 4, "none-such here"), ("a", 5, "mind-state w2")], "workspace string, query_id long, query string")
+
+    def found(**more):
+        return {(r.query_id, r.doc_id, round(r.bm25, 9), r.rank) for r in S.bm25_batch(docs, queries, 4, **more).collect()}
+
+    whole, parted = found(), found(within="workspace")
+    monkeypatch.setattr(S, "BLOCK", 7)
+    monkeypatch.setattr(S, "SLICE", 2)
+    assert found() == whole and found(within="workspace") == parted
+    assert [x[1] for x in sorted(whole, key=lambda x: x[3]) if x[0] == 3] == [100, 101, 102, 103]
+    assert {x[0] for x in whole} == {1, 2, 3, 5} and all(rows[d][0] == "ab"[q % 2 == 0] for q, d, *_ in parted if d < 60)
+    plan = S.bm25_batch(docs, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # neither postings nor pairs are shuffled
+
+
+def test_candidates_leave_tasks_by_limit(spark):
+    # 200 pages share a common title word; a task hands on five a document, and those found otherwise keep the title's score.
+    pages = spark.createDataFrame([("w", i, f"wiki/{i:03}.md", "wiki", f"Common zq{chr(97 + i % 50 // 8)}{chr(97 + i % 50 % 8)}", "text", at(1)) for i in range(200)], "workspace string, doc_id long, path string, layer string, title string, content string, updated_at timestamp")
+    beliefs = spark.createDataFrame([], "belief_id string, workspace string, path string, statement string, subject string, predicate string, object string, asserted_at timestamp, superseded_at timestamp")
+    out = D.candidate_pages(pages, pages, beliefs, F.lit(at(2)).cast("timestamp"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append((r.rank, r.path, round(r.score, 6), r.reason))
+    for i, found in got.items():
+        same = [j for j in range(200) if j % 50 == i % 50 and j != i]
+        rest = [j for j in range(200) if j % 50 != i % 50][:2]
+        assert [(p, s) for _, p, s, _ in sorted(found)] == [(f"wiki/{j:03}.md", 1.0) for j in same] + [(f"wiki/{j:03}.md", 0.8) for j in rest]
+    assert len(got) == 200 and "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
