@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +92,9 @@ def rank_artifacts(messages: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("priority"), "url")
 
 
-STRUCTURE = "path string, language string, types array<string>, functions array<string>, imports array<string>"
+STRUCTURE = ("types", "functions", "imports")
+#: Python texts that a task parses before it hands on what it found.
+SLICE_ROWS = 128
 
 
 def python_names(source: str) -> tuple[list[str], list[str], list[str]] | None:
@@ -118,20 +120,39 @@ DECLARATIONS = {
 LANGUAGES = {".py": "python", ".ts": "typescript", ".js": "typescript", ".tsx": "typescript", ".jsx": "typescript", ".rs": "rust", ".go": "go", ".tf": "terraform", ".yml": "yaml", ".yaml": "yaml"}
 
 
-def code_structure(files: DataFrame) -> DataFrame:
-    """(path, language, types, functions, imports) of source files; Python that doesn't parse has null lists."""
+def structured(files: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep` of each file with its language, types, functions and imports: all null where the path is no source
+    file's, null lists for Python that doesn't parse.
+
+    Each row goes one way, Python texts through Arrow and all others through patterns, so that nothing is joined.
+    """
     end = T.suffix(F.col("path"))
     language = reduce(lambda c, kv: c.when(end == kv[0], kv[1]), LANGUAGES.items(), F.when(F.lit(False), ""))
-    rows = files.withColumn("language", language).where("language IS NOT NULL")
-    by_pattern = [rows.where(F.col("language") == name).select("path", "language", *(F.regexp_extract_all("content", F.lit(p), 1).alias(c) for p, c in zip(patterns, ("types", "functions", "imports")))) for name, patterns in DECLARATIONS.items()]
+    rows = files.withColumn("language", language)
+    is_python = F.col("language").eqNullSafe("python")
+
+    def by_pattern(i: int) -> Column:
+        found = {name: F.regexp_extract_all("content", F.lit(patterns[i]), 1) for name, patterns in DECLARATIONS.items()}
+        return reduce(lambda c, kv: c.when(F.col("language") == kv[0], kv[1]), found.items(), F.when(F.lit(False), F.array().cast("array<string>")))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [python_names(c or "") or (None, None, None) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "language": "python", **{c: [f[i] for f in found] for i, c in enumerate(("types", "functions", "imports"))}})
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, len(whole), SLICE_ROWS):
+                batch = whole.slice(k, SLICE_ROWS)
+                # One text at a time is a Python string beside the batch.
+                found = [python_names(c.as_py() or "") or (None, None, None) for c in batch["content"]]
+                lists = [pa.array([f[i] for f in found], pa.list_(pa.string())) for i in range(len(STRUCTURE))]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *lists], [*kept, *STRUCTURE])
 
-    python = rows.where("language = 'python'").select("path", "content").mapInPandas(parse, STRUCTURE)
-    return reduce(DataFrame.unionByName, by_pattern, python)
+    kept = [*keep, "language"]
+    others = rows.where(~is_python).select(*kept, *(by_pattern(i).alias(c) for i, c in enumerate(STRUCTURE)))
+    python = rows.where(is_python).select(*dict.fromkeys((*kept, "content")))
+    return others.unionByName(python.mapInArrow(parse, others.schema))
+
+
+def code_structure(files: DataFrame) -> DataFrame:
+    """(path, language, types, functions, imports) of source files; Python that doesn't parse has null lists."""
+    return structured(files, "path").where("language IS NOT NULL")
 
 
 def code_beliefs(structures: DataFrame, topic: str) -> DataFrame:

@@ -413,3 +413,14 @@ def test_top_terms_make_postings_once(spark, monkeypatch):
     out = S.top_terms(S.postings(docs), 2)
     assert made == ["postings"] and "split" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.doc_id, r.term, r.rank) for r in out.orderBy("doc_id", "rank").collect()] == [(1, "b", 1), (1, "a", 2), (2, "a", 1), (2, "c", 2)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_structure_from_arrow(spark):
+    files = spark.createDataFrame([("a.py", "class A: pass"), ("b.rs", "fn g() {}")], "path string, content string")
+    plan = plan_of(E.code_structure(files))
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+    assert sorted((r.path, r.types, r.functions) for r in E.code_structure(files).collect()) == [("a.py", ["A"], []), ("b.rs", [], ["g"])]
