@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -156,10 +156,18 @@ def code_structure(files: DataFrame) -> DataFrame:
 
 
 def code_beliefs(structures: DataFrame, topic: str) -> DataFrame:
-    """Beliefs about declarations: what each type and function is, and the first 20 imports."""
-    one = lambda c, name, pred, obj, n=1 << 30: structures.select("path", F.explode(F.slice(c, 1, n)).alias("s")).select("path", F.lit(topic).alias("topic"), name.alias("statement"), (F.lit("Module") if pred == "depends_on" else F.col("s")).alias("subject"), F.lit(pred).alias("predicate"), obj.alias("object"), F.lit("code").alias("source_kind"))
-    return (
-        one("types", F.concat(F.lit("Defines type "), F.col("s")), "is_a", F.lit("type"))
-        .unionByName(one("functions", F.concat(F.lit("Defines function "), F.col("s")), "is_a", F.lit("function")))
-        .unionByName(one("imports", F.concat(F.lit("Module depends on "), F.col("s")), "depends_on", F.col("s"), 20))
+    """Beliefs about declarations: what each type and function is, and the first 20 imports. The structures are read once."""
+
+    def about(c: Column, says: str, subject: Callable[[Column], Column], predicate: str, object_: Callable[[Column], Column]) -> Column:
+        return F.transform(c, lambda s: F.struct(F.concat(F.lit(says), s).alias("statement"), subject(s).alias("subject"), F.lit(predicate).alias("predicate"), object_(s).alias("object")))
+
+    itself = lambda s: s
+    beliefs = F.array_compact(
+        F.array(
+            about(F.col("types"), "Defines type ", itself, "is_a", lambda s: F.lit("type")),
+            about(F.col("functions"), "Defines function ", itself, "is_a", lambda s: F.lit("function")),
+            about(F.slice("imports", 1, 20), "Module depends on ", lambda s: F.lit("Module"), "depends_on", itself),
+        )
     )
+    rows = structures.select("path", F.explode(F.flatten(beliefs)).alias("b"))
+    return rows.select("path", F.lit(topic).alias("topic"), "b.*", F.lit("code").alias("source_kind"))

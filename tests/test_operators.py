@@ -424,3 +424,10 @@ def test_structure_from_arrow(spark):
     plan = plan_of(E.code_structure(files))
     assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
     assert sorted((r.path, r.types, r.functions) for r in E.code_structure(files).collect()) == [("a.py", ["A"], []), ("b.rs", [], ["g"])]
+
+
+def test_code_is_parsed_once_from_arrow(spark):
+    files = spark.createDataFrame([("a.py", "import os\nclass A: pass\n"), ("b.rs", "fn g() {}\n"), ("c.py", "def broken(:")], "path string, content string")
+    beliefs = E.code_beliefs(E.code_structure(files), "code")
+    assert plan_of(beliefs).count("MapIn") == plan_of(beliefs).count("MapInArrow") == 1
+    assert sorted(r.statement for r in beliefs.collect()) == ["Defines function g", "Defines type A", "Module depends on os"]
