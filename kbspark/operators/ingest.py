@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.operators.events import code_structure
+from kbspark.operators.events import structured
 from kbspark.sources.buckets import Buckets
 
 
@@ -150,11 +150,8 @@ def ingest_pages(files: DataFrame) -> DataFrame:
     """(workspace, path, title, page): a page for each file with one citation. Source files give their structure, quoted by
     their name; other texts, and source that can't be parsed, give their body, quoted by a sentence."""
     name = F.element_at(F.split("path", "/"), -1)
-    # A file is named by workspace and path; the structure is told by the end of the name.
-    marked = files.withColumn("path", F.concat(F.coalesce("workspace", F.lit("")), F.lit("\x00"), "path"))
-    code = code_structure(marked.select("path", "content")).where("types IS NOT NULL").withColumnRenamed("path", "_key")
-    rows = files.withColumn("_key", F.concat(F.coalesce("workspace", F.lit("")), F.lit("\x00"), "path")).join(code, "_key", "left")
-    is_code = F.col("language").isNotNull()
+    rows = structured(files, "workspace", "path", "content")
+    is_code = F.col("types").isNotNull()
     title = F.when(is_code, F.concat(name, F.lit(" ("), "language", F.lit(")"))).otherwise(F.coalesce(T.title(F.col("content")), name))
     quote = F.when(is_code, name).otherwise(T.representative_quote(F.col("content")))
     body = F.when(is_code, structure_body(F.col("imports"), F.col("types"), F.col("functions"))).otherwise(body_of(F.col("content")))

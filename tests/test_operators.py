@@ -431,3 +431,11 @@ def test_code_is_parsed_once_from_arrow(spark):
     beliefs = E.code_beliefs(E.code_structure(files), "code")
     assert plan_of(beliefs).count("MapIn") == plan_of(beliefs).count("MapInArrow") == 1
     assert sorted(r.statement for r in beliefs.collect()) == ["Defines function g", "Defines type A", "Module depends on os"]
+
+
+def test_ingest_joins_nothing(spark):
+    rows = [("w", "a.py", "class A: pass"), ("w", "a.py", "class B: pass"), (None, "a.py", "def broken(:"), ("w", "n.md", "# Topic\n\ntext"), ("w", "x.rs", None)]
+    pages = I.ingest_pages(spark.createDataFrame(rows, "workspace string, path string, content string"))
+    assert "Join" not in plan_of(pages)
+    got = sorted((r.workspace or "", r.path, r.title) for r in pages.collect())
+    assert got == [("", "a.py", "a.py"), ("w", "a.py", "a.py (python)"), ("w", "a.py", "a.py (python)"), ("w", "n.md", "Topic"), ("w", "x.rs", "x.rs")]
