@@ -120,17 +120,21 @@ def docs_scope(files: DataFrame) -> DataFrame:
 
 def body_of(content: Column) -> Column:
     """The text after a title and its metadata lines, without footnote definitions, clipped at 3000 characters."""
-    stripped = lambda x: F.transform(x, lambda r, i: F.struct(i.alias("i"), T.strip(r).alias("s")))
     meta = lambda s: s.startswith("- ") | s.isin("", "---") | s.startswith("# ")
 
+    def start(x: Column) -> Column:
+        """The first line that is text; under a title, metadata lines aren't. Without a title it is the first, as the content has no white space before it."""
+        told = F.transform(x, lambda r, i: F.when(~T.let(T.trimmed(r), meta), i))
+        return F.when(F.get(x, F.lit(0)).startswith("# "), F.coalesce(F.array_min(told), F.size(x))).when(F.get(x, F.lit(0)) == "", F.size(x)).otherwise(0)
+
     def after(x: Column) -> Column:
-        titled = T.strip(F.get(x, F.lit(0))).startswith("# ")
-        # The first line that is text; under a title, metadata lines aren't.
-        first = F.filter(stripped(x), lambda r: F.when(titled, ~meta(r["s"])).otherwise(r["s"] != ""))
-        return T.let(F.coalesce(F.array_min(F.transform(first, lambda r: r["i"])), F.size(x)), lambda start: F.filter(F.slice(x, start + 1, F.greatest(F.size(x) - start, F.lit(0))), lambda r: ~r.startswith("[^")))
+        return T.let(start(x), lambda first: F.filter(F.slice(x, first + 1, F.greatest(F.size(x) - first, F.lit(0))), lambda r: ~r.startswith("[^")))
+
+    def clipped(body: Column) -> Column:
+        return F.when(F.length(body) > 3000, F.concat(F.substring(body, 1, 3000), F.lit("\n\n... (content continues in raw source)"))).otherwise(body)
 
-    body = T.strip(F.array_join(T.let(F.split(T.strip(content), "\n"), after), "\n"))
-    return F.when(F.length(body) > 3000, F.concat(F.substring(body, 1, 3000), F.lit("\n\n... (content continues in raw source)"))).otherwise(body)
+    body = F.array_join(T.let(F.split(T.trimmed(content), "\n"), after), "\n")
+    return T.let(T.let(body, T.trimmed), clipped)
 
 
 def _cited(path: Column, quote: Column) -> Column:

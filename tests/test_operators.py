@@ -439,3 +439,10 @@ def test_ingest_joins_nothing(spark):
     assert "Join" not in plan_of(pages)
     got = sorted((r.workspace or "", r.path, r.title) for r in pages.collect())
     assert got == [("", "a.py", "a.py"), ("w", "a.py", "a.py (python)"), ("w", "a.py", "a.py (python)"), ("w", "n.md", "Topic"), ("w", "x.rs", "x.rs")]
+
+
+def test_trimmed_is_strip(spark):
+    ends = ["", " ", "\t\n", "\x0b\f\r", "\r\n", "\x85", " \x85", "\u2028", " \u2028 ", "\u2029\n", "\xa0", "\x1c"]
+    texts = [(a + m + b,) for a in ends for m in ("", "x", "x  y\nz") for b in ends]
+    df = spark.createDataFrame([*texts, (None,)], "c string")
+    assert df.where(~T.trimmed(F.col("c")).eqNullSafe(T.strip(F.col("c")))).count() == 0
