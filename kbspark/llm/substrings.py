@@ -128,8 +128,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [])
-            for text in batch["text"].to_pylist():
-                data = text.encode()
+            for data in batch["text"].cast(pa.binary()).to_pylist():
                 starts, words = chunked(data)
                 rows[0].append(whole(data))
                 rows[1].append(digests(data, starts))
@@ -360,8 +359,8 @@ def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for doc, text, digest, own, starts, asked in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "whole", "own", "starts", "asked"))):
-                data = text.encode()
+            contents = batch["text"].cast(pa.binary()).to_pylist()
+            for doc, data, digest, own, starts, asked in zip(batch["doc_id"].to_pylist(), contents, *(batch[c].to_pylist() for c in ("whole", "own", "starts", "asked"))):
                 if whole(data) != digest:  # another text of the same id
                     continue
                 where: dict[int, list[int]] = {}
@@ -450,6 +449,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     # The rows' own columns travel in a struct, so that none can clash with those of the runs.
     all_rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"))
     met = all_rows.join(per_doc.withColumnRenamed("doc_id", "id"), "id", "left")
-    made = met.select("row", clean(F.col("row").getField(text), F.col("found")).alias("clean"))
-    kept = [F.col("clean.text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("removed_words", "removed_spans")]
+    # Only texts with something found go to Python and back.
+    found_in = F.col("found").isNotNull()
+    made = met.select("row", found_in.alias("found_in"), clean(F.when(found_in, F.col("row").getField(text)), F.col("found")).alias("clean"))
+    left = F.when(F.col("found_in"), F.col("clean.text")).otherwise(F.col("row").getField(text))
+    kept = [left.alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("removed_words", "removed_spans")]
     return made.select(*kept, F.col("clean.words").alias("removed_words"), F.col("clean.spans").alias("removed_spans"))

@@ -37,3 +37,13 @@ def test_passages(spark):
     for i, passage in ((11, two), (21, tabbed), (31, long)):
         assert len(passage.split()) - 1 <= out[i].removed_words <= len(passage.split())
         assert out[i].text.split()[:20] == dict(rows)[i].split()[:20]
+
+
+def test_only_texts_with_repeats_become_python_strings(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, f"one {passage}"), (2, f"{passage} two"), (3, None)], "doc_id long, text string")
+    # A byte that is no UTF-8 would end a task that decodes its text.
+    odd = spark.sql("SELECT 4L AS doc_id, CAST(X'6162FF' AS STRING) AS text")
+    out = {r.doc_id: tuple(r)[1:] for r in substrings.dedup(rows.unionByName(odd)).selectExpr("doc_id", "hex(text)", "removed_words", "removed_spans").collect()}
+    assert out[4] == ("6162FF", 0, "") and out[3] == (None, 0, "")
+    assert bytes.fromhex(out[1][0]).decode() == f"one {passage}" and out[2][1] > 50
