@@ -2,7 +2,8 @@
 
 Arrow batches keep the session's own limits: Spark ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
 What is made of a batch is made and handed on slice by slice. The queries and the pipeline ask for batches of BATCH_ROWS
-rows where the session's limit is larger (`small_batches`), as every worker and its task hold a batch each.
+rows where the session's limit is larger (`small_batches`), as every worker and its task hold a batch each. The reader of
+Parquet files holds READ_ROWS rows at a time then, as all their texts lie in one array, which doubles as it grows.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ SLICE_ROWS = 128
 
 #: Rows of an Arrow batch in the queries and the pipeline.
 BATCH_ROWS = 1000
+#: Rows that the reader of a Parquet file holds at a time there.
+READ_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches by BATCH_ROWS rows; a smaller limit stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bounds the session's Arrow batches by BATCH_ROWS rows and those of Parquet readers by READ_ROWS; smaller limits stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if not 0 < int(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 def slices(batches: Iterator) -> Iterator:

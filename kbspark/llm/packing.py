@@ -141,12 +141,11 @@ def stretches(docs: DataFrame) -> tuple[DataFrame, int]:
     size = F.octet_length("text").cast("long") + 4
     cell = F.shiftright("curve", DIMENSIONS * BITS - CELL_BITS)
     counts = docs.groupBy(cell.alias("cell")).agg(F.sum(size).alias("bytes")).collect()  # CELL_BITS bound them
-    total, before, rows = sum(r.bytes for r in counts), 0, []
-    for r in sorted(counts):
-        rows.append((r.cell, before, r.bytes))
-        before += r.bytes
+    at, held = (np.array([r[k] for r in sorted(counts)], np.int64) for k in ("cell", "bytes"))
+    total = int(held.sum())
     n = max(1, min(-(-total // PARTITION_BYTES), MOST_PARTITIONS), min(2 * spark.sparkContext.defaultParallelism, total // LEAST_BYTES))
-    cells = F.broadcast(spark.createDataFrame(rows, "cell long, before long, bytes long"))
+    # An Arrow table reaches Spark as it is; rows would start a second set of Python workers in every executor.
+    cells = F.broadcast(spark.createDataFrame(pa.table({"cell": at, "before": np.cumsum(held) - held, "bytes": held})))
     share = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(1 << 20)) / (1 << 20)
     part = F.floor((F.col("before") + share * F.col("bytes")) * n / max(1, total)).cast("int")
     # Every cell is there. An outer join, as for an inner one Spark would compute the position once more to test it for null.

@@ -142,7 +142,8 @@ class Rule:
 def learn(labelled: DataFrame, label: str = "quality", max_tests: int = 3, bins: int = 32, purity: float = 0.97, least: int = 5) -> list[Rule]:
     """Sequential covering over rows that have FEATURES and a label (1 good, 0 bad), all of them, none sampled.
 
-    Each step counts the rows that a rule still covers by (feature, bin, label) in Spark: at most
+    Features are binned once and written, so that the many steps are small queries, for which executors compile and keep
+    little code. Each step counts the rows that a rule still covers by (feature, bin, label) in Spark: at most
     len(FEATURES) * (bins + 1) * 2 counts reach the driver. A rule grows by the test with the highest
     weighted gain (FOIL), is pruned by dropping tests that don't lower its purity on the held-out third, and is kept if
     its purity is `purity` or more and it covers `least` bad rows. After one that isn't, the next begins with another
@@ -153,10 +154,16 @@ def learn(labelled: DataFrame, label: str = "quality", max_tests: int = 3, bins:
     # Thresholds lie half-way between quantiles, so that rows between those that were seen fall on the nearer side.
     steps = {f: sorted(set(cuts[f] or [])) for f in FEATURES}
     edges = {f: sorted({(a + b + 1) // 2 for a, b in zip(v, v[1:])}) for f, v in steps.items()}
+    used = [f for f in FEATURES if edges[f]]
+    if not used:
+        return []
+    scratch = Scratch(labelled.sparkSession, "rules")
+    # A value's bin is how many edges it reaches; tests are of bins until the list is done.
+    binned = scratch.written(rows.select("bad", "held", *(sum((F.col(f) >= e).cast("int") for e in edges[f]).alias(f) for f in used)), "bins")
     rules: list[Rule] = []
-    left, failed = rows, set()
-    while any(edges.values()) and left.agg(F.count_if("bad")).first()[0] >= least:
-        grown = _grow(left.where(~F.col("held")), edges, max_tests, failed)
+    left, failed = binned, set()
+    while left.agg(F.count_if("bad")).first()[0] >= least:
+        grown = _grow(left.where(~F.col("held")), {f: len(edges[f]) for f in used}, max_tests, failed)
         if not grown:
             break
         pruned = _prune(grown, left, purity)
@@ -165,15 +172,19 @@ def learn(labelled: DataFrame, label: str = "quality", max_tests: int = 3, bins:
             continue
         rules.append(pruned)
         left, failed = left.where(~pruned.column()), set()
-    return rules
+    scratch.clear()
+    return [Rule(tuple(Test(t.feature, t.at_least, edges[t.feature][t.threshold - 1]) for t in r.tests), r.bad, r.good) for r in rules]
+
 
+def _grow(rows: DataFrame, edges: dict[str, int], max_tests: int, failed: set[tuple[str, bool]]) -> list[Test]:
+    """Tests of bins in the order in which they were added; the first is none of those that have failed before.
 
-def _grow(rows: DataFrame, edges: dict[str, list[int]], max_tests: int, failed: set[tuple[str, bool]]) -> list[Test]:
-    """Tests in the order in which they were added; the first is none of those that have failed before."""
+    `rows` have the bins of the features in `edges`, which says how many edges each has.
+    """
     tests: list[Test] = []
     while len(tests) < max_tests:
         covered = reduce(lambda d, t: d.where(t.column()), tests, rows)
-        pairs = F.array(*(F.struct(F.lit(f).alias("f"), sum((F.col(f) >= e).cast("int") for e in edges[f]).alias("bin")) for f in FEATURES if edges[f]))
+        pairs = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in edges))
         counts = covered.select("bad", F.inline(pairs)).groupBy("f", "bin").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("all"))
         found: dict[str, dict[int, tuple[int, int]]] = {}
         for f, b, bad, n in counts.collect():
@@ -183,13 +194,13 @@ def _grow(rows: DataFrame, edges: dict[str, list[int]], max_tests: int, failed:
             bad, good = (sum(x[k] for x in by_bin.values()) for k in (0, 1))
             if not bad or not good:
                 return tests
-            for k, edge in enumerate(edges[f]):
-                above = [sum(x[j] for b, x in by_bin.items() if b > k) for j in (0, 1)]
+            for k in range(1, edges[f] + 1):
+                above = [sum(x[j] for b, x in by_bin.items() if b >= k) for j in (0, 1)]
                 for at_least, (p, n) in ((True, above), (False, (bad - above[0], good - above[1]))):
                     if not tests and (f, at_least) in failed:
                         continue
                     if p and (g := p * (log2(p / (p + n)) - log2(bad / (bad + good)))) > gain + 1e-9:
-                        best, gain = Test(f, at_least, edge), g
+                        best, gain = Test(f, at_least, k), g
         if not best:
             break
         tests.append(best)

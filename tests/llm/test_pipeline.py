@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from kbspark.llm import pii, queries, quality
+from kbspark.llm import common, packing, pii, queries, quality
 from tests.llm.test_operators import prose
 from tests.test_queries import DATA, TABLES, rows
 
@@ -95,6 +95,26 @@ def test_odd_rows_through_every_stage(spark, corpus):
     assert {p.doc_id for p in corpus_pipeline.packed(spark, docs, at).collect()} == {1, 2, 3, 4, 5, 6, None}
 
 
+def test_memory_of_executors(spark):
+    """Readers hold few rows, and packing's table of cells comes without Python workers of its own."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "4096")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == str(common.READ_ROWS)
+        spark.conf.set(name, "7")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
+    docs = spark.range(50).selectExpr("id AS doc_id", "repeat(id, 9) AS text", "id << 20 AS curve", "id AS tie")
+    dealt, n = packing.stretches(docs)
+    assert "ExistingRDD" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count() == 50 and dealt.where(f"part < 0 OR part >= {n}").count() == 0
+    assert packing.stretches(docs.limit(0))[0].count() == 0
+
+
 def test_rules_hold_on_unseen_labels(spark):
     """Held-out accuracy: rules learned from two thirds of the labels judge the rest."""
     from pyspark.sql import functions as F

@@ -87,3 +87,17 @@ def test_odd_rows(spark):
     assert {k: (r.n_words, r.kept, r._t, r._row) for k, r in out.items()} == {"a": (0, False, 1, "r"), "b": (60, False, 1, "r"), "c": (0, False, 1, "r"), "d": (3, False, 1, "r"), "e": (100_000, True, 1, "r")}
     assert quality.judged(df, labels.limit(0), least_words=1).where("kept").count() == 2
     assert quality.judged(df.limit(0), labels).count() == 0
+
+
+def test_steps_are_queries_of_bins(spark, monkeypatch):
+    """A step reads what was binned before it, so that its query doesn't hold all thresholds."""
+    rng, seen, grow = random.Random(3), [], quality._grow
+    monkeypatch.setattr(quality, "_grow", lambda rows, *a: seen.append(rows) or grow(rows, *a))
+    cleared = []
+    monkeypatch.setattr(quality.Scratch, "clear", lambda self: cleared.append(self))
+    rows = [(i, junk(rng, i % 9), int(i % 9 not in (1, 2, 3, 4))) for i in range(180)]
+    numbers = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, quality int"), "text", F.col("doc_id"), F.col("quality"))
+    rules = quality.learn(numbers, bins=8)
+    assert rules and seen and cleared
+    most = seen[0].agg(*(F.max(c).alias(c) for c in seen[0].columns if c not in ("bad", "held"))).first()
+    assert max(most) <= 8 < max(t.threshold for r in rules for t in r.tests)
