@@ -24,9 +24,9 @@ of a task, as are its digests; time and memory grow in proportion to it.
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -83,14 +83,16 @@ def chunked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     most = _ahead(padded, RADIUS)
     h = padded[RADIUS : len(b) + RADIUS]
     peaks = np.flatnonzero((h >= most[: len(b)]) & (h >= most[RADIUS + 1 : RADIUS + 1 + len(b)])) if len(b) > 1 else np.zeros(0, np.int64)
-    at = np.searchsorted(words, peaks, side="right")
-    cuts = words[np.unique(at[at < len(words)])]
+    cut = np.zeros(len(words) + 1, bool)  # whether a chunk starts with a word; the last is the end
+    cut[np.searchsorted(words, peaks, side="right")] = True
     n = 2 * NEAR + 1
     if len(words) > n:
         dense = words[n:] - words[:-n] <= NEAR_BYTES
-        around = np.lib.stride_tricks.sliding_window_view(h[words], n)[:-1]
-        cuts = np.concatenate((cuts, words[NEAR : NEAR + len(dense)][dense & (around[:, NEAR] == around.max(axis=1))]))
-    return np.unique(np.concatenate((words[:1], cuts, [len(b)]))), words
+        if dense.any():
+            near = h[words[:-1]]
+            cut[NEAR : NEAR + len(dense)] |= dense & (near[NEAR : NEAR + len(dense)] == _ahead(near, n))
+    cut[[0, -1]] = True
+    return np.append(words, len(b))[cut], words
 
 
 def digests(data: bytes, starts: np.ndarray) -> list[int]:
@@ -98,18 +100,24 @@ def digests(data: bytes, starts: np.ndarray) -> list[int]:
 
     Equal ones in a row are numbered, by STEP, so that the source of the n-th has as many in a row.
     """
-    edges = starts.tolist()
+    edges, content_digest = starts.tolist(), xxhash.xxh3_64_intdigest
+    contents = [data[s:e].rstrip() for s, e in zip(edges, edges[2:] or edges[1:])]
+    plain = np.array([content_digest(c) for c in contents], np.uint64)
+    if not (plain[1:] == plain[:-1]).any():
+        return (plain ^ np.uint64(1 << 63)).view(np.int64).tolist()
     out, before, n = [], None, 0
-    for s, e in zip(edges, edges[2:] or edges[1:]):
-        content = data[s:e].rstrip(b" \t\n\r\f\v")
+    for content, d in zip(contents, plain.tolist()):
         n = n + STEP if content == before else 0
         before = content
-        out.append((xxhash.xxh3_64_intdigest(content) + n) % (1 << 64) - (1 << 63))
+        out.append((d + n) % (1 << 64) - (1 << 63))
     return out
 
 
 def unnumbered(own: list[int]) -> list[int]:
     """A whole text's digests without their numbers."""
+    a = np.array(own, np.int64).view(np.uint64)
+    if not (a[1:] - a[:-1] == np.uint64(STEP)).any():
+        return own
     out, before = [], None
     for d in own:
         out.append(out[-1] if before is not None and (d - before - STEP) % (1 << 64) == 0 else d)
@@ -117,6 +125,13 @@ def unnumbered(own: list[int]) -> list[int]:
     return out
 
 
+def lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """A column of lists of numbers as Python has them; `to_pylist` makes a scalar of each element. A null is empty."""
+    ends = column.offsets.to_numpy().tolist()
+    values = column.values.to_numpy()
+    return (values[a:b].tolist() for a, b in zip(ends, ends[1:]))
+
+
 def whole(data: bytes) -> int:
     """A text's digest, by which rows of one id are told apart."""
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
@@ -190,9 +205,9 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for doc, text, own, starts, words, known, sources in zip(*(batch[c].to_pylist() for c in ("doc_id", "whole", "digests", "starts", "words", "known", "sources"))):
+            for doc, text, own, starts, words, known, sources in zip(*(batch[c].to_pylist() for c in ("doc_id", "whole")), *(lists(batch[c]) for c in ("digests", "starts", "words", "known", "sources"))):
                 source, n, i, plain = dict(zip(known, sources)), len(own), 0, unnumbered(own)
-                upto = [0, *np.cumsum(words).tolist()]
+                upto = list(accumulate(words, initial=0))
                 while i < n:
                     if own[i] not in source:
                         i += 1
@@ -217,10 +232,16 @@ def runs(cut: DataFrame, repeated: DataFrame) -> DataFrame:
     return cut.join(per_doc, "doc_id").select("doc_id", "whole", "digests", "starts", "words", "known", "sources").mapInArrow(find, RUN)
 
 
-def stretches(run: list[int], own: list[int], where: dict[int, list[int]]) -> list[tuple[int, int, int]]:
-    """(first, last, place): the maximal stretches of `run` that stand in `own`, from `place` on, none inside another."""
+def stretches(run: list[int], own: list[int], where: dict[int, list[int]], made: list | None = None) -> list[tuple[int, int, int]]:
+    """(first, last, place): the maximal stretches of `run` that stand in `own`, from `place` on, none inside another.
+
+    `made` keeps the automaton of `own`, where one is made, for further runs.
+    """
     if sum(len(where.get(d, ())) for d in run) > 16 * len(run) + 4096:
-        return _stretches_by_automaton(run, own)
+        made = [] if made is None else made
+        if not made:
+            made.append(_automaton(own))
+        return _stretches_by_automaton(run, own, made[0])
     out, now = [], {}  # the place in `own` of the last digest of each stretch that goes on, with its first in `run`
     for i, d in enumerate([*run, None]):
         following = {p: now.get(p - 1, i) for p in where.get(d, ())}
@@ -233,8 +254,8 @@ def stretches(run: list[int], own: list[int], where: dict[int, list[int]]) -> li
     return out
 
 
-def _stretches_by_automaton(run: list[int], own: list[int]) -> list[tuple[int, int, int]]:
-    """The same in time that grows with the lengths only, for texts that repeat themselves (Blumer et al., 1985)."""
+def _automaton(own: list[int]) -> tuple[list[int], list[int], list[int], list[dict[int, int]]]:
+    """The states of the suffix automaton of `own`: lengths, links, ends and what follows (Blumer et al., 1985)."""
     length, link, end, following = [0], [-1], [-1], [{}]
     state = 0
     for i, d in enumerate(own):
@@ -255,6 +276,12 @@ def _stretches_by_automaton(run: list[int], own: list[int]) -> list[tuple[int, i
                 q = copy
             link[new] = q
         state = new
+    return length, link, end, following
+
+
+def _stretches_by_automaton(run: list[int], own: list[int], made: tuple | None = None) -> list[tuple[int, int, int]]:
+    """The same in time that grows with the lengths only, for texts that repeat themselves."""
+    length, link, end, following = made or _automaton(own)
     out, state, n, before = [], 0, 0, None
     for i, d in enumerate([*run, None]):
         while state and d not in following[state]:
@@ -271,27 +298,23 @@ def _stretches_by_automaton(run: list[int], own: list[int]) -> list[tuple[int, i
     return out
 
 
-_WORD = re.compile(rb"[^ \t\n\r\f\v]+")
-
-
-def beside(data: bytes, at: int, reach: int, left: bool) -> list[tuple[int, int]]:
-    """Spans of the words on one side of `at`, the nearest first, as many as take up to `reach` bytes."""
-    size = 2 * reach + EDGE
+def beside(data: bytes, at: int, reach: int, left: bool) -> list[bytes]:
+    """The words on one side of `at`, the nearest first, as many as take up to `reach` bytes."""
+    size = reach + EDGE
     while True:
         low = max(0, at - size) if left else at
         high = at if left else min(len(data), at + size)
-        spans = [m.span() for m in _WORD.finditer(data, low, high)]
+        words = data[low:high].split()
+        if left:
+            words.reverse()
         whole_side = low == 0 if left else high == len(data)
         if not whole_side:
-            spans = spans[1:] if left else spans[:-1]  # the limit may have cut the last word
-        out, taken = [], -1
-        for s, e in reversed(spans) if left else spans:
-            taken += e - s + 1
-            if taken > reach:
-                return out
-            out.append((s, e))
-        if whole_side:
-            return out
+            words = words[:-1]  # the limit may have cut the last word
+        upto = list(accumulate(map(len, words)))
+        # So many bytes do the first k + 1 words take, with one between each two.
+        n = bisect_right(range(len(upto)), reach, key=lambda k: upto[k] + k)
+        if n < len(words) or whole_side:
+            return words[:n]
         size *= 2
 
 
@@ -320,7 +343,7 @@ def held(data: bytes, starts: list[int], found: list[tuple[int, int, int]], reac
         # At most so many words stand within reach.
         if inside + len(data[max(0, start - reach - 1) : start].split()) + len(data[end : end + reach + 1].split()) <= MIN_WORDS:
             continue
-        left, right = ([data[x:y] for x, y in beside(data, at, reach, side)] for at, side in ((start, True), (end, False)))
+        left, right = (beside(data, at, reach, side) for at, side in ((start, True), (end, False)))
         if inside + len(left) + len(right) <= MIN_WORDS:
             continue
         told = b" ".join(left), b" ".join(right)
@@ -360,28 +383,32 @@ def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
         for batch in slices(batches):
             out = []
             contents = batch["text"].cast(pa.binary()).to_pylist()
-            for doc, data, digest, own, starts, asked in zip(batch["doc_id"].to_pylist(), contents, *(batch[c].to_pylist() for c in ("whole", "own", "starts", "asked"))):
+            for doc, data, digest, own, starts, asked in zip(batch["doc_id"].to_pylist(), contents, batch["whole"].to_pylist(), lists(batch["own"]), lists(batch["starts"]), batch["asked"]):
                 if whole(data) != digest:  # another text of the same id
                     continue
                 where: dict[int, list[int]] = {}
                 own = unnumbered(own)
                 for k, d in enumerate(own):
                     where.setdefault(d, []).append(k)
-                for ask in asked:
-                    out += [(doc, ask["key"], *x) for x in held(data, starts, stretches(ask["digests"], own, where), ask["reach"])]
+                key, reach, runs_asked = (asked.values.field(c) for c in ("key", "reach", "digests"))
+                made: list = []
+                for k, r, run in zip(key.to_pylist(), reach.to_pylist(), lists(runs_asked)):
+                    out += [(doc, k, *x) for x in held(data, starts, stretches(run, own, where, made), r)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_ANSWER), _ANSWER.types)], schema=_ANSWER)
 
     return texts.select("doc_id", "text", "whole", "own", "starts", "asked").mapInArrow(fetch, ANSWER)
 
 
-def _same(data: bytes, at: int, words: bytes, left: bool) -> list[tuple[int, int]]:
-    """Spans of the words beside `at` that are the same as `words`, the nearest first."""
-    mine, k = beside(data, at, len(words) + 1, left), 0
-    for (s, e), w in zip(mine, words.split()):
-        if data[s:e] != w:
+def _same(data: bytes, at: int, words: bytes, left: bool) -> tuple[int, int]:
+    """How many words beside `at` are the same as `words`, the nearest first, and where the last of them ends, or `at`."""
+    k = 0
+    for mine, w in zip(beside(data, at, len(words) + 1, left), words.split()):
+        if mine != w:
             break
         k += 1
-    return mine[:k]
+        # Only space lies between, so that the nearest place of a word is its own.
+        at = data.rfind(w, 0, at) if left else data.find(w, at) + len(w)
+    return k, at
 
 
 def removed(text: str, found: list[dict]) -> tuple[str, int, list[tuple[int, int]]]:
@@ -392,9 +419,9 @@ def removed(text: str, found: list[dict]) -> tuple[str, int, list[tuple[int, int
         if r["whole"] != own:  # a run of another text of the same id
             continue
         begin, end = int(r["begin"]), int(r["end"])
-        lead, tail = _same(data, begin, r["left"], True), _same(data, end, r["right"], False)
-        if len(lead) + len(data[begin:end].split()) + len(tail) > MIN_WORDS:
-            spans.append((lead[-1][0] if lead else begin, tail[-1][1] if tail else begin + len(data[begin:end].rstrip(b" \t\n\r\f\v"))))
+        (lead, low), (tail, high) = _same(data, begin, r["left"], True), _same(data, end, r["right"], False)
+        if lead + len(data[begin:end].split()) + tail > MIN_WORDS:
+            spans.append((low, high if tail else begin + len(data[begin:end].rstrip())))
     joined_spans: list[list[int]] = []
     for s, e in sorted(spans):
         if joined_spans and s <= joined_spans[-1][1]:

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from kbspark.llm import substrings
 
 
@@ -47,3 +49,27 @@ def test_only_texts_with_repeats_become_python_strings(spark):
     out = {r.doc_id: tuple(r)[1:] for r in substrings.dedup(rows.unionByName(odd)).selectExpr("doc_id", "hex(text)", "removed_words", "removed_spans").collect()}
     assert out[4] == ("6162FF", 0, "") and out[3] == (None, 0, "")
     assert bytes.fromhex(out[1][0]).decode() == f"one {passage}" and out[2][1] > 50
+
+
+def test_cheaper_steps_equal_plain_ones(monkeypatch):
+    """Words beside a place, words in common, lists of a slice, and one automaton for all runs that ask a source."""
+    rng = random.Random(8)
+    for _ in range(300):
+        data = "".join(rng.choice(["a", "bc", "é", " ", "  ", "\n", " \t"]) for _ in range(rng.randrange(1, 120))).encode()
+        at, reach = rng.randrange(len(data) + 1), rng.randrange(60)
+        for left in (True, False):
+            words = data[:at].split()[::-1] if left else data[at:].split()
+            most = max(k for k in range(len(words) + 1) if k == 0 or sum(map(len, words[:k])) + k - 1 <= reach)
+            assert substrings.beside(data, at, reach, left) == words[:most]
+            k, end = substrings._same(data, at, b" ".join(words), left)
+            assert k == len(words) and (data[end:at] if left else data[at:end]).strip() == (data[:at] if left else data[at:]).strip()
+            assert substrings._same(data, at, b"x", left) == (0, at)
+    column = pa.array([[1], [2, 3], [], [4, 5, 6], [7]], pa.list_(pa.int64()))
+    assert list(substrings.lists(column[1:4])) == [[2, 3], [], [4, 5, 6]]
+    assert list(substrings.lists(column[:0])) == [] == list(substrings.lists(pa.array([], pa.list_(pa.int64()))))
+    made, automaton = [], substrings._automaton
+    monkeypatch.setattr(substrings, "_automaton", lambda own: made.append(0) or automaton(own))
+    own, kept = [1, 2] * 600, []
+    where = {d: [k for k, x in enumerate(own) if x == d] for d in (1, 2)}
+    found = [substrings.stretches([1, 2] * n, own, where, kept) for n in (30, 40, 50)]
+    assert len(made) == 1 and found == [substrings._stretches_by_automaton([1, 2] * n, own) for n in (30, 40, 50)]
