@@ -143,11 +143,12 @@ def learn(labelled: DataFrame, label: str = "quality", max_tests: int = 3, bins:
     """Sequential covering over rows that have FEATURES and a label (1 good, 0 bad), all of them, none sampled.
 
     Features are binned once and written, so that the many steps are small queries, for which executors compile and keep
-    little code. Each step counts the rows that a rule still covers by (feature, bin, label) in Spark: at most
-    len(FEATURES) * (bins + 1) * 2 counts reach the driver. A rule grows by the test with the highest
-    weighted gain (FOIL), is pruned by dropping tests that don't lower its purity on the held-out third, and is kept if
-    its purity is `purity` or more and it covers `least` bad rows. After one that isn't, the next begins with another
-    feature or direction; covering ends when all have failed or fewer than `least` bad rows are left.
+    little code. Each step counts the rows that a rule still covers by (feature, bin, label) in Spark, in one aggregate a
+    feature, so that a row stays one: at most len(FEATURES) * (bins + 1) * 2 counts reach the driver. A rule grows by the
+    test with the highest weighted gain (FOIL), is pruned by dropping tests that don't lower its purity on the held-out
+    third, and is kept if its purity is `purity` or more and it covers `least` bad rows. After one that isn't, the next
+    begins with another feature or direction, from counts that are there already; covering ends when all have failed or
+    fewer than `least` bad rows are left.
     """
     rows = labelled.where(F.col(label).isin(0, 1)).select((F.col(label) == 0).alias("bad"), (F.pmod(F.xxhash64(*FEATURES, "doc_id"), F.lit(3)) == 0).alias("held"), *FEATURES)
     cuts = rows.agg(*(F.percentile_approx(f, [k / bins for k in range(bins + 1)], 1000).alias(f) for f in FEATURES)).first()
@@ -161,9 +162,9 @@ def learn(labelled: DataFrame, label: str = "quality", max_tests: int = 3, bins:
     # A value's bin is how many edges it reaches; tests are of bins until the list is done.
     binned = scratch.written(rows.select("bad", "held", *(sum((F.col(f) >= e).cast("int") for e in edges[f]).alias(f) for f in used)), "bins")
     rules: list[Rule] = []
-    left, failed = binned, set()
-    while left.agg(F.count_if("bad")).first()[0] >= least:
-        grown = _grow(left.where(~F.col("held")), {f: len(edges[f]) for f in used}, max_tests, failed)
+    left, failed, known = binned, set(), {}
+    while known or left.agg(F.count_if("bad")).first()[0] >= least:
+        grown = _grow(left.where(~F.col("held")), {f: len(edges[f]) for f in used}, max_tests, failed, known)
         if not grown:
             break
         pruned = _prune(grown, left, purity)
@@ -171,24 +172,39 @@ def learn(labelled: DataFrame, label: str = "quality", max_tests: int = 3, bins:
             failed.add((grown[0].feature, grown[0].at_least))
             continue
         rules.append(pruned)
-        left, failed = left.where(~pruned.column()), set()
+        left, failed, known = left.where(~pruned.column()), set(), {}
     scratch.clear()
     return [Rule(tuple(Test(t.feature, t.at_least, edges[t.feature][t.threshold - 1]) for t in r.tests), r.bad, r.good) for r in rules]
 
 
-def _grow(rows: DataFrame, edges: dict[str, int], max_tests: int, failed: set[tuple[str, bool]]) -> list[Test]:
+def _counts(rows: DataFrame, edges: dict[str, int]) -> dict[str, dict[int, tuple[int, int]]]:
+    """(bad, good) rows by feature and bin.
+
+    A histogram of more bars than there are bins holds a bar for each: bars of different bins, which lie 1 apart, are only
+    joined where there are too many. Those of one bin that come from several tasks may differ by rounding.
+    """
+    bars = [F.histogram_numeric(F.col(f).cast("double"), F.lit(4 * (n + 1))).alias(f) for f, n in edges.items()]
+    found: dict[str, dict[int, tuple[int, int]]] = {}
+    for r in rows.groupBy("bad").agg(*bars).collect():
+        for f in edges:
+            for x, y in r[f]:
+                bad, good = found.setdefault(f, {}).get(round(x), (0, 0))
+                found[f][round(x)] = (bad + round(y), good) if r.bad else (bad, good + round(y))
+    return found
+
+
+def _grow(rows: DataFrame, edges: dict[str, int], max_tests: int, failed: set[tuple[str, bool]], known: dict[tuple[Test, ...], dict]) -> list[Test]:
     """Tests of bins in the order in which they were added; the first is none of those that have failed before.
 
-    `rows` have the bins of the features in `edges`, which says how many edges each has.
+    `rows` have the bins of the features in `edges`, which says how many edges each has. `known` keeps the counts of what
+    conjunctions of tests cover among them.
     """
     tests: list[Test] = []
     while len(tests) < max_tests:
-        covered = reduce(lambda d, t: d.where(t.column()), tests, rows)
-        pairs = F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("bin")) for f in edges))
-        counts = covered.select("bad", F.inline(pairs)).groupBy("f", "bin").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("all"))
-        found: dict[str, dict[int, tuple[int, int]]] = {}
-        for f, b, bad, n in counts.collect():
-            found.setdefault(f, {})[b] = (bad, n - bad)
+        covered = tuple(tests)
+        if covered not in known:
+            known[covered] = _counts(reduce(lambda d, t: d.where(t.column()), tests, rows), edges)
+        found = known[covered]
         best, gain = None, 0.0
         for f, by_bin in sorted(found.items()):
             bad, good = (sum(x[k] for x in by_bin.values()) for k in (0, 1))

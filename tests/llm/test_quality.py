@@ -101,3 +101,33 @@ def test_steps_are_queries_of_bins(spark, monkeypatch):
     assert rules and seen and cleared
     most = seen[0].agg(*(F.max(c).alias(c) for c in seen[0].columns if c not in ("bad", "held"))).first()
     assert max(most) <= 8 < max(t.threshold for r in rules for t in r.tests)
+
+
+def test_steps_make_no_rows(spark, monkeypatch):
+    """A step counts rows as they are, exactly though many tasks count, and what failed attempts share is counted once."""
+    rows = spark.range(0, 20_000, 1, 50).select((F.col("id") % 7 == 0).alias("bad"), (F.col("id") * 13 % 33).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("b"))
+    found = quality._counts(rows, {"a": 32, "b": 1})
+    for f in ("a", "b"):
+        want = {r[f]: (r.bad, r.all - r.bad) for r in rows.groupBy(f).agg(F.count_if("bad").alias("bad"), F.count("*").alias("all")).collect()}
+        assert found[f] == want
+    assert quality._counts(rows.limit(0), {"a": 32}) == {}
+
+    rng, asked, counts, plans = random.Random(4), [], quality._counts, []
+
+    def seen(rows, edges):
+        asked.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        frame = type(rows.groupBy("bad").agg(F.count("*")))
+        collect = frame.collect
+        monkeypatch.setattr(frame, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+        try:
+            return counts(rows, edges)
+        finally:
+            monkeypatch.setattr(frame, "collect", collect)
+
+    monkeypatch.setattr(quality, "_counts", seen)
+    labelled = [(i, junk(rng, 0), int(rng.random() < 0.9)) for i in range(180)]  # nothing to learn: all attempts fail
+    numbers = quality.measured(spark.createDataFrame(labelled, "doc_id long, text string, quality int"), "text", F.col("doc_id"), F.col("quality"))
+    assert quality.learn(numbers, bins=8) == []
+    assert len(asked) > 3 and plans and not any("Generate" in p for p in plans)
+    # The first tests of all attempts come from one count.
+    assert sum("(bad" not in p and p.count(">=") + p.count("<") == 0 for p in asked) == 1
