@@ -370,33 +370,35 @@ ANSWER = "source long, key long, first int, last int, left binary, right binary"
 _ANSWER = pa.schema([("source", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
 
-def answers(docs: DataFrame, cut: DataFrame, found: DataFrame) -> DataFrame:
+def answers(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(source, key, first, last, left, right): stretches of runs that stand in a source, and the words around them there,
-    the nearest first."""
+    the nearest first.
+
+    Sources are cut again: a second shuffle of all texts' digests and starts costs more than to chunk those that are asked.
+    """
     asks = found.select("source", "key", "digests", "reach").dropDuplicates(["source", "key"])
     parts = asks.groupBy("source").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))
     dealt = asks.join(parts, "source").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
     asked = dealt.groupBy("source", "part").agg(F.collect_list(F.struct("key", "reach", "digests")).alias("asked"))
-    texts = docs.join(cut.select("doc_id", "whole", F.col("digests").alias("own"), "starts"), "doc_id").join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
+    texts = docs.join(asked.withColumnRenamed("source", "doc_id"), "doc_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, starts, own, where, made = None, [], [], {}, []
         for batch in slices(batches):
             out = []
             contents = batch["text"].cast(pa.binary()).to_pylist()
-            for doc, data, digest, own, starts, asked in zip(batch["doc_id"].to_pylist(), contents, batch["whole"].to_pylist(), lists(batch["own"]), lists(batch["starts"]), batch["asked"]):
-                if whole(data) != digest:  # another text of the same id
-                    continue
-                where: dict[int, list[int]] = {}
-                own = unnumbered(own)
-                for k, d in enumerate(own):
-                    where.setdefault(d, []).append(k)
+            for doc, data, asked in zip(batch["doc_id"].to_pylist(), contents, batch["asked"]):
+                if data != before:  # the rows of a hot source follow one another
+                    edges, _ = chunked(data)
+                    before, starts, own, where, made = data, edges.tolist(), unnumbered(digests(data, edges)), {}, []
+                    for k, d in enumerate(own):
+                        where.setdefault(d, []).append(k)
                 key, reach, runs_asked = (asked.values.field(c) for c in ("key", "reach", "digests"))
-                made: list = []
                 for k, r, run in zip(key.to_pylist(), reach.to_pylist(), lists(runs_asked)):
                     out += [(doc, k, *x) for x in held(data, starts, stretches(run, own, where, made), r)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(_ANSWER), _ANSWER.types)], schema=_ANSWER)
 
-    return texts.select("doc_id", "text", "whole", "own", "starts", "asked").mapInArrow(fetch, ANSWER)
+    return texts.select("doc_id", "text", "asked").mapInArrow(fetch, ANSWER)
 
 
 def _same(data: bytes, at: int, words: bytes, left: bool) -> tuple[int, int]:
@@ -456,8 +458,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     scratch = Scratch(docs.sparkSession, "substrings")
     cut = scratch.written(chunks(rows), "chunks")
     found = scratch.written(runs(cut, repeats(cut)).withColumn("key", F.xxhash64("digests", "reach")), "runs")
-    said = scratch.written(answers(rows, cut, found), "answers")
     scratch.drop("chunks")
+    said = scratch.written(answers(rows, found), "answers")
     known = found.join(said, ["source", "key"])
     end = F.least(F.col("last") + 2, F.size("starts") - 1)
     parts = F.struct("whole", F.get("starts", F.col("first")).alias("begin"), F.get("starts", end).alias("end"), "left", "right")

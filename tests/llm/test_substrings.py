@@ -73,3 +73,24 @@ def test_cheaper_steps_equal_plain_ones(monkeypatch):
     where = {d: [k for k, x in enumerate(own) if x == d] for d in (1, 2)}
     found = [substrings.stretches([1, 2] * n, own, where, kept) for n in (30, 40, 50)]
     assert len(made) == 1 and found == [substrings._stretches_by_automaton([1, 2] * n, own) for n in (30, 40, 50)]
+
+
+def test_answers_read_no_chunks(spark, monkeypatch):
+    """Sources are cut again, so that the digests of all texts aren't shuffled twice; a hot source's rows share that."""
+    rng, read, written = random.Random(9), [], substrings.Scratch.written
+    fill = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    hot = fill(300).split()
+    texts = [" ".join(hot)] + [f"{fill(20)} {' '.join(hot[k : k + 60])} {fill(20)}" for k in range(0, 240, 8)]
+    df = spark.createDataFrame([*enumerate(texts), (0, fill(30)), (0, texts[0])], "doc_id long, text string")
+
+    def noted(self, df, name):
+        if name == "answers":
+            read.extend(df.inputFiles())
+        return written(self, df, name)
+
+    monkeypatch.setattr(substrings.Scratch, "written", noted)
+    whole = sorted(map(tuple, substrings.dedup(df).collect()))
+    assert read and not any("/chunks/" in f for f in read)
+    assert [r[2] for r in whole if r[0] > 0] == [60] * 30 and not any(r[2] for r in whole if r[0] == 0)
+    monkeypatch.setattr(substrings, "ASKS", 1)
+    assert sorted(map(tuple, substrings.dedup(df).collect())) == whole
