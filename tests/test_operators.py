@@ -446,3 +446,41 @@ def test_trimmed_is_strip(spark):
     texts = [(a + m + b,) for a in ends for m in ("", "x", "x  y\nz") for b in ends]
     df = spark.createDataFrame([*texts, (None,)], "c string")
     assert df.where(~T.trimmed(F.col("c")).eqNullSafe(T.strip(F.col("c")))).count() == 0
+
+
+def test_touched_pages_of_a_title_are_counted(spark, monkeypatch):
+    # Documents whose cascade touches all pages of their title: these are counted by title, no pair of a document and a page is made.
+    monkeypatch.setattr(D, "BUCKETS", 3)
+    monkeypatch.setattr(D, "COMMON", 4)
+    texts = {i: {f"t{k}" for k in range(1, 20) if (i * k) % (k + 2) < 2} for i in range(80)}
+    pages = spark.createDataFrame([("w", f"wiki/{i}.md", "wiki", f"Title {i % 7}" if i % 9 else None, " ".join(t)) for i, t in texts.items()], "workspace string, path string, layer string, title string, content string")
+    keys = {i: {f"t{(i * k) % 23}" for k in range(1, 5)} for i in range(60)}
+    terms = spark.createDataFrame([("w", i, t) for i, ts in keys.items() for t in ts], "workspace string, doc_id long, term string")
+    touched = [("w", i, f"Title {i % 7}") for i in range(50)] + [("w", i, f"Title {i % 5}") for i in range(20)] + [("w", 3, None)]
+    out = D.cascade_coverage(terms, pages, spark.createDataFrame(touched, "workspace string, doc_id long, title string"), by="title")
+    assert "Generate" not in plan_of(out).split("FlatMapCoGroupsInArrow")[0] and plan_of(out).count("FlatMapCoGroupsInArrow") == 2
+    title = {i: f"Title {i % 7}" if i % 9 else None for i in texts}
+    held = {i: {p for p, t in texts.items() if t & ts} for i, ts in keys.items()}
+    want = {i: (len(held[i]), len({p for p in held[i] for _, j, x in touched if j == i and x == title[p] and x})) for i in keys}
+    assert {r.doc_id: (r.matches, r.covered) for r in out.collect()} == want
+
+
+def test_top_terms_join_what_can_be_among_the_best(spark, monkeypatch):
+    # With few frequent terms known, and with all, the best are those of a plain count; postings need no shuffle.
+    import math
+    from collections import Counter
+
+    texts = {i: [f"w{(i * k * k) % (3 + k)}" for k in range(1, 30)] + [f"r{i % 13}"] * (i % 3) + ["once" + str(i)] for i in range(90)}
+    docs = spark.createDataFrame([("w", i, "", " ".join(t)) for i, t in texts.items()] + [("w", 500, "", " . ")], "workspace string, doc_id long, title string, content string")
+    posts = S.postings(docs)
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+    counts = {i: Counter(t) for i, t in texts.items()}
+    assert {(r.doc_id, r.term, r.tf, r.dl) for r in posts.collect()} == {(i, t, n, len(texts[i])) for i, c in counts.items() for t, n in c.items()}
+    df = Counter(t for c in counts.values() for t in c)
+    want = set()
+    for i, c in counts.items():
+        best = sorted((-round(n * math.log(90 / df[t]), 9), t) for t, n in c.items())[:5]
+        want |= {(i, t, rank) for rank, (_, t) in enumerate(best, 1)}
+    for known in (1, 6, 1000):
+        monkeypatch.setattr(S, "FREQUENT", known)
+        assert {(r.doc_id, r.term, r.rank) for r in S.top_terms(posts, 5).collect()} == want
