@@ -484,3 +484,16 @@ def test_top_terms_join_what_can_be_among_the_best(spark, monkeypatch):
     for known in (1, 6, 1000):
         monkeypatch.setattr(S, "FREQUENT", known)
         assert {(r.doc_id, r.term, r.rank) for r in S.top_terms(posts, 5).collect()} == want
+
+
+def test_cross_refs_shuffle_neither_keys_nor_texts_of_no_title(spark, monkeypatch):
+    # Where titles are too many to be sent to all tasks, keys that no title has stay in their task, and a text moves once.
+    monkeypatch.setattr(D, "BITMAP", 64)
+    plans, shared = {}, D.shared_table
+    monkeypatch.setattr(D, "shared_table", lambda df, what: (plans.setdefault(what, plan_of(df)), shared(df, what))[1])
+    pages = spark.createDataFrame([("w", f"wiki/{i}.md", f"Fox{i % 9} Red" if i % 4 else f"One{i % 5}", f"a fox{i % 7} red, one{i % 3}; more words here {i}") for i in range(40)] + [(None, "wiki/n.md", "None Here", "fox1 red")], "workspace string, path string, title string, content string")
+    got = {(r.from_path, r.to_path) for r in D.cross_refs(pages, pages).collect()}
+    title = {i: f"fox{i % 9} red" if i % 4 else f"one{i % 5}" for i in range(40)}
+    assert got == {(f"wiki/{i}.md", f"wiki/{j}.md") for i in range(40) for j in range(40) if i != j and title[j] in (f"fox{i % 7} red", f"one{i % 3}")}
+    keys = plans["title-keys"].split("Generate")[0]
+    assert "getbit" in keys.lower() or "bit_get" in keys.lower()
