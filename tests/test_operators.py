@@ -497,3 +497,28 @@ def test_cross_refs_shuffle_neither_keys_nor_texts_of_no_title(spark, monkeypatc
     assert got == {(f"wiki/{i}.md", f"wiki/{j}.md") for i in range(40) for j in range(40) if i != j and title[j] in (f"fox{i % 7} red", f"one{i % 3}")}
     keys = plans["title-keys"].split("Generate")[0]
     assert "getbit" in keys.lower() or "bit_get" in keys.lower()
+
+
+def test_blocks_come_in_rounds(spark, monkeypatch):
+    # Copies of queries and titles for each block: a round's shuffles hold a few blocks, and the rounds give what one does.
+    from kbspark.sources import tables
+
+    written = []
+    kept = tables.Rounds.written
+    monkeypatch.setattr(tables.Rounds, "written", lambda self, df: (written.append(plan_of(df)), kept(self, df))[1])
+    words = "red blue green fox owl bee oak elm fir sun".split()
+    rows = [("ab"[i % 2], i, f"{'wiki' if i % 3 else 'raw'}/{i:02}.md", "wiki" if i % 3 else "raw", f"{words[i % 10].title()} {words[i * 7 % 9].title()}", " ".join(words[i * k % 10] for k in range(1, 4 + i % 4)), at(1)) for i in range(70)]
+    pages = spark.createDataFrame(rows, "workspace string, doc_id long, path string, layer string, title string, content string, updated_at timestamp")
+    beliefs = spark.createDataFrame([], "belief_id string, workspace string, path string, statement string, subject string, predicate string, object string, asserted_at timestamp, superseded_at timestamp")
+
+    def found():
+        out = D.candidate_pages(pages, pages, beliefs, F.lit(at(2)).cast("timestamp"))
+        return {(r.doc_id, r.path, round(r.score, 9), r.reason, r.rank) for r in out.collect()}
+
+    whole = found()
+    assert whole and not written
+    monkeypatch.setattr(S, "BLOCK", 5)
+    monkeypatch.setattr(D, "PAGES", 4)
+    monkeypatch.setattr(tables, "ROUND", 2)
+    assert found() == whole
+    assert len(written) == 2 + 3  # rounds of 6 blocks of titles and 7 of texts, but for the last ones
